@@ -13,9 +13,8 @@ WHITESPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-INTEGER = r"^[+-]?[0-9]+$"
-DECIMAL = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-YMD = r"^(?!0000)[0-9]{8}$"
+_BLANKS = "[" + WHITESPACE + "]*"
+YMD = rf"^{_BLANKS}(?!0000)[0-9]{{8}}{_BLANKS}$"
 
 
 def chars(line: Column, start: int, end: int) -> Column:
@@ -24,7 +23,8 @@ def chars(line: Column, start: int, end: int) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.btrim(text, F.lit(WHITESPACE))
+    """Without surrounding whitespace of any kind (plain blanks first: that trim is fast)."""
+    return F.btrim(F.trim(text), F.lit(WHITESPACE))
 
 
 def wide(text: Column) -> Column:
@@ -37,18 +37,28 @@ def blank_to_null(text: Column) -> Column:
 
 
 def to_int(text: Column) -> Column:
-    s = strip(text)
-    return F.when(s.rlike(INTEGER), s.try_cast("bigint"))
+    """Whole number or NULL; blanks around it are ignored.
+
+    The strict cast refuses fractions and words by itself. Blank text is kept
+    away from it because each refusal raises an exception inside.
+    """
+    return blank_to_null(strip(text)).try_cast("bigint")
 
 
 def to_float(text: Column) -> Column:
-    s = strip(text)
-    return F.when(s.rlike(DECIMAL), s.try_cast("double"))
+    """Decimal number or NULL.
+
+    Words, type suffixes (``1d``) and hexadecimal are refused: a number ends in
+    a digit or a point and holds no x. Blank text fails the same test, so it
+    never reaches the cast.
+    """
+    number = strip(text)
+    plausible = F.substring(number, -1, 1).between(".", "9") & ~number.contains("x") & ~number.contains("X")
+    return F.when(plausible, number.try_cast("double"))
 
 
 def to_ymd(text: Column) -> Column:
-    s = strip(text)
-    return F.when(s.rlike(YMD), F.try_to_timestamp(s, F.lit("yyyyMMdd")).cast("date"))
+    return F.when(text.rlike(YMD), F.try_to_timestamp(strip(text), F.lit("yyyyMMdd")).cast("date"))
 
 
 def to_tenths(text: Column) -> Column:

@@ -100,8 +100,7 @@ def group_rates(results: DataFrame, keys: Sequence[str], position: str,
     if levels is None:
         return results.groupBy(*keys).agg(*aggs)
     sets = [[F.col(c) for c in level] for level in levels]
-    return results.groupingSets(sets, *keys).agg(
-        *[F.col(k) for k in keys], F.grouping_id().alias("level"), *aggs)
+    return results.groupingSets(sets, *keys).agg(F.grouping_id().alias("level"), *aggs)
 
 
 def layoff_band(rest_days: Column) -> Column:

@@ -29,14 +29,13 @@ def ability_index(results: DataFrame, par_keys: Sequence[str], day: str, time: s
     Times are corrected for carried weight and compared with earlier days of
     the same conditions only; a part without a par yet counts as average.
     """
-    out = results.withColumn("_time", weight_corrected(F.col(time), F.col(weight), time_slope)) \
-        .withColumn("_last", weight_corrected(F.col(last3f), F.col(weight), last3f_slope))
-    out = standardised(out, par_keys, day, "_time", "_z_time")
-    out = standardised(out, par_keys, day, "_last", "_z_last")
+    out = standardised(results, par_keys, day, {
+        "_z_time": weight_corrected(F.col(time), F.col(weight), time_slope),
+        "_z_last": weight_corrected(F.col(last3f), F.col(weight), last3f_slope)})
     zero = F.lit(0.0)
     score = 50.0 - 10.0 * F.coalesce("_z_time", zero) - 5.0 * F.coalesce("_z_last", zero) \
         + 2.0 * F.coalesce(F.col(class_level).cast("double"), zero)
-    return out.withColumn(name, score).drop("_time", "_last", "_z_time", "_z_last")
+    return out.withColumn(name, score).drop("_z_time", "_z_last")
 
 
 def ability_history(df: DataFrame, entity: Sequence[str], day: str, tie: Sequence[str], value: str = "ability",

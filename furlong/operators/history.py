@@ -171,14 +171,21 @@ def attach_state(df: DataFrame, state: DataFrame, keys: Sequence[str], day: str)
     return df.join(state, [*keys, day], "left")
 
 
-def standardised(df: DataFrame, keys: Sequence[str], day: str, value: str, name: str) -> DataFrame:
-    """(value - par mean) / par sd, the par taken over earlier days of the same conditions."""
-    x = F.col(value)
-    state = state_before(df, keys, day, {"_n": F.when(x.isNotNull(), 1), "_s": x, "_ss": x * x})
-    mean = F.col("_s") / F.col("_n")
-    variance = (F.col("_ss") - F.col("_s") * mean) / (F.col("_n") - 1)
-    sd = F.when((F.col("_n") > 1) & (variance > 0), F.sqrt(variance))
-    return attach_state(df, state, keys, day).withColumn(name, (x - mean) / sd).drop("_n", "_s", "_ss")
+def standardised(df: DataFrame, keys: Sequence[str], day: str, values: Mapping[str, Column]) -> DataFrame:
+    """(value - par mean) / par sd for each named value, the par taken over earlier days.
+
+    All values share one set of running moments per condition and day.
+    """
+    sums = {}
+    for name, x in values.items():
+        sums |= {f"_n_{name}": F.when(x.isNotNull(), 1), f"_s_{name}": x, f"_q_{name}": x * x}
+    out = attach_state(df, state_before(df, keys, day, sums), keys, day)
+    scores = {}
+    for name, x in values.items():
+        n, total, squares = F.col(f"_n_{name}"), F.col(f"_s_{name}"), F.col(f"_q_{name}")
+        variance = (squares - total * total / n) / F.when(n > 1, n - 1)
+        scores[name] = (x - total / n) / F.when(variance > 0, F.sqrt(variance))
+    return out.withColumns(scores).drop(*sums)
 
 
 def combine(parts: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
@@ -15,15 +15,17 @@ def _direction(value: str, descending: bool) -> Column:
 
 
 def rank_in_race(df: DataFrame, race: Sequence[str], value: str, name: str, descending: bool = True,
-                 dense: bool = False, limit: int | None = None) -> DataFrame:
+                 dense: bool = False, limit: int | None = None, small: bool | None = None) -> DataFrame:
     """Rank within the race; equal values share a rank, a missing value has none.
 
+    ``small`` says that the group sizes were checked already.
+
     A race of ordinary size is one window partition. For a larger group the
     distinct values are counted first and ranked by prefix sums over ranges.
     """
     race = list(race)
     known = F.col(value).isNotNull()
-    if fits_in_task(df, race, limit):
+    if fits_in_task(df, race, limit) if small is None else small:
         order = W.partitionBy(*race).orderBy(_direction(value, descending))
         ranked = F.dense_rank().over(order) if dense else F.rank().over(order)
         return df.withColumn(name, F.when(known, ranked))
@@ -36,18 +38,26 @@ def rank_in_race(df: DataFrame, race: Sequence[str], value: str, name: str, desc
 
 def minus_race_mean(df: DataFrame, race: Sequence[str], value: str, name: str,
                     limit: int | None = None) -> DataFrame:
+    out = race_totals(df, race, {"_mean": F.avg(value)}, limit)
+    return out.withColumn(name, F.col(value) - F.col("_mean")).drop("_mean")
+
+
+def race_totals(df: DataFrame, race: Sequence[str], totals: Mapping[str, Column],
+                limit: int | None = None, small: bool | None = None) -> DataFrame:
+    """Add aggregates over the whole race to each of its runners."""
     race = list(race)
-    if fits_in_task(df, race, limit):
-        return df.withColumn(name, F.col(value) - F.avg(value).over(W.partitionBy(*race)))
-    means = df.groupBy(*race).agg(F.avg(value).alias("_mean"))
-    return join_same(df, means, race).withColumn(name, F.col(value) - F.col("_mean")).drop("_mean")
+    if fits_in_task(df, race, limit) if small is None else small:
+        whole = W.partitionBy(*race)
+        return df.withColumns({n: c.over(whole) for n, c in totals.items()})
+    return join_same(df, df.groupBy(*race).agg(*[c.alias(n) for n, c in totals.items()]), race)
 
 
 def upset(df: DataFrame, race: Sequence[str], ability: str, popularity: str,
           limit: int | None = None) -> DataFrame:
     """Popularity rank minus ability rank: positive when the runner is better than it is backed."""
-    out = rank_in_race(df, race, ability, "ability_rank", True, limit=limit)
-    out = rank_in_race(out, race, popularity, "popularity_rank", True, limit=limit)
+    small = fits_in_task(df, list(race), limit)
+    out = rank_in_race(df, race, ability, "ability_rank", True, small=small)
+    out = rank_in_race(out, race, popularity, "popularity_rank", True, small=small)
     return out.withColumn("upset", F.col("popularity_rank") - F.col("ability_rank"))
 
 

@@ -23,6 +23,11 @@ def gaussian_noise(row_key: Column, sd: float) -> Column:
     return radius * F.cos(F.lit(2 * math.pi) * _uniform(row_key, "b")) * sd
 
 
+def smoothed(total: Column, count: Column, prior: Column, m: float) -> Column:
+    """Mean pulled towards the prior, as if ``m`` more rows had the prior's value."""
+    return (F.coalesce(total, F.lit(0.0)) + m * prior) / (F.coalesce(count, F.lit(0)) + m)
+
+
 def target_encode(df: DataFrame, keys: Sequence[str], day: str, targets: Mapping[str, Column], m: float = 10.0,
                   parents: Sequence[Sequence[str]] = (), period: str | None = None,
                   noise: float = 0.0, row_key: Column | None = None) -> DataFrame:
@@ -39,18 +44,15 @@ def target_encode(df: DataFrame, keys: Sequence[str], day: str, targets: Mapping
     other. Adds one column per target, named as in ``targets``.
     """
     at = "_at"
-    out = df.withColumn(at, F.date_trunc(period, day).cast("date") if period else F.col(day))
+    base = df.withColumn(at, F.date_trunc(period, day).cast("date") if period else F.col(day))
     sums = {f"_s_{n}": c.cast("double") for n, c in targets.items()} | {"_n": F.lit(1)}
-    out = attach_state(out, state_before(out, [], at, sums), [], at)
+    out = attach_state(base, state_before(base, [], at, sums), [], at)
     prior = {n: F.col(f"_s_{n}") / F.when(F.col("_n") > 0, F.col("_n")) for n in targets}
     out = out.withColumns({f"_p_{n}": c for n, c in prior.items()}).drop("_n", *[f"_s_{n}" for n in targets])
     for level in [*parents, keys]:
-        totals = state_before(out, level, at, sums)
-        out = attach_state(out, totals, level, at)
-        count = F.coalesce(F.col("_n"), F.lit(0))
+        out = attach_state(out, state_before(base, level, at, sums), level, at)
         out = out.withColumns({
-            f"_p_{n}": (F.coalesce(F.col(f"_s_{n}"), F.lit(0.0)) + m * F.col(f"_p_{n}")) / (count + m)
-            for n in targets}).drop("_n", *[f"_s_{n}" for n in targets])
+            f"_p_{n}": smoothed(F.col(f"_s_{n}"), F.col("_n"), F.col(f"_p_{n}"), m) for n in targets}).drop("_n", *[f"_s_{n}" for n in targets])
     for n in targets:
         value = F.col(f"_p_{n}")
         if noise:

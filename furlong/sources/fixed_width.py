@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from furlong.functions import codes, fields as fx
 from furlong.session import prepare
 from furlong.sources import files as fs
-from furlong.sources.layouts import LAYOUTS
+from furlong.sources.layouts import LAYOUTS, read_fields
 from furlong.sources.schemas import required_columns, table_schema
 
 BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
@@ -130,7 +130,7 @@ def parse_lines(lines: DataFrame, record_type: str, ts: datetime | None = None)
     schema = table_schema(layout.table)
     keep = [c for c in lines.columns if c not in schema.names]
     line = F.col("line")
-    parsed = lines.select(*keep, *[f.column(line) for f in layout.fields])
+    parsed = read_fields(lines, layout.fields, keep)
     if layout.table in DERIVED:
         parsed = parsed.withColumns(DERIVED[layout.table]())
     if layout.table == "horse_extended" and "file_date" in lines.columns:

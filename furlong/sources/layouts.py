@@ -30,8 +30,6 @@ READERS = {
     "change": fx.signed_change,
     "raw": lambda c: c,
 }
-
-
 @dataclass(frozen=True)
 class Field:
     name: str
@@ -40,13 +38,34 @@ class Field:
     kind: str
     min_length: int | None = None
 
-    def column(self, line: Column) -> Column:
-        value = READERS[self.kind](fx.chars(line, self.start, self.end))
+    def column(self, segment: Column, offset: int, length: Column) -> Column:
+        """Value of the field, cut from a segment of the line that starts at ``offset``."""
+        value = READERS[self.kind](fx.chars(segment, self.start - offset, self.end - offset))
         if self.min_length is not None:
-            value = F.when(F.length(line) >= self.min_length, value)
+            value = F.when(length >= self.min_length, value)
         return value.alias(self.name)
 
 
+SEGMENT = 32
+
+
+def read_fields(lines, fields, keep=()):
+    """Apply a layout to the ``line`` column.
+
+    Finding a character position walks the line from its start, so the line is
+    first cut into overlapping segments and each field is taken from the
+    segment it starts in. Segments and length are computed once per line.
+    """
+    at = {f.name: f.start // SEGMENT * SEGMENT for f in fields}
+    reach = {}
+    for f in fields:
+        reach[at[f.name]] = max(reach.get(at[f.name], 0), f.end)
+    prepared = lines.withColumns(
+        {f"_s{o}": fx.chars(F.col("line"), o, end) for o, end in reach.items()} | {"_length": F.length("line")})
+    return prepared.select(*keep, *[
+        f.column(F.col(f"_s{at[f.name]}"), at[f.name], F.col("_length")) for f in fields])
+
+
 def read_layout(text: str) -> list[Field]:
     out = []
     for row in text.strip().splitlines():

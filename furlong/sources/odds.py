@@ -9,41 +9,38 @@ from pyspark.sql import functions as F
 
 from furlong.functions import fields as fx
 
-# 8-character key, 2-digit field size, then the blocks below.
+# 8-character key, 2-digit field size, then 18 win, 18 place and
+# 153 quinella prices of five characters each.
 MIN_LENGTH = 955
-WIDTH = 5
-BLOCKS = (("win", 10, 18), ("place", 100, 18), ("quinella", 190, 153))
+RUNNERS = 18
 
 
 def pair_dimension(spark: SparkSession) -> DataFrame:
-    """Combination index to the pair of numbers i < j of eighteen (153 rows)."""
-    rows = [(k, i, j) for k, (i, j) in enumerate(combinations(range(1, 19), 2))]
-    return spark.createDataFrame(rows, "position int, first_number int, second_number int")
+    """Price slot to the pair of numbers i < j of eighteen (153 rows)."""
+    pairs = combinations(range(1, RUNNERS + 1), 2)
+    rows = [(k, i, j) for k, (i, j) in enumerate(pairs, start=2 * RUNNERS)]
+    return spark.createDataFrame(rows, "slot int, first_number int, second_number int")
 
 
 def explode_odds(lines: DataFrame) -> DataFrame:
     """(race_id, num_horses, odds_type, first_number, second_number, odds_value); blank prices are dropped."""
-    line = F.col("line")
+    line, slot = F.col("line"), F.col("slot")
     keep = [c for c in lines.columns if c != "line"]
-
-    def block(kind: str, start: int, count: int):
-        return F.transform(
-            F.sequence(F.lit(0), F.lit(count - 1)),
-            lambda k: F.struct(F.lit(kind).alias("odds_type"), k.alias("position"),
-                               F.substring(line, k * WIDTH + start + 1, F.lit(WIDTH)).alias("text")))
-
+    texts = F.regexp_extract_all(fx.chars(line, 10, MIN_LENGTH), F.lit("(?s).{5}"), 0)
+    # The key is read before the explode, so the long line is not carried along with each price.
+    races = lines.where(F.length(line) >= MIN_LENGTH).select(
+        *keep, fx.strip(fx.chars(line, 0, 8)).alias("race_id"),
+        fx.to_int(fx.chars(line, 8, 10)).alias("num_horses"), texts.alias("texts"))
     values = (
-        lines.where(F.length(line) >= MIN_LENGTH)
-        .select(*keep, fx.strip(fx.chars(line, 0, 8)).alias("race_id"),
-                fx.to_int(fx.chars(line, 8, 10)).alias("num_horses"),
-                F.inline(F.concat(*[block(*b) for b in BLOCKS])))
+        races.select(*keep, "race_id", "num_horses", F.posexplode("texts").alias("slot", "text"))
+        .where(F.trim("text") != "")
         .withColumn("odds_value", fx.to_float(F.col("text")))
         .where(F.col("odds_value").isNotNull())
     )
-    pairs = F.broadcast(pair_dimension(lines.sparkSession).withColumn("odds_type", F.lit("quinella")))
-    return values.join(pairs, ["odds_type", "position"], "left").select(
-        *keep, "race_id", "num_horses", "odds_type",
-        F.coalesce("first_number", F.col("position") + 1).cast("bigint").alias("first_number"),
+    return values.join(F.broadcast(pair_dimension(lines.sparkSession)), "slot", "left").select(
+        *keep, "race_id", "num_horses",
+        F.when(slot < RUNNERS, "win").when(slot < 2 * RUNNERS, "place").otherwise("quinella").alias("odds_type"),
+        F.coalesce("first_number", slot % RUNNERS + 1).cast("bigint").alias("first_number"),
         F.col("second_number").cast("bigint").alias("second_number"), "odds_value")
 
 
