@@ -128,9 +128,11 @@ def style_code(early: Column, late: Column, closing_rate: Column) -> Column:
     """Running style 1-6 from mean relative positions (0 front, 1 back) and closing rate.
 
     1 leads, 2 prominent, 3 midfield closer, 4 late closer, 5 stalker that
-    gains ground, 6 no fixed style.
+    gains ground, 6 no fixed style. Means are compared at nine decimals, so the
+    order in which they were summed cannot tip a boundary.
     """
-    gain = early - late
+    early, late, closing_rate = F.round(early, 9), F.round(late, 9), F.round(closing_rate, 9)
+    gain = F.round(early - late, 9)
     return (
         F.when(early.isNull(), None).when(early <= 0.1, 1)
         .when((early <= 0.4) & (gain >= 0.1), 5).when(early <= 0.4, 2)

@@ -35,6 +35,12 @@ def compose(length: int, pieces: Sequence[tuple[int, int, Column]]) -> Column:
     return F.concat(*parts)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for the costly text work when a small input arrives in fewer splits."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def as_lines(line: Column) -> Column:
     """Records as they come out of a file: its text split at line feeds."""
     return F.explode(F.split(F.concat(line, F.lit("\n")), "\n")).alias("line")
@@ -66,7 +72,7 @@ def programme_lines(spark: SparkSession, sf: str) -> DataFrame:
             (36, 86, F.col("o_orderpriority"))]),
         F.lit("    "), (k % 18 + 1).cast("string"), F.lit(" 1　　　　        "))
     line = F.when(k % 19 == 0, F.substring(line, 1, 80)).otherwise(line)
-    return orders_with_nation(spark, sf).select(k.alias("source_key"), as_lines(line)).where("line <> ''")
+    return spread(orders_with_nation(spark, sf)).select(k.alias("source_key"), as_lines(line)).where("line <> ''")
 
 
 def entry_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -89,7 +95,7 @@ def entry_lines(spark: SparkSession, sf: str) -> DataFrame:
         (373, 376, digits(400 + p % 200, 3)), (376, 379, F.concat(F.lit("+"), (p % 20).cast("string"))),
         (379, 399, F.concat(F.lit("S"), F.col("l_suppkey").cast("string"), F.lit("　"))),
     ])
-    return load(spark, sf, "lineitem").select(as_lines(line)).where("line <> ''")
+    return spread(load(spark, sf, "lineitem")).select(as_lines(line)).where("line <> ''")
 
 
 def result_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -110,7 +116,7 @@ def result_lines(spark: SparkSession, sf: str) -> DataFrame:
         (267, 268, p % 6 + 1), (268, 269, F.when(p % 3 == 0, "A")), (269, 270, p % 4 + 1),
     ])
     cut = F.when(F.col("l_linenumber") % 2 == 1, F.substring(line, 1, 265)).otherwise(line)
-    return load(spark, sf, "lineitem").select(as_lines(cut)).where("line <> ''")
+    return spread(load(spark, sf, "lineitem")).select(as_lines(cut)).where("line <> ''")
 
 
 def horse_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -124,7 +130,7 @@ def horse_lines(spark: SparkSession, sf: str) -> DataFrame:
         (147, 151, F.lit("浦河　")), (151, 152, F.lit("0")), (152, 160, F.lit("20240105")),
         (160, 164, digits(1100 + k % 30, 4)),
     ])
-    return load(spark, sf, "part").select(as_lines(line)).where("line <> ''")
+    return spread(load(spark, sf, "part")).select(as_lines(line)).where("line <> ''")
 
 
 def record_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -169,7 +175,7 @@ def odds_lines(spark: SparkSession, sf: str) -> DataFrame:
         price = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), price)
         return F.array_join(price, "")
 
-    return load(spark, sf, "orders").select(
+    return spread(load(spark, sf, "orders")).select(
         F.concat(digits(k, 8), F.lit("18"), block(18, 7), block(18, 3), block(153, 11)).alias("line"))
 
 

@@ -61,6 +61,8 @@ def training_data(races: DataFrame, entries: DataFrame, results: DataFrame, pedi
         **{f"past_{n}_avg_position": lambda o, n=n: F.avg("finish_position").over(last_n(o, n)) for n in (3, 5, 10)},
         **{f"past_{n}_avg_last3f": lambda o, n=n: F.avg("last_3f_time").over(last_n(o, n)) for n in (3, 5)},
     }, 10, limit)
+    # Times have one decimal; rounding lets equal means rank as equal.
+    out = out.withColumns({f"past_{n}_avg_last3f": F.round(f"past_{n}_avg_last3f", 6) for n in (3, 5)})
 
     # Conditional win rates of the horse, all from one state per horse and day.
     kinds = {"turf": F.col("course_type") == "turf", "dirt": F.col("course_type") == "dirt",
