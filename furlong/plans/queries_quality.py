@@ -255,25 +255,28 @@ def odds_sliding(spark, sf):
 
 
 @query("stream_upsert", """
-SELECT lpad((c_nationkey % 10 + 1)::VARCHAR, 2, '0') AS venue_code, year(o_orderdate) AS year,
-  count(DISTINCT lpad((c_nationkey % 10 + 1)::VARCHAR, 2, '0') || strftime(o_orderdate, '%y') || (o_orderkey % 9 + 1)
-    || (o_orderkey % 10) || lpad((o_orderkey % 12 + 1)::VARCHAR, 2, '0')) AS races
-FROM orders JOIN customer ON o_custkey = c_custkey
-WHERE o_orderkey % 17 <> 0 AND o_orderkey % 19 <> 0 GROUP BY 1, 2""")
+SELECT lpad(p_partkey::VARCHAR, 8, '0') AS horse_id, trim(p_name) AS horse_name, p_partkey % 11 + 1 AS coat_color_code,
+  p_brand AS sire_name, CASE WHEN p_partkey % 4 = 0 THEN 'owner' || p_size ELSE 'later' || p_size END AS owner_name,
+  TIMESTAMP '2026-01-04 12:00:00' AS updated_at
+FROM part""")
 def stream_upsert(spark, sf):
-    """Programme records streamed from a folder of text and upserted; a second run adds nothing."""
+    """Horse records streamed from text: a later file wins, and a second run of the stream adds nothing."""
     base = f"{shared_dir(spark)}/stream-upsert-{uuid4().hex}"
-    standin.programme_lines(spark, sf).select("line").write.text(f"{base}/in")
+    line = F.col("line")
+    early = standin.horse_lines(spark, sf).select(F.lit("UKC240105.csv").alias("path"), line)
+    # The later file corrects the owner of three horses in four.
+    late = early.where(F.substring(line, 1, 8).cast("bigint") % 4 != 0).select(
+        F.lit("UKC240112.csv").alias("path"), F.replace(line, F.lit("owner"), F.lit("later")).alias("line"))
+    late.unionByName(early).write.parquet(f"{base}/in")
 
     def lines():
-        text = spark.readStream.option("lineSep", "\n").text(f"{base}/in")
-        path = F.lit("BAA260104.csv")
-        return text.select(path.alias("path"), fs.data_type(path).alias("data_type"),
-                           fs.file_date(path).alias("file_date"), F.xxhash64("value").alias("line_no"),
-                           F.col("value").alias("line"))
+        rows = spark.readStream.schema("path string, line string").parquet(f"{base}/in")
+        return rows.select("path", fs.data_type(F.col("path")).alias("data_type"),
+                           fs.file_date(F.col("path")).alias("file_date"), F.xxhash64("line").alias("line_no"), "line")
 
     for attempt in ("first", "again"):
         lines_stream(lines(), f"{base}/tables", f"{base}/checkpoint-{attempt}",
                      clock=lambda: datetime(2026, 1, 4, 12, 0, 0)).awaitTermination()
-    return read_table(spark, f"{base}/tables", "race_info").groupBy("venue_code", F.year("race_date").cast("bigint").alias("year")) \
-        .agg(F.count("*").alias("races"))
+    return read_table(spark, f"{base}/tables", "horse_master").select(
+        "horse_id", "horse_name", "coat_color_code", "sire_name", "owner_name",
+        F.col("updated_at").cast("timestamp_ntz").alias("updated_at"))
