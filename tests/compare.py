@@ -36,7 +36,7 @@ def canonical(value):
     if isinstance(value, int):
         return ("int", value)
     if isinstance(value, float):
-        return ("float", repr(value + 0.0))
+        return ("float", repr(value))
     if isinstance(value, dt.datetime):
         return ("timestamp", value.isoformat())
     if isinstance(value, dt.date):
