@@ -84,22 +84,21 @@ def lookup(code: Column, mapping: dict[str, str]) -> Column:
 
 def race_key_parts(key: Column) -> dict[str, Column]:
     """Venue(2) year(2) meeting(1) day(1) race(2) of an eight-character key."""
+    def number(start: int, end: int) -> Column:
+        return chars(key, start, end).try_cast("bigint")
+
     return {
         "venue_code": chars(key, 0, 2),
-        "year": full_year(to_int(chars(key, 2, 4))),
-        "meeting": to_int(chars(key, 4, 5)),
-        "day": to_int(chars(key, 5, 6)),
-        "race_number": to_int(chars(key, 6, 8)),
+        "year": full_year(number(2, 4)),
+        "meeting": number(4, 5),
+        "day": number(5, 6),
+        "race_number": number(6, 8),
     }
 
 
 def bad_race_key(key: Column) -> Column:
-    """True when the key cannot be split into its numeric parts."""
-    parts = race_key_parts(key)
-    unreadable = F.length(key) != 8
-    for name in ("year", "meeting", "day", "race_number"):
-        unreadable = unreadable | parts[name].isNull()
-    return F.coalesce(unreadable, F.lit(True))
+    """True unless the key has eight characters and all parts after the venue are digits."""
+    return ~F.coalesce(key.rlike("^.{2}[0-9]{6}$"), F.lit(False))
 
 
 def run_key(horse_id: Column, race_date: Column) -> Column:

@@ -24,7 +24,7 @@ def last_n(order: WindowSpec, n: int) -> WindowSpec:
 
 def with_history(df: DataFrame, entity: Sequence[str], day: str, tie: Sequence[str],
                  inputs: Sequence[str], features: Mapping[str, Feature], depth: int,
-                 limit: int | None = None) -> DataFrame:
+                 limit: int | None = None, small: bool | None = None) -> DataFrame:
     """Add features that look at up to ``depth`` earlier runs.
 
     Each feature maps the ordered window of an entity to a column using frames
@@ -42,7 +42,7 @@ def with_history(df: DataFrame, entity: Sequence[str], day: str, tie: Sequence[s
     one_day = W.partitionBy(*entity, day).orderBy(*tie)
     drafts = {f"_h_{name}": make(order) for name, make in features.items()}
     numbering = {RUN_NO: F.row_number().over(order)}
-    if fits_in_task(df, entity, limit):
+    if fits_in_task(df, entity, limit) if small is None else small:
         out = df.withColumns(numbering).withColumns(drafts)
         out = out.withColumns({name: F.first(f"_h_{name}").over(one_day) for name in features})
         return out.drop(RUN_NO, *drafts)
@@ -171,6 +171,26 @@ def attach_state(df: DataFrame, state: DataFrame, keys: Sequence[str], day: str)
     return df.join(state, [*keys, day], "left")
 
 
+def with_state(df: DataFrame, keys: Sequence[str], day: str, sums: Mapping[str, Column],
+               windowed: bool = False) -> DataFrame:
+    """Add running totals over strictly earlier days of the same key.
+
+    Totals per key and day are accumulated and joined back, which suits keys
+    with few values and many rows (jockeys, sires, all rows of a day).
+    ``windowed`` sums over the rows themselves: one shuffle, shared with other
+    windows on the key, for keys whose groups are known to fit a task (horses).
+    Rows without a key have no totals.
+    """
+    keys = list(keys)
+    if not windowed:
+        return attach_state(df, state_before(df, keys, day, sums), keys, day)
+    earlier = W.partitionBy(*keys).orderBy(F.unix_date(day)).rangeBetween(W.unboundedPreceding, -1)
+    keyed = F.lit(True)
+    for key in keys:
+        keyed = keyed & F.col(key).isNotNull()
+    return df.withColumns({n: F.when(keyed, F.sum(c).over(earlier)) for n, c in sums.items()})
+
+
 def standardised(df: DataFrame, keys: Sequence[str], day: str, values: Mapping[str, Column]) -> DataFrame:
     """(value - par mean) / par sd for each named value, the par taken over earlier days.
 
@@ -179,7 +199,7 @@ def standardised(df: DataFrame, keys: Sequence[str], day: str, values: Mapping[s
     sums = {}
     for name, x in values.items():
         sums |= {f"_n_{name}": F.when(x.isNotNull(), 1), f"_s_{name}": x, f"_q_{name}": x * x}
-    out = attach_state(df, state_before(df, keys, day, sums), keys, day)
+    out = with_state(df, keys, day, sums)
     scores = {}
     for name, x in values.items():
         n, total, squares = F.col(f"_n_{name}"), F.col(f"_s_{name}"), F.col(f"_q_{name}")

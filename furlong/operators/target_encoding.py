@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from furlong.operators.history import attach_state, state_before
+from furlong.operators.history import attach_state, state_before, with_state
 
 
 def _uniform(row_key: Column, salt: str) -> Column:
@@ -46,13 +46,14 @@ def target_encode(df: DataFrame, keys: Sequence[str], day: str, targets: Mapping
     at = "_at"
     base = df.withColumn(at, F.date_trunc(period, day).cast("date") if period else F.col(day))
     sums = {f"_s_{n}": c.cast("double") for n, c in targets.items()} | {"_n": F.lit(1)}
+    counts = [*sums]
     out = attach_state(base, state_before(base, [], at, sums), [], at)
-    prior = {n: F.col(f"_s_{n}") / F.when(F.col("_n") > 0, F.col("_n")) for n in targets}
-    out = out.withColumns({f"_p_{n}": c for n, c in prior.items()}).drop("_n", *[f"_s_{n}" for n in targets])
+    rows = F.when(F.col("_n") > 0, F.col("_n"))
+    out = out.withColumns({f"_p_{n}": F.col(f"_s_{n}") / rows for n in targets}).drop(*counts)
     for level in [*parents, keys]:
         out = attach_state(out, state_before(base, level, at, sums), level, at)
         out = out.withColumns({
-            f"_p_{n}": smoothed(F.col(f"_s_{n}"), F.col("_n"), F.col(f"_p_{n}"), m) for n in targets}).drop("_n", *[f"_s_{n}" for n in targets])
+            f"_p_{n}": smoothed(F.col(f"_s_{n}"), F.col("_n"), F.col(f"_p_{n}"), m) for n in targets}).drop(*counts)
     for n in targets:
         value = F.col(f"_p_{n}")
         if noise:
@@ -66,6 +67,5 @@ def prior_rate(df: DataFrame, keys: Sequence[str], day: str, hit: Column, name:
     """Plain success rate over strictly earlier days, over the rows where ``when`` holds."""
     counted = F.lit(1) if when is None else F.when(when, 1)
     scored = F.when(hit, counted).otherwise(F.when(counted.isNotNull(), 0))
-    state = state_before(df, keys, day, {"_hits": scored, "_n": counted})
-    return attach_state(df, state, keys, day) \
+    return with_state(df, keys, day, {"_hits": scored, "_n": counted}) \
         .withColumn(name, F.col("_hits") / F.when(F.col("_n") > 0, F.col("_n"))).drop("_hits", "_n")

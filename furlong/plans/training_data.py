@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from furlong.functions.derive import distance_band
 from furlong.operators.evaluate import label
 from furlong.operators.groups import fits_in_task
-from furlong.operators.history import attach_state, last_n, state_before, with_history
+from furlong.operators.history import attach_state, last_n, state_before, with_history, with_state
 from furlong.operators.in_race import race_totals, rank_in_race
 from furlong.operators.joins import odds_as_of
 from furlong.operators.target_encoding import smoothed
@@ -53,6 +53,7 @@ def training_data(races: DataFrame, entries: DataFrame, results: DataFrame, pedi
     """
     shared_dir(races.sparkSession)
     base = entry_base(races, entries, results, pedigree).checkpoint()
+    by_horse = fits_in_task(base, ["horse_id"], limit)
     day, position = "race_date", F.col("finish_position")
     ran = position.isNotNull()
     won, placed = ran & (position == 1), ran & (position <= 3)
@@ -60,7 +61,7 @@ def training_data(races: DataFrame, entries: DataFrame, results: DataFrame, pedi
     out = with_history(base, ["horse_id"], day, ["race_id"], ["finish_position", "last_3f_time"], {
         **{f"past_{n}_avg_position": lambda o, n=n: F.avg("finish_position").over(last_n(o, n)) for n in (3, 5, 10)},
         **{f"past_{n}_avg_last3f": lambda o, n=n: F.avg("last_3f_time").over(last_n(o, n)) for n in (3, 5)},
-    }, 10, limit)
+    }, 10, small=by_horse)
     # Times have one decimal; rounding lets equal means rank as equal.
     out = out.withColumns({f"past_{n}_avg_last3f": F.round(f"past_{n}_avg_last3f", 6) for n in (3, 5)})
 
@@ -70,7 +71,7 @@ def training_data(races: DataFrame, entries: DataFrame, results: DataFrame, pedi
     sums = {}
     for name, cond in kinds.items():
         sums |= {f"_w_{name}": F.when(won & cond, 1).otherwise(0), f"_n_{name}": F.when(ran & cond, 1).otherwise(0)}
-    out = attach_state(out, state_before(base, ["horse_id"], day, sums), ["horse_id"], day)
+    out = with_state(out, ["horse_id"], day, sums, by_horse)
     out = out.withColumns({f"{name}_win_rate": _rate(f"_w_{name}", f"_n_{name}") for name in kinds}).drop(*sums)
 
     # Plain prior win rates, and smoothed place rates, per entity.
@@ -87,7 +88,10 @@ def training_data(races: DataFrame, entries: DataFrame, results: DataFrame, pedi
         (["sire_id"], None, "sire_te_place"),
         (["dam_sire_id"], None, "dam_sire_te_place"),
     ):
-        out = attach_state(out, state_before(base, keys, day, counts), keys, day)
+        if by_horse and keys[0] == "horse_id":
+            out = with_state(out, keys, day, counts, windowed=True)
+        else:
+            out = attach_state(out, state_before(base, keys, day, counts), keys, day)
         if rate:
             out = out.withColumn(rate, _rate("_w", "_n"))
         if encoding:

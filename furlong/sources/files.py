@@ -17,7 +17,7 @@ ROUTES = {record_type: layout.table for record_type, layout in LAYOUTS.items()}
 
 
 def base_name(path: Column) -> Column:
-    return F.regexp_extract(path, r"([^/]*)$", 1)
+    return F.substring_index(path, "/", -1)
 
 
 def data_type(path: Column) -> Column:

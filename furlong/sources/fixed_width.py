@@ -128,17 +128,19 @@ def parse_lines(lines: DataFrame, record_type: str, ts: datetime | None = None)
     """
     layout = LAYOUTS[record_type]
     schema = table_schema(layout.table)
-    keep = [c for c in lines.columns if c not in schema.names]
+    given, names = lines.columns, set(schema.names)
+    keep = [c for c in given if c not in names]
     line = F.col("line")
     parsed = read_fields(lines, layout.fields, keep)
     if layout.table in DERIVED:
         parsed = parsed.withColumns(DERIVED[layout.table]())
-    if layout.table == "horse_extended" and "file_date" in lines.columns:
+    if layout.table == "horse_extended" and "file_date" in given:
         parsed = parsed.withColumn("race_date", F.col("file_date"))
     if ts is not None:
         stamp = F.lit(ts).cast("timestamp")
         parsed = parsed.withColumns({"created_at": stamp, "updated_at": stamp})
-    missing = {f.name: F.lit(None).cast(f.dataType) for f in schema if f.name not in parsed.columns}
+    known = set(parsed.columns)
+    missing = {f.name: F.lit(None).cast(f.dataType) for f in schema if f.name not in known}
     parsed = parsed.withColumns(missing) if missing else parsed
     reason = F.coalesce(
         F.when(F.length(line) < layout.min_length, "line too short"),
