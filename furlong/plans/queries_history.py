@@ -8,6 +8,7 @@ from furlong.operators import features as ft, history as hi, in_race as ir, targ
 from furlong.plans import standin
 from furlong.plans.queries_joins import ENTRIES_SQL, RUN_DAYS_SQL, rounded
 from furlong.plans.registry import load, query
+from furlong.session import shared_dir
 from furlong.plans.training_data import training_data as assemble
 from datetime import datetime
 
@@ -257,7 +258,9 @@ JOIN k_dam_sire USING (dam_sire, day)""")
 def te_named(spark, sf):
     part = load(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("sire"),
                                           F.col("p_type").alias("dam_sire"))
-    out = standin.placed_entries(spark, sf).join(part, "l_partkey")
+    shared_dir(spark)
+    out = standin.placed_entries(spark, sf).select("l_orderkey", "l_partkey", "suppkey", "day", "position") \
+        .join(part, "l_partkey").checkpoint()  # read by every encoding below
     placed = (F.col("position") <= 3).cast("int")
     names = []
     for key, name in (("suppkey", "jockey"), ("sire", "sire"), ("dam_sire", "dam_sire")):

@@ -36,7 +36,7 @@ def compose(length: int, pieces: Sequence[tuple[int, int, Column]]) -> Column:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use every core for the costly text work when a small input arrives in fewer splits."""
+    """Use every core for the costly text work when a small file scan has fewer splits."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
@@ -46,8 +46,9 @@ def as_lines(line: Column) -> Column:
     return F.explode(F.split(F.concat(line, F.lit("\n")), "\n")).alias("line")
 
 
-def orders_with_nation(spark: SparkSession, sf: str) -> DataFrame:
-    orders = load(spark, sf, "orders").withColumn("day", F.col("o_orderdate").cast("date"))
+def orders_with_nation(spark: SparkSession, sf: str, every_core: bool = False) -> DataFrame:
+    orders = load(spark, sf, "orders")
+    orders = (spread(orders) if every_core else orders).withColumn("day", F.col("o_orderdate").cast("date"))
     customers = load(spark, sf, "customer").select("c_custkey", "c_nationkey")
     return orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
 
@@ -72,7 +73,7 @@ def programme_lines(spark: SparkSession, sf: str) -> DataFrame:
             (36, 86, F.col("o_orderpriority"))]),
         F.lit("    "), (k % 18 + 1).cast("string"), F.lit(" 1　　　　        "))
     line = F.when(k % 19 == 0, F.substring(line, 1, 80)).otherwise(line)
-    return spread(orders_with_nation(spark, sf)).select(k.alias("source_key"), as_lines(line)).where("line <> ''")
+    return orders_with_nation(spark, sf, every_core=True).select(k.alias("source_key"), as_lines(line)).where("line <> ''")
 
 
 def entry_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -204,17 +205,16 @@ def training_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     """Race, entry, result, pedigree and odds tables in the shape of the warehouse."""
     o, part = F.col("o_orderkey"), F.col("l_partkey")
     items = load(spark, sf, "lineitem")
-    sizes = items.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-        F.count_distinct("l_partkey").alias("num_horses"))
+    ridden = items.groupBy("l_orderkey", "l_partkey").agg(
+        F.min("l_suppkey").alias("s"), F.max("l_quantity").alias("q"), F.max("l_extendedprice").alias("x"),
+        F.max("l_discount").alias("d"))
+    sizes = ridden.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("num_horses"))
     races = orders_with_nation(spark, sf).join(sizes, "o_orderkey").select(
         digits(o, 8).alias("race_id"), F.col("day").alias("race_date"),
         digits(F.col("c_nationkey") % 10 + 1, 2).alias("venue_code"), (o % 12 + 1).alias("race_number"),
         F.when(F.col("o_orderstatus") == "O", "turf").when(F.col("o_orderstatus") == "F", "dirt")
         .otherwise("obstacle").alias("course_type"), (1000 + o % 20 * 100).alias("distance"),
         F.when(F.col("o_orderpriority") == "1-URGENT", "重").otherwise("良").alias("track_condition"), "num_horses")
-    ridden = items.groupBy("l_orderkey", "l_partkey").agg(
-        F.min("l_suppkey").alias("s"), F.max("l_quantity").alias("q"), F.max("l_extendedprice").alias("x"),
-        F.max("l_discount").alias("d"))
     ids = [digits("l_orderkey", 8).alias("race_id"), part.alias("horse_number")]
     entries = ridden.select(
         *ids, digits(part, 8).alias("horse_id"), (part % 8 + 1).alias("bracket_number"),
