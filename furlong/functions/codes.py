@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from furlong.functions.constants import constant_rows
+
 # Labels the record parsers write.
 VENUE = {"01": "札幌", "02": "函館", "03": "福島", "04": "新潟", "05": "東京",
          "06": "中山", "07": "中京", "08": "京都", "09": "阪神", "10": "小倉"}
@@ -81,7 +83,7 @@ def code_rows() -> list[tuple[str, str, str]]:
 
 def code_dimension(spark: SparkSession) -> DataFrame:
     """All tables as one long dimension (code_table, code, label)."""
-    return spark.createDataFrame(code_rows(), "code_table string, code string, label string")
+    return constant_rows(spark, code_rows(), "code_table string, code string, label string")
 
 
 def decode_codes(df: DataFrame, columns: dict[str, str], suffix: str = "_label") -> DataFrame:

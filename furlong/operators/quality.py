@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from furlong.functions.constants import constant_rows
 from furlong.functions.derive import percentage
 
 ERROR, WARNING, INFO = "ERROR", "WARNING", "INFO"
@@ -72,8 +73,8 @@ TABLE_CHECKS = (
 
 
 def rule_registry(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(r.name, r.description, r.severity) for r in RULES],
-                                 "name string, description string, severity string")
+    return constant_rows(spark, [(r.name, r.description, r.severity) for r in RULES],
+                         "name string, description string, severity string")
 
 
 def select_checks(selector: str | None, checks: Sequence[TableCheck] = TABLE_CHECKS) -> list[TableCheck]:
@@ -200,7 +201,7 @@ def exists_rows(spark: SparkSession, checks: Sequence[TableCheck], present: set[
     rows = [("table_exists", c.name, c.name in present, ERROR,
              f"テーブル {c.name} {'が存在します' if c.name in present else 'が存在しません'}", {})
             for c in checks]
-    return spark.createDataFrame(rows, RESULT_SCHEMA)
+    return constant_rows(spark, rows, RESULT_SCHEMA)
 
 
 def table_aggregate(df: DataFrame, check: TableCheck, as_of: date, key_mode: str = "tuple") -> DataFrame:

@@ -192,14 +192,14 @@ def te_key(spark, sf):
 @query("te_targets", f"""
 WITH {te_sql("o_custkey", "(o_orderstatus = 'F')::DOUBLE AS y, (o_orderstatus <> 'P')::DOUBLE AS z, o_totalprice AS x")}
 SELECT o_orderkey, round({encoded("y", 20)}, 6) AS te_win, round({encoded("z", 20)}, 6) AS te_place,
-  round({encoded("x", 20)}, 4) AS te_mean
+  round({encoded("x", 20)}, 5) AS te_mean
 FROM t JOIN g USING (day) JOIN k USING (day, o_custkey)""")
 def te_targets(spark, sf):
     status = F.col("o_orderstatus")
     out = te.target_encode(standin.runs(spark, sf), WHO, DAY, {
         "te_win": (status == "F").cast("int"), "te_place": (status != "P").cast("int"),
         "te_mean": F.col("o_totalprice")}, m=20)
-    return rounded(rounded(out, "te_win", "te_place"), "te_mean", places=4) \
+    return rounded(rounded(out, "te_win", "te_place"), "te_mean", places=5) \
         .select("o_orderkey", "te_win", "te_place", "te_mean")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furlong.functions import fields as fx
+from furlong.functions.constants import constant_rows
 
 # 8-character key, 2-digit field size, then 18 win, 18 place and
 # 153 quinella prices of five characters each.
@@ -19,7 +20,7 @@ def pair_dimension(spark: SparkSession) -> DataFrame:
     """Price slot to the pair of numbers i < j of eighteen (153 rows)."""
     pairs = combinations(range(1, RUNNERS + 1), 2)
     rows = [(k, i, j) for k, (i, j) in enumerate(pairs, start=2 * RUNNERS)]
-    return spark.createDataFrame(rows, "slot int, first_number int, second_number int")
+    return constant_rows(spark, rows, "slot int, first_number int, second_number int")
 
 
 def explode_odds(lines: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from furlong.functions.constants import constant_rows
 from furlong.sources.schemas import DATASETS, TABLES, Table, table_schema
 
 
@@ -59,8 +60,8 @@ def ensure_all(spark: SparkSession) -> None:
 def inventory(spark: SparkSession, datasets: Sequence[str] = DATASETS) -> DataFrame:
     """Number of tables per namespace, empty ones included."""
     found = [(d, t.name) for d in datasets for t in spark.catalog.listTables(d) if not t.isTemporary]
-    listed = spark.createDataFrame([(d,) for d in datasets], "dataset string")
-    return listed.join(spark.createDataFrame(found, "dataset string, table_name string"), "dataset", "left") \
+    listed = constant_rows(spark, [(d,) for d in datasets], "dataset string")
+    return listed.join(constant_rows(spark, found, "dataset string, table_name string"), "dataset", "left") \
         .groupBy("dataset").agg(F.count("table_name").alias("tables"))
 
 
