@@ -4,9 +4,10 @@ Every document draws an exponential key divided by its quality weight (Efraimidi
 documents stand in key order; complete passes over the source come first, then the documents whose running size fits
 the rest of the budget. The last of them is cut where the budget ends.
 
-The order of a source is built from key buckets: sizes are summed per bucket, the running totals of the buckets are
-added to the running totals inside them. So a source with a third of all rows is spread over ``buckets`` groups, and
-only ids, sizes and keys are shuffled, never texts.
+The order of a source is built from buckets of rising key: sizes are summed per bucket with map-side combine, prefix
+sums over the buckets find the one in which the budget ends, and only the documents of that bucket are sorted and
+summed row by row. So a source with a third of all rows puts a ``buckets``-th of itself into one task at most, and
+texts are not shuffled.
 """
 
 from __future__ import annotations
@@ -52,56 +53,72 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST
                    / F.col("_level._weights").cast("double")).alias("target"))
 
 
-def mix(docs: DataFrame, quality: Column | None = None, identifier: str = "doc_id", text: str = "text",
-        source: str = "source", weights: Sequence[int] = WEIGHTS, most: int = MOST_PASSES,
+def mix(docs: DataFrame, quality: Column | None = None, labels: DataFrame | None = None, identifier: str = "doc_id",
+        text: str = "text", source: str = "source", weights: Sequence[int] = WEIGHTS, most: int = MOST_PASSES,
         buckets: int = BUCKETS, columns: Sequence[str] = ()) -> DataFrame:
     """Words that the mix takes of every document, repeats counted.
 
-    ``quality`` is a positive weight (1 if omitted): the higher, the earlier a document is drawn. A null source is a source of its own;
-    null and empty texts have size 0 and take part with 0 words. Rows that repeat an identifier draw the same key and
-    are told apart by size. Reruns agree, as keys depend on the identifier alone. An empty table gives no rows.
+    A document is drawn the earlier, the higher its weight: ``quality`` (positive), else from ``labels`` (identifier,
+    quality; the best of repeated labels counts), else 1. A null source is a source of its own; null and empty texts
+    have size 0 and take part with 0 words. Rows that repeat an identifier draw the same key and are told apart by
+    size. Reruns agree, as keys depend on the identifier alone. An empty table gives no rows.
 
     Returns doc_id, size, source_size, target, taken, passes (complete ones) and ``columns`` in the struct ``row``.
     """
-    weight = (F.lit(1.0) if quality is None else quality).cast("double")
     drawn = docs.select(
-        F.struct(*[F.col(c) for c in columns] or [F.lit(None).alias("none")]).alias("row"),
-        F.col(identifier).alias("doc_id"), F.col(source).alias("source"),
-        count_words(text_of(text)).alias("size"), (-F.log(unit_interval(F.col(identifier))) / weight).alias("_key"))
-    drawn = stored(drawn.withColumn("_bucket", F.least(
-        F.lit(buckets - 1), F.floor(F.lit(float(buckets)) * (1 - F.exp(-F.col("_key"))))).cast("int")))
-    slots = drawn.groupBy("source", "_bucket").agg(F.sum("size").alias("_slot"))
+        F.struct(*[F.col(c) for c in columns] or [F.lit(None).cast("int").alias("none")]).alias("row"),
+        F.col(identifier).alias("doc_id"), F.col(source).alias("source"), count_words(text_of(text)).alias("size"),
+        (F.lit(1.0) if quality is None else quality).cast("double").alias("_weight"))
+    if labels is not None:
+        best = labels.groupBy(F.col(identifier).alias("_id")).agg(F.max("quality").alias("_label"))
+        chance = F.when(F.col("_label") >= 1, GOOD).when(F.col("_label") < 1, BAD).otherwise(UNKNOWN)
+        drawn = drawn.join(best, F.col("doc_id") == F.col("_id"), "left").withColumn("_weight", chance)
+    drawn = drawn.withColumn("_key", -F.log(unit_interval(F.col("doc_id"))) / F.col("_weight"))
+    drawn = stored(drawn.select("row", "doc_id", "source", "size", "_key", F.least(
+        F.lit(buckets - 1), F.floor(F.lit(float(buckets)) * (1 - F.exp(-F.col("_key"))))).cast("int").alias("_bucket")))
+    plan = budgets(drawn.groupBy("source", "_bucket").agg(F.sum("size").alias("_slot")), weights, most)
+    both = drawn.alias("d").join(plan.alias("p"), F.expr("d.source <=> p.source")) \
+        .select("d.*", "source_size", "target", "passes", "_edge", "_room")
+    clear = both.filter("_edge IS NULL OR _bucket <> _edge") \
+        .withColumn("_part", F.when(F.col("_bucket") < F.col("_edge"), F.col("size")).otherwise(0))
+    inside = W.partitionBy("source").orderBy("_key", F.asc_nulls_last("doc_id"), "size") \
+        .rowsBetween(W.unboundedPreceding, -1)
+    edge = both.filter("_bucket = _edge").withColumn("_part", F.greatest(F.lit(0), F.least(
+        F.col("size"), F.col("_room") - F.coalesce(F.sum("size").over(inside), F.lit(0)))))
+    return clear.unionByName(edge).select(
+        "row", "doc_id", "size", "source_size", "target",
+        (F.col("passes") * F.col("size") + F.col("_part")).alias("taken"), "passes")
+
+
+def budgets(slots: DataFrame, weights: Sequence[int], most: int) -> DataFrame:
+    """One row per source: target, complete passes, the bucket in which the rest of the budget ends (null if the source has no
+    words) and the words left for that bucket."""
     plan = targets(slots.groupBy("source").agg(F.sum("_slot").alias("source_size")), weights, most) \
         .withColumn("_budget", F.floor(F.col("target") + 0.5).cast("long")) \
         .withColumn("passes", F.when(F.col("source_size") > 0, F.expr("_budget div source_size")).otherwise(0)) \
         .withColumn("_rest", F.col("_budget") - F.col("passes") * F.col("source_size"))
     earlier = W.partitionBy("source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = slots.withColumn("_offset", F.coalesce(F.sum("_slot").over(earlier), F.lit(0))).drop("_slot")
-    plan = offsets.alias("o").join(plan.alias("p"), F.expr("o.source <=> p.source")).select("o.*", "p.source_size", "p.target", "p.passes", "p._rest")
-    inside = W.partitionBy("source", "_bucket").orderBy("_key", F.asc_nulls_last("doc_id"), "size") \
-        .rowsBetween(W.unboundedPreceding, -1)
-    placed = drawn.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    both = placed.alias("d").join(plan.alias("p"), F.expr("d.source <=> p.source AND d._bucket = p._bucket"))
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - F.col("_offset") - F.col("_inside")))
-    return both.select("row", "doc_id", "size", "source_size", "target",
-                       (F.col("passes") * F.col("size") + part).alias("taken"), "passes")
-
-
-def label_weight(docs: DataFrame, labels: DataFrame, identifier: str = "doc_id") -> DataFrame:
-    """``docs`` with a column ``_quality`` from the labels: good, unknown or bad. The best of repeated labels counts."""
-    best = labels.groupBy(F.col(identifier).alias("_label_id")).agg(F.max("quality").alias("_label"))
-    chance = F.when(F.col("_label") >= 1, GOOD).when(F.col("_label") < 1, BAD).otherwise(UNKNOWN)
-    return docs.join(best, F.col(identifier) == F.col("_label_id"), "left").withColumn("_quality", chance)
+    running = slots.withColumn("_before", F.coalesce(F.sum("_slot").over(earlier), F.lit(0)))
+    edges = running.alias("r").join(plan.alias("p"), F.expr("r.source <=> p.source AND _before <= _rest AND _before + _slot > _rest")) \
+        .select(F.col("r.source").alias("source"), F.col("_bucket").alias("_edge"), (F.col("_rest") - F.col("_before")).alias("_room"))
+    return plan.alias("p").join(edges.alias("e"), F.expr("p.source <=> e.source"), "left") \
+        .select("p.source", "source_size", "target", "passes", "_edge", "_room")
 
 
 def repeat_rows(docs: DataFrame, quality: Column | None = None, **options) -> DataFrame:
     """The mixed collection: each document as often as the mix takes it, the last, cut pass counting as one."""
-    names = [c for c in docs.columns if c != "_quality"]
-    mixed = mix(docs, quality, columns=names, **options)
+    mixed = mix(docs, quality, columns=docs.columns, **options)
     copies = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
     return mixed.filter("taken > 0").select("row", F.explode(F.array_repeat(F.lit(0), copies))).select("row.*")
 
 
+def letter_share(text: str = "text") -> Column:
+    """A quality weight from the text alone: the share of letters and spaces, between 0.1 and 1."""
+    body = text_of(text)
+    junk = F.length(F.regexp_replace(body, r"[\p{L}\s]+", "")) / F.greatest(F.length(body), F.lit(1))
+    return F.greatest(F.lit(0.1), 1 - junk)
+
+
 SQL = r"""
 WITH best AS (SELECT doc_id AS id, max(quality) AS quality FROM labels GROUP BY doc_id),
 d AS (
