@@ -12,6 +12,7 @@ Ties: at every position the piece that starts earliest wins, as in the unigram t
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,60 +30,45 @@ NEVER = float("-inf")
 
 
 class Segmenter(dict):
-    """Word to the bytes of its int32 piece ids, with the scores beside them."""
+    """Word to the bytes of its int32 piece ids."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary, self.score_of = vocabulary, {}
-        self.pairs, self.prefixes = vocabulary.pairs, vocabulary.prefixes
+        self.vocabulary, self.pairs, self.trie = vocabulary, vocabulary.pairs, vocabulary.trie
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-            self.score_of.clear()
-        cuts = [0, *(i for i in range(1, len(word)) if word[i - 1:i + 1] not in self.pairs), len(word)]
-        if len(cuts) > 2:
-            parts = [word[a:b] for a, b in zip(cuts, cuts[1:])]
-            ids = b"".join([self[p] for p in parts])
-            score = sum(self.score_of[p] if p in self.score_of else self.solve(p)[1] for p in parts)
-        else:
-            ids, score = self.solve(word)
-        self[word], self.score_of[word] = ids, score
-        return ids
-
-    def solve(self, word: str) -> tuple[bytes, float]:
-        scores, came = self.forward(word, len(word), {0: 0.0})
-        return np.array(self.trace(word, came, len(word))[1], "<i4").tobytes(), scores[len(word)]
+        _, came = self.forward(word, len(word), {0: 0.0})
+        value = self[word] = array("i", self.trace(word, came, len(word))[1]).tobytes()
+        return value
 
-    def forward(self, text: str, starts: int, entry: dict[int, float]) -> tuple[list, list]:
-        """Best score of each position and the piece that led there, as (start, id or None for an unknown
-        character); pieces start before ``starts``, the paths at the positions of ``entry``."""
+    def forward(self, text: str, starts: int, entry: dict[int, float]) -> tuple[list[float], list]:
+        """Best score of each position and the piece that led there, as (start, id; -1 for an unknown character).
+        Pieces start before ``starts``, paths at the positions of ``entry``."""
         n = len(text)
-        scores: list = [None] * (n + 1)
-        came: list = [None] * (n + 1)
+        scores, came = [NEVER] * (n + 1), [None] * (n + 1)
         for position, score in entry.items():
-            if position <= n and score != NEVER:
+            if position <= n:
                 scores[position] = score
-        unknown, prefixes = self.vocabulary.unknown_score, self.prefixes
+        unknown, trie = self.vocabulary.unknown_score, self.trie
         for i in range(min(starts, n)):
             base = scores[i]
-            if base is None:
+            if base == NEVER:
                 continue
-            single = False
-            for end in range(i + 1, n + 1):
-                piece = text[i:end]
-                if piece not in prefixes:
+            single, children, end = False, trie, i
+            while end < n:
+                node = children.get(text[end])
+                if node is None:
                     break
-                entry_of = prefixes[piece]
-                if entry_of is None:
-                    continue
-                single |= end == i + 1
-                candidate = base + entry_of[1]
-                if scores[end] is None or candidate > scores[end]:
-                    scores[end], came[end] = candidate, (i, entry_of[0])
-            if not single:
-                candidate = base + unknown
-                if scores[i + 1] is None or candidate > scores[i + 1]:
-                    scores[i + 1], came[i + 1] = candidate, (i, None)
+                end += 1
+                children, piece, worth = node
+                if piece >= 0:
+                    if end == i + 1:
+                        single = True
+                    if base + worth > scores[end]:
+                        scores[end], came[end] = base + worth, (i, piece)
+            if not single and base + unknown > scores[i + 1]:
+                scores[i + 1], came[i + 1] = base + unknown, (i, -1)
         return scores, came
 
     def trace(self, text: str, came: list, end: int) -> tuple[int, list[int]]:
@@ -90,7 +76,7 @@ class Segmenter(dict):
         ids: list[int] = []
         while came[end] is not None:
             start, piece = came[end]
-            ids += [piece] if piece is not None else self.vocabulary.unknown(text[start])[::-1]
+            ids += [piece] if piece >= 0 else self.vocabulary.unknown(text[start])[::-1]
             end = start
         return end, ids[::-1]
 
@@ -98,11 +84,8 @@ class Segmenter(dict):
         return b"".join(map(self.__getitem__, self.vocabulary.words.findall(text)))
 
     def inner_score(self, text: str) -> float:
-        total = 0.0
-        for word in self.vocabulary.words.findall(text):
-            self[word]
-            total += self.score_of[word]
-        return total
+        """Score of the best path through a stretch that starts and ends where no piece crosses."""
+        return sum(self.forward(word, len(word), {0: 0.0})[0][-1] for word in self.vocabulary.words.findall(text))
 
     def bounds(self, text: str, n: int) -> tuple[int, int] | None:
         """First and last position that no piece crosses, strictly inside the chunk."""
@@ -120,8 +103,7 @@ class Segmenter(dict):
         if cut is None:
             for i in range(min(size, n + 1)):
                 scores, _ = self.forward(text, n, {i: 0.0})
-                for j, score in enumerate(scores[n:n + size]):
-                    out[i, j] = NEVER if score is None else score
+                out[i, :len(scores[n:n + size])] = scores[n:n + size]
             for i in range(n + 1, size):  # a piece from before that covers the whole chunk
                 out[i, i - n] = 0.0
             return out
@@ -131,8 +113,7 @@ class Segmenter(dict):
         middle = self.inner_score(text[first:last])
         for i, a in enumerate(head):
             for j, b in enumerate(tail):
-                if a is not None and b is not None:
-                    out[i, j] = a + middle + b
+                out[i, j] = a + middle + b
         return out
 
     def choices(self, text: str, n: int, entry: np.ndarray) -> np.ndarray:
@@ -144,13 +125,13 @@ class Segmenter(dict):
         scores, came = self.forward(text if cut is None else text[:first], first, dict(enumerate(entry)))
         if cut is None:
             for j in range(size):
-                if n + j < len(scores) and scores[n + j] is not None:
+                if n + j < len(scores) and scores[n + j] != NEVER:
                     out[self.trace(text, came, n + j)[0], j] = 0.0
         else:
             at = self.trace(text[:first], came, first)[0]
             tail = self.forward(text[cut[1]:], n - cut[1], {0: 0.0})[0][n - cut[1]:n - cut[1] + size]
             for j, score in enumerate(tail):
-                if score is not None:
+                if score != NEVER:
                     out[at, j] = 0.0
         return out
 
@@ -158,15 +139,26 @@ class Segmenter(dict):
         cut = self.bounds(text, n)
         if cut is None:
             _, came = self.forward(text, n, dict(enumerate(entry)))
-            return np.array(self.trace(text, came, n + exit_)[1], "<i4").tobytes()
+            return array("i", self.trace(text, came, n + exit_)[1]).tobytes()
         first, last = cut
         _, came = self.forward(text[:first], first, dict(enumerate(entry)))
-        head = np.array(self.trace(text[:first], came, first)[1], "<i4").tobytes()
+        head = array("i", self.trace(text[:first], came, first)[1]).tobytes()
         _, came = self.forward(text[last:], n - last, {0: 0.0})
-        tail = np.array(self.trace(text[last:], came, n - last + exit_)[1], "<i4").tobytes()
+        tail = array("i", self.trace(text[last:], came, n - last + exit_)[1]).tobytes()
         return head + self.inner(text[first:last]) + tail
 
 
+_SEGMENTERS: dict[str, Segmenter] = {}
+
+
+def segmenter_of(vocabulary: Vocabulary) -> Segmenter:
+    """The segmenter of this process; a worker that runs several tasks keeps the words it knows."""
+    if vocabulary.name not in _SEGMENTERS:
+        _SEGMENTERS.clear()
+        _SEGMENTERS[vocabulary.name] = Segmenter(vocabulary)
+    return _SEGMENTERS[vocabulary.name]
+
+
 def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Product over (max, +)."""
     return (a[..., :, None] + b[None, :, :]).max(axis=-2)
@@ -211,7 +203,7 @@ def spaced(text: Column) -> Column:
 
 def lists(parts: list[bytes]) -> pa.ListArray:
     offsets = np.cumsum([0, *(len(p) // 4 for p in parts)])
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(parts), "<i4"), pa.int32()))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(parts), np.int32), pa.int32()))
 
 
 def encode(docs: DataFrame, text: str = "text", model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
@@ -226,26 +218,26 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, chunk: int =
 
     @F.arrow_udf("array<int>")
     def whole(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        segmenter = Segmenter(vocabulary)
+        segmenter = segmenter_of(vocabulary)
         for texts in batches:
             yield lists([segmenter.inner(t.as_py()) for t in texts])
 
     @F.arrow_udf("array<double>")
     def matrices(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        segmenter = Segmenter(vocabulary)
+        segmenter = segmenter_of(vocabulary)
         for texts, lengths in batches:
             yield pa.array([segmenter.matrix(t.as_py(), n.as_py()).ravel() for t, n in zip(texts, lengths)], pa.list_(pa.float64()))
 
     @F.arrow_udf("array<double>")
     def choices(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        segmenter = Segmenter(vocabulary)
+        segmenter = segmenter_of(vocabulary)
         for texts, lengths, entries in batches:
             yield pa.array([segmenter.choices(t.as_py(), n.as_py(), np.array(e.as_py())).T.ravel()
                             for t, n, e in zip(texts, lengths, entries)], pa.list_(pa.float64()))
 
     @F.arrow_udf("array<int>")
     def traced(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        segmenter = Segmenter(vocabulary)
+        segmenter = segmenter_of(vocabulary)
         for texts, lengths, entries, exits in batches:
             yield lists([segmenter.ids(t.as_py(), n.as_py(), np.array(e.as_py()), int(np.argmax(x.as_py())))
                          for t, n, e, x in zip(texts, lengths, entries, exits)])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furlong.llm import exact_dedup, importance, language, mixing, piece_codec, token_counts, toxicity, warc
+from furlong.llm import exact_dedup, hash_forest, importance, language, mixing, piece_codec, token_counts, toxicity, warc
 from furlong.llm.common import shared_path, text_of
 from furlong.llm.vocabulary import SPACE
 from furlong.session import prepare
@@ -89,3 +89,8 @@ def op9_toxicity(spark, sf_dir):
     rated = toxicity.score(docs, model)
     return rated.select("doc_id", held_out.alias("held_out"), "toxicity.score", (F.col("toxicity.score") >= 0.5).cast("int").alias("predicted"),
                         F.size("toxicity.offending").alias("n_offending"))
+
+
+@query()
+def op4_nearest(spark, sf_dir):
+    return hash_forest.nearest(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)

@@ -71,6 +71,17 @@ class Counter(dict):
         return total, pieces
 
 
+_COUNTERS: dict[str, Counter] = {}
+
+
+def counter_of(vocabulary: Vocabulary) -> Counter:
+    """The counter of this process; a worker that runs several tasks keeps the words it knows."""
+    if vocabulary.name not in _COUNTERS:
+        _COUNTERS.clear()
+        _COUNTERS[vocabulary.name] = Counter(vocabulary)
+    return _COUNTERS[vocabulary.name]
+
+
 def token_counts(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame:
     """``docs`` with the struct ``tokens`` (n_tokens long, score double).
 
@@ -81,7 +92,7 @@ def token_counts(docs: DataFrame, text: str = "text", model: str = MODEL) -> Dat
 
     @F.arrow_udf("n_tokens long, score double")
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        counter = Counter(vocabulary)
+        counter = counter_of(vocabulary)
         for texts in batches:
             found = [counter.text(t.as_py()) for t in texts]
             yield pa.StructArray.from_arrays(

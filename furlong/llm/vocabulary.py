@@ -8,7 +8,8 @@ so executors need no file.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+import zlib
+from dataclasses import dataclass
 from functools import cached_property
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -16,7 +17,7 @@ SPACE = "▁"
 #: A character without a piece costs this much more than the worst piece (fixed by the published unigram model).
 UNKNOWN_PENALTY = 10.0
 #: Words a task remembers before it starts anew; bounds the memory of a worker.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 
 
 @dataclass(frozen=True)
@@ -26,7 +27,7 @@ class Vocabulary:
     ordinary: frozenset[int]
     byte_ids: tuple[int, ...]
     unknown_id: int
-    index: dict[str, int] = field(default_factory=dict, compare=False)
+    name: str
 
     @staticmethod
     def read(path: str = MODEL) -> Vocabulary:
@@ -39,21 +40,26 @@ class Vocabulary:
         at = {f"<0x{b:02X}>": b for b in range(256)}
         found = {at[pieces[i]]: i for i in ids if model.is_byte(i)}
         return Vocabulary(pieces, [model.get_score(i) for i in ids], ordinary,
-                          tuple(found[b] for b in range(256)) if len(found) == 256 else (), model.unk_id())
+                          tuple(found[b] for b in range(256)) if len(found) == 256 else (), model.unk_id(),
+                          f"{path}:{zlib.crc32(model.serialized_model_proto())}")
 
     @cached_property
     def entries(self) -> dict[str, tuple[int, float]]:
         return {self.pieces[i]: (i, self.scores[i]) for i in self.ordinary}
 
     @cached_property
-    def prefixes(self) -> dict[str, tuple[int, float] | None]:
-        """Every beginning of a piece; its id and score if it is a piece."""
-        out: dict[str, tuple[int, float] | None] = {}
-        for piece in self.entries:
-            for n in range(1, len(piece)):
-                out.setdefault(piece[:n], None)
-            out[piece] = self.entries[piece]
-        return out
+    def trie(self) -> dict:
+        """Character to (next characters, id or -1, score); a path spells the beginning of a piece."""
+        root: dict = {}
+        nodes: dict[str, list] = {"": [root, -1, 0.0]}
+        for piece in sorted(self.entries, key=len):
+            for n in range(1, len(piece) + 1):
+                nodes.setdefault(piece[:n], [{}, -1, 0.0])
+            nodes[piece][1:] = self.entries[piece]
+        for piece in sorted(nodes, key=len, reverse=True):
+            if piece:
+                nodes[piece[:-1]][0][piece[-1]] = tuple(nodes[piece])
+        return root
 
     @cached_property
     def longest(self) -> int:
