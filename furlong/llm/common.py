@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,3 +51,32 @@ def unit_interval(identifier: Column) -> Column:
     """A number in (0, 1) that depends on the identifier alone: 52 bits of its MD5."""
     digits = F.substring(F.md5(F.coalesce(identifier.cast("string"), F.lit(""))), 1, 13)
     return (F.conv(digits, 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(2**52))
+
+
+class Bitmap:
+    """A fixed-size set of hashes that never misses a member; what it lets through beyond them must be sorted out by a join.
+
+    It keeps the bulk of a large table out of a shuffle when only some of its rows have a partner. Its size does not
+    depend on the data: with too many members it lets everything through and the join is an ordinary one.
+    """
+
+    BITS = 1 << 24
+
+    def __init__(self, keys: DataFrame, column: str):
+        at = F.pmod(F.xxhash64(column), F.lit(self.BITS))
+        words = keys.select(at.alias("at"))
+        found = words.groupBy(F.shiftright("at", 5).alias("word")).agg(
+            F.bit_or(F.expr("shiftleft(1L, cast(at & 31 as int))")).alias("bits")).toArrow()
+        self.words = np.zeros(self.BITS >> 5, np.uint32)
+        self.words[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+
+    def may_hold(self, column: Column) -> Column:
+        words, mask = self.words, self.BITS - 1
+
+        @F.arrow_udf("boolean")
+        def test(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for hashes in batches:
+                at = np.asarray(hashes) & mask
+                yield pa.array((words[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool))
+
+        return test(F.xxhash64(column))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furlong.llm import exact_dedup, hash_forest, importance, language, mixing, piece_codec, token_counts, toxicity, warc
+from furlong.llm import exact_dedup, hash_forest, importance, language, mixing, ngram_join, piece_codec, token_counts, toxicity, warc
 from furlong.llm.common import shared_path, text_of
 from furlong.llm.vocabulary import SPACE
 from furlong.session import prepare
@@ -94,3 +94,8 @@ def op9_toxicity(spark, sf_dir):
 @query()
 def op4_nearest(spark, sf_dir):
     return hash_forest.nearest(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query()
+def op2_ngram_join(spark, sf_dir):
+    return ngram_join.join(load(spark, sf_dir, "documents"))
