@@ -46,7 +46,7 @@ class Forest:
         draw = np.random.default_rng(SEED)
         self.dim, self.trees = dim, trees
         self.width = max(1, (2 * dim - 1).bit_length())  # bits of a symbol
-        self.depth = max(DEPTH, self.width)
+        self.depth = max(self.width, min(DEPTH, 2 * self.width))
         self.rotations = [np.linalg.qr(draw.normal(size=(dim, dim)))[0] for _ in range(2 * trees)]
 
     def cells(self, vectors: np.ndarray) -> np.ndarray:
@@ -58,7 +58,7 @@ class Forest:
                 turned = vectors @ rotation
                 axis = np.abs(turned).argmax(axis=1)
                 out[tree] = out[tree] << self.width | (axis * 2 + (turned[at, axis] > 0))
-        return out >> max(0, 2 * self.width - self.depth)
+        return out >> (2 * self.width - self.depth)
 
     def first(self, cells: np.ndarray) -> np.ndarray:
         return cells >> (self.depth - self.width)

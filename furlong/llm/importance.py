@@ -23,6 +23,9 @@ from furlong.llm.common import stored, text_of, unit_interval
 
 BUCKETS = 1 << 14
 TARGET_DOCS = 20_000
+#: With fewer target n-grams a bucket than this, buckets are merged, down to the fewest: else a document that is not in the
+#: sample would look unlikely for the words that only it has.
+FILLED, FEWEST = 1024, 256
 LEAST = 1 / 20
 #: N-grams that a task holds at a time, and characters of a text that are split into words at a time.
 HELD, PART = 1 << 20, 1 << 21
@@ -92,7 +95,8 @@ def grams(texts: list[str | None], numbers: Numbers, buckets: int) -> Iterator[t
 
 def fit(docs: DataFrame, good: DataFrame, identifier: str = "doc_id", text: str = "text", buckets: int = BUCKETS,
         target_docs: int = TARGET_DOCS) -> np.ndarray:
-    """Log ratio of each bucket; all zero without good documents.
+    """Log ratio of each bucket: occurrences in good documents against those that the model of all text expects there,
+    one added to both. All zero without good documents.
 
     ``good`` holds identifiers of good documents; those with the smallest hashes serve. Every task counts its rows and
     ships at most one row per bucket, so what reaches the driver is ``buckets`` rows.
@@ -121,7 +125,10 @@ def fit(docs: DataFrame, good: DataFrame, identifier: str = "doc_id", text: str
         raw[row["bucket"]], target[row["bucket"]] = row["raw"], row["target"]
     if not target.any():
         return np.zeros(buckets)
-    return np.log((target + 1) / (target.sum() + buckets)) - np.log((raw + 1) / (raw.sum() + buckets))
+    while len(raw) > FEWEST and target.sum() < FILLED * len(raw):
+        raw, target = raw.reshape(-1, 2).sum(axis=1), target.reshape(-1, 2).sum(axis=1)
+    expected = target.sum() * raw / raw.sum()
+    return np.log((target + 1) / (expected + 1))
 
 
 def score(docs: DataFrame, ratios: np.ndarray, text: str = "text") -> DataFrame:
