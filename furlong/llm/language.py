@@ -30,14 +30,16 @@ UNKNOWN = "und"
 
 
 def sample(labelled: DataFrame, text: str, lang: str) -> DataFrame:
-    """lang and passage: at most ``PASSAGES`` per language. A language with a third of all rows is cut down inside
-    each task before the shuffle, as the rank limit is applied there first."""
+    """lang and passage: at most ``PASSAGES`` per language. A language with a third of all rows is cut down in two steps, so
+    that the last one sees 16 times ``PASSAGES`` rows of it at most."""
     place = F.pmod(F.col("_hash"), F.greatest(F.length("_text") - PASSAGE, F.lit(1))) + 1
     passages = labelled.select(F.col(lang).alias("lang"), text_of(text).alias("_text")).filter("lang IS NOT NULL AND _text != ''") \
         .withColumn("_hash", F.xxhash64("_text")) \
         .select("lang", "_hash", F.substring(F.col("_text"), place.cast("int"), F.lit(PASSAGE)).alias("passage")).distinct()
+    piece = W.partitionBy("lang", F.pmod("_hash", F.lit(16))).orderBy("_hash", "passage")
+    few = passages.withColumn("_n", F.row_number().over(piece)).filter(F.col("_n") <= PASSAGES)
     first = W.partitionBy("lang").orderBy("_hash", "passage")
-    return passages.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= PASSAGES).select("lang", "passage")
+    return few.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= PASSAGES).select("lang", "passage")
 
 
 @dataclass(frozen=True)

@@ -77,14 +77,16 @@ def mix(docs: DataFrame, quality: Column | None = None, labels: DataFrame | None
     drawn = stored(drawn.select("row", "doc_id", "source", "size", "_key", F.least(
         F.lit(buckets - 1), F.floor(F.lit(float(buckets)) * (1 - F.exp(-F.col("_key"))))).cast("int").alias("_bucket")))
     plan = budgets(drawn.groupBy("source", "_bucket").agg(F.sum("size").alias("_slot")), weights, most)
-    both = drawn.alias("d").join(plan.alias("p"), F.expr("d.source <=> p.source")) \
-        .select("d.*", "source_size", "target", "passes", "_edge", "_room")
-    clear = both.filter("_edge IS NULL OR _bucket <> _edge") \
+    share = ["d.*", "source_size", "target", "passes", "_edge", "_room"]
+    clear = drawn.alias("d").join(plan.alias("p"), F.expr("d.source <=> p.source")).select(share) \
+        .filter("_edge IS NULL OR _bucket <> _edge") \
         .withColumn("_part", F.when(F.col("_bucket") < F.col("_edge"), F.col("size")).otherwise(0))
     inside = W.partitionBy("source").orderBy("_key", F.asc_nulls_last("doc_id"), "size") \
         .rowsBetween(W.unboundedPreceding, -1)
-    edge = both.filter("_bucket = _edge").withColumn("_part", F.greatest(F.lit(0), F.least(
-        F.col("size"), F.col("_room") - F.coalesce(F.sum("size").over(inside), F.lit(0)))))
+    # joined on the bucket too, so that a large source is dealt over many tasks before its edge is picked out
+    edge = drawn.alias("d").join(plan.alias("p"), F.expr("d.source <=> p.source AND d._bucket = p._edge")).select(share) \
+        .withColumn("_part", F.greatest(F.lit(0), F.least(
+            F.col("size"), F.col("_room") - F.coalesce(F.sum("size").over(inside), F.lit(0)))))
     return clear.unionByName(edge).select(
         "row", "doc_id", "size", "source_size", "target",
         (F.col("passes") * F.col("size") + F.col("_part")).alias("taken"), "passes")

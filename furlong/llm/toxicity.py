@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from furlong.llm.common import text_of
@@ -82,18 +82,15 @@ def fit(docs: DataFrame, labels: DataFrame, identifier: str = "doc_id", text: st
     """Train on the bounded sample; the driver receives at most ``TOXIC`` + ``CLEAN`` texts."""
     known = labels.select(F.col(identifier).alias("_id"), F.col(label).cast("int").alias("_label")) \
         .filter("_id IS NOT NULL AND _label IN (0, 1)").groupBy("_id").agg(F.max("_label").alias("_label"))
-    # twice the wanted number is drawn, as some texts are missing, empty or too long
-    drawn = known.withColumn("_n", F.row_number().over(W.partitionBy("_label").orderBy(F.xxhash64("_id"), "_id"))) \
-        .filter(F.col("_n") <= 2 * F.when(F.col("_label") == 1, TOXIC).otherwise(CLEAN))
+    # more are drawn than wanted, as some texts are missing, empty or too long
+    drawn = [known.filter(F.col("_label") == value).withColumn("_at", F.xxhash64("_id")).orderBy("_at", "_id").limit(most * 3 // 2)
+             for value, most in ((1, TOXIC), (0, CLEAN))]
     rows = docs.select(F.col(identifier).alias("_doc"), text_of(text).alias("_text")) \
-        .join(F.broadcast(drawn), F.col("_doc") == F.col("_id")) \
-        .filter(F.length("_text").between(1, TRAINED_CHARS))
-    first = W.partitionBy("_label").orderBy("_n", "_text")
-    sample = rows.withColumn("_m", F.row_number().over(first)) \
-        .filter(F.col("_m") <= F.when(F.col("_label") == 1, TOXIC).otherwise(CLEAN)) \
-        .select("_text", "_label", "_m").collect()
-    sample.sort(key=lambda r: (r["_label"], r["_m"]))
-    return train([r["_text"] for r in sample], [r["_label"] for r in sample])
+        .join(F.broadcast(drawn[0].union(drawn[1])), F.col("_doc") == F.col("_id")) \
+        .filter(F.length("_text").between(1, TRAINED_CHARS)).select("_text", "_label", "_at").collect()
+    rows.sort(key=lambda r: (r["_at"], r["_text"]))
+    toxic, clean = ([r["_text"] for r in rows if r["_label"] == value][:most] for value, most in ((1, TOXIC), (0, CLEAN)))
+    return train(toxic + clean, [1] * len(toxic) + [0] * len(clean))
 
 
 class Weights(dict):
