@@ -70,13 +70,14 @@ class Bitmap:
         self.words = np.zeros(self.BITS >> 5, np.uint32)
         self.words[found.column("word").to_numpy()] = found.column("bits").to_numpy()
 
-    def may_hold(self, column: Column) -> Column:
-        words, mask = self.words, self.BITS - 1
+    def test(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes & (self.BITS - 1)
+        return (self.words[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool)
 
+    def may_hold(self, column: Column) -> Column:
         @F.arrow_udf("boolean")
         def test(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for hashes in batches:
-                at = np.asarray(hashes) & mask
-                yield pa.array((words[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool))
+                yield pa.array(self.test(np.asarray(hashes)))
 
         return test(F.xxhash64(column))

@@ -37,7 +37,7 @@ P1, P2, P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.ui
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 120_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -132,12 +132,13 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
     """Rows of each key (the first ``keys`` columns) of a sorted partition, as tuples of the other columns."""
     current, rows = None, []
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if row[:keys] != current:
-                if len(rows) > 1:
-                    yield rows
-                current, rows = row[:keys], []
-            rows.append(row)
+        for at in range(0, batch.num_rows, 500):
+            for row in zip(*(c.to_pylist() for c in batch.slice(at, 500).columns)):
+                if row[:keys] != current:
+                    if len(rows) > 1:
+                        yield rows
+                    current, rows = row[:keys], []
+                rows.append(row)
     if len(rows) > 1:
         yield rows
 
@@ -236,15 +237,20 @@ def sets_of(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
     """
     wanted = Bitmap(members, "ident")
 
-    @F.arrow_udf("sig binary, found binary, bits binary")
-    def build(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        hashes = WordHashes()
-        for texts in batches:
-            sets = [shingles(text.as_py(), size, hashes) for text in texts]
-            columns = ([signature(s) for s in sets], [s.tobytes() for s in sets], [parity(s) for s in sets])
-            yield pa.StructArray.from_arrays([pa.array(c, pa.binary()) for c in columns], names=["sig", "found", "bits"])
-
-    built = docs.filter(wanted.may_hold(F.col("ident"))).withColumn("set", build("text")).select("ident", "set.*")
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, kinds = WordHashes(), [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        for batch in batches:
+            rows: list[tuple] = []
+            for at in np.flatnonzero(wanted.test(np.asarray(batch.column(1)))).tolist():
+                found = shingles(batch.column(2)[at].as_py(), size, hashes)
+                rows.append((batch.column(0)[at].as_py(), signature(found), found.tobytes(), parity(found)))
+                if len(rows) == 500:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["ident", "sig", "found", "bits"])
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["ident", "sig", "found", "bits"])
+
+    built = docs.select("ident", F.xxhash64("ident"), "text").mapInArrow(build, "ident long, sig binary, found binary, bits binary")
     return built.join(members.hint("merge"), ["ident", "sig"])
 
 
