@@ -14,6 +14,7 @@ WHITESPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 _BLANKS = "[" + WHITESPACE + "]*"
+NUMBER = rf"^{_BLANKS}[+-]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:[eE][+-]?[0-9]+)?{_BLANKS}$"
 YMD = rf"^{_BLANKS}(?!0000)[0-9]{{8}}{_BLANKS}$"
 
 
@@ -45,16 +46,14 @@ def to_int(text: Column) -> Column:
     return blank_to_null(strip(text)).try_cast("bigint")
 
 
-def to_float(text: Column) -> Column:
-    """Decimal number or NULL.
+def is_number(text: Column) -> Column:
+    """True for a plain decimal number, blanks around it allowed; words, type suffixes (``1d``) and hexadecimal are not."""
+    return text.rlike(NUMBER)
 
-    Words, type suffixes (``1d``) and hexadecimal are refused: a number ends in
-    a digit or a point and holds no x. Blank text fails the same test, so it
-    never reaches the cast.
-    """
-    number = strip(text)
-    plausible = F.substring(number, -1, 1).between(".", "9") & ~number.contains("x") & ~number.contains("X")
-    return F.when(plausible, number.try_cast("double"))
+
+def to_float(text: Column) -> Column:
+    """Decimal number or NULL. Only what looks like a number reaches the cast, once."""
+    return F.when(is_number(text), F.btrim(text, F.lit(WHITESPACE)).try_cast("double"))
 
 
 def to_ymd(text: Column) -> Column:

@@ -60,7 +60,7 @@ def rates(counters: DataFrame) -> DataFrame:
 def sire_record(results: DataFrame, pedigree: DataFrame, sire: str, surface: str, position: str,
                 distance: str, horse: str = "horse_id") -> DataFrame:
     """Turf and dirt place rate and mean placed distance of a sire's offspring."""
-    placed = F.col(position) <= 3
+    placed = F.col(position).between(1, 3)
     joined = results.join(pedigree.select(horse, sire), horse)
 
     def rate(kind: str) -> Column:
@@ -84,8 +84,8 @@ def style_rates(results: DataFrame, entity: Sequence[str], first_corner: str, la
 
     return results.groupBy(*entity).agg(
         share(F.col(first_corner) == 1).alias("escape_rate"),
-        share(F.col(first_corner) <= 4).alias("lead_rate"),
-        share(F.col(last_corner) <= 5).alias("within5_rate"))
+        share(F.col(first_corner).between(1, 4)).alias("lead_rate"),
+        share(F.col(last_corner).between(1, 5)).alias("within5_rate"))
 
 
 def group_rates(results: DataFrame, keys: Sequence[str], position: str,
@@ -96,7 +96,7 @@ def group_rates(results: DataFrame, keys: Sequence[str], position: str,
     rolled up.
     """
     aggs = [F.count("*").alias("starts"), F.avg((F.col(position) == 1).cast("int")).alias("win_rate"),
-            F.avg((F.col(position) <= 3).cast("int")).alias("place_rate")]
+            F.avg(F.col(position).between(1, 3).cast("int")).alias("place_rate")]
     if levels is None:
         return results.groupBy(*keys).agg(*aggs)
     sets = [[F.col(c) for c in level] for level in levels]
@@ -115,7 +115,7 @@ def profile(results: DataFrame, entity: Sequence[str], position: str, figure: st
     """Consistency: position variance, board (first five) rate, best figure."""
     return results.groupBy(*entity).agg(
         F.var_samp(position).alias("position_variance"),
-        F.avg((F.col(position) <= 5).cast("int")).alias("board_rate"),
+        F.avg(F.col(position).between(1, 5).cast("int")).alias("board_rate"),
         F.max(figure).alias("best_figure"))
 
 

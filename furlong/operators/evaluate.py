@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from furlong.operators.groups import running_before, fits_in_task
-from furlong.operators.in_race import bucket_of, buckets
+from furlong.operators.groups import join_same
+from furlong.operators.in_race import bucket_of
 
 # Columns that are only known once a race has been run.
 POST_RACE = (
@@ -21,12 +21,16 @@ POST_RACE = (
 )
 
 
+# Abnormal codes of runs that finished all the same.
+FINISHED = (0, 5, 6)
+
+
 def label(df: DataFrame, position: str = "finish_position", abnormal: str | None = "abnormal_code",
           name: str = "target_place") -> DataFrame:
     """Top-three target; runs that were cancelled, excluded, stopped or disqualified are left out."""
     if abnormal:
-        df = df.where(F.coalesce(F.col(abnormal), F.lit(0)).isin(0, 5, 6))
-    return df.where(F.col(position).isNotNull()).withColumn(name, F.col(position).between(1, 3))
+        df = df.where(F.coalesce(F.col(abnormal), F.lit(0)).isin(*FINISHED))
+    return df.where(F.col(position) >= 1).withColumn(name, F.col(position).between(1, 3))
 
 
 def time_split(df: DataFrame, day: str, cuts: Mapping[str, date], last: str = "test",
@@ -106,19 +110,30 @@ def backtest(bets: DataFrame, payouts: DataFrame, on: Sequence[str], by: Sequenc
 
 
 def calibration(df: DataFrame, score: str, outcome: Column, tie: Sequence[str], n: int = 10,
-                limit: int | None = None) -> DataFrame:
-    """Mean score and hit rate per quantile of the score over all rows.
+                slices: int = 4096) -> DataFrame:
+    """Mean score and hit rate per quantile of the score over all rows; a missing score counts as highest.
 
-    One quantile over the whole table is one group, so positions come from
-    range-partitioned prefix counts unless the table is small.
+    The range of scores is cut into ``slices`` of equal width. Running counts
+    over the slices, and over the distinct scores inside each, place every
+    score; only rows of equal score are ordered by ``tie``. No task sees more
+    than the distinct scores of a slice or the rows of one score.
     """
-    rows = df.select(score, outcome.cast("int").alias("_hit"), *tie, F.lit(0).alias("_all"))
-    if fits_in_task(rows, ["_all"], limit):
-        dealt = buckets(rows, ["_all"], score, tie, n, "decile", descending=False)
-    else:
-        order = [F.col(score).asc_nulls_last(), *[F.col(c).asc() for c in tie]]
-        total = rows.agg(F.count("*")).scalar()
-        dealt = running_before(rows, ["_all"], order, F.lit(1), "_position") \
-            .withColumn("decile", bucket_of(F.col("_position"), total, n))
+    rows = df.select(score, outcome.cast("int").alias("_hit"), *tie)
+    low, high = rows.agg(F.min(score)).scalar(), rows.agg(F.max(score)).scalar()
+    share = (F.col(score) - low) / F.nullif(high - low, F.lit(0).cast("double"))
+    at = F.when(F.col(score).isNull(), slices).otherwise(
+        F.least(F.lit(slices - 1), F.floor(F.coalesce(share, F.lit(0.0)) * slices))).cast("int")
+    rows = rows.withColumn("_slice", at)
+    counts = rows.groupBy("_slice", score).agg(F.count("*").alias("_count"))
+    whole = counts.groupBy("_slice").agg(F.sum("_count").alias("_rows"))
+    before = W.rowsBetween(W.unboundedPreceding, -1)
+    whole = whole.withColumn("_start", F.coalesce(F.sum("_rows").over(before.orderBy("_slice")), F.lit(0))).drop("_rows")
+    inside = W.partitionBy("_slice").orderBy(F.col(score).asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
+    places = counts.withColumn("_inside", F.coalesce(F.sum("_count").over(inside), F.lit(0))).drop("_count") \
+        .join(whole, "_slice")
+    among = F.row_number().over(W.partitionBy("_slice", score).orderBy(*[F.col(c).asc() for c in tie])) - 1
+    position = F.col("_start") + F.col("_inside") + among
+    dealt = join_same(rows, places, ["_slice", score]) \
+        .withColumn("decile", bucket_of(position, rows.agg(F.count("*")).scalar(), n))
     return dealt.groupBy("decile").agg(
         F.count("*").alias("rows"), F.avg(score).alias("mean_score"), F.avg("_hit").alias("hit_rate"))

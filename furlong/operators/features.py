@@ -39,24 +39,24 @@ def ability_index(results: DataFrame, par_keys: Sequence[str], day: str, time: s
 
 
 def ability_history(df: DataFrame, entity: Sequence[str], day: str, tie: Sequence[str], value: str = "ability",
-                    n: int = 5, limit: int | None = None) -> DataFrame:
+                    n: int = 5) -> DataFrame:
     """Past mean, best, trend and gap of the last figure to the recent mean, in one window pass."""
     out = with_history(df, entity, day, tie, [value], {
         f"{value}_mean": lambda o: F.avg(value).over(last_n(o, n)),
         f"{value}_best": lambda o: F.max(value).over(last_n(o, n)),
         f"{value}_trend": lambda o: F.regr_slope(F.col(value), F.col(RUN_NO)).over(last_n(o, n)),
         f"{value}_last": lambda o: F.lag(value).over(o),
-    }, n, limit)
+    }, n)
     return out.withColumn(f"{value}_gap", F.col(f"{value}_last") - F.col(f"{value}_mean"))
 
 
 def running_style(df: DataFrame, entity: Sequence[str], day: str, tie: Sequence[str], early: str, late: str,
-                  n: int = 5, limit: int | None = None) -> DataFrame:
+                  n: int = 5) -> DataFrame:
     """Style code 1-6 from the relative early and late positions of the last n runs."""
     out = with_history(df, entity, day, tie, [early, late], {
         "_early": lambda o: F.avg(early).over(last_n(o, n)),
         "_late": lambda o: F.avg(late).over(last_n(o, n)),
         "_closing": lambda o: F.avg((F.col(late) < F.col(early)).cast("int")).over(last_n(o, n)),
-    }, n, limit)
+    }, n)
     return out.withColumn("style", style_code(F.col("_early"), F.col("_late"), F.col("_closing"))) \
         .drop("_early", "_late", "_closing")

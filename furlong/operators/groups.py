@@ -1,29 +1,21 @@
-"""Keeping very large groups off a single task.
+"""Joins and conditions on group keys.
 
-A window needs all rows of its partition in one task. Operators here ask
-``fits_in_task`` first (one pre-aggregated count) and switch to an exact split
-form when a group is larger than ``ROWS_PER_GROUP``.
+One rule holds for keys that are missing: such a row belongs to no entity and no race, so it has no history, no rank
+and no totals.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from furlong.session import shared_dir
 
-ROWS_PER_GROUP = 1_000_000
-
-
-def heaviest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows in the largest group; counted with map-side combine, one number reaches the driver."""
-    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-
-
-def fits_in_task(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> bool:
-    return heaviest_group(df, keys) <= (ROWS_PER_GROUP if limit is None else limit)
+def keyed(keys: Sequence[str]) -> Column:
+    """True for rows that have all their keys."""
+    return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys], F.lit(True))
 
 
 def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
@@ -33,29 +25,3 @@ def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     for k in keys:
         condition = condition & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
     return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
-
-
-def running_before(df: DataFrame, group: Sequence[str], order: Sequence[Column],
-                   weight: Column, name: str, pieces: int | None = None) -> DataFrame:
-    """Sum of ``weight`` over the rows that come earlier in their group.
-
-    The rows are range-partitioned by group and order, so a large group is cut
-    into consecutive pieces; each piece adds the totals of the pieces before it.
-    The numbered pieces are checkpointed because both branches must see the
-    same cut even when an executor is lost and tasks run again.
-    """
-    spark = df.sparkSession
-    shared_dir(spark)
-    if pieces is None:
-        pieces = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
-    cut = df.withColumn("_w", weight).repartitionByRange(pieces, *group, *order) \
-        .withColumn("_piece", F.spark_partition_id()).checkpoint()
-    earlier = F.sum("_total").over(
-        W.partitionBy(*group).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1))
-    totals = cut.groupBy(*group, "_piece").agg(F.sum("_w").alias("_total")) \
-        .withColumn("_offset", F.coalesce(earlier, F.lit(0))).drop("_total")
-    inside = F.sum("_w").over(
-        W.partitionBy(*group, "_piece").orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
-    numbered = cut.withColumn("_inside", F.coalesce(inside, F.lit(0)))
-    return join_same(numbered, totals, [*group, "_piece"]) \
-        .withColumn(name, F.col("_offset") + F.col("_inside")).drop("_offset", "_inside", "_piece", "_w")

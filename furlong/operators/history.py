@@ -11,8 +11,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from furlong.operators.groups import fits_in_task
+from furlong.operators.groups import keyed
 
 Feature = Callable[[WindowSpec], Column]
 RUN_NO = "_run_no"
@@ -23,35 +24,30 @@ def last_n(order: WindowSpec, n: int) -> WindowSpec:
 
 
 def with_history(df: DataFrame, entity: Sequence[str], day: str, tie: Sequence[str],
-                 inputs: Sequence[str], features: Mapping[str, Feature], depth: int,
-                 limit: int | None = None, small: bool | None = None) -> DataFrame:
+                 inputs: Sequence[str], features: Mapping[str, Feature], depth: int) -> DataFrame:
     """Add features that look at up to ``depth`` earlier runs.
 
     Each feature maps the ordered window of an entity to a column using frames
     within ``depth`` rows before the current one (``lag`` or ``last_n``) over
     ``inputs``. ``tie`` orders runs of one day.
 
-    Usually one shuffle by entity serves all features. When an entity has more
-    rows than a task should sort, only its last ``depth`` runs of each day can
-    matter to later days, so those are kept (pruned before the shuffle), the
-    features are computed once per day over at most ``depth`` rows per calendar
-    day, and joined back by entity and day.
+    Only the last ``depth`` runs of a day can matter to later days, so only
+    those are kept (pruned before the shuffle as well): the window of an entity
+    sees at most ``depth`` rows per calendar day, however many rows it owns.
+    Features are computed once per day and joined back by entity and day, which
+    spreads a dominant entity over its days. Rows without an entity have no
+    history.
     """
     entity, tie = list(entity), list(tie)
     order = W.partitionBy(*entity).orderBy(day, *tie)
     one_day = W.partitionBy(*entity, day).orderBy(*tie)
-    drafts = {f"_h_{name}": make(order) for name, make in features.items()}
-    numbering = {RUN_NO: F.row_number().over(order)}
-    if fits_in_task(df, entity, limit) if small is None else small:
-        out = df.withColumns(numbering).withColumns(drafts)
-        out = out.withColumns({name: F.first(f"_h_{name}").over(one_day) for name in features})
-        return out.drop(RUN_NO, *drafts)
     columns = list(dict.fromkeys([*entity, day, *tie, *inputs]))
     latest = W.partitionBy(*entity, day).orderBy(*[F.col(c).desc() for c in tie])
-    tails = df.select(*columns).withColumn("_back", F.row_number().over(latest)) \
+    tails = df.where(keyed(entity)).select(*columns).withColumn("_back", F.row_number().over(latest)) \
         .where(F.col("_back") <= depth).drop("_back")
     per_day = (
-        tails.withColumns(numbering).withColumns(drafts)
+        tails.withColumn(RUN_NO, F.row_number().over(order))
+        .withColumns({f"_h_{name}": make(order) for name, make in features.items()})
         .withColumn("_first", F.row_number().over(one_day)).where(F.col("_first") == 1)
         .select(*entity, day, *[F.col(f"_h_{name}").alias(name) for name in features])
     )
@@ -59,45 +55,44 @@ def with_history(df: DataFrame, entity: Sequence[str], day: str, tie: Sequence[s
 
 
 def past_n(df: DataFrame, entity: Sequence[str], day: str, tie: Sequence[str], value: str,
-           ns: Sequence[int] = (3, 5, 10), how: Sequence[str] = ("avg",),
-           limit: int | None = None) -> DataFrame:
+           ns: Sequence[int] = (3, 5, 10), how: Sequence[str] = ("avg",)) -> DataFrame:
     """Aggregates of the last n runs, named ``past_<n>_<how>_<value>``."""
     functions = {"avg": F.avg, "max": F.max, "min": F.min, "sd": F.stddev_samp, "count": F.count, "sum": F.sum}
     features = {
         f"past_{n}_{h}_{value}": (lambda order, n=n, h=h: functions[h](value).over(last_n(order, n)))
         for n in ns for h in how
     }
-    return with_history(df, entity, day, tie, [value], features, max(ns), limit)
+    return with_history(df, entity, day, tie, [value], features, max(ns))
 
 
 def previous(df: DataFrame, entity: Sequence[str], day: str, tie: Sequence[str],
-             columns: Sequence[str], k: int = 1, limit: int | None = None) -> DataFrame:
+             columns: Sequence[str], k: int = 1) -> DataFrame:
     """Values of the k-th last run, named ``prev<k>_<column>``."""
     features = {f"prev{k}_{c}": (lambda order, c=c: F.lag(c, k).over(order)) for c in columns}
-    return with_history(df, entity, day, tie, columns, features, k, limit)
+    return with_history(df, entity, day, tie, columns, features, k)
 
 
 def form_trend(df: DataFrame, entity: Sequence[str], day: str, tie: Sequence[str], value: str,
-               n: int = 3, limit: int | None = None) -> DataFrame:
+               n: int = 3) -> DataFrame:
     """Slope of the last n figures by run number; NULL below two figures."""
     slope = {f"trend_{n}_{value}": lambda order: F.regr_slope(F.col(value), F.col(RUN_NO))
              .over(last_n(order, n))}
-    return with_history(df, entity, day, tie, [value], slope, n, limit)
+    return with_history(df, entity, day, tie, [value], slope, n)
 
 
 def changes(df: DataFrame, entity: Sequence[str], day: str, tie: Sequence[str],
-            numeric: Sequence[str] = (), switched: Sequence[str] = (), limit: int | None = None) -> DataFrame:
+            numeric: Sequence[str] = (), switched: Sequence[str] = ()) -> DataFrame:
     """Change of numeric conditions and switch flags (jockey, stable) against the previous run."""
-    out = previous(df, entity, day, tie, [*numeric, *switched], 1, limit)
+    out = previous(df, entity, day, tie, [*numeric, *switched], 1)
     out = out.withColumns({f"{c}_change": F.col(c) - F.col(f"prev1_{c}") for c in numeric}
                           | {f"{c}_switch": F.col(c) != F.col(f"prev1_{c}") for c in switched})
     return out.drop(*[f"prev1_{c}" for c in (*numeric, *switched)])
 
 
 def against_own_mean(df: DataFrame, entity: Sequence[str], day: str, tie: Sequence[str], value: str,
-                     n: int = 10, limit: int | None = None) -> DataFrame:
+                     n: int = 10) -> DataFrame:
     """Current condition score minus the entity's mean over its last n runs."""
-    out = past_n(df, entity, day, tie, value, [n], ["avg"], limit)
+    out = past_n(df, entity, day, tie, value, [n], ["avg"])
     mean = f"past_{n}_avg_{value}"
     return out.withColumn(f"{value}_vs_own", F.col(value) - F.col(mean)).drop(mean)
 
@@ -151,14 +146,16 @@ def condition_streak(days: DataFrame, entity: Sequence[str], day: str) -> DataFr
 
 # -- cumulative state before a day ------------------------------------------
 
-def state_before(df: DataFrame, keys: Sequence[str], day: str, sums: Mapping[str, Column],
-                 days: DataFrame | None = None) -> DataFrame:
+def state_before(df: DataFrame, keys: Sequence[str], day: str, sums: Mapping[str, Column]) -> DataFrame:
     """Running totals per key and day over strictly earlier days.
 
     Rows are summed per key and day first (partial aggregation, at most one row
     per key and calendar day), then accumulated. With ``keys`` empty the result
-    has one row per calendar day, which one task can accumulate.
+    has one row per calendar day, which one task can accumulate; ``day`` must
+    therefore be a date.
     """
+    if not isinstance(df.schema[day].dataType, T.DateType):
+        raise TypeError(f"{day} must be a date, not {df.schema[day].dataType.simpleString()}")
     daily = df.groupBy(*keys, day).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
     frame = W.partitionBy(*keys).orderBy(day).rowsBetween(W.unboundedPreceding, -1)
     return daily.withColumns({n: F.sum(n).over(frame) for n in sums})
@@ -171,24 +168,35 @@ def attach_state(df: DataFrame, state: DataFrame, keys: Sequence[str], day: str)
     return df.join(state, [*keys, day], "left")
 
 
-def with_state(df: DataFrame, keys: Sequence[str], day: str, sums: Mapping[str, Column],
-               windowed: bool = False) -> DataFrame:
-    """Add running totals over strictly earlier days of the same key.
+def with_state(df: DataFrame, keys: Sequence[str], day: str, sums: Mapping[str, Column]) -> DataFrame:
+    """Add running totals over strictly earlier days of the same key; rows without a key have none."""
+    return attach_state(df, state_before(df, keys, day, sums), list(keys), day)
 
-    Totals per key and day are accumulated and joined back, which suits keys
-    with few values and many rows (jockeys, sires, all rows of a day).
-    ``windowed`` sums over the rows themselves: one shuffle, shared with other
-    windows on the key, for keys whose groups are known to fit a task (horses).
-    Rows without a key have no totals.
+
+def moments_before(df: DataFrame, keys: Sequence[str], day: str, values: Mapping[str, Column]) -> DataFrame:
+    """Count, mean and standard deviation of each value per key over strictly earlier days.
+
+    Deviations are taken from the key's first daily mean before they are
+    squared and summed, so large values lose no digits.
     """
-    keys = list(keys)
-    if not windowed:
-        return attach_state(df, state_before(df, keys, day, sums), keys, day)
-    earlier = W.partitionBy(*keys).orderBy(F.unix_date(day)).rangeBetween(W.unboundedPreceding, -1)
-    keyed = F.lit(True)
-    for key in keys:
-        keyed = keyed & F.col(key).isNotNull()
-    return df.withColumns({n: F.when(keyed, F.sum(c).over(earlier)) for n, c in sums.items()})
+    daily = df.groupBy(*keys, day).agg(*[
+        f for n, x in values.items() for f in (F.count(x).alias(f"_n_{n}"), F.avg(x).alias(f"_m_{n}"), F.var_pop(x).alias(f"_v_{n}"))])
+    whole = W.partitionBy(*keys).orderBy(day)
+    earlier = whole.rowsBetween(W.unboundedPreceding, -1)
+    first = whole.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    out = daily.withColumns({f"_o_{n}": F.first(f"_m_{n}", ignorenulls=True).over(first) for n in values})
+    for n in values:
+        rows, off = F.col(f"_n_{n}"), F.col(f"_m_{n}") - F.col(f"_o_{n}")
+        out = out.withColumns({f"_c_{n}": F.sum(rows).over(earlier), f"_s_{n}": F.sum(rows * off).over(earlier),
+                               f"_q_{n}": F.sum(rows * (F.col(f"_v_{n}") + off * off)).over(earlier)})
+    stats = {}
+    for n in values:
+        rows, total, squares = F.col(f"_c_{n}"), F.col(f"_s_{n}"), F.col(f"_q_{n}")
+        some = F.when(rows > 0, rows)
+        variance = (squares - total * total / some) / F.when(rows > 1, rows - 1)
+        stats |= {f"{n}_runs": rows, f"{n}_mean": F.col(f"_o_{n}") + total / some,
+                  f"{n}_sd": F.when(variance > 0, F.sqrt(variance))}
+    return out.select(*keys, day, *[c.alias(name) for name, c in stats.items()])
 
 
 def standardised(df: DataFrame, keys: Sequence[str], day: str, values: Mapping[str, Column]) -> DataFrame:
@@ -196,16 +204,9 @@ def standardised(df: DataFrame, keys: Sequence[str], day: str, values: Mapping[s
 
     All values share one set of running moments per condition and day.
     """
-    sums = {}
-    for name, x in values.items():
-        sums |= {f"_n_{name}": F.when(x.isNotNull(), 1), f"_s_{name}": x, f"_q_{name}": x * x}
-    out = with_state(df, keys, day, sums)
-    scores = {}
-    for name, x in values.items():
-        n, total, squares = F.col(f"_n_{name}"), F.col(f"_s_{name}"), F.col(f"_q_{name}")
-        variance = (squares - total * total / n) / F.when(n > 1, n - 1)
-        scores[name] = (x - total / n) / F.when(variance > 0, F.sqrt(variance))
-    return out.withColumns(scores).drop(*sums)
+    out = attach_state(df, moments_before(df, keys, day, values), list(keys), day)
+    out = out.withColumns({n: (x - F.col(f"{n}_mean")) / F.col(f"{n}_sd") for n, x in values.items()})
+    return out.drop(*[f"{n}_{part}" for n in values for part in ("runs", "mean", "sd")])
 
 
 def combine(parts: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:

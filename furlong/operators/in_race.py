@@ -1,4 +1,9 @@
-"""Comparisons between the runners of one race."""
+"""Comparisons between the runners of one race.
+
+A race is small by nature: its field is limited by rule to a few dozen runners,
+so its rows fit one window partition at any table size. Groups without such a
+limit (the runs of a day) are ranked through their distinct values instead.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from furlong.operators.groups import fits_in_task, join_same, running_before
+from furlong.operators.groups import join_same, keyed
 
 
 def _direction(value: str, descending: bool) -> Column:
@@ -15,49 +20,28 @@ def _direction(value: str, descending: bool) -> Column:
 
 
 def rank_in_race(df: DataFrame, race: Sequence[str], value: str, name: str, descending: bool = True,
-                 dense: bool = False, limit: int | None = None, small: bool | None = None) -> DataFrame:
-    """Rank within the race; equal values share a rank, a missing value has none.
+                 dense: bool = False) -> DataFrame:
+    """Rank within the race; equal values share a rank, a missing value or race has none."""
+    order = W.partitionBy(*race).orderBy(_direction(value, descending))
+    ranked = F.dense_rank().over(order) if dense else F.rank().over(order)
+    return df.withColumn(name, F.when(F.col(value).isNotNull() & keyed(race), ranked))
 
-    ``small`` says that the group sizes were checked already.
 
-    A race of ordinary size is one window partition. For a larger group the
-    distinct values are counted first and ranked by prefix sums over ranges.
-    """
-    race = list(race)
-    known = F.col(value).isNotNull()
-    if fits_in_task(df, race, limit) if small is None else small:
-        order = W.partitionBy(*race).orderBy(_direction(value, descending))
-        ranked = F.dense_rank().over(order) if dense else F.rank().over(order)
-        return df.withColumn(name, F.when(known, ranked))
-    values = df.where(known).groupBy(*race, value).agg(F.count("*").alias("_count"))
-    weight = F.lit(1) if dense else F.col("_count")
-    places = running_before(values, race, [_direction(value, descending)], weight, "_before") \
-        .withColumn(name, (F.col("_before") + 1).cast("int")).drop("_before", "_count")
-    return join_same(df, places, [*race, value])
-
-
-def minus_race_mean(df: DataFrame, race: Sequence[str], value: str, name: str,
-                    limit: int | None = None) -> DataFrame:
-    out = race_totals(df, race, {"_mean": F.avg(value)}, limit)
+def minus_race_mean(df: DataFrame, race: Sequence[str], value: str, name: str) -> DataFrame:
+    out = race_totals(df, race, {"_mean": F.avg(value)})
     return out.withColumn(name, F.col(value) - F.col("_mean")).drop("_mean")
 
 
-def race_totals(df: DataFrame, race: Sequence[str], totals: Mapping[str, Column],
-                limit: int | None = None, small: bool | None = None) -> DataFrame:
-    """Add aggregates over the whole race to each of its runners."""
-    race = list(race)
-    if fits_in_task(df, race, limit) if small is None else small:
-        whole = W.partitionBy(*race)
-        return df.withColumns({n: c.over(whole) for n, c in totals.items()})
-    return join_same(df, df.groupBy(*race).agg(*[c.alias(n) for n, c in totals.items()]), race)
+def race_totals(df: DataFrame, race: Sequence[str], totals: Mapping[str, Column]) -> DataFrame:
+    """Add aggregates over the whole race to each of its runners; NULL without a race."""
+    whole = W.partitionBy(*race)
+    return df.withColumns({n: F.when(keyed(race), c.over(whole)) for n, c in totals.items()})
 
 
-def upset(df: DataFrame, race: Sequence[str], ability: str, popularity: str,
-          limit: int | None = None) -> DataFrame:
+def upset(df: DataFrame, race: Sequence[str], ability: str, popularity: str) -> DataFrame:
     """Popularity rank minus ability rank: positive when the runner is better than it is backed."""
-    small = fits_in_task(df, list(race), limit)
-    out = rank_in_race(df, race, ability, "ability_rank", True, small=small)
-    out = rank_in_race(out, race, popularity, "popularity_rank", True, small=small)
+    out = rank_in_race(df, race, ability, "ability_rank")
+    out = rank_in_race(out, race, popularity, "popularity_rank")
     return out.withColumn("upset", F.col("popularity_rank") - F.col("ability_rank"))
 
 
@@ -70,20 +54,24 @@ def bucket_of(position: Column, size: Column, buckets: int) -> Column:
 
 
 def buckets(df: DataFrame, group: Sequence[str], value: str, tie: Sequence[str], n: int = 10,
-            name: str = "bucket", descending: bool = True, limit: int | None = None) -> DataFrame:
-    """Quantile bucket (1 is the best) of a score within a race or day, and its percent rank."""
-    group, order = list(group), [_direction(value, descending), *[F.col(c).asc() for c in tie]]
-    if fits_in_task(df, group, limit):
-        by_value = W.partitionBy(*group).orderBy(order[0])
-        return df.withColumn(name, F.ntile(n).over(W.partitionBy(*group).orderBy(*order))) \
-            .withColumn("percent_rank", F.percent_rank().over(by_value))
-    placed = running_before(df, group, order, F.lit(1), "_position")
-    sizes = df.groupBy(*group).agg(F.count("*").alias("_size"))
-    firsts = placed.groupBy(*group, value).agg(F.min("_position").alias("_first"))
-    out = join_same(join_same(placed, sizes, group), firsts, [*group, value])
-    share = F.when(F.col("_size") > 1, F.col("_first") / (F.col("_size") - 1)).otherwise(F.lit(0.0))
-    return out.withColumn(name, bucket_of(F.col("_position"), F.col("_size"), n)) \
-        .withColumn("percent_rank", share).drop("_position", "_size", "_first")
+            name: str = "bucket", descending: bool = True) -> DataFrame:
+    """Quantile bucket (1 is the best) of a score within a race or day, and its percent rank.
+
+    Rows are counted per distinct value before the shuffle; running counts over
+    the values of a group place each value, and only rows of equal value are
+    ordered by ``tie``. Rows without a group have neither bucket nor rank.
+    """
+    group = list(group)
+    order = W.partitionBy(*group).orderBy(_direction(value, descending))
+    counts = df.where(keyed(group)).groupBy(*group, value).agg(F.count("*").alias("_count"))
+    places = counts.withColumn("_first", F.coalesce(
+        F.sum("_count").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))) \
+        .withColumn("_size", F.sum("_count").over(W.partitionBy(*group))).drop("_count")
+    among = F.row_number().over(W.partitionBy(*group, value).orderBy(*[F.col(c).asc() for c in tie])) - 1
+    out = join_same(df, places, [*group, value])
+    share = F.when(F.col("_size") > 1, F.col("_first") / (F.col("_size") - 1)).when(F.col("_size") == 1, 0.0)
+    return out.withColumn(name, F.when(keyed(group), bucket_of(F.col("_first") + among, F.col("_size"), n))) \
+        .withColumn("percent_rank", share).drop("_first", "_size")
 
 
 def top_k(df: DataFrame, race: Sequence[str], value: str, tie: Sequence[str], k: int = 3) -> DataFrame:

@@ -7,38 +7,32 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from furlong.operators.groups import fits_in_task
+from furlong.operators.groups import keyed
 
 
 def odds_movement(odds: DataFrame, keys: Sequence[str], value: str = "odds_value",
-                  ts: str = "odds_timestamp", limit: int | None = None) -> DataFrame:
+                  ts: str = "odds_timestamp") -> DataFrame:
     """Change against the previous snapshot and since the first one.
 
-    For a key with more snapshots than a task should sort, snapshots are
-    windowed per key and hour; the last price of the previous hours is carried
-    in from one row per key and hour.
+    Snapshots are windowed per key and hour; the last price of the previous
+    hours is carried in from one row per key and hour, so a key with very many
+    snapshots is spread over its hours. Rows without a key or a time have no
+    change.
     """
     keys = list(keys)
-    order = W.partitionBy(*keys).orderBy(ts)
-    if fits_in_task(odds, keys, limit):
-        out = odds.withColumn("_prev", F.lag(value).over(order)) \
-            .withColumn("_open", F.first(value).over(order))
-    else:
-        hourly = odds.withColumn("_hour", F.date_trunc("hour", ts))
-        closes = hourly.groupBy(*keys, "_hour").agg(
-            F.max_by(value, ts).alias("_close"), F.min_by(value, ts).alias("_first"))
-        by_hour = W.partitionBy(*keys).orderBy("_hour")
-        carried = closes.withColumn("_carry", F.lag("_close").over(by_hour)) \
-            .withColumn("_open", F.first("_first").over(by_hour)).drop("_close", "_first")
-        inside = W.partitionBy(*keys, "_hour").orderBy(ts)
-        out = (
-            hourly.withColumn("_prev", F.lag(value).over(inside)).withColumn("_n", F.row_number().over(inside))
-            .join(carried, [*keys, "_hour"], "left")
-            .withColumn("_prev", F.when(F.col("_n") == 1, F.col("_carry")).otherwise(F.col("_prev")))
-            .drop("_hour", "_n", "_carry")
-        )
-    return out.withColumn("change", F.col(value) - F.col("_prev")) \
-        .withColumn("change_from_open", F.col(value) - F.col("_open")).drop("_prev", "_open")
+    hourly = odds.withColumn("_hour", F.date_trunc("hour", ts))
+    timed = keyed([*keys, ts])
+    closes = hourly.where(timed).groupBy(*keys, "_hour").agg(
+        F.max_by(value, ts).alias("_close"), F.min_by(value, ts).alias("_open"))
+    by_hour = W.partitionBy(*keys).orderBy("_hour")
+    carried = closes.withColumn("_carry", F.lag("_close").over(by_hour)) \
+        .withColumn("_open", F.first("_open").over(by_hour)).drop("_close")
+    inside = W.partitionBy(*keys, "_hour").orderBy(ts)
+    out = hourly.withColumn("_prev", F.lag(value).over(inside)).withColumn("_n", F.row_number().over(inside)) \
+        .join(carried, [*keys, "_hour"], "left")
+    previous = F.when(F.col("_n") == 1, F.col("_carry")).otherwise(F.col("_prev"))
+    return out.withColumn("change", F.when(timed, F.col(value) - previous)) \
+        .withColumn("change_from_open", F.col(value) - F.col("_open")).drop("_prev", "_open", "_hour", "_n", "_carry")
 
 
 def payout_rows(df: DataFrame, ids: Sequence[str], bets: Mapping[str, Sequence[tuple[Column, Column]]]) -> DataFrame:

@@ -44,7 +44,7 @@ def target_encode(df: DataFrame, keys: Sequence[str], day: str, targets: Mapping
     other. Adds one column per target, named as in ``targets``.
     """
     at = "_at"
-    base = df.withColumn(at, F.date_trunc(period, day).cast("date") if period else F.col(day))
+    base = df.withColumn(at, (F.date_trunc(period, day) if period else F.col(day)).cast("date"))
     sums = {f"_s_{n}": c.cast("double") for n, c in targets.items()} | {"_n": F.lit(1)}
     counts = [*sums]
     out = attach_state(base, state_before(base, [], at, sums), [], at)
@@ -62,6 +62,17 @@ def target_encode(df: DataFrame, keys: Sequence[str], day: str, targets: Mapping
     return out.drop(at, *[f"_p_{n}" for n in targets])
 
 
+def encode_sets(df: DataFrame, sets: Mapping[str, Sequence[str]], day: str, target: Column, m: float = 10.0) -> DataFrame:
+    """One target encoded by several key sets that share one prior; columns are named as in ``sets``."""
+    sums = {"_s": target.cast("double"), "_n": F.lit(1)}
+    overall = state_before(df, [], day, sums).select(day, (F.col("_s") / F.when(F.col("_n") > 0, F.col("_n"))).alias("_p"))
+    out = attach_state(df, overall, [], day)
+    for name, keys in sets.items():
+        out = attach_state(out, state_before(df, keys, day, sums), list(keys), day)
+        out = out.withColumn(name, smoothed(F.col("_s"), F.col("_n"), F.col("_p"), m)).drop(*sums)
+    return out.drop("_p")
+
+
 def prior_rate(df: DataFrame, keys: Sequence[str], day: str, hit: Column, name: str,
                when: Column | None = None) -> DataFrame:
     """Plain success rate over strictly earlier days, over the rows where ``when`` holds."""

@@ -8,7 +8,6 @@ from furlong.operators import features as ft, history as hi, in_race as ir, targ
 from furlong.plans import standin
 from furlong.plans.queries_joins import ENTRIES_SQL, RUN_DAYS_SQL, rounded
 from furlong.plans.registry import load, query
-from furlong.session import shared_dir
 from furlong.plans.training_data import training_data as assemble
 from datetime import datetime
 
@@ -242,31 +241,29 @@ def te_noise(spark, sf):
     return rounded(out, "te_y").select("o_orderkey", "te_y")
 
 
+NAMED = (("suppkey", "jockey"), ("trainer", "trainer"), ("sire", "sire"), ("dam_sire", "dam_sire"))
+
+
 @query("te_named", f"""
-WITH {ENTRIES_SQL}, x AS (SELECT p.*, p_brand AS sire, p_type AS dam_sire, (position <= 3)::DOUBLE AS y
+WITH {ENTRIES_SQL}, x AS (SELECT p.*, suppkey % 20 AS trainer, p_brand AS sire, p_type AS dam_sire, (position <= 3)::DOUBLE AS y
   FROM p JOIN part ON l_partkey = p_partkey),
 g AS (SELECT day, sum(y) OVER w / sum(n) OVER w AS prior FROM (SELECT day, count(*) AS n, sum(y) AS y FROM x GROUP BY 1)
   WINDOW w AS (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 {", ".join(f'''k_{k} AS (SELECT {k}, day, sum(n) OVER w AS n, sum(y) OVER w AS y
   FROM (SELECT {k}, day, count(*) AS n, sum(y) AS y FROM x GROUP BY 1, 2) WINDOW w AS
-  (PARTITION BY {k} ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))''' for k in ("suppkey", "sire", "dam_sire"))}
+  (PARTITION BY {k} ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))''' for k, _ in NAMED)}
 SELECT l_orderkey, l_partkey, {", ".join(
-    f"round((coalesce(k_{k}.y, 0) + 10 * prior) / (coalesce(k_{k}.n, 0) + 10), 6) AS {n}_te_place"
-    for k, n in (("suppkey", "jockey"), ("sire", "sire"), ("dam_sire", "dam_sire")))}
-FROM x JOIN g USING (day) JOIN k_suppkey USING (suppkey, day) JOIN k_sire USING (sire, day)
-JOIN k_dam_sire USING (dam_sire, day)""")
+    f"round((coalesce(k_{k}.y, 0) + 10 * prior) / (coalesce(k_{k}.n, 0) + 10), 6) AS {n}_te_place" for k, n in NAMED)}
+FROM x JOIN g USING (day) JOIN k_suppkey USING (suppkey, day) JOIN k_trainer USING (trainer, day)
+JOIN k_sire USING (sire, day) JOIN k_dam_sire USING (dam_sire, day)""")
 def te_named(spark, sf):
     part = load(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("sire"),
                                           F.col("p_type").alias("dam_sire"))
-    shared_dir(spark)
-    out = standin.placed_entries(spark, sf).select("l_orderkey", "l_partkey", "suppkey", "day", "position") \
-        .join(part, "l_partkey").checkpoint()  # read by every encoding below
-    placed = (F.col("position") <= 3).cast("int")
-    names = []
-    for key, name in (("suppkey", "jockey"), ("sire", "sire"), ("dam_sire", "dam_sire")):
-        out = te.target_encode(out, [key], DAY, {f"{name}_te_place": placed})
-        names.append(f"{name}_te_place")
-    return rounded(out, *names).select("l_orderkey", "l_partkey", *names)
+    rows = standin.placed_entries(spark, sf).select("l_orderkey", "l_partkey", "suppkey", "day", "position") \
+        .withColumn("trainer", F.col("suppkey") % 20).join(part, "l_partkey")
+    sets = {f"{name}_te_place": [key] for key, name in NAMED}
+    out = te.encode_sets(rows, sets, DAY, F.col("position").between(1, 3).cast("int"))
+    return rounded(out, *sets).select("l_orderkey", "l_partkey", *sets)
 
 
 @query("prior_rate", f"""
@@ -345,13 +342,13 @@ def running_style(spark, sf):
 
 def _rate_sql(cond: str) -> str:
     return (f"sum((finish_position = 1 AND {cond})::INT) OVER h / "
-            f"nullif(sum(({cond})::INT) OVER h, 0)::DOUBLE")
+            f"nullif(sum((finish_position IS NOT NULL AND {cond})::INT) OVER h, 0)::DOUBLE")
 
 
 def _state_sql(name: str, keys: str) -> str:
     return f"""{name} AS (SELECT {keys}, race_date, sum(n) OVER w AS n, sum(win) OVER w AS win, sum(plc) OVER w AS plc FROM
-  (SELECT {keys}, race_date, count(*) AS n, sum((finish_position = 1)::INT) AS win, sum((finish_position <= 3)::INT) AS plc
-   FROM b GROUP BY ALL) WINDOW w AS (PARTITION BY {keys} ORDER BY race_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+  (SELECT {keys}, race_date, count(finish_position) AS n, count(*) FILTER (finish_position = 1) AS win,
+   count(*) FILTER (finish_position <= 3) AS plc FROM b GROUP BY ALL) WINDOW w AS (PARTITION BY {keys} ORDER BY race_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
 
 
 def _te(state: str, name: str) -> str:
@@ -369,7 +366,7 @@ b AS (SELECT lpad(e.l_orderkey::VARCHAR, 8, '0') AS race_id, lpad(l_partkey::VAR
   1000 + o_orderkey % 20 * 100 AS distance, CASE WHEN o_orderpriority = '1-URGENT' THEN '重' ELSE '良' END AS track_condition,
   num_horses, l_partkey % 8 + 1 AS bracket_number, lpad(s::VARCHAR, 5, '0') AS jockey_id,
   lpad((s % 20)::VARCHAR, 5, '0') AS trainer_id, 50 + q % 10 AS weight, x / 1000 AS idm, d * 100 - 5 AS ten,
-  (l_partkey + o_orderkey) % 12 + 1 AS finish_position, (l_partkey + o_orderkey) % 37 = 0 AS abnormal,
+  CASE WHEN (l_partkey + o_orderkey) % 37 <> 0 THEN nullif((l_partkey + o_orderkey) % 13, 0) END AS finish_position,
   33 + d * 10 AS last3f, p_brand AS sire, p_type AS dam_sire,
   CASE WHEN 1000 + o_orderkey % 20 * 100 <= 1400 THEN 1 WHEN 1000 + o_orderkey % 20 * 100 <= 1800 THEN 2
     WHEN 1000 + o_orderkey % 20 * 100 <= 2100 THEN 3 ELSE 4 END AS band
@@ -385,8 +382,8 @@ past AS (SELECT f.race_id, f.horse_id,
 cond AS (SELECT race_id, horse_id, {_rate_sql("course_type = 'turf'")} AS turf, {_rate_sql("course_type = 'dirt'")} AS dirt,
   {_rate_sql("track_condition = '重'")} AS heavy FROM b WINDOW h AS (PARTITION BY horse_id ORDER BY race_date
   RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING)),
-g AS (SELECT race_date, sum(plc) OVER w / sum(n) OVER w AS prior FROM (SELECT race_date, count(*) AS n,
-  sum((finish_position <= 3)::INT) AS plc FROM b GROUP BY 1) WINDOW w AS (ORDER BY race_date
+g AS (SELECT race_date, sum(plc) OVER w / sum(n) OVER w AS prior FROM (SELECT race_date,
+  count(finish_position) AS n, count(*) FILTER (finish_position <= 3) AS plc FROM b GROUP BY 1) WINDOW w AS (ORDER BY race_date
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 {_state_sql("s_band", "horse_id, band")}, {_state_sql("s_venue", "horse_id, venue_code")},
 {_state_sql("s_jockey", "jockey_id")}, {_state_sql("s_jv", "jockey_id, venue_code")},
@@ -419,7 +416,11 @@ SELECT race_id, horse_id, race_date, finish_position <= 3 AS target_place, finis
 FROM a JOIN g USING (race_date) JOIN s_band USING (horse_id, band, race_date)
 JOIN s_venue USING (horse_id, venue_code, race_date) JOIN s_jockey USING (jockey_id, race_date)
 JOIN s_jv USING (jockey_id, venue_code, race_date) JOIN s_trainer USING (trainer_id, race_date)
-LEFT JOIN s_sire USING (sire, race_date) LEFT JOIN s_dam USING (dam_sire, race_date) WHERE NOT abnormal"""
+LEFT JOIN s_sire USING (sire, race_date) LEFT JOIN s_dam USING (dam_sire, race_date) WHERE finish_position IS NOT NULL"""
+
+
+# A hair above the half, so that both engines round an exact half alike; the rank rounds as the operator does.
+TRAINING_SQL = TRAINING_SQL.replace(", 6)", " + 1e-9, 6)").replace("round(l5 + 1e-9, 6) NULLS", "round(l5, 6) NULLS")
 
 
 @query("training_data", TRAINING_SQL)
@@ -427,4 +428,4 @@ def training_data(spark, sf):
     tables = standin.training_tables(spark, sf)
     out = assemble(**tables, created_at=datetime(2026, 1, 4, 12, 0, 0))
     rates = [f.name for f in out.schema if f.dataType.simpleString() == "double" and not f.name.startswith("odds_")]
-    return rounded(out, *rates).withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+    return out.withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in rates}).withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))

@@ -222,7 +222,7 @@ def training_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
         (50 + F.col("q") % 10).alias("weight_carried"), (F.col("x") / 1000).alias("idm"),
         (F.col("d") * 100 - 5).alias("ten_index"))
     results = ridden.select(
-        *ids, ((part + F.col("l_orderkey")) % 12 + 1).alias("finish_position"),
+        *ids, ((part + F.col("l_orderkey")) % 13).alias("finish_position"),
         F.when((part + F.col("l_orderkey")) % 37 == 0, 1).otherwise(0).alias("abnormal_code"),
         (33 + F.col("d") * 10).alias("last_3f_time"))
     pedigree = load(spark, sf, "part").select(

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import datetime
+from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from furlong.functions.derive import distance_band
-from furlong.operators.evaluate import label
-from furlong.operators.groups import fits_in_task
-from furlong.operators.history import attach_state, last_n, state_before, with_history, with_state
+from furlong.operators.evaluate import FINISHED, assert_no_leak, label
+from furlong.operators.history import attach_state, last_n, state_before, with_history
 from furlong.operators.in_race import race_totals, rank_in_race
 from furlong.operators.joins import odds_as_of
 from furlong.operators.target_encoding import smoothed
@@ -21,9 +21,20 @@ from furlong.sources.schemas import table_schema
 HEAVY = ("重", "速重", "遅重", "不良", "速不良", "遅不良")
 
 
+#: Columns of the result that are outcomes by design; nothing else in the table may be one.
+OUTCOMES = ("target_place", "finish_position")
+
+
 def entry_base(races: DataFrame, entries: DataFrame, results: DataFrame, pedigree: DataFrame) -> DataFrame:
-    """The narrow columns all features are computed from, one row per entry."""
-    outcome = results.select("race_id", "horse_number", "finish_position", "abnormal_code", "last_3f_time")
+    """The narrow columns all features are computed from, one row per entry.
+
+    A run that was cancelled, stopped or disqualified, or whose position is
+    zero, carries no position. Entries without a race have no date, so they
+    cannot be placed in time; ``entries_without_race`` lists them.
+    """
+    finished = F.coalesce(F.col("abnormal_code"), F.lit(0)).isin(*FINISHED) & (F.col("finish_position") >= 1)
+    outcome = results.select("race_id", "horse_number", F.when(finished, F.col("finish_position")).alias("finish_position"),
+                             "abnormal_code", "last_3f_time")
     parents = pedigree.select("horse_id", "sire_id", "dam_sire_id")
     course = races.select("race_id", "race_date", "venue_code", "race_number", "course_type", "distance",
                           "track_condition", "num_horses")
@@ -37,77 +48,99 @@ def entry_base(races: DataFrame, entries: DataFrame, results: DataFrame, pedigre
     )
 
 
+def entries_without_race(races: DataFrame, entries: DataFrame) -> DataFrame:
+    """Entries that the feature table cannot hold, with the reason."""
+    return entries.select("race_id", "horse_number", "horse_id").join(races.select("race_id"), "race_id", "left_anti") \
+        .withColumn("reject_reason", F.lit("no race"))
+
+
+def stored_base(base: DataFrame) -> DataFrame:
+    """The base as a Parquet table in the shared folder: every feature group reads its few columns of it."""
+    spark = base.sparkSession
+    path = f"{shared_dir(spark)}/entry-base-{uuid4().hex}"
+    base.write.parquet(path)
+    return spark.read.schema(base.schema).parquet(path)
+
+
+def states(base: DataFrame, keys: Sequence[str], finer: Sequence[Sequence[str]], day: str, sums: dict[str, Column]) -> DataFrame:
+    """Running totals over earlier days for ``keys`` and for each finer key set, in one table by all of them and day.
+
+    Rows are summed once per day and finest combination; all windows share one
+    shuffle by ``keys``. Totals are named after the sum and, for a finer set,
+    its last key.
+    """
+    all_keys = list(dict.fromkeys([*keys, *[k for extra in finer for k in extra]]))
+    daily = base.groupBy(*all_keys, day).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    columns = {}
+    for level in (list(keys), *map(list, finer)):
+        suffix = "" if level == list(keys) else f"_{level[-1]}"
+        earlier = W.partitionBy(*level).orderBy(F.unix_date(day)).rangeBetween(W.unboundedPreceding, -1)
+        columns |= {f"{n}{suffix}": F.sum(n).over(earlier) for n in sums}
+    return daily.select(*all_keys, day, *[c.alias(f"_t{n}") for n, c in columns.items()])
+
+
 def _rate(hits: str, count: str) -> Column:
     return F.col(hits) / F.when(F.col(count) > 0, F.col(count))
 
 
 def training_data(races: DataFrame, entries: DataFrame, results: DataFrame, pedigree: DataFrame,
                   odds: DataFrame, created_at: datetime, m: float = 10.0, front_threshold: float = 0.0,
-                  heavy: Sequence[str] = HEAVY, odds_type: str = "win", morning_hour: int = 10,
-                  limit: int | None = None) -> DataFrame:
+                  heavy: Sequence[str] = HEAVY, odds_type: str = "win", morning_hour: int = 10) -> DataFrame:
     """All features of every run with a result, built from earlier days only.
 
-    The joined base is checkpointed once: every feature group below reads its
-    few columns from there instead of repeating the joins. Abnormal runs count
-    in the histories' dates but carry no position, and are not labelled.
+    The joined base is written once. Abnormal runs count in the histories'
+    dates but carry no position, and are not labelled. Totals of an entity are
+    summed per day before any shuffle, so a dominant one is spread over its
+    days.
     """
-    shared_dir(races.sparkSession)
-    base = entry_base(races, entries, results, pedigree).checkpoint()
-    by_horse = fits_in_task(base, ["horse_id"], limit)
+    base = stored_base(entry_base(races, entries, results, pedigree))
     day, position = "race_date", F.col("finish_position")
     ran = position.isNotNull()
-    won, placed = ran & (position == 1), ran & (position <= 3)
+    won, placed = position == 1, position <= 3
 
     out = with_history(base, ["horse_id"], day, ["race_id"], ["finish_position", "last_3f_time"], {
         **{f"past_{n}_avg_position": lambda o, n=n: F.avg("finish_position").over(last_n(o, n)) for n in (3, 5, 10)},
         **{f"past_{n}_avg_last3f": lambda o, n=n: F.avg("last_3f_time").over(last_n(o, n)) for n in (3, 5)},
-    }, 10, small=by_horse)
+    }, 10)
     # Times have one decimal; rounding lets equal means rank as equal.
     out = out.withColumns({f"past_{n}_avg_last3f": F.round(f"past_{n}_avg_last3f", 6) for n in (3, 5)})
 
-    # Conditional win rates of the horse, all from one state per horse and day.
+    counts = {"_n": F.when(ran, 1).otherwise(0), "_w": F.when(won, 1).otherwise(0), "_p": F.when(placed, 1).otherwise(0)}
     kinds = {"turf": F.col("course_type") == "turf", "dirt": F.col("course_type") == "dirt",
              "heavy_track": F.col("track_condition").isin(*heavy)}
-    sums = {}
-    for name, cond in kinds.items():
-        sums |= {f"_w_{name}": F.when(won & cond, 1).otherwise(0), f"_n_{name}": F.when(ran & cond, 1).otherwise(0)}
-    out = with_state(out, ["horse_id"], day, sums, by_horse)
-    out = out.withColumns({f"{name}_win_rate": _rate(f"_w_{name}", f"_n_{name}") for name in kinds}).drop(*sums)
-
-    # Plain prior win rates, and smoothed place rates, per entity.
-    counts = {"_n": F.when(ran, 1).otherwise(0), "_w": F.when(won, 1).otherwise(0),
-              "_p": F.when(placed, 1).otherwise(0)}
+    by_kind = {f"{c}_{k}": F.when(cond, counts[c]).otherwise(0) for k, cond in kinds.items() for c in ("_n", "_w")}
     overall = state_before(base, [], day, counts).select(day, _rate("_p", "_n").alias("_prior"))
     out = attach_state(out, overall, [], day)
-    for keys, rate, encoding in (
-        (["horse_id", "_band"], "distance_category_win_rate", None),
-        (["horse_id", "venue_code"], "venue_win_rate", None),
-        (["jockey_code"], "jockey_win_rate", "jockey_te_place"),
-        (["jockey_code", "venue_code"], "jockey_venue_win_rate", None),
-        (["trainer_code"], "trainer_win_rate", "trainer_te_place"),
-        (["sire_id"], None, "sire_te_place"),
-        (["dam_sire_id"], None, "dam_sire_te_place"),
-    ):
-        if by_horse and keys[0] == "horse_id":
-            out = with_state(out, keys, day, counts, windowed=True)
-        else:
-            out = attach_state(out, state_before(base, keys, day, counts), keys, day)
-        if rate:
-            out = out.withColumn(rate, _rate("_w", "_n"))
-        if encoding:
-            out = out.withColumn(encoding, smoothed(F.col("_p"), F.col("_n"), F.col("_prior"), m))
-        out = out.drop(*counts)
+
+    # Per entity: its finer keys, the sums, and the columns made of them.
+    plans = (
+        ("horse_id", ("_band", "venue_code"), counts | by_kind, {
+            **{f"{k}_win_rate": _rate(f"_t_w_{k}", f"_t_n_{k}") for k in kinds},
+            "distance_category_win_rate": _rate("_t_w__band", "_t_n__band"),
+            "venue_win_rate": _rate("_t_w_venue_code", "_t_n_venue_code")}),
+        ("jockey_code", ("venue_code",), counts, {
+            "jockey_win_rate": _rate("_t_w", "_t_n"), "jockey_venue_win_rate": _rate("_t_w_venue_code", "_t_n_venue_code"),
+            "jockey_te_place": smoothed(F.col("_t_p"), F.col("_t_n"), F.col("_prior"), m)}),
+        ("trainer_code", (), counts, {
+            "trainer_win_rate": _rate("_t_w", "_t_n"),
+            "trainer_te_place": smoothed(F.col("_t_p"), F.col("_t_n"), F.col("_prior"), m)}),
+        ("sire_id", (), counts, {"sire_te_place": smoothed(F.col("_t_p"), F.col("_t_n"), F.col("_prior"), m)}),
+        ("dam_sire_id", (), counts, {"dam_sire_te_place": smoothed(F.col("_t_p"), F.col("_t_n"), F.col("_prior"), m)}),
+    )
+    for entity, finer, sums, columns in plans:
+        state = states(base, [entity], [[entity, k] for k in finer], day, sums)
+        totals = [c for c in state.columns if c.startswith("_t")]
+        out = out.join(state, [entity, *finer, day], "left").withColumns(columns).drop(*totals)
 
     # Comparisons inside the race.
     race = ["race_id"]
-    small = fits_in_task(base, race, limit)
     for value, name, descending in (("weight_carried", "weight_rank", True), ("idm", "ability_rank", True),
                                     ("past_5_avg_last3f", "last3f_rank", False)):
-        out = rank_in_race(out, race, value, name, descending, small=small)
+        out = rank_in_race(out, race, value, name, descending)
     front = F.col("ten_index") >= front_threshold
     out = race_totals(out, race, {
         "front_runner_count": F.count_if(front),
-        "expected_pace_score": F.avg(F.when(front, F.col("ten_index")))}, small=small)
+        "expected_pace_score": F.avg(F.when(front, F.col("ten_index")))})
 
     # Prices known the evening before and on the morning of the race.
     midnight = F.col(day).cast("timestamp")
@@ -121,4 +154,4 @@ def training_data(races: DataFrame, entries: DataFrame, results: DataFrame, pedi
     out = label(out).withColumns({
         "weight": F.col("weight_carried").cast("bigint"), "jockey_id": F.col("jockey_code"),
         "trainer_id": F.col("trainer_code"), "created_at": F.lit(created_at).cast("timestamp")})
-    return out.select(*[F.col(f.name).cast(f.dataType) for f in table_schema("training_data")])
+    return assert_no_leak(out.select(*[F.col(f.name).cast(f.dataType) for f in table_schema("training_data")]), OUTCOMES)

@@ -145,20 +145,25 @@ def parse_lines(lines: DataFrame, record_type: str, ts: datetime | None = None)
     reason = F.coalesce(
         F.when(F.length(line) < layout.min_length, "line too short"),
         _key_problem(layout.table),
-        *[F.when(F.col(c).isNull() | (F.col(c).cast("string") == ""), f"missing {c}")
-          for c in required_columns(schema)],
+        *[F.when(F.col(c).isNull(), f"missing {c}") for c in required_columns(schema)],
     )
     return parsed.select(*[c for c in keep if c != "line"], *schema.names, reason.alias("reject_reason"))
 
 
+def refuse_files(parsed: DataFrame, file_col: str = "path") -> DataFrame:
+    """Give every good line of a file with a missing required value the reason ``file refused``."""
+    failing = parsed.where(F.col("reject_reason").startswith("missing ")).select(F.col(file_col).alias("_file")).distinct() \
+        .withColumn("_refused", F.lit("file refused"))
+    return parsed.join(failing, F.col(file_col) == F.col("_file"), "left") \
+        .withColumn("reject_reason", F.coalesce("reject_reason", "_refused")).drop("_file", "_refused")
+
+
 def split_required(parsed: DataFrame, strict: bool = False, file_col: str = "path") -> tuple[DataFrame, DataFrame]:
     """Good rows and rejects; in strict mode a missing required value refuses its whole file."""
-    bad = F.col("reject_reason").isNotNull()
-    ok, rejects = parsed.where(~bad).drop("reject_reason"), parsed.where(bad)
     if strict:
-        failing = rejects.where(F.col("reject_reason").startswith("missing ")).select(file_col).distinct()
-        ok = ok.join(failing, file_col, "left_anti")
-    return ok, rejects
+        parsed = refuse_files(parsed, file_col)
+    bad = F.col("reject_reason").isNotNull()
+    return parsed.where(~bad).drop("reject_reason"), parsed.where(bad)
 
 
 def first_errors(rejects: DataFrame, n: int = 5) -> DataFrame:
@@ -176,13 +181,6 @@ def ingest(spark: SparkSession, paths: str | Sequence[str], record_type: str,
     return ok.select(*table), rejects.select("path", "line_no", "reject_reason")
 
 
-def ingest_table(spark: SparkSession, paths: str | Sequence[str], table: str, ts: datetime) -> DataFrame:
-    """Union of every record type that feeds one table, with file date and line number kept."""
-    types = [t for t, layout in LAYOUTS.items() if layout.table == table]
-    files = read_text_auto(spark, paths).where(F.col("data_type").isin(types))
-    return split_required(parse_lines(file_lines(files), types[0], ts))[0]
-
-
 def union_types(parts: Sequence[DataFrame]) -> DataFrame:
     """Several record types into one table."""
     out = parts[0]

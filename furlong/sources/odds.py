@@ -34,9 +34,9 @@ def explode_odds(lines: DataFrame) -> DataFrame:
         fx.to_int(fx.chars(line, 8, 10)).alias("num_horses"), texts.alias("texts"))
     values = (
         races.select(*keep, "race_id", "num_horses", F.posexplode("texts").alias("slot", "text"))
-        .where(F.trim("text") != "")
-        .withColumn("odds_value", fx.to_float(F.col("text")))
-        .where(F.col("odds_value").isNotNull())
+        # The test is on the text: one on the finished number would make the optimizer cast twice.
+        .where(fx.is_number(F.col("text")))
+        .withColumn("odds_value", fx.strip(F.col("text")).try_cast("double"))
     )
     return values.join(F.broadcast(pair_dimension(lines.sparkSession)), "slot", "left").select(
         *keep, "race_id", "num_horses",

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from furlong.session import prepare
 from furlong.sources import files as fs
 from furlong.sources.fixed_width import (BINARY_FILE, decode_files, file_lines, load_log, parse_lines,
-                                         read_text_auto, split_required)
+                                         read_text_auto, refuse_files, split_required)
 from furlong.sources.layouts import LAYOUTS
 from furlong.sources.tables import upsert_table
 
@@ -22,11 +22,13 @@ def _now() -> datetime:
     return datetime.now(timezone.utc)
 
 
-def load_lines(lines: DataFrame, root: str, batch: str, ts: datetime) -> None:
+def load_lines(lines: DataFrame, root: str, batch: str, ts: datetime, strict: bool = False) -> DataFrame:
     """Parse and upsert one batch of record lines (path, file_date, line_no, data_type, line).
 
-    The lines are decoded once into a staging table split by target table, so
-    each table reads only its own lines. Within a batch the latest file wins.
+    The lines are staged by target table, so each table reads only its own;
+    they are parsed once, into a staged table that rows, rejects and the
+    returned outcome (path, reject_reason) are read from. Within a batch the
+    latest file wins. ``strict`` refuses a file with a missing required value.
     """
     spark = lines.sparkSession
     stage = f"{root}/_staging/lines/{batch}"
@@ -35,27 +37,32 @@ def load_lines(lines: DataFrame, root: str, batch: str, ts: datetime) -> None:
         .write.mode("overwrite").partitionBy("table").parquet(stage)
     staged = spark.read.parquet(stage)
     present = {row[0] for row in staged.select("table").distinct().collect()}
+    outcome = spark.createDataFrame([], "path string, reject_reason string")
     for record_type, layout in {lay.table: (t, lay) for t, lay in LAYOUTS.items()}.values():
         if layout.table in present:
-            mine = staged.where(F.col("table") == layout.table).drop("table")
-            ok, rejects = split_required(parse_lines(mine, record_type, ts))
+            mine = parse_lines(staged.where(F.col("table") == layout.table).drop("table"), record_type, ts)
+            held = f"{root}/_staging/parsed/{batch}/{layout.table}"
+            (refuse_files(mine) if strict else mine).write.mode("overwrite").parquet(held)
+            parsed = spark.read.parquet(held)
+            ok, rejects = split_required(parsed)
             upsert_table(spark, root, layout.table, ok, batch)
             rejects.select("path", "line_no", "reject_reason") \
                 .write.mode("overwrite").parquet(f"{root}/_rejects/table={layout.table}/batch={batch}")
+            outcome = outcome.unionByName(parsed.select("path", "reject_reason"))
+    return outcome
+
 
+def free_staging(spark: SparkSession, root: str, batch: str) -> None:
+    """Empty the staged lines of a batch whose outcome has been recorded."""
+    spark.createDataFrame([], "line string").write.mode("overwrite").parquet(f"{root}/_staging/lines/{batch}")
+    spark.createDataFrame([], "line string").write.mode("overwrite").parquet(f"{root}/_staging/parsed/{batch}")
 
-def load_files(files: DataFrame, root: str, batch: str, ts: datetime) -> None:
+
+def load_files(files: DataFrame, root: str, batch: str, ts: datetime, strict: bool = False) -> None:
     """Load routed, decoded files and record the outcome of each one."""
-    spark = files.sparkSession
-    load_lines(file_lines(files), root, batch, ts)
-    staged = spark.read.parquet(f"{root}/_staging/lines/{batch}")
-    kinds = [row[0] for row in staged.select("data_type").distinct().collect()]
-    parsed = [parse_lines(staged.where(F.col("data_type") == k).drop("table"), k)
-              .select("path", "reject_reason") for k in kinds]
-    outcome = spark.createDataFrame([], "path string, reject_reason string")
-    for part in parsed:
-        outcome = outcome.unionByName(part)
+    outcome = load_lines(file_lines(files), root, batch, ts, strict)
     load_log(files, outcome).write.mode("overwrite").parquet(f"{root}/_log/batch={batch}")
+    free_staging(files.sparkSession, root, batch)
 
 
 def batch_name(files: DataFrame, batch_id: int) -> str:
@@ -70,7 +77,8 @@ def batch_name(files: DataFrame, batch_id: int) -> str:
 
 
 def ingest_stream(spark: SparkSession, in_dir: str, root: str, checkpoint: str,
-                  clock: Callable[[], datetime] = _now, files_per_batch: int = 1000) -> StreamingQuery:
+                  clock: Callable[[], datetime] = _now, files_per_batch: int = 1000,
+                  strict: bool = False) -> StreamingQuery:
     """Load every new CSV file below ``in_dir`` once, then stop (``availableNow``)."""
     prepare(spark)
     arrivals = (
@@ -81,7 +89,7 @@ def ingest_stream(spark: SparkSession, in_dir: str, root: str, checkpoint: str,
 
     def load(batch: DataFrame, batch_id: int) -> None:
         name = batch_name(batch.select("path", "modificationTime", "length"), batch_id)
-        load_files(decode_files(batch), root, name, clock())
+        load_files(decode_files(batch), root, name, clock(), strict)
 
     return (arrivals.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
@@ -92,12 +100,15 @@ def lines_stream(lines: DataFrame, root: str, checkpoint: str,
     """The same load for a stream that already delivers record lines."""
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        load_lines(batch, root, batch_name(batch, batch_id), clock())
+        name = batch_name(batch, batch_id)
+        load_lines(batch, root, name, clock())
+        free_staging(batch.sparkSession, root, name)
 
     return (lines.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
-def ingest_files(spark: SparkSession, paths: str | Sequence[str], root: str, ts: datetime | None = None) -> None:
+def ingest_files(spark: SparkSession, paths: str | Sequence[str], root: str, ts: datetime | None = None,
+                 strict: bool = False) -> None:
     """Load (or load again) the named files in one batch run."""
-    load_files(read_text_auto(spark, paths), root, f"manual-{uuid4().hex}", ts or _now())
+    load_files(read_text_auto(spark, paths), root, f"manual-{uuid4().hex}", ts or _now(), strict)

