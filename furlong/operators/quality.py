@@ -18,6 +18,24 @@ RESULT_SCHEMA = ("check_name string, table_name string, passed boolean, severity
                  "message string, details map<string,string>")
 
 
+# The message texts of a report, {} standing for a value; the detail keys below are fixed as well.
+MESSAGES = {
+    "exists": "テーブル {} が存在します",
+    "missing": "テーブル {} が存在しません",
+    "rows": "レコード数: {} (最低期待値: {})",
+    "nulls": "カラム '{}': NULL件数 {} / {} ({}%)",
+    "duplicates": "主キー ({}): 重複件数 {} / {}",
+    "dates": "カラム '{}': 範囲 {} ~ {} {}",
+    "numbers": "カラム '{}': 範囲 {} ~ {} (期待値: {} ~ {}) {}",
+    "too_old": "古すぎる日付: {}件",
+    "too_future": "未来すぎる日付: {}件",
+    "below_min": "最小値未満: {}件",
+    "above_max": "最大値超過: {}件",
+    "normal": "正常",
+    "no_value": "None",
+}
+
+
 @dataclass(frozen=True)
 class TableCheck:
     """What to check on one table; ``ranges`` overrides the common numeric bounds."""
@@ -91,11 +109,16 @@ def select_checks(selector: str | None, checks: Sequence[TableCheck] = TABLE_CHE
 
 
 def _text(column: Column) -> Column:
-    return F.coalesce(column.cast("string"), F.lit("None"))
+    return F.coalesce(column.cast("string"), F.lit(MESSAGES["no_value"]))
 
 
-def _joined(*parts: Column | str) -> Column:
-    return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+def _message(name: str, *values: Column | str) -> Column:
+    """The named message with its values filled in."""
+    texts = MESSAGES[name].split("{}")
+    parts = [F.lit(texts[0])]
+    for value, text in zip(values, texts[1:], strict=True):
+        parts += [value.cast("string") if isinstance(value, Column) else F.lit(value), F.lit(text)]
+    return F.concat(*parts)
 
 
 def _row(check: TableCheck, name: str, passed: Column, message: Column, details: dict[str, Column]) -> Column:
@@ -106,10 +129,9 @@ def _row(check: TableCheck, name: str, passed: Column, message: Column, details:
         F.create_map(*pairs).alias("details"))
 
 
-def _issues(low: Column, low_text: str, high: Column, high_text: str) -> Column:
-    found = F.concat_ws(", ", F.when(low > 0, _joined(f"{low_text}: ", low.cast("string"), "件")),
-                        F.when(high > 0, _joined(f"{high_text}: ", high.cast("string"), "件")))
-    return F.when(found == "", "正常").otherwise(found)
+def _issues(low: Column, low_name: str, high: Column, high_name: str) -> Column:
+    found = F.concat_ws(", ", F.when(low > 0, _message(low_name, low)), F.when(high > 0, _message(high_name, high)))
+    return F.when(found == "", MESSAGES["normal"]).otherwise(found)
 
 
 # Each builder returns (aggregates, result rows over those aggregates).
@@ -117,7 +139,7 @@ def _issues(low: Column, low_text: str, high: Column, high_text: str) -> Column:
 def check_row_count(check: TableCheck) -> tuple[list[Column], list[Column]]:
     n = F.col("n")
     return [], [_row(check, "row_count_check", n >= check.min_rows,
-                     _joined("レコード数: ", F.format_number(n, 0), f" (最低期待値: {check.min_rows:,})"),
+                     _message("rows", F.format_number(n, 0), f"{check.min_rows:,}"),
                      {"row_count": n, "expected_min": F.lit(check.min_rows)})]
 
 
@@ -130,8 +152,7 @@ def check_nulls(check: TableCheck) -> tuple[list[Column], list[Column]]:
         aggs.append(F.count_if(F.col(c).isNull()).alias(f"nulls_{c}"))
         rows.append(_row(
             check, "null_check", nulls == 0,
-            _joined(f"カラム '{c}': NULL件数 ", F.format_number(nulls, 0), " / ", F.format_number(n, 0),
-                    " (", F.format_string("%.2f", share), "%)"),
+            _message("nulls", c, F.format_number(nulls, 0), F.format_number(n, 0), F.format_string("%.2f", share)),
             {"column": F.lit(c), "null_count": nulls, "total_count": n, "null_percentage": share}))
     return aggs, rows
 
@@ -153,8 +174,7 @@ def check_duplicates(check: TableCheck) -> list[Column]:
         return []
     n, extra = F.col("n"), F.col("n") - F.col("n_keys")
     return [_row(check, "duplicate_check", extra == 0,
-                 _joined(f"主キー ({', '.join(check.key)}): 重複件数 ", F.format_number(extra, 0), " / ",
-                         F.format_number(n, 0)),
+                 _message("duplicates", ", ".join(check.key), F.format_number(extra, 0), F.format_number(n, 0)),
                  {"key_columns": F.lit(",".join(check.key)), "duplicate_count": extra, "total_count": n})]
 
 
@@ -168,8 +188,7 @@ def check_dates(check: TableCheck, as_of: date) -> tuple[list[Column], list[Colu
                  F.count_if(F.col(c) > F.lit(latest)).alias(f"ahead_{c}")]
         rows.append(_row(
             check, "date_range_check", (old == 0) & (ahead == 0),
-            _joined(f"カラム '{c}': 範囲 ", _text(low), " ~ ", _text(high), " ",
-                    _issues(old, "古すぎる日付", ahead, "未来すぎる日付")),
+            _message("dates", c, _text(low), _text(high), _issues(old, "too_old", ahead, "too_future")),
             {"column": F.lit(c), "min_date": _text(low), "max_date": _text(high), "too_old_count": old,
              "too_future_count": ahead, "expected_min": F.lit(MIN_DATE.isoformat()),
              "expected_max": F.lit(latest.isoformat())}))
@@ -189,8 +208,8 @@ def check_numbers(check: TableCheck) -> tuple[list[Column], list[Column]]:
                  F.count_if(F.col(c) > most).alias(f"above_{c}")]
         rows.append(_row(
             check, "numeric_range_check", (below == 0) & (above == 0),
-            _joined(f"カラム '{c}': 範囲 ", _text(low), " ~ ", _text(high),
-                    f" (期待値: {least} ~ {most}) ", _issues(below, "最小値未満", above, "最大値超過")),
+            _message("numbers", c, _text(low), _text(high), str(least), str(most),
+                     _issues(below, "below_min", above, "above_max")),
             {"column": F.lit(c), "min_val": low, "max_val": high, "avg_val": mean,
              "expected_min": F.lit(least), "expected_max": F.lit(most),
              "below_min_count": below, "above_max_count": above}))
@@ -199,7 +218,7 @@ def check_numbers(check: TableCheck) -> tuple[list[Column], list[Column]]:
 
 def exists_rows(spark: SparkSession, checks: Sequence[TableCheck], present: set[str]) -> DataFrame:
     rows = [("table_exists", c.name, c.name in present, ERROR,
-             f"テーブル {c.name} {'が存在します' if c.name in present else 'が存在しません'}", {})
+             MESSAGES["exists" if c.name in present else "missing"].replace("{}", c.name), {})
             for c in checks]
     return constant_rows(spark, rows, RESULT_SCHEMA)
 

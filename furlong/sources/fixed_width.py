@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from furlong.functions import codes, fields as fx
@@ -61,12 +61,28 @@ def file_lines(files: DataFrame) -> DataFrame:
 
 
 def scan_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Lines of large UTF-8 files through the splittable text reader (no line numbers)."""
+    """Numbered lines of routed files, in either charset, through the splittable text reader.
+
+    For files too large to be one row. A first pass over the blocks of each
+    file counts their lines and checks whether all are valid UTF-8; line
+    numbers are the running counts plus the place inside the block. No byte of
+    a line feed occurs inside a Windows-31J character, so cutting first is safe.
+    """
+    prepare(spark)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    raw = spark.read.option("lineSep", "\n").option("pathGlobFilter", fs.CSV_GLOB).option("recursiveFileLookup", "true").text(paths) \
+        .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"),
+                F.col("value").cast("binary").alias("_bytes")).withColumn("_place", place)
+    blocks = raw.groupBy("path", "_block").agg(
+        F.min("_place").alias("_first"), F.count("*").alias("_lines"), F.bool_and(F.is_valid_utf8("_bytes")).alias("_valid"))
+    file, earlier = W.partitionBy("path"), W.partitionBy("path").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_lines").over(earlier), F.lit(0))) \
+        .withColumn("_utf8", F.bool_and("_valid").over(file)).drop("_lines", "_valid")
+    text = F.when(F.col("_utf8"), F.decode("_bytes", "UTF-8")).otherwise(F.decode("_bytes", "windows-31j"))
     return (
-        spark.read.option("lineSep", "\n").option("pathGlobFilter", fs.CSV_GLOB).text(paths)
-        .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
-        .withColumn("data_type", fs.data_type(F.col("path")))
-        .withColumn("file_date", fs.file_date(F.col("path")))
+        raw.join(blocks, ["path", "_block"])
+        .select("path", fs.data_type(F.col("path")).alias("data_type"), fs.file_date(F.col("path")).alias("file_date"),
+                (F.col("_before") + F.col("_place") - F.col("_first") + 1).cast("int").alias("line_no"), text.alias("line"))
         .where(fx.strip(F.col("line")) != "")
     )
 
@@ -172,11 +188,16 @@ def first_errors(rejects: DataFrame, n: int = 5) -> DataFrame:
 
 
 def ingest(spark: SparkSession, paths: str | Sequence[str], record_type: str,
-           ts: datetime, strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """All files of one record type: (rows of its table, rejects with file, line, reason)."""
-    files = read_text_auto(spark, paths).where(F.col("data_type") == record_type)
-    parsed = parse_lines(file_lines(files), record_type, ts)
-    ok, rejects = split_required(parsed, strict)
+           ts: datetime, strict: bool = False, large: bool = False) -> tuple[DataFrame, DataFrame]:
+    """All files of one record type: (rows of its table, rejects with file, line, reason).
+
+    ``large`` reads files block by block instead of whole.
+    """
+    if large:
+        lines = scan_lines(spark, paths).where(F.col("data_type") == record_type)
+    else:
+        lines = file_lines(read_text_auto(spark, paths).where(F.col("data_type") == record_type))
+    ok, rejects = split_required(parse_lines(lines, record_type, ts), strict)
     table = table_schema(LAYOUTS[record_type].table).names
     return ok.select(*table), rejects.select("path", "line_no", "reject_reason")
 

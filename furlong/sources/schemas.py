@@ -14,7 +14,6 @@ SPARK_TYPES = {
     "FLOAT64": T.DoubleType(), "FLOAT": T.DoubleType(), "DATE": T.DateType(),
     "TIMESTAMP": T.TimestampType(), "BOOL": T.BooleanType(), "BOOLEAN": T.BooleanType(),
 }
-SHORT = {"s": "STRING", "i": "INT64", "f": "FLOAT64", "d": "DATE", "t": "TIMESTAMP", "b": "BOOL"}
 
 
 def struct_from_spec(spec: list[dict] | str) -> T.StructType:
@@ -30,92 +29,364 @@ def struct_from_spec(spec: list[dict] | str) -> T.StructType:
 
 
 def _spec(text: str) -> list[dict]:
-    """``s: name name!`` groups; ``!`` marks a required column."""
-    out = []
-    for word in text.split():
-        if word.endswith(":"):
-            kind = SHORT[word[:-1]]
-        else:
-            out.append({"name": word.rstrip("!"), "type": kind,
-                        "mode": "REQUIRED" if word.endswith("!") else "NULLABLE"})
-    return out
-
-
-# Column names, types and required flags of the nine tables.
-# "s:" string, "i:" integer, "f:" float, "d:" date, "t:" timestamp, "b:" boolean.
+    """One column per line: name, type, mode."""
+    return [dict(zip(("name", "type", "mode"), line.split(), strict=True)) for line in text.strip().splitlines()]
+
+
+# Column names, types and modes of the nine tables.
 TABLE_SPECS = {
     "race_info": """
-        s: race_id! d: race_date! s: venue_code venue_name i: race_number s: race_name course_type
-        i: distance s: direction race_class age_condition sex_condition weather track_condition
-        i: num_horses prize_1st prize_2nd prize_3rd t: created_at updated_at""",
+race_id STRING REQUIRED
+race_date DATE REQUIRED
+venue_code STRING NULLABLE
+venue_name STRING NULLABLE
+race_number INT64 NULLABLE
+race_name STRING NULLABLE
+course_type STRING NULLABLE
+distance INT64 NULLABLE
+direction STRING NULLABLE
+race_class STRING NULLABLE
+age_condition STRING NULLABLE
+sex_condition STRING NULLABLE
+weather STRING NULLABLE
+track_condition STRING NULLABLE
+num_horses INT64 NULLABLE
+prize_1st INT64 NULLABLE
+prize_2nd INT64 NULLABLE
+prize_3rd INT64 NULLABLE
+created_at TIMESTAMP NULLABLE
+updated_at TIMESTAMP NULLABLE
+""",
     "horse_results": """
-        s: race_id! i: horse_number! s: horse_id! horse_name f: idm jockey_index info_index total_index
-        i: running_style distance_aptitude improvement rotation f: base_odds i: base_popularity
-        f: base_place_odds i: base_place_popularity specific_mark_circle specific_mark_circle2
-        specific_mark_triangle specific_mark_triangle2 specific_mark_x total_mark_circle
-        total_mark_circle2 total_mark_triangle total_mark_triangle2 total_mark_x popularity_index
-        f: training_index stable_index i: training_arrow_code stable_eval_code
-        f: jockey_expected_win_rate i: surge_index hoof_code heavy_aptitude_code class_code s: blinker
-        jockey_name f: weight_carried i: apprentice_class s: trainer_name trainer_affiliation
-        prev_race_key_1 prev_race_key_2 prev_race_key_3 prev_race_key_4 prev_race_key_5
-        i: bracket_number overall_mark idm_mark info_mark jockey_mark stable_mark training_mark
-        surge_mark s: turf_aptitude dirt_aptitude jockey_code trainer_code i: prize_money earned_prize
-        condition_class f: ten_index pace_index agari_index position_index s: pace_forecast
-        i: mid_position mid_gap mid_inside_outside last_3f_position last_3f_gap last_3f_inside_outside
-        goal_position goal_gap goal_inside_outside s: development_code i: distance_aptitude_2
-        confirmed_weight confirmed_weight_diff cancel_flag sex_code s: owner_name i: owner_club_code
-        horse_symbol_code surge_rank ls_index_rank ten_index_rank pace_index_rank agari_index_rank
-        position_index_rank f: jockey_expected_win_single jockey_expected_top3 s: transport_class
-        running_form body_type i: body_total_1 body_total_2 body_total_3 horse_note_1 horse_note_2
-        horse_note_3 f: start_index late_start_rate s: reference_prev_race reference_jockey_code
-        i: big_ticket_index big_ticket_mark demotion_flag s: surge_type i: rest_reason_code
-        s: flags i: stable_entry_race_count s: stable_entry_date i: stable_entry_days_before s: pasture
-        pasture_rank i: stable_rank t: created_at updated_at""",
+race_id STRING REQUIRED
+horse_number INT64 REQUIRED
+horse_id STRING REQUIRED
+horse_name STRING NULLABLE
+idm FLOAT64 NULLABLE
+jockey_index FLOAT64 NULLABLE
+info_index FLOAT64 NULLABLE
+total_index FLOAT64 NULLABLE
+running_style INT64 NULLABLE
+distance_aptitude INT64 NULLABLE
+improvement INT64 NULLABLE
+rotation INT64 NULLABLE
+base_odds FLOAT64 NULLABLE
+base_popularity INT64 NULLABLE
+base_place_odds FLOAT64 NULLABLE
+base_place_popularity INT64 NULLABLE
+specific_mark_circle INT64 NULLABLE
+specific_mark_circle2 INT64 NULLABLE
+specific_mark_triangle INT64 NULLABLE
+specific_mark_triangle2 INT64 NULLABLE
+specific_mark_x INT64 NULLABLE
+total_mark_circle INT64 NULLABLE
+total_mark_circle2 INT64 NULLABLE
+total_mark_triangle INT64 NULLABLE
+total_mark_triangle2 INT64 NULLABLE
+total_mark_x INT64 NULLABLE
+popularity_index INT64 NULLABLE
+training_index FLOAT64 NULLABLE
+stable_index FLOAT64 NULLABLE
+training_arrow_code INT64 NULLABLE
+stable_eval_code INT64 NULLABLE
+jockey_expected_win_rate FLOAT64 NULLABLE
+surge_index INT64 NULLABLE
+hoof_code INT64 NULLABLE
+heavy_aptitude_code INT64 NULLABLE
+class_code INT64 NULLABLE
+blinker STRING NULLABLE
+jockey_name STRING NULLABLE
+weight_carried FLOAT64 NULLABLE
+apprentice_class INT64 NULLABLE
+trainer_name STRING NULLABLE
+trainer_affiliation STRING NULLABLE
+prev_race_key_1 STRING NULLABLE
+prev_race_key_2 STRING NULLABLE
+prev_race_key_3 STRING NULLABLE
+prev_race_key_4 STRING NULLABLE
+prev_race_key_5 STRING NULLABLE
+bracket_number INT64 NULLABLE
+overall_mark INT64 NULLABLE
+idm_mark INT64 NULLABLE
+info_mark INT64 NULLABLE
+jockey_mark INT64 NULLABLE
+stable_mark INT64 NULLABLE
+training_mark INT64 NULLABLE
+surge_mark INT64 NULLABLE
+turf_aptitude STRING NULLABLE
+dirt_aptitude STRING NULLABLE
+jockey_code STRING NULLABLE
+trainer_code STRING NULLABLE
+prize_money INT64 NULLABLE
+earned_prize INT64 NULLABLE
+condition_class INT64 NULLABLE
+ten_index FLOAT64 NULLABLE
+pace_index FLOAT64 NULLABLE
+agari_index FLOAT64 NULLABLE
+position_index FLOAT64 NULLABLE
+pace_forecast STRING NULLABLE
+mid_position INT64 NULLABLE
+mid_gap INT64 NULLABLE
+mid_inside_outside INT64 NULLABLE
+last_3f_position INT64 NULLABLE
+last_3f_gap INT64 NULLABLE
+last_3f_inside_outside INT64 NULLABLE
+goal_position INT64 NULLABLE
+goal_gap INT64 NULLABLE
+goal_inside_outside INT64 NULLABLE
+development_code STRING NULLABLE
+distance_aptitude_2 INT64 NULLABLE
+confirmed_weight INT64 NULLABLE
+confirmed_weight_diff INT64 NULLABLE
+cancel_flag INT64 NULLABLE
+sex_code INT64 NULLABLE
+owner_name STRING NULLABLE
+owner_club_code INT64 NULLABLE
+horse_symbol_code INT64 NULLABLE
+surge_rank INT64 NULLABLE
+ls_index_rank INT64 NULLABLE
+ten_index_rank INT64 NULLABLE
+pace_index_rank INT64 NULLABLE
+agari_index_rank INT64 NULLABLE
+position_index_rank INT64 NULLABLE
+jockey_expected_win_single FLOAT64 NULLABLE
+jockey_expected_top3 FLOAT64 NULLABLE
+transport_class STRING NULLABLE
+running_form STRING NULLABLE
+body_type STRING NULLABLE
+body_total_1 INT64 NULLABLE
+body_total_2 INT64 NULLABLE
+body_total_3 INT64 NULLABLE
+horse_note_1 INT64 NULLABLE
+horse_note_2 INT64 NULLABLE
+horse_note_3 INT64 NULLABLE
+start_index FLOAT64 NULLABLE
+late_start_rate FLOAT64 NULLABLE
+reference_prev_race STRING NULLABLE
+reference_jockey_code STRING NULLABLE
+big_ticket_index INT64 NULLABLE
+big_ticket_mark INT64 NULLABLE
+demotion_flag INT64 NULLABLE
+surge_type STRING NULLABLE
+rest_reason_code INT64 NULLABLE
+flags STRING NULLABLE
+stable_entry_race_count INT64 NULLABLE
+stable_entry_date STRING NULLABLE
+stable_entry_days_before INT64 NULLABLE
+pasture STRING NULLABLE
+pasture_rank STRING NULLABLE
+stable_rank INT64 NULLABLE
+created_at TIMESTAMP NULLABLE
+updated_at TIMESTAMP NULLABLE
+""",
     "race_results": """
-        s: race_id! i: horse_number! s: horse_id! d: race_date s: horse_name i: distance s: course_type
-        direction track_condition race_type race_condition grade race_name i: num_horses
-        finish_position abnormal_code f: finish_time weight_carried s: jockey_name trainer_name
-        f: win_odds i: win_popularity f: idm raw_score track_bias pace late_start position_fault
-        disadvantage front_disadvantage mid_disadvantage back_disadvantage race_score
-        i: course_position improvement_code class_code body_code condition_code s: race_pace
-        horse_pace f: ten_index agari_index pace_index race_pace_index s: winner_name
-        f: winner_time_diff front_3f_time last_3f_time s: remarks f: place_odds odds_10am_win
-        odds_10am_place i: corner_position_1 corner_position_2 corner_position_3 corner_position_4
-        f: front_3f_lead_diff last_3f_lead_diff s: jockey_code trainer_code i: horse_weight
-        horse_weight_diff weather_code s: course_code race_running_style t: created_at updated_at""",
+race_id STRING REQUIRED
+horse_number INT64 REQUIRED
+horse_id STRING REQUIRED
+race_date DATE NULLABLE
+horse_name STRING NULLABLE
+distance INT64 NULLABLE
+course_type STRING NULLABLE
+direction STRING NULLABLE
+track_condition STRING NULLABLE
+race_type STRING NULLABLE
+race_condition STRING NULLABLE
+grade STRING NULLABLE
+race_name STRING NULLABLE
+num_horses INT64 NULLABLE
+finish_position INT64 NULLABLE
+abnormal_code INT64 NULLABLE
+finish_time FLOAT64 NULLABLE
+weight_carried FLOAT64 NULLABLE
+jockey_name STRING NULLABLE
+trainer_name STRING NULLABLE
+win_odds FLOAT64 NULLABLE
+win_popularity INT64 NULLABLE
+idm FLOAT64 NULLABLE
+raw_score FLOAT64 NULLABLE
+track_bias FLOAT64 NULLABLE
+pace FLOAT64 NULLABLE
+late_start FLOAT64 NULLABLE
+position_fault FLOAT64 NULLABLE
+disadvantage FLOAT64 NULLABLE
+front_disadvantage FLOAT64 NULLABLE
+mid_disadvantage FLOAT64 NULLABLE
+back_disadvantage FLOAT64 NULLABLE
+race_score FLOAT64 NULLABLE
+course_position INT64 NULLABLE
+improvement_code INT64 NULLABLE
+class_code INT64 NULLABLE
+body_code INT64 NULLABLE
+condition_code INT64 NULLABLE
+race_pace STRING NULLABLE
+horse_pace STRING NULLABLE
+ten_index FLOAT64 NULLABLE
+agari_index FLOAT64 NULLABLE
+pace_index FLOAT64 NULLABLE
+race_pace_index FLOAT64 NULLABLE
+winner_name STRING NULLABLE
+winner_time_diff FLOAT64 NULLABLE
+front_3f_time FLOAT64 NULLABLE
+last_3f_time FLOAT64 NULLABLE
+remarks STRING NULLABLE
+place_odds FLOAT64 NULLABLE
+odds_10am_win FLOAT64 NULLABLE
+odds_10am_place FLOAT64 NULLABLE
+corner_position_1 INT64 NULLABLE
+corner_position_2 INT64 NULLABLE
+corner_position_3 INT64 NULLABLE
+corner_position_4 INT64 NULLABLE
+front_3f_lead_diff FLOAT64 NULLABLE
+last_3f_lead_diff FLOAT64 NULLABLE
+jockey_code STRING NULLABLE
+trainer_code STRING NULLABLE
+horse_weight INT64 NULLABLE
+horse_weight_diff INT64 NULLABLE
+weather_code INT64 NULLABLE
+course_code STRING NULLABLE
+race_running_style STRING NULLABLE
+created_at TIMESTAMP NULLABLE
+updated_at TIMESTAMP NULLABLE
+""",
     "horse_master": """
-        s: horse_id! horse_name i: sex_code s: sex i: coat_color_code horse_symbol_code s: sire_name
-        dam_name broodmare_sire_name d: birth_date i: sire_birth_year dam_birth_year
-        broodmare_sire_birth_year s: owner_name i: owner_club_code s: breeder_name birthplace
-        i: deletion_flag d: data_date s: sire_line_code broodmare_sire_line_code
-        t: created_at updated_at""",
-    "horse_extended": "s: race_id! i: horse_number! d: race_date i: "
-        + " ".join(f"{g}_{c}" for g in COUNTER_GROUPS for c in COUNTERS)
-        + """ sire_turf_place_rate sire_dirt_place_rate sire_avg_place_distance
-        broodmare_sire_turf_place_rate broodmare_sire_dirt_place_rate
-        broodmare_sire_avg_place_distance t: created_at updated_at""",
+horse_id STRING REQUIRED
+horse_name STRING NULLABLE
+sex_code INT64 NULLABLE
+sex STRING NULLABLE
+coat_color_code INT64 NULLABLE
+horse_symbol_code INT64 NULLABLE
+sire_name STRING NULLABLE
+dam_name STRING NULLABLE
+broodmare_sire_name STRING NULLABLE
+birth_date DATE NULLABLE
+sire_birth_year INT64 NULLABLE
+dam_birth_year INT64 NULLABLE
+broodmare_sire_birth_year INT64 NULLABLE
+owner_name STRING NULLABLE
+owner_club_code INT64 NULLABLE
+breeder_name STRING NULLABLE
+birthplace STRING NULLABLE
+deletion_flag INT64 NULLABLE
+data_date DATE NULLABLE
+sire_line_code STRING NULLABLE
+broodmare_sire_line_code STRING NULLABLE
+created_at TIMESTAMP NULLABLE
+updated_at TIMESTAMP NULLABLE
+""",
+    "horse_extended": """
+race_id STRING REQUIRED
+horse_number INT64 REQUIRED
+race_date DATE NULLABLE
+""" + "\n".join(f"{g}_{c} INT64 NULLABLE" for g in COUNTER_GROUPS for c in COUNTERS) + """
+sire_turf_place_rate INT64 NULLABLE
+sire_dirt_place_rate INT64 NULLABLE
+sire_avg_place_distance INT64 NULLABLE
+broodmare_sire_turf_place_rate INT64 NULLABLE
+broodmare_sire_dirt_place_rate INT64 NULLABLE
+broodmare_sire_avg_place_distance INT64 NULLABLE
+created_at TIMESTAMP NULLABLE
+updated_at TIMESTAMP NULLABLE
+""",
     "venue_info": """
-        s: venue_id! d: race_date s: venue_code venue_name i: year kai s: day i: region_code
-        s: day_of_week i: weather_code turf_condition_code turf_condition_inner turf_condition_middle
-        turf_condition_outer turf_bias straight_bias_innermost straight_bias_inner
-        straight_bias_middle straight_bias_outer straight_bias_outermost dirt_condition_code
-        dirt_condition_inner dirt_condition_middle dirt_condition_outer dirt_bias data_category
-        t: created_at updated_at""",
+venue_id STRING REQUIRED
+race_date DATE NULLABLE
+venue_code STRING NULLABLE
+venue_name STRING NULLABLE
+year INT64 NULLABLE
+kai INT64 NULLABLE
+day STRING NULLABLE
+region_code INT64 NULLABLE
+day_of_week STRING NULLABLE
+weather_code INT64 NULLABLE
+turf_condition_code INT64 NULLABLE
+turf_condition_inner INT64 NULLABLE
+turf_condition_middle INT64 NULLABLE
+turf_condition_outer INT64 NULLABLE
+turf_bias INT64 NULLABLE
+straight_bias_innermost INT64 NULLABLE
+straight_bias_inner INT64 NULLABLE
+straight_bias_middle INT64 NULLABLE
+straight_bias_outer INT64 NULLABLE
+straight_bias_outermost INT64 NULLABLE
+dirt_condition_code INT64 NULLABLE
+dirt_condition_inner INT64 NULLABLE
+dirt_condition_middle INT64 NULLABLE
+dirt_condition_outer INT64 NULLABLE
+dirt_bias INT64 NULLABLE
+data_category INT64 NULLABLE
+created_at TIMESTAMP NULLABLE
+updated_at TIMESTAMP NULLABLE
+""",
     "pedigree": """
-        s: horse_id! horse_name sire_id sire_name dam_id dam_name dam_sire_id dam_sire_name sire_line
-        i: birth_year s: sex coat_color breeder owner t: created_at updated_at""",
+horse_id STRING REQUIRED
+horse_name STRING NULLABLE
+sire_id STRING NULLABLE
+sire_name STRING NULLABLE
+dam_id STRING NULLABLE
+dam_name STRING NULLABLE
+dam_sire_id STRING NULLABLE
+dam_sire_name STRING NULLABLE
+sire_line STRING NULLABLE
+birth_year INT64 NULLABLE
+sex STRING NULLABLE
+coat_color STRING NULLABLE
+breeder STRING NULLABLE
+owner STRING NULLABLE
+created_at TIMESTAMP NULLABLE
+updated_at TIMESTAMP NULLABLE
+""",
     "odds": """
-        s: race_id! horse_id! odds_type! f: odds_value t: odds_timestamp! i: horse_number
-        t: created_at""",
+race_id STRING REQUIRED
+horse_id STRING REQUIRED
+odds_type STRING REQUIRED
+odds_value FLOAT64 NULLABLE
+odds_timestamp TIMESTAMP REQUIRED
+horse_number INT64 NULLABLE
+created_at TIMESTAMP NULLABLE
+""",
     "training_data": """
-        s: race_id! horse_id! d: race_date! b: target_place i: finish_position s: venue_code
-        i: race_number s: course_type i: distance s: track_condition i: num_horses bracket_number
-        horse_number weight f: past_3_avg_position past_5_avg_position past_10_avg_position
-        past_3_avg_last3f past_5_avg_last3f turf_win_rate dirt_win_rate distance_category_win_rate
-        venue_win_rate heavy_track_win_rate s: jockey_id f: jockey_win_rate jockey_venue_win_rate
-        s: trainer_id f: trainer_win_rate jockey_te_place trainer_te_place sire_te_place
-        dam_sire_te_place i: weight_rank ability_rank last3f_rank front_runner_count
-        f: expected_pace_score odds_yesterday odds_today t: created_at""",
+race_id STRING REQUIRED
+horse_id STRING REQUIRED
+race_date DATE REQUIRED
+target_place BOOL NULLABLE
+finish_position INT64 NULLABLE
+venue_code STRING NULLABLE
+race_number INT64 NULLABLE
+course_type STRING NULLABLE
+distance INT64 NULLABLE
+track_condition STRING NULLABLE
+num_horses INT64 NULLABLE
+bracket_number INT64 NULLABLE
+horse_number INT64 NULLABLE
+weight INT64 NULLABLE
+past_3_avg_position FLOAT64 NULLABLE
+past_5_avg_position FLOAT64 NULLABLE
+past_10_avg_position FLOAT64 NULLABLE
+past_3_avg_last3f FLOAT64 NULLABLE
+past_5_avg_last3f FLOAT64 NULLABLE
+turf_win_rate FLOAT64 NULLABLE
+dirt_win_rate FLOAT64 NULLABLE
+distance_category_win_rate FLOAT64 NULLABLE
+venue_win_rate FLOAT64 NULLABLE
+heavy_track_win_rate FLOAT64 NULLABLE
+jockey_id STRING NULLABLE
+jockey_win_rate FLOAT64 NULLABLE
+jockey_venue_win_rate FLOAT64 NULLABLE
+trainer_id STRING NULLABLE
+trainer_win_rate FLOAT64 NULLABLE
+jockey_te_place FLOAT64 NULLABLE
+trainer_te_place FLOAT64 NULLABLE
+sire_te_place FLOAT64 NULLABLE
+dam_sire_te_place FLOAT64 NULLABLE
+weight_rank INT64 NULLABLE
+ability_rank INT64 NULLABLE
+last3f_rank INT64 NULLABLE
+front_runner_count INT64 NULLABLE
+expected_pace_score FLOAT64 NULLABLE
+odds_yesterday FLOAT64 NULLABLE
+odds_today FLOAT64 NULLABLE
+created_at TIMESTAMP NULLABLE
+""",
 }
 
 

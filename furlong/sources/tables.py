@@ -172,7 +172,12 @@ def upsert_table(spark: SparkSession, root: str, name: str, source: DataFrame, b
         touched = None
         if part:
             # Days that hold a matched key or receive a row: bounded by the calendar.
-            hit = target.select(*layout.key, part).join(incoming.select(*layout.key), list(layout.key), "left_semi")
+            # The range of the batch's keys reaches the scan, which skips files and row groups outside it.
+            ends = incoming.agg(*[f(k).alias(f"{n}_{k}") for k in layout.key for n, f in (("lo", F.min), ("hi", F.max))]).first()
+            near = target.select(*layout.key, part)
+            for k in layout.key:
+                near = near.where(F.col(k).between(F.lit(ends[f"lo_{k}"]), F.lit(ends[f"hi_{k}"])))
+            hit = near.join(incoming.select(*layout.key), list(layout.key), "left_semi")
             touched = hit.select(part).union(incoming.select(part)).distinct()
             touched.write.mode("overwrite").parquet(f"{stage}/touched")
             touched = spark.read.parquet(f"{stage}/touched")
