@@ -16,7 +16,6 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -167,34 +166,62 @@ def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def scan(parts: DataFrame, size: int) -> DataFrame:
     """State before each part of its text: parts have _key, _at (order), _block and _matrix. Returns _key, _at, _state.
 
-    Two levels: products of blocks of ``BLOCK`` parts, a run over the blocks of a text, a run inside each block. No
-    task sees more than the block products of one text or the parts of one block.
+    Two levels: products of blocks of ``BLOCK`` parts, a run over the blocks of a text, a run inside each block. Sorted
+    partitions are read as a stream, so a task holds one matrix at a time however long a text is.
     """
-    start = [0.0] + [NEVER] * (size - 1)
-
-    def grid(values) -> np.ndarray:
-        return np.array(values, float).reshape(size, size)
-
-    def product(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_at")
-        total = grid(rows["_matrix"].iloc[0])
-        for values in rows["_matrix"].iloc[1:]:
-            total = times(total, grid(values))
-        return pd.DataFrame({"_key": rows["_key"].iloc[:1], "_block": rows["_block"].iloc[:1], "_matrix": [total.ravel()]})
-
-    def run(rows: pd.DataFrame, order: str, state: np.ndarray) -> pd.DataFrame:
-        rows, states = rows.sort_values(order), []
-        for values in rows["_matrix"]:
-            states.append(state)
-            state = times(state[None, :], grid(values))[0]
-        return rows[["_key", order]].assign(_state=states)
-
-    blocks = parts.groupBy("_key", "_block").applyInPandas(product, "_key long, _block long, _matrix array<double>")
-    starts = blocks.groupBy("_key").applyInPandas(
-        lambda rows: run(rows, "_block", np.array(start)), "_key long, _block long, _state array<double>")
-    return parts.join(starts.withColumnRenamed("_state", "_start"), ["_key", "_block"]).groupBy("_key", "_block") \
-        .applyInPandas(lambda rows: run(rows, "_at", np.array(rows["_start"].iloc[0], float)),
-                       "_key long, _at long, _state array<double>")
+    parts = stored(parts)
+    start = F.array(F.lit(0.0), *[F.lit(NEVER)] * (size - 1))
+
+    def sorted_by(df: DataFrame, *keys: str) -> DataFrame:
+        return df.repartition(*keys[:-1]).sortWithinPartitions(*keys)
+
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["_key", "_block", "_matrix"]
+        current, total = None, None
+        for batch in batches:
+            out: list[tuple] = []
+            for key, block, grid in zip(*(batch.column(n).to_pylist() for n in names[:2]), square(batch.column("_matrix"), size)):
+                if (key, block) != current:
+                    if current is not None:
+                        out.append((*current, total.ravel()))
+                    current, total = (key, block), grid
+                else:
+                    total = times(total, grid)
+            yield rows_batch(out, names)
+        if current is not None:
+            yield rows_batch([(*current, total.ravel())], names)
+
+    def run(keys: list[str], order: str):
+        def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            current, state = None, None
+            for batch in batches:
+                out: list[tuple] = []
+                groups = list(zip(*(batch.column(k).to_pylist() for k in keys)))
+                starts = batch.column("_start")
+                for i, grid in enumerate(square(batch.column("_matrix"), size)):
+                    if groups[i] != current:
+                        current, state = groups[i], np.array(starts[i].as_py())
+                    out.append((groups[i][0], batch.column(order)[i].as_py(), state))
+                    state = times(state[None, :], grid)[0]
+                yield rows_batch(out, ["_key", order, "_state"])
+        return steps
+
+    blocks = sorted_by(parts, "_key", "_block", "_at").mapInArrow(product, "_key long, _block long, _matrix array<double>")
+    starts = sorted_by(blocks.withColumn("_start", start), "_key", "_block") \
+        .mapInArrow(run(["_key"], "_block"), "_key long, _block long, _state array<double>")
+    inside = parts.join(starts.withColumnRenamed("_state", "_start"), ["_key", "_block"])
+    return sorted_by(inside, "_key", "_block", "_at") \
+        .mapInArrow(run(["_key", "_block"], "_at"), "_key long, _at long, _state array<double>")
+
+
+def square(column: pa.Array, size: int) -> np.ndarray:
+    return np.asarray(column.flatten(), float).reshape(-1, size, size)
+
+
+def rows_batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [(), (), ()]
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.float64())]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
 
 def spaced(text: Column) -> Column:
