@@ -21,10 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furlong.llm.common import stored, text_of
-from furlong.llm.vocabulary import MODEL, REMEMBERED, SPACE, Vocabulary
+from furlong.llm.vocabulary import MODEL, REMEMBERED, SPACE, WIDTH, Vocabulary
 
 CHUNK = 16_384
 BLOCK = 64
+#: Words up to this length are solved together, those of so many characters of text at a time.
+SHORT, TOGETHER = 32, 1 << 21
 NEVER = float("-inf")
 
 
@@ -41,6 +43,70 @@ class Segmenter(dict):
         value = self[word] = array("i", self.trace(word, came, len(word))[1]).tobytes()
         return value
 
+    def learn(self, words: set[str]) -> None:
+        """Solve many short words of common characters at once, one start position of all of them per step.
+
+        The steps are those of ``forward``; words that hold a character without a piece are left to it.
+        """
+        table, piece_at, worth_at = self.vocabulary.steps
+        chosen = sorted((w for w in words if len(w) <= SHORT and w.isprintable()), key=len, reverse=True)
+        if not chosen:
+            return
+        lengths = np.array([len(w) for w in chosen])
+        points = np.frombuffer("".join(chosen).encode("utf-32-le"), np.uint32)
+        kinds = np.where(points < WIDTH - 2, points, np.where(points == ord(SPACE), WIDTH - 2, WIDTH - 1))
+        width = int(lengths[0])
+        codes = np.full((len(chosen), width + self.vocabulary.longest), WIDTH - 1, np.int32)
+        codes[np.repeat(np.arange(len(chosen)), lengths), np.arange(len(points)) - np.repeat(lengths.cumsum() - lengths, lengths)] = kinds
+        scores = np.full((len(chosen), width + 1), NEVER)
+        scores[:, 0] = 0.0
+        start_of = np.zeros((len(chosen), width + 1), np.int16)
+        piece_of = np.full((len(chosen), width + 1), -1, np.int32)
+        known = (codes[:, :width] < WIDTH - 1).sum(axis=1) == lengths
+        for i in range(width):
+            rows = np.arange(np.searchsorted(-lengths, -i, side="left"))
+            rows = rows[known[rows]]
+            base, node, single = scores[:, i], np.zeros(len(rows), np.int32), np.zeros(len(chosen), bool)
+            some = rows
+            for end in range(i + 1, i + self.vocabulary.longest + 1):
+                node = table[node, codes[some, end - 1]]
+                alive = node >= 0
+                some, node = some[alive], node[alive]
+                if not len(some):
+                    break
+                ends = piece_at[node] >= 0
+                hit, at = some[ends], node[ends]
+                if end == i + 1:
+                    single[hit] = True
+                candidate = base[hit] + worth_at[at]
+                better = candidate > scores[hit, end]
+                hit, at = hit[better], at[better]
+                scores[hit, end], start_of[hit, end], piece_of[hit, end] = candidate[better], i, piece_at[at]
+            known[rows[~single[rows]]] = False
+        rows = np.flatnonzero(known)
+        out = np.zeros((len(rows), width), np.int32)
+        end, left = lengths[rows].copy(), np.full(len(rows), width)
+        while (open_ := np.flatnonzero(end > 0)).size:
+            left[open_] -= 1
+            out[open_, left[open_]] = piece_of[rows[open_], end[open_]]
+            end[open_] = start_of[rows[open_], end[open_]]
+        if len(self) + len(rows) > REMEMBERED:
+            self.clear()
+        for k, (row, first) in enumerate(zip(rows.tolist(), left.tolist())):
+            self[chosen[row]] = out[k, first:].tobytes()
+
+    def batch(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, about ``TOGETHER`` characters at a time."""
+        done, held, size = [], [], 0
+        for k, text in enumerate(texts):
+            held.append(self.vocabulary.words.findall(text))
+            size += len(text)
+            if size >= TOGETHER or k + 1 == len(texts):
+                self.learn({w for words in held for w in words if w not in self})
+                done += [b"".join(map(self.__getitem__, words)) for words in held]
+                held, size = [], 0
+        return done
+
     def forward(self, text: str, starts: int, entry: dict[int, float]) -> tuple[list[float], list]:
         """Best score of each position and the piece that led there, as (start, id; -1 for an unknown character).
         Pieces start before ``starts``, paths at the positions of ``entry``."""
@@ -80,11 +146,11 @@ class Segmenter(dict):
         return end, ids[::-1]
 
     def inner(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, self.vocabulary.words.findall(text)))
+        return self.batch([text])[0]
 
     def inner_score(self, text: str) -> float:
         """Score of the best path through a stretch that starts and ends where no piece crosses."""
-        return sum(self.forward(word, len(word), {0: 0.0})[0][-1] for word in self.vocabulary.words.findall(text))
+        return float(self.vocabulary.worth[np.frombuffer(self.batch([text])[0], np.int32)].sum())
 
     def bounds(self, text: str, n: int) -> tuple[int, int] | None:
         """First and last position that no piece crosses, strictly inside the chunk."""
@@ -247,7 +313,7 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, chunk: int =
     def whole(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         segmenter = segmenter_of(vocabulary)
         for texts in batches:
-            yield lists([segmenter.inner(t.as_py()) for t in texts])
+            yield lists(segmenter.batch(texts.to_pylist()))
 
     @F.arrow_udf("array<double>")
     def matrices(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:

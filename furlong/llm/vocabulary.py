@@ -12,8 +12,12 @@ import zlib
 from dataclasses import dataclass
 from functools import cached_property
 
+import numpy as np
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
+#: Character classes of the tables: code points below 382, the visible space, others.
+WIDTH = 384
 #: A character without a piece costs this much more than the worst piece (fixed by the published unigram model).
 UNKNOWN_PENALTY = 10.0
 #: Words a task remembers before it starts anew; bounds the memory of a worker.
@@ -61,6 +65,34 @@ class Vocabulary:
                 nodes[piece[:-1]][0][piece[-1]] = tuple(nodes[piece])
         return root
 
+    @cached_property
+    def steps(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The part of the trie that is spelled with common characters, as tables: next node by node and character
+        class, piece of a node or -1, its score. Classes are the first code points, the visible space, and anything else."""
+        nodes, pieces, scores, rows = [self.trie], [-1], [0.0], []
+        for children in nodes:  # grows as it is read
+            row = np.full(WIDTH, -1, np.int32)
+            for char, (below, piece, score) in children.items():
+                kind = WIDTH - 2 if char == SPACE else ord(char)
+                if char == SPACE or kind < WIDTH - 2:
+                    row[kind] = len(nodes)
+                    nodes.append(below)
+                    pieces.append(piece)
+                    scores.append(score)
+            rows.append(row)
+        return np.array(rows), np.array(pieces, np.int32), np.array(scores)
+
+    @cached_property
+    def worth(self) -> np.ndarray:
+        """Score by id; of the bytes of an unknown character the first carries its score."""
+        out = np.zeros(len(self.pieces))
+        for i, score in self.entries.values():
+            out[i] = score
+        out[self.unknown_id] = self.unknown_score
+        for byte, i in enumerate(self.byte_ids):
+            out[i] = 0.0 if 0x80 <= byte < 0xC0 else self.unknown_score
+        return out
+
     @cached_property
     def longest(self) -> int:
         return max(map(len, self.entries))
