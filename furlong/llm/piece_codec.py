@@ -26,7 +26,7 @@ from furlong.llm.vocabulary import MODEL, REMEMBERED, SPACE, WIDTH, Vocabulary
 CHUNK = 16_384
 BLOCK = 64
 #: Words up to this length are solved together, those of so many characters of text at a time.
-SHORT, TOGETHER = 32, 1 << 21
+SHORT, TOGETHER = 32, 1 << 19
 NEVER = float("-inf")
 
 
@@ -49,6 +49,7 @@ class Segmenter(dict):
         The steps are those of ``forward``; words that hold a character without a piece are left to it.
         """
         table, piece_at, worth_at = self.vocabulary.steps
+        leaf = np.int32(len(table) - 1)
         chosen = sorted((w for w in words if len(w) <= SHORT and w.isprintable()), key=len, reverse=True)
         if not chosen:
             return
@@ -69,7 +70,7 @@ class Segmenter(dict):
             base, node, single = scores[:, i], np.zeros(len(rows), np.int32), np.zeros(len(chosen), bool)
             some = rows
             for end in range(i + 1, i + self.vocabulary.longest + 1):
-                node = table[node, codes[some, end - 1]]
+                node = table[np.minimum(node, leaf), codes[some, end - 1]]
                 alive = node >= 0
                 some, node = some[alive], node[alive]
                 if not len(some):
@@ -373,9 +374,8 @@ def decode(docs: DataFrame, ids: str = "piece_ids", into: str = "decoded", model
         n = len(spelled)
         for arrays in batches:
             offsets, out = arrays.offsets.to_pylist(), []
-            values = arrays.values.to_pylist()
             for k, present in enumerate(arrays.is_valid().to_pylist()):
-                own = values[offsets[k]:offsets[k + 1]]
+                own = arrays.values.slice(offsets[k], offsets[k + 1] - offsets[k]).to_pylist()
                 if own and not (min(own) >= 0 and max(own) < n):
                     own = [i for i in own if 0 <= i < n]
                 text = b"".join(map(spelled.__getitem__, own)).decode("utf-8", "replace").replace(SPACE, " ")

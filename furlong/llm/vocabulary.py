@@ -21,7 +21,7 @@ WIDTH = 384
 #: A character without a piece costs this much more than the worst piece (fixed by the published unigram model).
 UNKNOWN_PENALTY = 10.0
 #: Words a task remembers before it starts anew; bounds the memory of a worker.
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 
 
 @dataclass(frozen=True)
@@ -69,18 +69,20 @@ class Vocabulary:
     def steps(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The part of the trie that is spelled with common characters, as tables: next node by node and character
         class, piece of a node or -1, its score. Classes are the first code points, the visible space, and anything else."""
-        nodes, pieces, scores, rows = [self.trie], [-1], [0.0], []
-        for children in nodes:  # grows as it is read
-            row = np.full(WIDTH, -1, np.int32)
-            for char, (below, piece, score) in children.items():
+        inner, leaves = [(self.trie, -1, 0.0)], []
+        links: list[tuple[int, int, int, bool]] = []  # from, class, to, whether that is a leaf
+        for at, (children, _, _) in enumerate(inner):  # grows as it is read
+            for char, node in children.items():
                 kind = WIDTH - 2 if char == SPACE else ord(char)
                 if char == SPACE or kind < WIDTH - 2:
-                    row[kind] = len(nodes)
-                    nodes.append(below)
-                    pieces.append(piece)
-                    scores.append(score)
-            rows.append(row)
-        return np.array(rows), np.array(pieces, np.int32), np.array(scores)
+                    kept = inner if node[0] else leaves
+                    links.append((at, kind, len(kept), kept is leaves))
+                    kept.append(node)
+        table = np.full((len(inner) + 1, WIDTH), -1, np.int32)  # all leaves share the last row
+        for at, kind, to, leaf in links:
+            table[at, kind] = to + (len(inner) if leaf else 0)
+        nodes = inner + leaves
+        return table, np.array([n[1] for n in nodes], np.int32), np.array([n[2] for n in nodes])
 
     @cached_property
     def worth(self) -> np.ndarray:
