@@ -41,12 +41,18 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of each text, and whether decoding them gives the text back."""
-    back = piece_codec.decode(piece_codec.encode(docs))
+    back = piece_codec.encode(docs, decoded="decoded")
     same = F.col("decoded") == F.replace(text_of("text"), F.lit(SPACE), F.lit(" "))
     return back.select("doc_id", "lang", "source", "piece_ids", F.size("piece_ids").cast("long").alias("n_pieces"), same.alias("round_trip"))
 
 
-STAGES = [("quality", quality), ("exact_dedup", exact), ("near_duplicates", near), ("mixing", mix), ("encoding", encode)]
+def stage(function):
+    """The function on a session with the settings of the library."""
+    return lambda spark, docs, sf_dir: function(prepare(spark), docs, sf_dir)
+
+
+STAGES = [(name, stage(f)) for name, f in (
+    ("quality", quality), ("exact_dedup", exact), ("near_duplicates", near), ("mixing", mix), ("encoding", encode))]
 
 #: The first stage trains a model, which SQL cannot express; the tests compare each stage with a brute-force version.
 ORACLE_SQL = None
@@ -54,8 +60,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, function in STAGES:
+        docs = function(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
             docs = stored(docs)
     return docs

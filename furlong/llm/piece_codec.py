@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from furlong.llm.common import stored, text_of
 from furlong.llm.vocabulary import MODEL, REMEMBERED, SPACE, WIDTH, Vocabulary
 
-CHUNK = 16_384
+CHUNK = 65_536
 BLOCK = 64
 #: Words up to this length are solved together, those of so many characters of text at a time.
 SHORT, TOGETHER = 32, 1 << 19
@@ -300,21 +300,36 @@ def lists(parts: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(parts), np.int32), pa.int32()))
 
 
-def encode(docs: DataFrame, text: str = "text", model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
+def spell(arrays: pa.ListArray, spelled: list[bytes]) -> pa.Array:
+    """The texts that lists of ids stand for."""
+    offsets, out, n = arrays.offsets.to_pylist(), [], len(spelled)
+    for k, present in enumerate(arrays.is_valid().to_pylist()):
+        own = arrays.values.slice(offsets[k], offsets[k + 1] - offsets[k]).to_pylist()
+        if own and not (min(own) >= 0 and max(own) < n):
+            own = [i for i in own if 0 <= i < n]
+        text = b"".join(map(spelled.__getitem__, own)).decode("utf-8", "replace").replace(SPACE, " ")
+        out.append(text.removeprefix(" ") if present else None)
+    return pa.array(out, pa.string())
+
+
+def encode(docs: DataFrame, text: str = "text", model: str = MODEL, chunk: int = CHUNK, decoded: str | None = None) -> DataFrame:
     """``docs`` with ``piece_ids``, the ids of the best segmentation of the whole text.
 
     Null and empty texts give an empty array. Texts of any length are encoded whole, in chunks of ``chunk``
-    characters. Rows may repeat. An existing column ``piece_ids`` is replaced; an empty table gives no rows.
+    characters. Rows may repeat. An existing column ``piece_ids`` is replaced; an empty table gives no rows. With
+    ``decoded`` a column of that name holds what the ids decode to.
     """
     vocabulary = Vocabulary.read(model)
     size = vocabulary.longest
-    names = [c for c in docs.columns if c != "piece_ids"]
+    names = [c for c in docs.columns if c not in ("piece_ids", decoded)]
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf("piece_ids array<int>, decoded string")
     def whole(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         segmenter = segmenter_of(vocabulary)
         for texts in batches:
-            yield lists(segmenter.batch(texts.to_pylist()))
+            ids = lists(segmenter.batch(texts.to_pylist()))
+            back = spell(ids, vocabulary.spelled) if decoded else pa.nulls(len(ids), pa.string())
+            yield pa.StructArray.from_arrays([ids, back], names=["piece_ids", "decoded"])
 
     @F.arrow_udf("array<double>")
     def matrices(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -337,7 +352,8 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, chunk: int =
                          for t, n, e, x in zip(texts, lengths, entries, exits)])
 
     prepared = docs.select(F.struct(*names).alias("_row"), spaced(text_of(text)).alias("_text"))
-    short = prepared.filter(F.length("_text") <= chunk).select("_row", whole("_text").alias("piece_ids"))
+    short = prepared.filter(F.length("_text") <= chunk).select("_row", whole("_text").alias("_pieces")) \
+        .select("_row", "_pieces.piece_ids", "_pieces.decoded")
     at = F.posexplode(F.sequence(F.lit(0), F.expr(f"cast((length(_text) - 1) div {chunk} as int)"))).alias("_at", "_same")
     giant = prepared.filter(F.length("_text") > chunk).withColumn("_key", F.monotonically_increasing_id()) \
         .select("_key", "_row", "_text", at)
@@ -359,7 +375,8 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, chunk: int =
     gathered = pieces.groupBy("_key").agg(F.flatten(F.transform(
         F.sort_array(F.collect_list(F.struct("_at", "_ids"))), lambda x: x["_ids"])).alias("piece_ids"))
     long = chunks.filter("_at = 0").select("_key", "_row").join(gathered, "_key").select("_row", "piece_ids")
-    return short.unionByName(long).select("_row.*", "piece_ids")
+    long = decode(long, into="decoded", model=model) if decoded else long.withColumn("decoded", F.lit(None).cast("string"))
+    return short.unionByName(long).select("_row.*", "piece_ids", *([F.col("decoded").alias(decoded)] if decoded else []))
 
 
 def decode(docs: DataFrame, ids: str = "piece_ids", into: str = "decoded", model: str = MODEL) -> DataFrame:
@@ -370,16 +387,8 @@ def decode(docs: DataFrame, ids: str = "piece_ids", into: str = "decoded", model
     spelled = Vocabulary.read(model).spelled
 
     @F.arrow_udf("string")
-    def spell(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        n = len(spelled)
+    def back(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for arrays in batches:
-            offsets, out = arrays.offsets.to_pylist(), []
-            for k, present in enumerate(arrays.is_valid().to_pylist()):
-                own = arrays.values.slice(offsets[k], offsets[k + 1] - offsets[k]).to_pylist()
-                if own and not (min(own) >= 0 and max(own) < n):
-                    own = [i for i in own if 0 <= i < n]
-                text = b"".join(map(spelled.__getitem__, own)).decode("utf-8", "replace").replace(SPACE, " ")
-                out.append(text.removeprefix(" ") if present else None)
-            yield pa.array(out, pa.string())
-
-    return docs.withColumn(into, spell(ids))
+            yield spell(arrays, spelled)
+
+    return docs.withColumn(into, back(ids))

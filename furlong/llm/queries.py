@@ -38,7 +38,7 @@ def op1_mix_sources(spark, sf_dir):
 @query()
 def op3_sentencepiece(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    back = piece_codec.decode(piece_codec.encode(docs))
+    back = piece_codec.encode(docs, decoded="decoded")
     text = text_of("text")
     return back.select(
         "doc_id", F.size("piece_ids").cast("long").alias("n_pieces"),
