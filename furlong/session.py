@@ -12,6 +12,8 @@ RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.legacy.javaCharsets": "true",
     "spark.sql.legacy.codingErrorAction": "true",
+    # Rows handed to Python at a time: documents hold some kilobytes each.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 
