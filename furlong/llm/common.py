@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -53,6 +55,15 @@ def unit_interval(identifier: Column) -> Column:
     return (F.conv(digits, 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(2**52))
 
 
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: workers stay alive between tasks and would keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 class Bitmap:
     """A fixed-size set of hashes that never misses a member; what it lets through beyond them must be sorted out by a join.
 

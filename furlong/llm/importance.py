@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from furlong.llm.common import stored, text_of, unit_interval
+from furlong.llm.common import give_back, stored, text_of, unit_interval
 
 BUCKETS = 1 << 14
 TARGET_DOCS = 20_000
@@ -114,6 +114,8 @@ def fit(docs: DataFrame, good: DataFrame, identifier: str = "doc_id", text: str
         used = np.flatnonzero(both[0])
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(both[0][used]), pa.array(both[1][used])],
                                          ["bucket", "raw", "target"])
+        numbers.clear()
+        give_back()
 
     # the chosen identifiers are at most target_docs rows
     marked = docs.select(text_of(text).alias("t"), F.col(identifier).alias("_id")) \
@@ -144,6 +146,8 @@ def score(docs: DataFrame, ratios: np.ndarray, text: str = "text") -> DataFrame:
                 total += np.bincount(own, ratios[bucket], len(texts))
                 n += np.bincount(own, minlength=len(texts))
             yield pa.StructArray.from_arrays([pa.array(total), pa.array(n)], names=["log_ratio", "n_grams"])
+        numbers.clear()
+        give_back()
 
     return docs.withColumn("ratio", weigh(text_of(text)))
 

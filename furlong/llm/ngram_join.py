@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furlong.llm.common import Bitmap, stored, text_of
+from furlong.llm.common import Bitmap, give_back, stored, text_of
 from furlong.llm.components import components
 
 WORDS, PERCENT = 4, 85
@@ -163,6 +163,8 @@ def rarity(texts: DataFrame, size: int) -> np.ndarray:
                 total += np.bincount((shingles(text.as_py(), size, hashes) >> np.uint64(48)).astype(np.int64), minlength=COUNTED)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["bucket", "n"])
+        hashes.clear()
+        give_back()
 
     found = texts.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(COUNTED, np.int64)
@@ -192,6 +194,8 @@ def described(spoken: DataFrame, size: int, percent: int, counts: np.ndarray) ->
                 rows.append((n, signature(found), xxhash.xxh3_128_digest(shape), prefix.view(np.int64),
                              parity(found) if len(prefix) else None))
             yield pa.StructArray.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds.values())], names=list(kinds))
+        hashes.clear()
+        give_back()
 
     return spoken.withColumn("set", describe("text")).select("id", "ident", "set.*")
 
@@ -222,6 +226,8 @@ def clusters(groups: DataFrame, percent: int) -> DataFrame:
                 yield from compare(members, forest, linked, percent, sides)
 
         yield from edge_batches(edges())
+        forest.parent.clear()
+        give_back()
 
     tied = lists.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high").mapInArrow(tie, "a long, b long")
     several = groups.filter("sets > 1").select("grp")
@@ -249,6 +255,8 @@ def sets_of(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
                     rows = []
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["ident", "sig", "found", "bits"])
+        hashes.clear()
+        give_back()
 
     built = docs.select("ident", F.xxhash64("ident"), "text").mapInArrow(build, "ident long, sig binary, found binary, bits binary")
     return built.join(members.hint("merge"), ["ident", "sig"])
@@ -278,6 +286,7 @@ def links(members: DataFrame, percent: int) -> DataFrame:
                 yield from compare(members, Forest(), linked, percent, sides)
 
         yield from edge_batches(edges())
+        give_back()
 
     return spread.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high") \
         .mapInArrow(verify, "a long, b long")

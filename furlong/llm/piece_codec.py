@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from furlong.llm.common import stored, text_of
+from furlong.llm.common import give_back, stored, text_of
 from furlong.llm.vocabulary import MODEL, REMEMBERED, SPACE, WIDTH, Vocabulary
 
 CHUNK = 65_536
@@ -330,6 +330,7 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, chunk: int =
             ids = lists(segmenter.batch(texts.to_pylist()))
             back = spell(ids, vocabulary.spelled) if decoded else pa.nulls(len(ids), pa.string())
             yield pa.StructArray.from_arrays([ids, back], names=["piece_ids", "decoded"])
+        give_back()
 
     @F.arrow_udf("array<double>")
     def matrices(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
