@@ -6,8 +6,9 @@ prefix are probably near. A tree is the array of vectors sorted by string, held
 several of at most ``PIECE`` rows where a first symbol is frequent.
 
 A search descends to the longest prefix in all trees at once and ascends one bit at a time in all trees together until
-they offer enough candidates; how many a prefix has is known from one table of counts of fixed size. Candidates are
-screened with vectors of one byte per component; the best are measured on the original vectors in double precision.
+they offer enough candidates; how many a prefix has is known from one table of counts of fixed size. Every candidate
+is measured on the original vectors in double precision where its piece lies, and the ``k`` + 1 nearest of each piece
+go on, so no candidate that belongs to the result is lost however close together the others lie.
 
 Equal vectors are searched once: of each group only the ``k`` + 1 smallest identifiers can be among anyone's ``k``
 nearest, so a vector with a third of all rows is one row of the index.
@@ -21,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from furlong.llm.common import stored
 
@@ -29,8 +31,8 @@ TREES, SEED = 40, 20_240_601
 DEPTH, PIECE = 12, 8192
 #: A search takes prefixes with at least ``LEAST`` candidates a tree, and ``SHARE`` * n ** ``POWER`` over all trees.
 LEAST, SHARE, POWER = 128, 30.0, 0.6
-#: Candidates that go on after screening: of each tree's piece, and of all.
-SCREENED, MEASURED = 32, 64
+#: Components of the pairs that are measured at a time.
+MEASURED = 1 << 20
 
 
 def sound(vector: Column) -> Column:
@@ -68,12 +70,6 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(column.flatten(), float).reshape(-1, dim)
 
 
-def packed(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One byte per component, and the step of each vector."""
-    step = np.abs(vectors).max(axis=1) / 127
-    return np.rint(vectors / step[:, None]).astype(np.int8), step
-
-
 def rows_of(values: np.ndarray) -> pa.Array:
     size = values.shape[1] * values.itemsize
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(size), len(values), [None, pa.py_buffer(np.ascontiguousarray(values))]) \
@@ -107,22 +103,25 @@ def count_cells(reps: DataFrame, forest: Forest) -> np.ndarray:
 
 
 def entries(reps: DataFrame, forest: Forest, pieces: np.ndarray) -> DataFrame:
-    """The index: a row per tree and vector."""
+    """The index: a row per tree and vector, with the components as they are (4 bytes each if single precision, else 8)."""
+    kind = np.float32 if reps.schema["vector"].dataType.elementType == T.FloatType() else np.float64
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = matrix(batch.column(1), forest.dim)
             if not len(vectors):
                 continue
-            small, step = packed(vectors)
-            keys = np.asarray(batch.column(0))
+            keys, raw = np.asarray(batch.column(0)), rows_of(vectors.astype(kind))
             dealt = (keys * 0x9E3779B1 >> 7) & 0x7FFFFFFF
             for tree, own in enumerate(forest.cells(vectors)):
                 symbol = forest.first(own)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array((tree << forest.width) + symbol), pa.array(dealt % pieces[tree, symbol]), pa.array(own), pa.array(keys),
-                     pa.array(step), rows_of(small)], ["bucket", "piece", "cell", "rep", "step", "small"])
+                     batch.column(2), raw], ["bucket", "piece", "cell", "rep", "least", "raw"])
 
-    return reps.select("rep", "vector").mapInArrow(place, "bucket long, piece long, cell long, rep long, step double, small binary")
+    kept = reps.select("rep", "vector", F.col("near")[0]["id"].alias("least"))
+    return kept.mapInArrow(place, T.StructType([*(T.StructField(c, T.LongType()) for c in ("bucket", "piece", "cell", "rep")),
+                                                kept.schema["least"], T.StructField("raw", T.BinaryType())]))
 
 
 def probes(queries: DataFrame, forest: Forest, counts: np.ndarray, pieces: np.ndarray, wanted: float) -> DataFrame:
@@ -159,36 +158,53 @@ def probes(queries: DataFrame, forest: Forest, counts: np.ndarray, pieces: np.nd
     return queries.select("rep", "vector").mapInArrow(look, "bucket long, piece long, low long, high long, query long, vector binary")
 
 
-def screen(index: DataFrame, asked: DataFrame, dim: int, most: int = SCREENED) -> DataFrame:
-    """query, rep, about (squared distance to the packed vector): the ``most`` nearest of each query in each piece."""
+def closest_pairs(queries: np.ndarray, vectors: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, vector and distance of all pairs that may be among the ``most`` nearest of their query, ties included.
+
+    Products sort out pairs only beyond what rounding can add to them; the others are measured component by component.
+    """
+    squares, lengths = (queries**2).sum(axis=1), (vectors**2).sum(axis=1)
+    about = squares[:, None] + lengths - 2 * queries @ vectors.T
+    # twice what rounding can move a value by, and as much again for the roots that tie
+    slack = (8 * queries.shape[1] + 64) * np.finfo(float).eps * (squares + lengths.max())
+    limit = np.partition(about, most - 1, axis=1)[:, most - 1] if len(vectors) > most else np.full(len(queries), np.inf)
+    q, v = np.nonzero(about <= (limit + slack)[:, None])
+    total = [np.zeros(0)]
+    for at in range(0, len(q), step := MEASURED // queries.shape[1] + 1):
+        some = slice(at, at + step)
+        total.append(np.cumsum((queries[q[some]] - vectors[v[some]])**2, axis=1)[:, -1])  # added from left to right
+    return q, v, np.sqrt(np.concatenate(total))
+
+
+def screen(index: DataFrame, asked: DataFrame, dim: int, most: int) -> DataFrame:
+    """query, rep, least (smallest identifier), score (distance): the ``most`` nearest of each query in each piece."""
+    kind = index.schema["least"]
+
     def search(held: pa.Table, wanted: pa.Table) -> pa.Table:
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        found: list[pa.Table] = []
         if held.num_rows and wanted.num_rows:
             cells = held.column("cell").to_numpy()
             order = np.argsort(cells, kind="stable")  # the piece as a sorted array
-            cells, reps = cells[order], held.column("rep").to_numpy()[order]
-            vectors = np.frombuffer(b"".join(held.column("small").to_pylist()), np.int8).reshape(-1, dim)[order] \
-                * held.column("step").to_numpy()[order][:, None]
-            lengths = (vectors**2).sum(axis=1)
+            cells, reps, least = cells[order], held.column("rep").to_numpy()[order], held.column("least").take(pa.array(order))
+            raw = b"".join(held.column("raw").to_pylist())
+            vectors = np.frombuffer(raw, np.float32 if len(raw) == 4 * dim * len(cells) else float).reshape(-1, dim)[order].astype(float)
             queries = np.frombuffer(b"".join(wanted.column("vector").to_pylist()), float).reshape(-1, dim)
             names, lows, highs = (wanted.column(c).to_numpy() for c in ("query", "low", "high"))
             for low, high in sorted(set(zip(lows.tolist(), highs.tolist()))):
                 a, b = np.searchsorted(cells, [low, high])
                 same = np.flatnonzero((lows == low) & (highs == high))
                 for some in np.array_split(same, len(same) // 256 + 1) if b > a else ():
-                    about = (queries[some]**2).sum(axis=1)[:, None] + lengths[a:b] - 2 * queries[some] @ vectors[a:b].T
-                    best = np.argpartition(about, most, axis=1)[:, :most] if b - a > most else np.tile(np.arange(b - a), (len(some), 1))
-                    found.append((np.repeat(names[some], best.shape[1]), reps[a:b][best].ravel(), np.take_along_axis(about, best, 1).ravel()))
-        joined = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table({"query": joined[0], "rep": joined[1], "about": joined[2]})
-
-    return index.groupBy("bucket", "piece").cogroup(asked.groupBy("bucket", "piece")) \
-        .applyInArrow(search, "query long, rep long, about double")
-
+                    q, v, score = closest_pairs(queries[some], vectors[a:b], most)
+                    pairs = pa.table({"query": names[some][q], "rep": reps[a:b][v], "least": least.slice(a, b - a).take(pa.array(v)), "score": score})
+                    pairs = pairs.sort_by([("query", "ascending"), ("score", "ascending"), ("least", "ascending"), ("rep", "ascending")])
+                    owner = pairs.column("query").to_numpy()
+                    rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
+                    found.append(pairs.filter(pa.array(rank < most)))
+        return pa.concat_tables(found) if found else pa.table(
+            {"query": pa.array([], pa.int64()), "rep": pa.array([], pa.int64()), "least": held.column("least").slice(0, 0), "score": pa.array([], pa.float64())})
 
-def distance(a: Column, b: Column) -> Column:
-    squares = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
-    return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda total, x: total + x))
+    return index.groupBy("bucket", "piece").cogroup(asked.groupBy("bucket", "piece")).applyInArrow(search, T.StructType(
+        [T.StructField("query", T.LongType()), T.StructField("rep", T.LongType()), kind, T.StructField("score", T.DoubleType())]))
 
 
 def nearest(table: DataFrame, is_query: Column, identifier: str = "vec_id", vector: str = "embedding", k: int = 10,
@@ -214,13 +230,10 @@ def nearest(table: DataFrame, is_query: Column, identifier: str = "vec_id", vect
     asking = base.filter("asks").select("row", "id", "vector")
     queries = stored(reps.join(asking.select("vector").distinct(), "vector").select("rep", "vector"))
     asked = probes(queries, forest, counts, np.maximum(pieces, 1), max(LEAST * trees, SHARE * n**POWER))
-    about = screen(entries(reps, forest, np.maximum(pieces, 1)), asked, forest.dim)
-    best = W.partitionBy("query").orderBy("about", "rep")
-    pairs = about.groupBy("query", "rep").agg(F.min("about").alias("about")) \
-        .withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= MEASURED).select("query", "rep")
-    measured = pairs.join(reps.select("rep", "near", F.col("vector").alias("_there")), "rep") \
-        .join(queries.select(F.col("rep").alias("query"), F.col("vector").alias("_here")), "query") \
-        .select("query", distance(F.col("_here"), F.col("_there")).alias("score"), F.explode("near").alias("_near"))
+    about = screen(entries(reps, forest, np.maximum(pieces, 1)), asked, forest.dim, k + 1)
+    best = W.partitionBy("query").orderBy("score", F.asc_nulls_last("least"), "rep")
+    pairs = about.distinct().withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= k + 1).select("query", "rep", "score")
+    measured = pairs.join(reps.select("rep", "near"), "rep").select("query", "score", F.explode("near").alias("_near"))
     closest = W.partitionBy("query").orderBy("score", F.asc_nulls_last("_near.id"), "_near.row")
     lists = measured.withColumn("_n", F.row_number().over(closest)).filter(F.col("_n") <= k + 1) \
         .groupBy("query").agg(F.sort_array(F.collect_list(F.struct("_n", "_near", "score"))).alias("list"))

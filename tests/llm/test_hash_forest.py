@@ -78,3 +78,23 @@ def test_a_search_rises_no_further_than_it_must(spark):
     wide = hash_forest.probes(reps.limit(20), forest, counts, pieces, 2000.0).selectExpr("sum(high - low)").first()[0]
     narrow = hash_forest.probes(reps.limit(20), forest, counts, pieces, 50.0).selectExpr("sum(high - low)").first()[0]
     assert narrow < wide
+
+
+@pytest.mark.parametrize("noise", [1e-2, 1e-3, 1e-5])
+def test_neighbours_inside_a_cluster_of_near_copies(spark, noise):
+    rng = np.random.default_rng(7)
+    centre = rng.normal(size=24)
+    near = centre + noise * np.abs(centre).mean() * rng.normal(size=(3000, 24))
+    vectors = np.concatenate((near, rng.normal(size=(1000, 24)))).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    got, expected = answer(table(spark, rows)), dict(brute(rows, lambda i: i % 100 == 0))
+    inside = [q for q in expected if q < 3000]
+    hits = sum(len({v for v, _ in got[q]} & {v for v, _ in expected[q]}) for q in inside)
+    assert len(inside) == 30 and hits >= 0.99 * 10 * len(inside)
+
+
+def test_equal_distances_go_to_the_smaller_identifiers(spark):
+    rows = [(0, [8.0] * 8)] + [(500 - i, [8.0 + (1 + i // 8 % 40) * (j == i % 8) for j in range(8)]) for i in range(320)] \
+        + [(1001 + i, [8.0 + (j == i % 8) - (j == (i + 1) % 8) for j in range(8)]) for i in range(8)]
+    got, expected = answer(table(spark, rows)), dict(brute(rows, lambda i: i % 100 == 0))
+    assert {q: [v for v, _ in f] for q, f in got.items()} == {q: [v for v, _ in f] for q, f in expected.items()}
