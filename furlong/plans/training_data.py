@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from furlong.functions.derive import distance_band
 from furlong.operators.evaluate import FINISHED, assert_no_leak, label
+from furlong.operators.groups import join_same, keyed
 from furlong.operators.history import attach_state, last_n, state_before, with_history
 from furlong.operators.in_race import race_totals, rank_in_race
 from furlong.operators.joins import odds_as_of
@@ -67,7 +68,8 @@ def states(base: DataFrame, keys: Sequence[str], finer: Sequence[Sequence[str]],
 
     Rows are summed once per day and finest combination; all windows share one
     shuffle by ``keys``. Totals are named after the sum and, for a finer set,
-    its last key.
+    its last key. A row without a finer key has the totals of ``keys``, and
+    none of that finer set.
     """
     all_keys = list(dict.fromkeys([*keys, *[k for extra in finer for k in extra]]))
     daily = base.groupBy(*all_keys, day).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
@@ -75,7 +77,7 @@ def states(base: DataFrame, keys: Sequence[str], finer: Sequence[Sequence[str]],
     for level in (list(keys), *map(list, finer)):
         suffix = "" if level == list(keys) else f"_{level[-1]}"
         earlier = W.partitionBy(*level).orderBy(F.unix_date(day)).rangeBetween(W.unboundedPreceding, -1)
-        columns |= {f"{n}{suffix}": F.sum(n).over(earlier) for n in sums}
+        columns |= {f"{n}{suffix}": F.when(keyed(level), F.sum(n).over(earlier)) for n in sums}
     return daily.select(*all_keys, day, *[c.alias(f"_t{n}") for n, c in columns.items()])
 
 
@@ -130,7 +132,7 @@ def training_data(races: DataFrame, entries: DataFrame, results: DataFrame, pedi
     for entity, finer, sums, columns in plans:
         state = states(base, [entity], [[entity, k] for k in finer], day, sums)
         totals = [c for c in state.columns if c.startswith("_t")]
-        out = out.join(state, [entity, *finer, day], "left").withColumns(columns).drop(*totals)
+        out = join_same(out, state.filter(keyed([entity, day])), [entity, *finer, day]).withColumns(columns).drop(*totals)
 
     # Comparisons inside the race.
     race = ["race_id"]
