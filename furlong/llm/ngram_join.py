@@ -292,17 +292,8 @@ def links(members: DataFrame, percent: int) -> DataFrame:
         .mapInArrow(verify, "a long, b long")
 
 
-def join(docs: DataFrame, identifier: str = "doc_id", text: str = "text", size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Set size and class of every document.
-
-    Two documents link when 100 * shared >= ``percent`` * united shingles; a class is everything that links reach. With
-    fewer than ``size`` words the whole sequence is the one shingle. Null texts and texts without a word have an empty
-    set, link with nothing and are a class of their own. Rows that repeat an identifier are documents of their own;
-    null identifiers count as largest. Hashes of 64 bits stand for shingles: two of them coincide about
-    once in 10**19 pairs. An empty table gives no rows.
-
-    Returns doc_id, n_shingles, component_id (smallest identifier of the class).
-    """
+def placed_sets(docs: DataFrame, identifier: str, text: str, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Every row (id, n, sig and more), and of each set that is not empty (sig) its least identifier and its class."""
     spoken = docs.select(F.col(identifier).alias("id"), F.xxhash64(identifier).alias("ident"), text_of(text).alias("text"))
     counts = rarity(spoken.select("text"), size)
     rows = stored(described(spoken, size, percent, counts).withColumn("row", F.monotonically_increasing_id()))
@@ -316,23 +307,69 @@ def join(docs: DataFrame, identifier: str = "doc_id", text: str = "text", size:
     members = stored(sets.join(placed, "gkey").drop("gkey"))
     linked = components(links(sets_of(spoken, members.select("sig", "ident", "rep", "cluster", "n"), size), percent))
     reached = members.join(linked, F.col("rep") == F.col("node")).select("sig", "component", "least")
+    return rows, sets.select("sig", "least"), reached
+
+
+def join(docs: DataFrame, identifier: str = "doc_id", text: str = "text", size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Set size and class of every document.
+
+    Two documents link when 100 * shared >= ``percent`` * united shingles; a class is everything that links reach. With
+    fewer than ``size`` words the whole sequence is the one shingle. Null texts and texts without a word have an empty
+    set, link with nothing and are a class of their own. Rows that repeat an identifier are documents of their own;
+    null identifiers count as largest. Hashes of 64 bits stand for shingles: two of them coincide about
+    once in 10**19 pairs. An empty table gives no rows.
+
+    Returns doc_id, n_shingles, component_id (smallest identifier of the class).
+    """
+    rows, sets, reached = placed_sets(docs, identifier, text, size, percent)
+    some = rows.filter("n > 0")
     smallest = reached.groupBy("component").agg(F.min("least").alias("class_id"))
-    classes = sets.select("sig", "least").join(reached.join(smallest, "component").select("sig", "class_id"), "sig", "left") \
+    classes = sets.join(reached.join(smallest, "component").select("sig", "class_id"), "sig", "left") \
         .select("sig", F.coalesce("class_id", "least").alias("component_id"))
     together = some.select("sig", "id", "n").join(classes, "sig").select("id", "n", "component_id")
     alone = rows.filter("n = 0").select("id", "n", F.col("id").alias("component_id"))
     return together.unionByName(alone).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
 
 
-def keep_one(docs: DataFrame, identifier: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents whose identifier is the smallest of their class, with all their columns.
+def signed(docs: DataFrame, text: str, size: int) -> DataFrame:
+    """``docs`` with the signature _sig of each set, null if it is empty."""
+    @F.arrow_udf("binary")
+    def sign(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        hashes = WordHashes()
+        for texts in batches:
+            found = (shingles(t.as_py(), size, hashes) for t in texts)
+            yield pa.array([signature(f) if len(f) else None for f in found], pa.binary())
+        hashes.clear()
+        give_back()
+
+    return docs.withColumn("_sig", sign(text_of(text)))
+
+
+def keep_one(docs: DataFrame, identifier: str = "doc_id", text: str = "text", size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row of each class, with all its columns: that of the smallest identifier, null last.
 
-    Rows that share that identifier all stay, as do rows without one. Only documents that may be among the dropped
-    ones pass through a join.
+    If an identifier has several rows in a class, that of the smallest set signature stays, of equal sets that of the
+    smallest row hash. Rows with an empty set are classes of their own and stay. An identifier all of whose rows go, or
+    whose only row stays, is decided by itself; only rows whose identifier is null or has rows of both kinds are
+    told apart by their sets.
     """
-    found = join(docs, identifier, text, **options)
-    dropped = stored(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_dropped")).distinct())
-    some = Bitmap(dropped, "_dropped").may_hold(F.col(identifier))
-    tested = docs.withColumn("_maybe", some)
-    rest = tested.filter("_maybe").join(dropped.hint("merge"), F.col(identifier) == F.col("_dropped"), "left_anti")
-    return tested.filter("NOT _maybe").unionByName(rest).drop("_maybe")
+    rows, sets, reached = placed_sets(docs, identifier, text, size, percent)
+    first = F.min(F.struct(F.col("least").isNull(), "least", "sig")).alias("_first")
+    linked = reached.groupBy("component").agg(first)
+    leaders = stored(sets.join(reached, "sig", "left_anti").select("sig", "least").unionByName(
+        linked.select("_first.sig", "_first.least")))
+    kept = F.col("n").eqNullSafe(0) | (F.col("_leads") & F.col("id").eqNullSafe(F.col("least")))
+    owned = rows.select("id", "sig", "n").join(leaders.withColumn("_leads", F.lit(True)), "sig", "left") \
+        .groupBy("id").agg(F.count(F.lit(1)).alias("_rows"), F.max(F.coalesce(kept, F.lit(False))).alias("_kept"))
+    unsure = stored(owned.filter("id IS NOT NULL AND (_rows > 1 OR NOT _kept)").select(F.col("id").alias("_id"), "_kept"))
+    some = Bitmap(unsure, "_id").may_hold(F.col(identifier))
+    tested = docs.withColumn("_maybe", F.col(identifier).isNull() | some)
+    looked = tested.filter("_maybe").drop("_maybe").join(unsure.hint("merge"), F.col(identifier) == F.col("_id"), "left")
+    sure = looked.filter(F.col(identifier).isNotNull() & F.col("_id").isNull()).select(*docs.columns)
+    mixed = signed(looked.filter(F.col(identifier).isNull() | F.col("_kept")).select(*docs.columns), text, size)
+    hashed = [F.col(f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    one = mixed.filter("_sig IS NOT NULL").groupBy(F.col(identifier).alias("_id"), "_sig") \
+        .agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*hashed)).alias("_row"))
+    told = one.join(leaders, (F.col("_sig") == F.col("sig")) & F.col("_id").eqNullSafe(F.col("least")), "left_semi").select("_row.*")
+    empty = mixed.filter("_sig IS NULL").select(*docs.columns)
+    return tested.filter("NOT _maybe").drop("_maybe").unionByName(sure).unionByName(told).unionByName(empty)

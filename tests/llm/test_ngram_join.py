@@ -118,3 +118,34 @@ def test_components_of_any_shape(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: root(x) for x in parent if x != 400 or x in got}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_one_row_of_each_class_stays_with_repeated_and_missing_identifiers(spark):
+    rng = random.Random(3)
+    text, other = words(rng, 120, 3000), words(rng, 120, 3000)
+    own = [(1, text), (2, text + " more"), (2, other), (None, text), (None, words(rng, 90, 3000)), (5, "a b c d"), (5, "a b c d"), (5, "A b c d")]
+    lone = words(rng, 100, 3000)
+    own += [(None, lone), (None, lone + " end"), (7, ""), (7, None), (None, ""), (None, None)]
+    rows = documents() + family() + [(i, t, *[None] * 7) for i, t in own]
+    sets = [shingle_set(r[1], 4) for r in rows]
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                parent[root(i)] = root(j)
+    least = {}
+    for i, r in enumerate(rows):
+        key = (r[0] is None, r[0] or 0)
+        least[root(i)] = min(least.get(root(i), key), key)
+    kept = ngram_join.keep_one(frame(spark, rows)).collect()
+    assert sorted(repr(r["doc_id"]) for r in kept) == sorted(repr(None if none else i) for none, i in least.values())
+    classes = {r: root(i) for i, r in enumerate(rows) if sets[i]}
+    found = [classes[tuple(r)] for r in kept if shingle_set(r["text"], 4)]
+    assert len(found) == len(set(found)) == len(set(classes.values()))
