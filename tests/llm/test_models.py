@@ -194,6 +194,43 @@ def test_toxicity_of_awkward_rows(spark):
     assert toxicity.score(frame(spark, []), model).collect() == []
 
 
+def test_long_clean_texts_stay_clean(spark):
+    sf, rng = "/root/testdata/sf0.1", random.Random(3)
+    docs, known = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    held_out = language.remainder(F.col("doc_id"), 5) == 0
+    model = toxicity.fit(docs.filter(~held_out), known)
+    rated = toxicity.score(docs.filter(held_out).join(known, "doc_id"), model).orderBy("doc_id").collect()
+    clean = [r["text"] for r in rated if r["toxic"] == 0 and r["toxicity"]["score"] < 0.5 and not r["toxicity"]["offending"]]
+    offending = [r["text"] for r in rated if r["toxic"] == 1 and r["toxicity"]["offending"]]
+    rows = []
+    for n in (100_000, 200_000, 400_000, 1_000_000) * 3:
+        rng.shuffle(clean)
+        long = "\n".join(clean * 4)[:n]
+        rows += [(0, long, *[None] * 7), (1, f"{long[:n // 2]}\n{rng.choice(offending)}\n{long[n // 2:]}", *[None] * 7)]
+    got = toxicity.score(frame(spark, rows), model).collect()
+    assert max(r["toxicity"]["score"] for r in got if r["doc_id"] == 0) < 0.5
+    assert min(r["toxicity"]["score"] for r in got if r["doc_id"] == 1) >= 0.5
+
+
+def test_long_labelled_texts_are_learnt_from(spark):
+    rng = random.Random(8)
+    rows = [(i, ". ".join(words(rng, 8, 60) for _ in range(9 if i % 2 else 900)) + ".", *[None] * 7) for i in range(60)]
+    rows += [(100 + i, ". ".join(words(rng, 8, 60) + (" vile" if j % 3 == 0 else "") for j in range(900)), *[None] * 7) for i in range(30)]
+    assert all(len(r[1]) > 20_000 for r in rows[60:])
+    model = toxicity.fit(frame(spark, rows), labels(spark, [(r[0], 1, int(r[0] >= 100)) for r in rows]))
+    short = [(0, "w1 w2 w3", *[None] * 7), (1, "w1 vile w3", *[None] * 7)]
+    got = {r["doc_id"]: r["toxicity"]["score"] for r in toxicity.score(frame(spark, short), model).collect()}
+    assert got[0] < got[1] and got[0] < 0.1
+
+
+def test_sentences_drawn_from_a_long_text():
+    text = ". ".join(f"sentence {i} of many" for i in range(5000))
+    drawn, stands_for = toxicity.bag(text, 20_000)
+    assert len(drawn) <= 20_000 and drawn.count("\n") + 1 == round(5000 / stands_for) and set(drawn.split("\n")) <= set(text.split("."))
+    assert toxicity.bag("short. text", 20_000) == ("short. text", 1.0)
+    assert 0 < len(toxicity.bag("word " * 20_000, 1000)[0]) <= 1000 and toxicity.bag("." * 3000, 1000) == ("", 1.0)
+
+
 def test_bitmap_never_misses_a_member(spark):
     held = Bitmap(spark.range(0, 3000, 3).withColumnRenamed("id", "k"), "k")
     got = {r["id"] for r in spark.range(3000).filter(held.may_hold(F.col("id"))).collect()}
