@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furlong.llm import exact_dedup, hash_forest, importance, language, mixing, ngram_join, piece_codec, token_counts, toxicity, warc
+from furlong.llm import exact_dedup, hash_forest, importance, language, merkle, mixing, ngram_join, piece_codec, token_counts, toxicity, warc
 from furlong.llm.common import shared_path, text_of
 from furlong.llm.vocabulary import SPACE
 from furlong.session import prepare
@@ -99,3 +99,14 @@ def op4_nearest(spark, sf_dir):
 @query()
 def op2_ngram_join(spark, sf_dir):
     return ngram_join.join(load(spark, sf_dir, "documents"))
+
+
+@query(merkle.SQL)
+def op13_merkle(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    shown = merkle.tampered(F.col("text"), F.col("doc_id"))
+    leaf = merkle.leaf_of([*fields, F.col("text")])
+    manifest = merkle.build(docs, leaf, presented=F.when(shown != F.col("text"), merkle.leaf_of([*fields, shown])))
+    return merkle.prove(manifest, paths=False).select(
+        "row.doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
