@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furlong.llm import exact_dedup, hash_forest, importance, language, merkle, mixing, ngram_join, piece_codec, token_counts, toxicity, warc
+from furlong.llm import exact_dedup, hash_forest, importance, language, merkle, mixing, ngram_join, pii, piece_codec, token_counts, toxicity, warc
 from furlong.llm.common import shared_path, text_of
 from furlong.llm.vocabulary import SPACE
 from furlong.session import prepare
@@ -110,3 +110,11 @@ def op13_merkle(spark, sf_dir):
     manifest = merkle.build(docs, leaf, presented=F.when(shown != F.col("text"), merkle.leaf_of([*fields, shown])))
     return merkle.prove(manifest, paths=False).select(
         "row.doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@query()
+def op12_pii(spark, sf_dir):
+    found = pii.find(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.col("spans")
+    return found.select("doc_id", *[pii.number_of(spans, kind).alias(f"n_{kind}") for kind in pii.BASE],
+                        F.sha2(pii.listed(pii.base_of(spans)), 256).alias("base_sha256"), pii.listed(spans).alias("spans"))
