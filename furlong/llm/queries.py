@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furlong.llm import exact_dedup, hash_forest, importance, language, merkle, mixing, ngram_join, pii, piece_codec, token_counts, toxicity, warc
+from furlong.llm import collocations, exact_dedup, hash_forest, importance, language, merkle, mixing, ngram_join, pii, piece_codec, token_counts, toxicity, warc
 from furlong.llm.common import shared_path, text_of
 from furlong.llm.vocabulary import SPACE
 from furlong.session import prepare
@@ -118,3 +118,8 @@ def op12_pii(spark, sf_dir):
     spans = F.col("spans")
     return found.select("doc_id", *[pii.number_of(spans, kind).alias(f"n_{kind}") for kind in pii.BASE],
                         F.sha2(pii.listed(pii.base_of(spans)), 256).alias("base_sha256"), pii.listed(spans).alias("spans"))
+
+
+@query(collocations.SQL)
+def op11_phrases(spark, sf_dir):
+    return collocations.mine(load(spark, sf_dir, "documents"))
