@@ -29,11 +29,11 @@ PIECE_END = r"[.,;:!?\x0A-\x0D]"
 UNKNOWN = "und"
 LONGEST, LEAST, COVERED, TOP = 3, 10, 50, 2000
 #: Bytes of text that a task counts at a time, and of text for each range of a language.
-SHARD, RANGE = 12_000_000, 24_000_000
+SHARD, RANGE = 6_000_000, 24_000_000
 #: A longer text is cut into stretches of so many characters.
 STRETCH = 4_000_000
 #: Arcs that a task unites at a time.
-UNITED = 1 << 21
+UNITED = 1 << 19
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
@@ -228,16 +228,8 @@ def registered(group: np.ndarray, owner: np.ndarray, columns: list[np.ndarray])
     return state, np.repeat(stays, size), size[stays]
 
 
-def packed_schema(longest: int) -> T.StructType:
-    ints, longs = T.ArrayType(T.IntegerType(), False), T.ArrayType(T.LongType(), False)
-    schema = T.StructType().add("lang", "string").add("range", "long").add("total", "long").add("words", T.ArrayType(T.StringType(), False))
-    for depth in range(1, longest + 1):
-        if depth > 1:
-            schema.add(f"sizes{depth}", ints)
-        schema.add(f"labels{depth}", ints).add(f"weights{depth}", longs)
-        if depth < longest:
-            schema.add(f"states{depth}", ints)
-    return schema
+#: A row: its transducer is a compressed Arrow batch of one row with the columns of ``pack``.
+PACKED = T.StructType().add("lang", "string").add("range", "long").add("total", "long").add("transducer", "binary")
 
 
 def pack(lang: str, forest: Tree, group: np.ndarray, total: np.ndarray | None = None) -> pa.RecordBatch:
@@ -277,15 +269,25 @@ def pack(lang: str, forest: Tree, group: np.ndarray, total: np.ndarray | None =
         columns[f"weights{depth}"] = lists(level.weight[stays], kept_group, pa.int64())
         if depth < longest:
             columns[f"states{depth}"] = lists(arcs[2][stays], kept_group, pa.int32())
-    columns |= {"lang": pa.array([lang] * len(rows), pa.string()), "range": pa.array(rows),
-                "total": pa.array(np.zeros(len(rows), np.int64) if total is None else total),
-                "words": lists(forest.words.take(pa.array(keys % size)), word_group, pa.string())}
-    names = packed_schema(longest).names
-    return pa.RecordBatch.from_arrays([columns[n] for n in names], names)
+    columns["words"] = lists(forest.words.take(pa.array(keys % size)), word_group, pa.string())
+    together = pa.RecordBatch.from_pydict(columns)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([lang] * len(rows), pa.string()), pa.array(rows), pa.array(np.zeros(len(rows), np.int64) if total is None else total),
+         pa.array([squeezed(together.slice(i, 1)) for i in range(len(rows))], pa.binary())], PACKED.names)
 
 
-def unpack(batch: pa.RecordBatch, longest: int) -> Tree:
+def squeezed(row: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, row.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(row)
+    return sink.getvalue().to_pybytes()
+
+
+def unpack(rows: pa.RecordBatch, longest: int) -> Tree:
     """The transducers of all rows as one tree; words and phrases may repeat and are not sorted."""
+    batch = pa.Table.from_batches([pa.ipc.open_stream(one.as_buffer()).read_next_batch() for one in rows["transducer"]]).combine_chunks()
+    batch = {name: batch[name].combine_chunks() for name in batch.column_names}
+
     def parts(name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Values, the row of each, and the number of the first value of each row."""
         column = batch[name]
@@ -388,7 +390,7 @@ def shards(docs: DataFrame, longest: int, ranges: int) -> DataFrame:
         yield from count_held()
         give_back()
 
-    return docs.mapInArrow(count, packed_schema(longest))
+    return docs.mapInArrow(count, PACKED)
 
 
 def by_range(df: DataFrame, *order: str) -> DataFrame:
@@ -420,13 +422,9 @@ def unite(packed: DataFrame, longest: int, least: int) -> DataFrame:
             total = tree.levels[0].weight.sum()
             tree = pruned(tree, least)
             held.clear()
-            if len(tree.levels[0]):
-                return pack(key[0], tree, np.full(len(tree.levels[0]), key[1]), np.array([total]))
-            empty = pa.array([[]], pa.list_(pa.string()))
-            names = packed_schema(longest).names
-            fill = {"lang": pa.array([key[0]], pa.string()), "range": pa.array([key[1]]), "total": pa.array([total]), "words": empty}
-            longs = {n: pa.array([[]], pa.list_(pa.int64() if n.startswith("weights") else pa.int32())) for n in names if n not in fill}
-            return pa.RecordBatch.from_arrays([(fill | longs)[n] for n in names], names)
+            if not len(tree.levels[0]):  # nothing frequent
+                return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.string()), pa.array([key[1]]), pa.array([total]), pa.array([None], pa.binary())], PACKED.names)
+            return pack(key[0], tree, np.full(len(tree.levels[0]), key[1]), np.array([total]))
 
         for new, rows in runs(batches):
             if new:
@@ -442,7 +440,7 @@ def unite(packed: DataFrame, longest: int, least: int) -> DataFrame:
             yield close()
         give_back()
 
-    return by_range(packed).mapInArrow(merge, packed_schema(longest))
+    return by_range(packed).mapInArrow(merge, PACKED)
 
 
 def parts_wanted(transducers: DataFrame, longest: int, ranges: int) -> DataFrame:
@@ -479,7 +477,7 @@ def parts_wanted(transducers: DataFrame, longest: int, ranges: int) -> DataFrame
 
 def with_transducer(transducers: DataFrame, rows: DataFrame) -> DataFrame:
     """Rows of each (lang, range) behind the transducer of that range."""
-    return by_range(transducers.unionByName(rows, allowMissingColumns=True).withColumn("_own", F.col("words").isNull()), "_own").drop("_own")
+    return by_range(transducers.unionByName(rows, allowMissingColumns=True).withColumn("_own", F.col("part").isNotNull()), "_own").drop("_own")
 
 
 def answered(transducers: DataFrame, wanted: DataFrame, longest: int) -> DataFrame:
@@ -570,14 +568,15 @@ def mine(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int =
     # a scalar that sets the number of ranges, as they must grow with the text
     size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = 1 + size // RANGE
-    transducers = stored(unite(shards(known, longest, ranges), longest, least))
+    every = stored(unite(shards(known, longest, ranges), longest, least))
+    transducers = every.filter(F.col("transducer").isNotNull())
     answers = answered(transducers, parts_wanted(transducers, longest, ranges), longest)
     found = stored(scored(transducers, answers, longest))
     longer = found.select("lang", F.explode("inner").alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("_longer"))
     kept = found.drop("inner").join(longer, ["lang", "phrase"], "left") \
         .filter(F.col("_longer").isNull() | (100 * F.col("_longer") < covered * F.col("a")))
     order = W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    words = transducers.groupBy("lang").agg(F.sum("total").alias("n"))
+    words = every.groupBy("lang").agg(F.sum("total").alias("n"))
     return kept.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= top) \
         .join(words, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
