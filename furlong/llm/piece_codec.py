@@ -12,101 +12,127 @@ Ties: at every position the piece that starts earliest wins, as in the unigram t
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furlong.llm.common import give_back, stored, text_of
-from furlong.llm.vocabulary import MODEL, REMEMBERED, SPACE, WIDTH, Vocabulary
+from furlong.llm.vocabulary import MODEL, SPACE, WIDTH, Vocabulary
 
 CHUNK = 65_536
 BLOCK = 64
-#: Words up to this length are solved together, those of so many characters of text at a time.
-SHORT, TOGETHER = 32, 1 << 19
+#: Words up to this length are solved together, so many abreast; distinct words are those of so many characters of text.
+SHORT, ABREAST, TOGETHER = 32, 4096, 1 << 22
+#: Ids spelled at a time.
+SPELLED = 1 << 23
 NEVER = float("-inf")
 
 
-class Segmenter(dict):
-    """Word to the bytes of its int32 piece ids."""
+class Segmenter:
+    """Best segmentations as int32 piece ids. Nothing is kept between batches; a vocabulary takes a few megabytes."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary, self.pairs, self.trie = vocabulary, vocabulary.pairs, vocabulary.trie
+        self.vocabulary, self.pairs = vocabulary, vocabulary.pairs
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
+    def word(self, word: str) -> list[int]:
         _, came = self.forward(word, len(word), {0: 0.0})
-        value = self[word] = array("i", self.trace(word, came, len(word))[1]).tobytes()
-        return value
-
-    def learn(self, words: set[str]) -> None:
-        """Solve many short words of common characters at once, one start position of all of them per step.
-
-        The steps are those of ``forward``; words that hold a character without a piece are left to it.
+        return self.trace(word, came, len(word))[1]
+
+    def solve(self, words: list[str]) -> pa.ListArray:
+        """Ids of each word: common short ones together, others one by one."""
+        lengths = np.array([len(w) for w in words], np.int64)
+        order = np.argsort(lengths, kind="stable")
+        order = order[:np.searchsorted(lengths[order], SHORT, side="right")]
+        found: list[np.ndarray] = []
+        sizes = np.zeros(len(words), np.int64)
+        solved = np.zeros(len(words), bool)
+        ranked = []
+        for start in range(0, len(order), ABREAST):
+            rows = order[start:start + ABREAST]
+            known, counts, ids = self.abreast([words[i] for i in rows])
+            ranked.append(rows[known])
+            sizes[rows[known]] = counts
+            solved[rows[known]] = True
+            found.append(ids)
+        for i in np.flatnonzero(~solved).tolist():
+            ids = self.word(words[i])
+            ranked.append(np.array([i]))
+            sizes[i] = len(ids)
+            found.append(np.array(ids, np.int32))
+        by = np.concatenate(ranked) if ranked else np.zeros(0, np.int64)
+        ends = np.concatenate([[0], np.cumsum(sizes[by])]).astype(np.int32)
+        solutions = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32), pa.int32()))
+        place = np.empty(len(words), np.int64)
+        place[by] = np.arange(len(by))
+        return solutions.take(pa.array(place))
+
+    def abreast(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Many short words at once, one start position of all of them per step.
+
+        The steps are those of ``forward``; words that hold a character without a piece are left to it. Returns the words
+        that were solved, their numbers of ids and the ids.
         """
-        table, piece_at, worth_at = self.vocabulary.steps
-        leaf = np.int32(len(table) - 1)
-        chosen = sorted((w for w in words if len(w) <= SHORT and w.isprintable()), key=len, reverse=True)
-        if not chosen:
-            return
-        lengths = np.array([len(w) for w in chosen])
-        points = np.frombuffer("".join(chosen).encode("utf-32-le"), np.uint32)
+        first, owner, target, piece_at, worth_at = self.vocabulary.steps
+        lengths = np.array([len(w) for w in words])
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
         kinds = np.where(points < WIDTH - 2, points, np.where(points == ord(SPACE), WIDTH - 2, WIDTH - 1))
-        width = int(lengths[0])
-        codes = np.full((len(chosen), width + self.vocabulary.longest), WIDTH - 1, np.int32)
-        codes[np.repeat(np.arange(len(chosen)), lengths), np.arange(len(points)) - np.repeat(lengths.cumsum() - lengths, lengths)] = kinds
-        scores = np.full((len(chosen), width + 1), NEVER)
-        scores[:, 0] = 0.0
-        start_of = np.zeros((len(chosen), width + 1), np.int16)
-        piece_of = np.full((len(chosen), width + 1), -1, np.int32)
-        known = (codes[:, :width] < WIDTH - 1).sum(axis=1) == lengths
+        width = int(lengths.max(initial=0))
+        codes = np.full((width + self.vocabulary.longest, len(words)), WIDTH - 1, np.int32)
+        column = np.repeat(np.arange(len(words)), lengths)
+        codes[np.arange(len(points)) - np.repeat(lengths.cumsum() - lengths, lengths), column] = kinds
+        scores = np.full((width + 1, len(words)), NEVER)
+        scores[0] = 0.0
+        start_of = np.zeros((width + 1, len(words)), np.int16)
+        piece_of = np.full((width + 1, len(words)), -1, np.int32)
+        known = (codes[:width] < WIDTH - 1).sum(axis=0) == lengths
         for i in range(width):
-            rows = np.arange(np.searchsorted(-lengths, -i, side="left"))
-            rows = rows[known[rows]]
-            base, node, single = scores[:, i], np.zeros(len(rows), np.int32), np.zeros(len(chosen), bool)
-            some = rows
+            some = rows = np.flatnonzero(known & (lengths > i))
+            base, node, single = scores[i], np.zeros(len(rows), np.int32), np.zeros(len(words), bool)
             for end in range(i + 1, i + self.vocabulary.longest + 1):
-                node = table[np.minimum(node, leaf), codes[some, end - 1]]
-                alive = node >= 0
-                some, node = some[alive], node[alive]
+                at = first[node] + codes[end - 1, some]
+                alive = np.flatnonzero(owner[at] == node)
+                some, node = some[alive], target[at[alive]]
                 if not len(some):
                     break
-                ends = piece_at[node] >= 0
+                ends = np.flatnonzero(piece_at[node] >= 0)
                 hit, at = some[ends], node[ends]
                 if end == i + 1:
                     single[hit] = True
                 candidate = base[hit] + worth_at[at]
-                better = candidate > scores[hit, end]
+                better = np.flatnonzero(candidate > scores[end, hit])
                 hit, at = hit[better], at[better]
-                scores[hit, end], start_of[hit, end], piece_of[hit, end] = candidate[better], i, piece_at[at]
+                scores[end, hit], start_of[end, hit], piece_of[end, hit] = candidate[better], i, piece_at[at]
             known[rows[~single[rows]]] = False
         rows = np.flatnonzero(known)
         out = np.zeros((len(rows), width), np.int32)
         end, left = lengths[rows].copy(), np.full(len(rows), width)
         while (open_ := np.flatnonzero(end > 0)).size:
             left[open_] -= 1
-            out[open_, left[open_]] = piece_of[rows[open_], end[open_]]
-            end[open_] = start_of[rows[open_], end[open_]]
-        if len(self) + len(rows) > REMEMBERED:
-            self.clear()
-        for k, (row, first) in enumerate(zip(rows.tolist(), left.tolist())):
-            self[chosen[row]] = out[k, first:].tobytes()
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, about ``TOGETHER`` characters at a time."""
-        done, held, size = [], [], 0
+            out[open_, left[open_]] = piece_of[end[open_], rows[open_]]
+            end[open_] = start_of[end[open_], rows[open_]]
+        return rows, width - left, out[np.arange(width) >= left[:, None]]
+
+    def batch(self, texts: list[str]) -> pa.ListArray:
+        """Ids of each text, about ``TOGETHER`` characters at a time: their distinct words are solved, the texts are put together by index."""
+        done, start, size = [], 0, 0
         for k, text in enumerate(texts):
-            held.append(self.vocabulary.words.findall(text))
             size += len(text)
             if size >= TOGETHER or k + 1 == len(texts):
-                self.learn({w for words in held for w in words if w not in self})
-                done += [b"".join(map(self.__getitem__, words)) for words in held]
-                held, size = [], 0
-        return done
+                done.append(self.together(texts[start:k + 1]))
+                start, size = k + 1, 0
+        return pa.concat_arrays(done) if done else pa.array([], pa.list_(pa.int32()))
+
+    def together(self, texts: list[str]) -> pa.ListArray:
+        words, counts = split_words(self.vocabulary, texts)
+        encoded = words.dictionary_encode()
+        ids = self.solve(encoded.dictionary.to_pylist()).take(encoded.indices)
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        starts = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))])
+        return pa.ListArray.from_arrays(pa.array(starts[ends], pa.int32()), ids.flatten())
 
     def forward(self, text: str, starts: int, entry: dict[int, float]) -> tuple[list[float], list]:
         """Best score of each position and the piece that led there, as (start, id; -1 for an unknown character).
@@ -116,23 +142,24 @@ class Segmenter(dict):
         for position, score in entry.items():
             if position <= n:
                 scores[position] = score
-        unknown, trie = self.vocabulary.unknown_score, self.trie
+        unknown, (edges, piece_at, worth_at) = self.vocabulary.unknown_score, self.vocabulary.trie
         for i in range(min(starts, n)):
             base = scores[i]
             if base == NEVER:
                 continue
-            single, children, end = False, trie, i
+            single, node, end = False, 0, i
             while end < n:
-                node = children.get(text[end])
+                node = edges.get(node << 21 | ord(text[end]))
                 if node is None:
                     break
                 end += 1
-                children, piece, worth = node
+                piece = piece_at[node]
                 if piece >= 0:
                     if end == i + 1:
                         single = True
-                    if base + worth > scores[end]:
-                        scores[end], came[end] = base + worth, (i, piece)
+                    score = base + worth_at[node]
+                    if score > scores[end]:
+                        scores[end], came[end] = score, (i, piece)
             if not single and base + unknown > scores[i + 1]:
                 scores[i + 1], came[i + 1] = base + unknown, (i, -1)
         return scores, came
@@ -146,12 +173,12 @@ class Segmenter(dict):
             end = start
         return end, ids[::-1]
 
-    def inner(self, text: str) -> bytes:
-        return self.batch([text])[0]
+    def inner(self, text: str) -> np.ndarray:
+        return self.batch([text]).flatten().to_numpy()
 
     def inner_score(self, text: str) -> float:
         """Score of the best path through a stretch that starts and ends where no piece crosses."""
-        return float(self.vocabulary.worth[np.frombuffer(self.batch([text])[0], np.int32)].sum())
+        return float(self.vocabulary.worth[self.inner(text)].sum())
 
     def bounds(self, text: str, n: int) -> tuple[int, int] | None:
         """First and last position that no piece crosses, strictly inside the chunk."""
@@ -201,28 +228,31 @@ class Segmenter(dict):
                     out[at, j] = 0.0
         return out
 
-    def ids(self, text: str, n: int, entry: np.ndarray, exit_: int) -> bytes:
+    def ids(self, text: str, n: int, entry: np.ndarray, exit_: int) -> np.ndarray:
         cut = self.bounds(text, n)
         if cut is None:
             _, came = self.forward(text, n, dict(enumerate(entry)))
-            return array("i", self.trace(text, came, n + exit_)[1]).tobytes()
+            return np.array(self.trace(text, came, n + exit_)[1], np.int32)
         first, last = cut
         _, came = self.forward(text[:first], first, dict(enumerate(entry)))
-        head = array("i", self.trace(text[:first], came, first)[1]).tobytes()
+        head = self.trace(text[:first], came, first)[1]
         _, came = self.forward(text[last:], n - last, {0: 0.0})
-        tail = array("i", self.trace(text[last:], came, n - last + exit_)[1]).tobytes()
-        return head + self.inner(text[first:last]) + tail
-
-
-_SEGMENTERS: dict[str, Segmenter] = {}
+        tail = self.trace(text[last:], came, n - last + exit_)[1]
+        return np.concatenate([np.array(head, np.int32), self.inner(text[first:last]), np.array(tail, np.int32)])
 
 
-def segmenter_of(vocabulary: Vocabulary) -> Segmenter:
-    """The segmenter of this process; a worker that runs several tasks keeps the words it knows."""
-    if vocabulary.name not in _SEGMENTERS:
-        _SEGMENTERS.clear()
-        _SEGMENTERS[vocabulary.name] = Segmenter(vocabulary)
-    return _SEGMENTERS[vocabulary.name]
+def split_words(vocabulary: Vocabulary, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """Words of all texts in order, and how many each text has. Texts with single spaces only are split by Arrow."""
+    strings = pa.array(texts, pa.string())
+    plain = pc.and_(pc.starts_with(strings, SPACE), pc.invert(pc.or_(pc.match_substring(strings, SPACE * 2), pc.ends_with(strings, SPACE))))
+    if vocabulary.apart and pc.all(plain).as_py():
+        parts = pc.split_pattern(strings, SPACE)  # of each text the first is what stands before its first space: nothing
+        counts = parts.value_lengths().to_numpy(zero_copy_only=False)
+        every = np.ones(int(counts.sum()), bool)
+        every[np.cumsum(counts) - counts] = False
+        return pc.binary_join_element_wise(pa.scalar(SPACE), parts.flatten().filter(pa.array(every)), ""), counts - 1
+    words = [vocabulary.words.findall(text) for text in texts]
+    return pa.array([w for own in words for w in own], pa.string()), np.array([len(own) for own in words], np.int64)
 
 
 def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -295,21 +325,41 @@ def spaced(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.concat(F.lit(SPACE), F.replace(text, F.lit(" "), F.lit(SPACE)))).otherwise("")
 
 
-def lists(parts: list[bytes]) -> pa.ListArray:
-    offsets = np.cumsum([0, *(len(p) // 4 for p in parts)])
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(parts), np.int32), pa.int32()))
-
-
-def spell(arrays: pa.ListArray, spelled: list[bytes]) -> pa.Array:
-    """The texts that lists of ids stand for."""
-    offsets, out, n = arrays.offsets.to_pylist(), [], len(spelled)
-    for k, present in enumerate(arrays.is_valid().to_pylist()):
-        own = arrays.values.slice(offsets[k], offsets[k + 1] - offsets[k]).to_pylist()
-        if own and not (min(own) >= 0 and max(own) < n):
-            own = [i for i in own if 0 <= i < n]
-        text = b"".join(map(spelled.__getitem__, own)).decode("utf-8", "replace").replace(SPACE, " ")
-        out.append(text.removeprefix(" ") if present else None)
-    return pa.array(out, pa.string())
+def lists(parts: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, parts)])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(parts) if parts else [], pa.int32()))
+
+
+def spell(arrays: pa.ListArray, spelled: pa.Array) -> pa.Array:
+    """The texts that lists of ids stand for; null lists give null, ids outside the vocabulary are skipped."""
+    present = arrays.is_valid()
+    ids = arrays.flatten().to_numpy(zero_copy_only=False)
+    sizes = arrays.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    good = (ids >= 0) & (ids < len(spelled))
+    if not good.all():
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        sizes, ids = np.bincount(owner[good], minlength=len(sizes)), ids[good]
+    out, ends = [], np.concatenate([[0], np.cumsum(sizes)])
+    start = 0
+    while start < len(sizes):
+        # as many texts as stay far below the 2 GB of an array
+        stop = max(int(np.searchsorted(ends, ends[start] + SPELLED, side="right")) - 1, start + 1)
+        pieces = spelled.take(pa.array(ids[ends[start]:ends[stop]]))
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends[start:stop + 1] - ends[start], pa.int32()), pieces), b"")
+        out.append(as_text(texts))
+        start = stop
+    text = pa.concat_arrays(out) if out else pa.array([], pa.string())
+    text = pc.replace_substring(text, SPACE, " ")
+    text = pc.if_else(pc.starts_with(text, " "), pc.utf8_slice_codeunits(text, 1), text)
+    return pc.if_else(present, text, pa.scalar(None, pa.string()))
+
+
+def as_text(binary: pa.Array) -> pa.Array:
+    """Bytes as text; where they are no UTF-8, the usual sign replaces them."""
+    try:
+        return binary.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([b.as_py().decode("utf-8", "replace") for b in binary], pa.string())
 
 
 def encode(docs: DataFrame, text: str = "text", model: str = MODEL, chunk: int = CHUNK, decoded: str | None = None) -> DataFrame:
@@ -320,34 +370,41 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, chunk: int =
     ``decoded`` a column of that name holds what the ids decode to.
     """
     vocabulary = Vocabulary.read(model)
-    size = vocabulary.longest
+    size, spelled = vocabulary.longest, vocabulary.spelled
+    vocabulary.steps  # built once, sent along
     names = [c for c in docs.columns if c not in ("piece_ids", decoded)]
 
     @F.arrow_udf("piece_ids array<int>, decoded string")
     def whole(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        segmenter = segmenter_of(vocabulary)
+        segmenter = Segmenter(vocabulary)
         for texts in batches:
-            ids = lists(segmenter.batch(texts.to_pylist()))
-            back = spell(ids, vocabulary.spelled) if decoded else pa.nulls(len(ids), pa.string())
+            ids = segmenter.batch(texts.to_pylist())
+            back = spell(ids, spelled) if decoded else pa.nulls(len(ids), pa.string())
             yield pa.StructArray.from_arrays([ids, back], names=["piece_ids", "decoded"])
         give_back()
 
+    @F.arrow_udf("array<string>")
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        """Chunks in one pass, each with the characters that its last piece may reach."""
+        for texts in batches:
+            yield pa.array([[t[i:i + chunk + size - 1] for i in range(0, len(t), chunk)] for t in texts.to_pylist()], pa.list_(pa.string()))
+
     @F.arrow_udf("array<double>")
     def matrices(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        segmenter = segmenter_of(vocabulary)
+        segmenter = Segmenter(vocabulary)
         for texts, lengths in batches:
             yield pa.array([segmenter.matrix(t.as_py(), n.as_py()).ravel() for t, n in zip(texts, lengths)], pa.list_(pa.float64()))
 
     @F.arrow_udf("array<double>")
     def choices(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        segmenter = segmenter_of(vocabulary)
+        segmenter = Segmenter(vocabulary)
         for texts, lengths, entries in batches:
             yield pa.array([segmenter.choices(t.as_py(), n.as_py(), np.array(e.as_py())).T.ravel()
                             for t, n, e in zip(texts, lengths, entries)], pa.list_(pa.float64()))
 
     @F.arrow_udf("array<int>")
     def traced(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        segmenter = segmenter_of(vocabulary)
+        segmenter = Segmenter(vocabulary)
         for texts, lengths, entries, exits in batches:
             yield lists([segmenter.ids(t.as_py(), n.as_py(), np.array(e.as_py()), int(np.argmax(x.as_py())))
                          for t, n, e, x in zip(texts, lengths, entries, exits)])
@@ -355,14 +412,12 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, chunk: int =
     prepared = docs.select(F.struct(*names).alias("_row"), spaced(text_of(text)).alias("_text"))
     short = prepared.filter(F.length("_text") <= chunk).select("_row", whole("_text").alias("_pieces")) \
         .select("_row", "_pieces.piece_ids", "_pieces.decoded")
-    at = F.posexplode(F.sequence(F.lit(0), F.expr(f"cast((length(_text) - 1) div {chunk} as int)"))).alias("_at", "_same")
     giant = prepared.filter(F.length("_text") > chunk).withColumn("_key", F.monotonically_increasing_id()) \
-        .select("_key", "_row", "_text", at)
-    chunks = giant.select(
-        "_key", F.col("_at").cast("long").alias("_at"), F.when(F.col("_at") == 0, F.col("_row")).alias("_row"),
-        F.expr(f"substring(_text, _at * {chunk} + 1, {chunk + size - 1})").alias("_part"),
-        F.expr(f"least(length(_text) - _at * {chunk}, {chunk})").cast("long").alias("_n"),
-        F.expr(f"cast((length(_text) - 1) div {chunk} as long)").alias("_last"))
+        .select("_key", "_row", F.length("_text").cast("long").alias("_size"), F.posexplode(cut("_text")).alias("_place", "_part"))
+    chunks = giant.withColumn("_at", F.col("_place").cast("long")).select(
+        "_key", "_at", F.when(F.col("_at") == 0, F.col("_row")).alias("_row"), "_part",
+        F.least(F.col("_size") - F.col("_at") * chunk, F.lit(chunk)).cast("long").alias("_n"),
+        F.floor((F.col("_size") - 1) / chunk).alias("_last"))
     chunks = stored(chunks.repartition("_key", "_at"))  # the chunks of one text are spread over tasks
     block = F.expr(f"_at div {BLOCK}").alias("_block")
     entries = scan(chunks.select("_key", "_at", block, matrices("_part", "_n").alias("_matrix")), size) \

@@ -10,16 +10,22 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furlong.llm.common import text_of
-from furlong.llm.vocabulary import MODEL, REMEMBERED, Vocabulary, normalised
+from furlong.llm.common import give_back, text_of
+from furlong.llm.piece_codec import split_words
+from furlong.llm.vocabulary import MODEL, Vocabulary, normalised
 
 
-class Counter(dict):
-    """Word to (score, pieces), computed when first asked for."""
+#: Characters of text whose distinct words are solved together.
+TOGETHER = 1 << 22
+
+
+class Counter:
+    """Best scores and piece counts. A task holds the automaton and the distinct words of some text, nothing else."""
 
     def __init__(self, vocabulary: Vocabulary):
         import ahocorasick
@@ -30,14 +36,6 @@ class Counter(dict):
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
 
-    def __missing__(self, word: str) -> tuple[float, int]:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        value = self.best(word)
-        if len(word) <= 64:
-            self[word] = value
-        return value
-
     def best(self, word: str) -> tuple[float, int]:
         """Best score and its piece count; holds as many positions as the longest piece has characters."""
         ring = self.vocabulary.longest + 1
@@ -62,24 +60,25 @@ class Counter(dict):
             scores[(at + 1) % ring], counts[(at + 1) % ring] = score, count
         return scores[len(word) % ring], counts[len(word) % ring]
 
-    def text(self, text: str | None) -> tuple[float, int]:
-        total, pieces = 0.0, 0
-        for match in self.vocabulary.words.finditer(normalised(text or "")):
-            score, count = self[match[0]]
-            total += score
-            pieces += count
-        return total, pieces
-
-
-_COUNTERS: dict[str, Counter] = {}
+    def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Score and number of pieces of each text; a word that occurs several times in them is solved once."""
+        words, counts = split_words(self.vocabulary, texts)
+        encoded = words.dictionary_encode()
+        found = [self.best(word) for word in encoded.dictionary.to_pylist()]
+        at = encoded.indices.to_numpy()
+        owner = np.repeat(np.arange(len(texts)), counts)
+        score = np.bincount(owner, np.array([s for s, _ in found], float)[at], minlength=len(texts))
+        pieces = np.bincount(owner, np.array([n for _, n in found], float)[at], minlength=len(texts))
+        return score, pieces.astype(np.int64)
 
 
-def counter_of(vocabulary: Vocabulary) -> Counter:
-    """The counter of this process; a worker that runs several tasks keeps the words it knows."""
-    if vocabulary.name not in _COUNTERS:
-        _COUNTERS.clear()
-        _COUNTERS[vocabulary.name] = Counter(vocabulary)
-    return _COUNTERS[vocabulary.name]
+def slices(texts: list[str]) -> Iterator[list[str]]:
+    start, size = 0, 0
+    for k, text in enumerate(texts):
+        size += len(text)
+        if size >= TOGETHER or k + 1 == len(texts):
+            yield texts[start:k + 1]
+            start, size = k + 1, 0
 
 
 def token_counts(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame:
@@ -92,11 +91,11 @@ def token_counts(docs: DataFrame, text: str = "text", model: str = MODEL) -> Dat
 
     @F.arrow_udf("n_tokens long, score double")
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        counter = counter_of(vocabulary)
+        counter = Counter(vocabulary)
         for texts in batches:
-            found = [counter.text(t.as_py()) for t in texts]
-            yield pa.StructArray.from_arrays(
-                [pa.array([n for _, n in found], pa.int64()), pa.array([s for s, _ in found], pa.float64())],
-                names=["n_tokens", "score"])
+            found = [counter.texts([normalised(t) for t in some]) for some in slices(texts.to_pylist())]
+            scores, pieces = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0), np.zeros(0, np.int64))
+            yield pa.StructArray.from_arrays([pa.array(pieces), pa.array(scores)], names=["n_tokens", "score"])
+        give_back()
 
     return docs.withColumn("tokens", count(text_of(text)))

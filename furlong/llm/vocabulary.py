@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
+import pyarrow as pa
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -20,8 +21,6 @@ SPACE = "▁"
 WIDTH = 384
 #: A character without a piece costs this much more than the worst piece (fixed by the published unigram model).
 UNKNOWN_PENALTY = 10.0
-#: Words a task remembers before it starts anew; bounds the memory of a worker.
-REMEMBERED = 200_000
 
 
 @dataclass(frozen=True)
@@ -51,38 +50,56 @@ class Vocabulary:
     def entries(self) -> dict[str, tuple[int, float]]:
         return {self.pieces[i]: (i, self.scores[i]) for i in self.ordinary}
 
-    @cached_property
-    def trie(self) -> dict:
-        """Character to (next characters, id or -1, score); a path spells the beginning of a piece."""
-        root: dict = {}
-        nodes: dict[str, list] = {"": [root, -1, 0.0]}
-        for piece in sorted(self.entries, key=len):
+    def spellings(self) -> tuple[dict[int, int], list[int]]:
+        """The beginnings of pieces as numbered nodes, 0 the empty one: (node << 21 | character) to the next node, and the
+        piece of each node or -1."""
+        nodes, edges, piece_of = {"": 0}, {}, [-1]
+        for piece, (i, _) in sorted(self.entries.items()):
             for n in range(1, len(piece) + 1):
-                nodes.setdefault(piece[:n], [{}, -1, 0.0])
-            nodes[piece][1:] = self.entries[piece]
-        for piece in sorted(nodes, key=len, reverse=True):
-            if piece:
-                nodes[piece[:-1]][0][piece[-1]] = tuple(nodes[piece])
-        return root
+                if piece[:n] not in nodes:
+                    nodes[piece[:n]] = len(nodes)
+                    edges[nodes[piece[:n - 1]] << 21 | ord(piece[n - 1])] = nodes[piece[:n]]
+                    piece_of.append(-1)
+            piece_of[nodes[piece]] = i
+        return edges, piece_of
+
+    @cached_property
+    def trie(self) -> tuple[dict[int, int], list[int], list[float]]:
+        """``spellings`` and the score of each node's piece, for walks character by character."""
+        edges, piece_of = self.spellings()
+        return edges, piece_of, [self.scores[i] if i >= 0 else 0.0 for i in piece_of]
 
     @cached_property
-    def steps(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The part of the trie that is spelled with common characters, as tables: next node by node and character
-        class, piece of a node or -1, its score. Classes are the first code points, the visible space, and anything else."""
-        inner, leaves = [(self.trie, -1, 0.0)], []
-        links: list[tuple[int, int, int, bool]] = []  # from, class, to, whether that is a leaf
-        for at, (children, _, _) in enumerate(inner):  # grows as it is read
-            for char, node in children.items():
-                kind = WIDTH - 2 if char == SPACE else ord(char)
-                if char == SPACE or kind < WIDTH - 2:
-                    kept = inner if node[0] else leaves
-                    links.append((at, kind, len(kept), kept is leaves))
-                    kept.append(node)
-        table = np.full((len(inner) + 1, WIDTH), -1, np.int32)  # all leaves share the last row
-        for at, kind, to, leaf in links:
-            table[at, kind] = to + (len(inner) if leaf else 0)
-        nodes = inner + leaves
-        return table, np.array([n[1] for n in nodes], np.int32), np.array([n[2] for n in nodes])
+    def steps(self) -> tuple[np.ndarray, ...]:
+        """The part of the trie that is spelled with common characters, its rows laid into each other: the next node of
+        ``node`` by class ``c`` is ``target[base[node] + c]`` if ``owner`` of that place is the node. Classes are the code
+        points below ``WIDTH``, the visible space, and anything else. Returns base, owner, target, piece of a node or -1, its score."""
+        edges, piece_of = self.spellings()
+        rows: dict[int, list[tuple[int, int]]] = {}
+        for key, to in edges.items():
+            char = key & 0x1FFFFF
+            kind = WIDTH - 2 if char == ord(SPACE) else char
+            if char == ord(SPACE) or kind < WIDTH - 2:
+                rows.setdefault(key >> 21, []).append((kind, to))
+        base = np.zeros(len(piece_of), np.int32)
+        # rows with many entries first; each at the first place where its entries meet no others
+        taken, used, lowest, window = np.zeros(len(edges) * 2 + 24 * WIDTH, bool), [], WIDTH, np.arange(4096)
+        for node in sorted(rows, key=lambda n: -len(rows[n])):
+            kinds = np.array([kind for kind, _ in rows[node]])
+            lowest += int(np.argmin(taken[lowest:]))
+            at = lowest - int(kinds.min())
+            while len(kinds) > 1 and not (free := ~taken[(at + window)[:, None] + kinds].any(axis=1)).any():
+                at += len(window)
+            at += int(np.argmax(free)) if len(kinds) > 1 else 0
+            base[node] = at
+            taken[at + kinds] = True
+            used += [(at + kind, node, to) for kind, to in rows[node]]
+        owner = np.full(int(base.max()) + WIDTH, -1, np.int32)
+        target = np.zeros(len(owner), np.int32)
+        at, nodes, to = np.array(used).T
+        owner[at], target[at] = nodes, to
+        pieces = np.array(piece_of, np.int32)
+        return base, owner, target, pieces, np.where(pieces >= 0, np.array(self.scores)[pieces], 0.0)
 
     @cached_property
     def worth(self) -> np.ndarray:
@@ -108,22 +125,26 @@ class Vocabulary:
         """Neighbouring characters inside pieces. Between any other two characters every segmentation has a boundary."""
         return frozenset(p[i:i + 2] for p in self.entries for i in range(len(p) - 1))
 
+    @cached_property
+    def apart(self) -> bool:
+        """Whether no piece goes on into a new run of spaces."""
+        return not any(a != SPACE and b == SPACE for a, b in self.pairs)
+
     @cached_property
     def words(self) -> re.Pattern:
         """Parts of a text that can be segmented apart: up to each new run of spaces, if no piece crosses there."""
-        apart = not any(a != SPACE and b == SPACE for a, b in self.pairs)
-        return re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if apart else r"[\s\S]+")
+        return re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if self.apart else r"[\s\S]+")
 
     def unknown(self, char: str) -> list[int]:
         return [self.byte_ids[b] for b in char.encode("utf-8", "replace")] if self.byte_ids else [self.unknown_id]
 
     @cached_property
-    def spelled(self) -> list[bytes]:
-        """What each id stands for in a decoded text."""
+    def spelled(self) -> pa.Array:
+        """What each id stands for in a decoded text, as bytes."""
         out = [p.encode() for p in self.pieces]
         for b, i in enumerate(self.byte_ids):
             out[i] = bytes([b])
-        return out
+        return pa.array(out, pa.binary())
 
 
 def normalised(text: str) -> str:

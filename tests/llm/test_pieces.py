@@ -80,7 +80,7 @@ def test_counts_are_those_of_the_encoder(spark):
 
 def test_one_long_word_needs_few_positions():
     counter = token_counts.Counter(VOCABULARY)
-    assert counter.best("er" * 50_000)[1] == len(piece_codec.Segmenter(VOCABULARY)["er" * 50_000]) // 4
+    assert counter.best("er" * 50_000)[1] == len(piece_codec.Segmenter(VOCABULARY).word("er" * 50_000))
 
 
 def test_awkward_rows_keep_their_columns(spark):
@@ -112,5 +112,5 @@ def test_agrees_with_the_published_unigram_tokenizer(tmp_path):
     library, segmenter = sentencepiece.SentencePieceProcessor(model_file=path), piece_codec.Segmenter(Vocabulary.read(path))
     counter = token_counts.Counter(segmenter.vocabulary)
     for text in [t[:800] for t in texts() if "\0" not in t] + ["onouen the tionanon", "Zürich, eresen!", "Thing thing THING"]:
-        ids = np.frombuffer(segmenter.inner(normalised(text)), np.int32).tolist()
-        assert ids == library.encode(text) and counter.text(text)[1] == len(ids)
+        ids = segmenter.inner(normalised(text)).tolist()
+        assert ids == library.encode(text) and counter.texts([normalised(text)])[1].tolist() == [len(ids)]
