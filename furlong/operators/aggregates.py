@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +34,82 @@ def condition_record(df: DataFrame, entity: Sequence[str], conditions: Mapping[s
     )
 
 
+@dataclass(frozen=True)
+class Condition:
+    """Whose record (``entity``, a column), split by which ``values`` (columns), over which rows (``when``)."""
+
+    entity: str
+    values: tuple[str, ...] = ()
+    when: Column | None = None
+
+
+def condition_groups(going: str = "going", pace: str = "pace", organiser: str = "organiser") -> dict[str, Condition]:
+    """The condition groups of an entry's record, under their published names.
+
+    Columns are those of the joined results: horse_id, jockey_code, trainer_code, owner_code, blinker, course_type,
+    distance, venue_code, layoff, direction, season, bracket_number, and the three named by the parameters.
+    """
+    horse, jockey = "horse_id", "jockey_code"
+    return {
+        "jra": Condition(horse, when=F.col(organiser) == "jra"),
+        "exchange": Condition(horse, when=F.col(organiser) == "exchange"),
+        "other": Condition(horse, when=F.col(organiser) == "other"),
+        "surface": Condition(horse, ("course_type",)),
+        "surface_dist": Condition(horse, ("course_type", "distance")),
+        "track_dist": Condition(horse, ("venue_code", "course_type", "distance")),
+        "rotation": Condition(horse, ("layoff",)),
+        "direction": Condition(horse, ("direction",)),
+        "jockey": Condition(horse, (jockey,)),
+        "good": Condition(horse, when=F.col(going) == "良"),
+        "slightly_heavy": Condition(horse, when=F.col(going) == "稍重"),
+        "heavy": Condition(horse, when=F.col(going).isin("重", "不良")),
+        "slow_pace": Condition(horse, when=F.col(pace) == "S"),
+        "medium_pace": Condition(horse, when=F.col(pace) == "M"),
+        "high_pace": Condition(horse, when=F.col(pace) == "H"),
+        "season": Condition(horse, ("season",)),
+        "bracket": Condition(horse, ("bracket_number",)),
+        "jockey_dist": Condition(jockey, ("distance",)),
+        "jockey_track_dist": Condition(jockey, ("venue_code", "distance")),
+        "jockey_trainer": Condition(jockey, ("trainer_code",)),
+        "jockey_owner": Condition(jockey, ("owner_code",)),
+        "jockey_blinker": Condition(jockey, ("blinker",)),
+        "trainer_owner": Condition("trainer_code", ("owner_code",)),
+    }
+
+
+def _tagged(conditions: Mapping[str, Condition], filtered: bool) -> Column:
+    """(condition, entity, value) of a row under every condition it counts for; none where a key or a value is missing."""
+    def tag(name: str, c: Condition) -> Column:
+        parts = [F.col(c.entity), *[F.col(v) for v in c.values]]
+        known = reduce(lambda a, b: a & b, [p.isNotNull() for p in parts])
+        if filtered and c.when is not None:
+            known = known & c.when
+        value = F.concat_ws("/", *[F.col(v).cast("string") for v in c.values]) if c.values else F.lit("all")
+        return F.when(known, F.struct(F.lit(name).alias("condition"), parts[0].cast("string").alias("entity"), value.alias("condition_value")))
+
+    return F.filter(F.array(*[tag(n, c) for n, c in conditions.items()]), lambda x: x.isNotNull())
+
+
+def named_records(df: DataFrame, conditions: Mapping[str, Condition], position: str) -> DataFrame:
+    """Counters of several kinds of entities under their conditions: one row per condition, entity and value.
+
+    One tagged expand serves all of them, and the counters are combined before the shuffle, so an entity that owns a
+    large share of the rows sends one row per value and task.
+    """
+    return df.select(F.col(position).alias("_position"), F.inline(_tagged(conditions, True))) \
+        .groupBy("condition", "entity", "condition_value").agg(*placings(F.col("_position")))
+
+
+def entry_records(entries: DataFrame, records: DataFrame, ids: Sequence[str], conditions: Mapping[str, Condition]) -> DataFrame:
+    """The condition record of each entry: ``<condition>_<counter>`` of its horse, jockey and trainer under its own conditions.
+
+    All conditions are looked up in one join on (condition, entity, value) and widened by entry; an unknown one counts 0.
+    """
+    wanted = entries.select(*ids, F.inline(_tagged(conditions, False)))
+    found = wanted.join(records, ["condition", "entity", "condition_value"], "left")
+    return widen_records(found, ids, list(conditions))
+
+
 def widen_records(records: DataFrame, entity: Sequence[str], conditions: Sequence[str]) -> DataFrame:
     """Long counter rows to one row per entity with ``<condition>_<counter>`` columns."""
     named = F.col("condition")
@@ -112,9 +190,9 @@ def layoff_band(rest_days: Column) -> Column:
 
 
 def profile(results: DataFrame, entity: Sequence[str], position: str, figure: str) -> DataFrame:
-    """Consistency: position variance, board (first five) rate, best figure."""
+    """Consistency: position variance, board (first five) rate, best figure. Position 0 is no finish and has no variance."""
     return results.groupBy(*entity).agg(
-        F.var_samp(position).alias("position_variance"),
+        F.var_samp(F.when(F.col(position) >= 1, F.col(position))).alias("position_variance"),
         F.avg(F.col(position).between(1, 5).cast("int")).alias("board_rate"),
         F.max(figure).alias("best_figure"))
 

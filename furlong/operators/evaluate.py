@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from furlong.operators.groups import join_same
+from furlong.operators.groups import with_place
 from furlong.operators.in_race import bucket_of
 
 # Columns that are only known once a race has been run.
@@ -109,31 +109,13 @@ def backtest(bets: DataFrame, payouts: DataFrame, on: Sequence[str], by: Sequenc
     )
 
 
-def calibration(df: DataFrame, score: str, outcome: Column, tie: Sequence[str], n: int = 10,
-                slices: int = 4096) -> DataFrame:
+def calibration(df: DataFrame, score: str, outcome: Column, tie: Sequence[str], n: int = 10) -> DataFrame:
     """Mean score and hit rate per quantile of the score over all rows; a missing score counts as highest.
 
-    The range of scores is cut into ``slices`` of equal width. Running counts
-    over the slices, and over the distinct scores inside each, place every
-    score; only rows of equal score are ordered by ``tie``. No task sees more
-    than the distinct scores of a slice or the rows of one score.
+    Rows are placed by score, then ``tie``, in ranges of near-equal numbers of rows, however the scores are distributed.
     """
-    rows = df.select(score, outcome.cast("int").alias("_hit"), *tie)
-    low, high = rows.agg(F.min(score)).scalar(), rows.agg(F.max(score)).scalar()
-    share = (F.col(score) - low) / F.nullif(high - low, F.lit(0).cast("double"))
-    at = F.when(F.col(score).isNull(), slices).otherwise(
-        F.least(F.lit(slices - 1), F.floor(F.coalesce(share, F.lit(0.0)) * slices))).cast("int")
-    rows = rows.withColumn("_slice", at)
-    counts = rows.groupBy("_slice", score).agg(F.count("*").alias("_count"))
-    whole = counts.groupBy("_slice").agg(F.sum("_count").alias("_rows"))
-    before = W.rowsBetween(W.unboundedPreceding, -1)
-    whole = whole.withColumn("_start", F.coalesce(F.sum("_rows").over(before.orderBy("_slice")), F.lit(0))).drop("_rows")
-    inside = W.partitionBy("_slice").orderBy(F.col(score).asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
-    places = counts.withColumn("_inside", F.coalesce(F.sum("_count").over(inside), F.lit(0))).drop("_count") \
-        .join(whole, "_slice")
-    among = F.row_number().over(W.partitionBy("_slice", score).orderBy(*[F.col(c).asc() for c in tie])) - 1
-    position = F.col("_start") + F.col("_inside") + among
-    dealt = join_same(rows, places, ["_slice", score]) \
-        .withColumn("decile", bucket_of(position, rows.agg(F.count("*")).scalar(), n))
-    return dealt.groupBy("decile").agg(
-        F.count("*").alias("rows"), F.avg(score).alias("mean_score"), F.avg("_hit").alias("hit_rate"))
+    rows = df.select(F.col(score).alias("_score"), outcome.cast("int").alias("_hit"), *[F.col(c).alias(f"_t{i}") for i, c in enumerate(tie)])
+    order = [F.col("_score").asc_nulls_last(), *[F.col(f"_t{i}").asc() for i in range(len(tie))]]
+    placed = with_place(rows, order, "_place", "_size")
+    return placed.groupBy(bucket_of(F.col("_place"), F.col("_size"), n).alias("decile")).agg(
+        F.count("*").alias("rows"), F.avg("_score").alias("mean_score"), F.avg("_hit").alias("hit_rate"))

@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from furlong.operators.groups import join_same, keyed
+from furlong.operators.groups import ALONE, keyed, set_apart
 
 
 def _direction(value: str, descending: bool) -> Column:
@@ -22,9 +22,13 @@ def _direction(value: str, descending: bool) -> Column:
 def rank_in_race(df: DataFrame, race: Sequence[str], value: str, name: str, descending: bool = True,
                  dense: bool = False) -> DataFrame:
     """Rank within the race; equal values share a rank, a missing value or race has none."""
-    order = W.partitionBy(*race).orderBy(_direction(value, descending))
+    return _ranked(set_apart(df, race), race, value, name, descending, dense).drop(ALONE)
+
+
+def _ranked(apart: DataFrame, race: Sequence[str], value: str, name: str, descending: bool = True, dense: bool = False) -> DataFrame:
+    order = W.partitionBy(*race, ALONE).orderBy(_direction(value, descending))
     ranked = F.dense_rank().over(order) if dense else F.rank().over(order)
-    return df.withColumn(name, F.when(F.col(value).isNotNull() & keyed(race), ranked))
+    return apart.withColumn(name, F.when(F.col(value).isNotNull() & keyed(race), ranked))
 
 
 def minus_race_mean(df: DataFrame, race: Sequence[str], value: str, name: str) -> DataFrame:
@@ -34,14 +38,14 @@ def minus_race_mean(df: DataFrame, race: Sequence[str], value: str, name: str) -
 
 def race_totals(df: DataFrame, race: Sequence[str], totals: Mapping[str, Column]) -> DataFrame:
     """Add aggregates over the whole race to each of its runners; NULL without a race."""
-    whole = W.partitionBy(*race)
-    return df.withColumns({n: F.when(keyed(race), c.over(whole)) for n, c in totals.items()})
+    whole = W.partitionBy(*race, ALONE)
+    return set_apart(df, race).withColumns({n: F.when(keyed(race), c.over(whole)) for n, c in totals.items()}).drop(ALONE)
 
 
 def upset(df: DataFrame, race: Sequence[str], ability: str, popularity: str) -> DataFrame:
     """Popularity rank minus ability rank: positive when the runner is better than it is backed."""
-    out = rank_in_race(df, race, ability, "ability_rank")
-    out = rank_in_race(out, race, popularity, "popularity_rank")
+    out = _ranked(set_apart(df, race), race, ability, "ability_rank")
+    out = _ranked(out, race, popularity, "popularity_rank").drop(ALONE)
     return out.withColumn("upset", F.col("popularity_rank") - F.col("ability_rank"))
 
 
@@ -57,21 +61,27 @@ def buckets(df: DataFrame, group: Sequence[str], value: str, tie: Sequence[str],
             name: str = "bucket", descending: bool = True) -> DataFrame:
     """Quantile bucket (1 is the best) of a score within a race or day, and its percent rank.
 
-    Rows are counted per distinct value before the shuffle; running counts over
-    the values of a group place each value, and only rows of equal value are
-    ordered by ``tie``. Rows without a group have neither bucket nor rank.
+    Running counts over the distinct values of a group place each value, and
+    only rows of equal value are ordered by ``tie``. The rows are shuffled once,
+    by group and value, and the places come to them. Rows without a group have
+    neither bucket nor rank and stay out of all that.
     """
     group = list(group)
-    order = W.partitionBy(*group).orderBy(_direction(value, descending))
-    counts = df.where(keyed(group)).groupBy(*group, value).agg(F.count("*").alias("_count"))
-    places = counts.withColumn("_first", F.coalesce(
-        F.sum("_count").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))) \
+    # plain keys, as a join that matches NULLs would shuffle the rows anew
+    missing, known = F.col(value).isNull(), F.when(F.col(value).isNotNull(), F.col(value)).otherwise(F.lit(0))
+    rows = df.where(keyed(group)).withColumns({"_missing": missing, "_value": known})
+    same = [*group, "_missing", "_value"]
+    among = W.partitionBy(*same).orderBy(*[F.col(c).asc() for c in tie])
+    rows = rows.withColumn("_among", F.row_number().over(among) - 1)
+    counts = df.where(keyed(group)).select(*group, missing.alias("_missing"), known.alias("_value")).groupBy(*same).agg(F.count("*").alias("_count"))
+    order = W.partitionBy(*group).orderBy("_missing", _direction("_value", descending))
+    places = counts.withColumn("_first", F.coalesce(F.sum("_count").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))) \
         .withColumn("_size", F.sum("_count").over(W.partitionBy(*group))).drop("_count")
-    among = F.row_number().over(W.partitionBy(*group, value).orderBy(*[F.col(c).asc() for c in tie])) - 1
-    out = join_same(df, places, [*group, value])
-    share = F.when(F.col("_size") > 1, F.col("_first") / (F.col("_size") - 1)).when(F.col("_size") == 1, 0.0)
-    return out.withColumn(name, F.when(keyed(group), bucket_of(F.col("_first") + among, F.col("_size"), n))) \
-        .withColumn("percent_rank", share).drop("_first", "_size")
+    out = rows.join(places, same)
+    share = F.when(F.col("_size") > 1, F.col("_first") / (F.col("_size") - 1)).otherwise(F.lit(0.0))
+    placed = out.select(*df.columns, bucket_of(F.col("_first") + F.col("_among"), F.col("_size"), n).alias(name), share.alias("percent_rank"))
+    none = df.where(~keyed(group)).select(*df.columns, F.lit(None).cast("int").alias(name), F.lit(None).cast("double").alias("percent_rank"))
+    return placed.unionByName(none)
 
 
 def top_k(df: DataFrame, race: Sequence[str], value: str, tie: Sequence[str], k: int = 3) -> DataFrame:

@@ -252,10 +252,6 @@ def run_checks(spark: SparkSession, tables: Mapping[str, DataFrame | None], chec
     return reduce(DataFrame.unionByName, parts)
 
 
-def catalog_tables(spark: SparkSession, checks: Sequence[TableCheck]) -> dict[str, DataFrame | None]:
-    return {c.name: spark.table(c.name) if spark.catalog.tableExists(c.name) else None for c in checks}
-
-
 def _totals() -> list[Column]:
     failed = ~F.col("passed")
     return [F.count("*").alias("total_checks"), F.count_if("passed").alias("passed_checks"),

@@ -26,8 +26,10 @@ r AS (SELECT o_orderkey, lpad((c_nationkey % 10 + 1)::VARCHAR, 2, '0') || strfti
     || (o_orderkey % 9 + 1) || (o_orderkey % 10) AS meeting, o_orderstatus
     FROM orders JOIN customer ON o_custkey = c_custkey)
 SELECT l_orderkey, l_linenumber, l_partkey, r.meeting, r.o_orderstatus AS status, m.going,
-  p.p_brand AS sire_name, round(s.s_acctbal, 2) AS odds_value
+  p.p_brand AS sire_name, round(s.s_acctbal, 2) AS odds_value, k.jra_win, k.jra_out
 FROM lineitem JOIN r ON l_orderkey = r.o_orderkey LEFT JOIN m ON r.meeting = m.meeting
+LEFT JOIN (SELECT l_orderkey AS ko, l_suppkey AS ks, count(*) FILTER (l_linenumber = 1) AS jra_win, count(*) FILTER (l_linenumber > 3) AS jra_out
+  FROM lineitem WHERE l_suppkey % 5 > 0 GROUP BY 1, 2) k ON ko = l_orderkey AND ks = l_suppkey
 LEFT JOIN part p ON l_partkey = p_partkey LEFT JOIN supplier s ON l_suppkey = s_suppkey""")
 def race_card(spark, sf):
     # race_id carries the meeting key in its first six characters, then the order number.
@@ -45,9 +47,13 @@ def race_card(spark, sf):
     suppliers = load(spark, sf, "supplier").select(F.col("s_suppkey").alias("horse_number"),
                                                    F.round("s_acctbal", 2).alias("odds_value"))
     odds = entries.select("race_id", "horse_number").distinct().join(suppliers, "horse_number")
-    card = jn.race_card(entries, races.drop("order", "venue"), meetings, horses=horses, odds=odds)
+    # condition records of four in five entries
+    line = F.col("l_linenumber")
+    extended = entries.where(F.col("horse_number") % 5 > 0).groupBy("race_id", "horse_number").agg(
+        F.count_if(line == 1).alias("jra_win"), F.count_if(line > 3).alias("jra_out"))
+    card = jn.race_card(entries, races.drop("order", "venue"), meetings, extended, horses, odds)
     return card.select("l_orderkey", "l_linenumber", F.col("horse_id").alias("l_partkey"),
-                       fx.meeting_key(F.col("race_id")).alias("meeting"), "status", "going", "sire_name", "odds_value")
+                       fx.meeting_key(F.col("race_id")).alias("meeting"), "status", "going", "sire_name", "odds_value", "jra_win", "jra_out")
 
 
 RUN_DAYS_SQL = """
@@ -154,6 +160,49 @@ def condition_record(spark, sf):
     return _conditions(spark, sf)
 
 
+# Name, entity, value and rows of each group, spelled out for SQL.
+GROUPS_SQL = (
+    ("jra", "horse", "'all'", "organiser = 'jra'"), ("exchange", "horse", "'all'", "organiser = 'exchange'"),
+    ("other", "horse", "'all'", "organiser = 'other'"), ("surface", "horse", "surface", "true"),
+    ("surface_dist", "horse", "surface || '/' || dist", "true"), ("track_dist", "horse", "venue || '/' || surface || '/' || dist", "true"),
+    ("rotation", "horse", "layoff", "true"), ("direction", "horse", "direction", "true"), ("jockey", "horse", "jockey", "true"),
+    ("good", "horse", "'all'", "going = '良'"), ("slightly_heavy", "horse", "'all'", "going = '稍重'"),
+    ("heavy", "horse", "'all'", "going IN ('重', '不良')"), ("slow_pace", "horse", "'all'", "pace = 'S'"),
+    ("medium_pace", "horse", "'all'", "pace = 'M'"), ("high_pace", "horse", "'all'", "pace = 'H'"),
+    ("season", "horse", "season", "true"), ("bracket", "horse", "bracket", "true"), ("jockey_dist", "jockey", "dist", "true"),
+    ("jockey_track_dist", "jockey", "venue || '/' || dist", "true"), ("jockey_trainer", "jockey", "trainer", "true"),
+    ("jockey_owner", "jockey", "owner", "true"), ("jockey_blinker", "jockey", "blinker", "blinker IS NOT NULL"),
+    ("trainer_owner", "trainer", "owner", "true"),
+)
+
+NAMED_SQL = f"""
+WITH {ENTRIES_SQL},
+c AS (SELECT l_orderkey, position, l_partkey::VARCHAR AS horse, suppkey::VARCHAR AS jockey, (suppkey % 20)::VARCHAR AS trainer, o_custkey::VARCHAR AS owner,
+  CASE WHEN l_partkey % 7 > 0 THEN (l_partkey % 3)::VARCHAR END AS blinker, ['turf', 'dirt'][l_orderkey % 2 + 1] AS surface,
+  (1000 + l_orderkey % 20 * 100)::VARCHAR AS dist, (l_orderkey % 10 + 1)::VARCHAR AS venue, ['1w', '2-3w', '4-8w'][(l_orderkey + l_partkey) % 3 + 1] AS layoff,
+  ['right', 'left', 'straight'][l_orderkey % 3 + 1] AS direction, month(day)::VARCHAR AS season, (l_partkey % 8 + 1)::VARCHAR AS bracket,
+  ['良', '稍重', '重', '不良', '他'][l_orderkey % 5 + 1] AS going, ['S', 'M', 'H', '-'][l_orderkey % 4 + 1] AS pace,
+  ['jra', 'jra', 'exchange', 'other'][l_partkey % 4 + 1] AS organiser FROM p),
+t AS ({" UNION ALL ".join(f"SELECT '{n}' AS condition, {e} AS entity, {v} AS condition_value, position FROM c WHERE {w}" for n, e, v, w in GROUPS_SQL)}),
+g AS (SELECT condition, entity, condition_value, count(*) FILTER (position = 1) AS win, count(*) FILTER (position = 2) AS place,
+  count(*) FILTER (position = 3) AS "show", count(*) FILTER (position > 3) AS out FROM t GROUP BY 1, 2, 3)"""
+
+
+@query("condition_groups", f"{NAMED_SQL} SELECT * FROM g")
+def condition_groups(spark, sf):
+    return ag.named_records(standin.condition_entries(spark, sf), ag.condition_groups(), "position")
+
+
+@query("entry_conditions", f"""{NAMED_SQL},
+w AS ({" UNION ALL ".join(f"SELECT l_orderkey, horse, '{n}' AS condition, {e} AS entity, {v} AS condition_value FROM c" for n, e, v, _ in GROUPS_SQL)})
+SELECT l_orderkey, horse::BIGINT AS horse_id, {", ".join(f"coalesce(sum(g.{x}) FILTER (condition = '{n}'), 0)::BIGINT AS {n}_{x}" for n, *_ in GROUPS_SQL for x in ("win", "place", '"show"', "out")).replace('_"show"', "_show")}
+FROM w LEFT JOIN g USING (condition, entity, condition_value) GROUP BY 1, 2""")
+def entry_conditions(spark, sf):
+    entries = standin.condition_entries(spark, sf)
+    groups = ag.condition_groups()
+    return ag.entry_records(entries, ag.named_records(entries, groups, "position"), ["l_orderkey", "horse_id"], groups)
+
+
 @query("rates", f"""{CONDITIONS_SQL}
 SELECT *, win + place + "show" + out AS starts, round(win::DOUBLE / (win + place + "show" + out), 6) AS win_rate,
   round((win + place)::DOUBLE / (win + place + "show" + out), 6) AS quinella_rate,
@@ -293,10 +342,11 @@ def layoff_rates(spark, sf):
 
 
 @query("entity_profile", f"""
-WITH {ENTRIES_SQL} SELECT l_partkey, round(var_samp(position), 6) AS position_variance,
-  round(avg((position <= 5)::INT), 6) AS board_rate, max(price) AS best_figure FROM p GROUP BY 1""")
+WITH {ENTRIES_SQL} SELECT l_partkey, round(var_samp(position % 4) FILTER (position % 4 > 0), 6) AS position_variance,
+  round(avg((position % 4 BETWEEN 1 AND 5)::INT), 6) AS board_rate, max(price) AS best_figure FROM p GROUP BY 1""")
 def entity_profile(spark, sf):
-    out = ag.profile(standin.placed_entries(spark, sf), ["l_partkey"], "position", "price")
+    runs = standin.placed_entries(spark, sf).withColumn("position", F.col("position") % 4)  # every fourth did not finish
+    out = ag.profile(runs, ["l_partkey"], "position", "price")
     return rounded(out, "position_variance", "board_rate")
 
 

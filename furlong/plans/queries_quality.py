@@ -86,24 +86,52 @@ def quality_checks(spark, sf):
                                       low.alias("low"), high.alias("high"))
 
 
-@query("quality_messages", """
-SELECT 'null_check' AS check_name, 'raw.orders' AS table_name, 'カラム ''status'': NULL件数 '
-    || printf('%,d', count(*) - count(nullif(o_orderstatus, 'P'))) || ' / ' || printf('%,d', count(*)) || ' ('
-    || printf('%.2f', (count(*) - count(nullif(o_orderstatus, 'P'))) / count(*)::DOUBLE * 100.0) || '%)' AS message
-FROM orders
-UNION ALL SELECT 'duplicate_check', 'raw.customer', '主キー (c_custkey): 重複件数 0 / ' || printf('%,d', count(*)) FROM customer
-UNION ALL SELECT 'row_count_check', 'raw.lineitem', 'レコード数: ' || printf('%,d', count(*)) || ' (最低期待値: 100,000)'
-FROM lineitem
-UNION ALL SELECT 'date_range_check', 'raw.orders', 'カラム ''day'': 範囲 ' || min(o_orderdate)::DATE || ' ~ '
-    || max(o_orderdate)::DATE || ' 古すぎる日付: ' || count(*) FILTER (o_orderdate < DATE '2016-01-01') || '件, 未来すぎる日付: '
-    || count(*) FILTER (o_orderdate::DATE > DATE '2001-07-08') || '件' FROM orders""")
+def _count(condition: str = "true") -> str:
+    return f"printf('%,d', count(*) FILTER ({condition}))"
+
+
+def _nulls_text(table: str, column: str, source: str, nulls: str) -> str:
+    share = f"printf('%.2f', 100.0 * count(*) FILTER ({nulls}) / count(*)::DOUBLE)"
+    return f"""SELECT 'null_check', 'raw.{table}', 'カラム ''{column}'': NULL件数 ' || {_count(nulls)} || ' / ' || {_count()} || ' (' || {share} || '%)' FROM {source}"""
+
+
+def _issues_text(low: str, low_text: str, high: str, high_text: str) -> str:
+    return f"""CASE WHEN count(*) FILTER (({low}) OR ({high})) = 0 THEN '正常' ELSE concat_ws(', ',
+  CASE WHEN count(*) FILTER ({low}) > 0 THEN '{low_text}: ' || count(*) FILTER ({low}) || '件' END,
+  CASE WHEN count(*) FILTER ({high}) > 0 THEN '{high_text}: ' || count(*) FILTER ({high}) || '件' END) END"""
+
+
+def _dates_text(table: str, column: str, source: str) -> str:
+    day = f"{source}::DATE"
+    issues = _issues_text(f"{day} < DATE '2016-01-01'", "古すぎる日付", f"{day} > DATE '2001-07-08'", "未来すぎる日付")
+    return f"""SELECT 'date_range_check', 'raw.{table}', 'カラム ''{column}'': 範囲 ' || min({day}) || ' ~ ' || max({day}) || ' ' || {issues} FROM {table}"""
+
+
+def _numbers_text(table: str, column: str, least: str, most: str) -> str:
+    issues = _issues_text(f"{column} < {least}::DOUBLE", "最小値未満", f"{column} > {most}::DOUBLE", "最大値超過")
+    return f"""SELECT 'numeric_range_check', 'raw.{table}', 'カラム ''{column}'': 範囲 ' || min({column}) || ' ~ ' || max({column})
+  || ' (期待値: {least} ~ {most}) ' || {issues} FROM {table}"""
+
+
+MESSAGES_SQL = " UNION ALL ".join([
+    "SELECT 'table_exists' AS check_name, 'raw.missing' AS table_name, 'テーブル raw.missing が存在しません' AS message",
+    *[f"SELECT 'table_exists', 'raw.{t}', 'テーブル raw.{t} が存在します'" for t in ("orders", "lineitem", "customer")],
+    *[f"SELECT 'row_count_check', 'raw.{t}', 'レコード数: ' || {_count()} || ' (最低期待値: {n})' FROM {t}"
+      for t, n in (("orders", "10,000"), ("lineitem", "100,000"), ("customer", "1,000"))],
+    _nulls_text("orders", "o_orderkey", "orders", "o_orderkey IS NULL"), _nulls_text("orders", "o_custkey", "orders", "o_custkey IS NULL"),
+    _nulls_text("orders", "status", "orders", "coalesce(o_orderstatus, 'P') = 'P'"), _nulls_text("lineitem", "l_orderkey", "lineitem", "l_orderkey IS NULL"),
+    _nulls_text("customer", "c_custkey", "customer", "c_custkey IS NULL"), _nulls_text("customer", "c_name", "customer", "c_name IS NULL"),
+    *[f"SELECT 'duplicate_check', 'raw.{t}', '主キー ({k}): 重複件数 ' || printf('%,d', count(*) - count(DISTINCT ({k}))) || ' / ' || {_count()} FROM {t}"
+      for t, k in (("orders", "o_custkey, o_orderdate"), ("lineitem", "l_orderkey, l_linenumber"), ("customer", "c_custkey"))],
+    _dates_text("orders", "day", "o_orderdate"), _dates_text("lineitem", "ship_day", "l_shipdate"),
+    _numbers_text("orders", "o_totalprice", "1000.0", "450000.0"), _numbers_text("lineitem", "l_quantity", "1", "50"),
+    _numbers_text("lineitem", "l_discount", "0.0", "0.09"), _numbers_text("customer", "c_acctbal", "0.0", "1000000000.0"),
+])
+
+
+@query("quality_messages", MESSAGES_SQL)
 def quality_messages(spark, sf):
-    wanted = F.array(*[F.lit(x) for x in ("null_check:raw.orders", "duplicate_check:raw.customer",
-                                          "row_count_check:raw.lineitem", "date_range_check:raw.orders")])
-    results = _results(spark, sf).where(
-        F.array_contains(wanted, F.concat("check_name", F.lit(":"), "table_name"))
-        & F.coalesce(F.col("details")["column"].isin("status", "day"), F.lit(True)))
-    return results.select("check_name", "table_name", "message")
+    return _results(spark, sf).select("check_name", "table_name", "message")
 
 
 @query("quality_summary", f"""

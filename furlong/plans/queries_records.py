@@ -20,11 +20,11 @@ from furlong.plans.queries_ingest import PROGRAMME_KEY
 from furlong.plans.queries_quality import AS_OF, CHECKS, CHECKS_SQL, _results, _tables
 from furlong.plans.registry import load, query
 from furlong.session import shared_dir
-from furlong.sources import fixed_width as fw
+from furlong.sources import files as fs, fixed_width as fw
 from furlong.sources.layouts import LAYOUTS
 from furlong.sources.schemas import required_columns, table_schema
 from furlong.sources.tables import read_table
-from furlong.streaming.ingest import load_files
+from furlong.streaming.ingest import ingest_files
 
 DRAWN = ("abcdef", "  .-+ ")
 SQL_TYPES = {T.StringType: "VARCHAR", T.LongType: "BIGINT", T.DoubleType: "DOUBLE", T.DateType: "DATE", T.TimestampType: "TIMESTAMP"}
@@ -275,30 +275,51 @@ def odds_before_start(spark, sf):
 
 # -- from bytes to tables ----------------------------------------------------------------------------
 
-def _files(spark, sf) -> DataFrame:
-    """Horse records as files: one in three in the other charset, some with a wrong name, the last line without a line feed."""
+#: Records of a file; the number of files grows with the table.
+PER_FILE = 250
+
+
+def _landing(spark, sf) -> str:
+    """Horse records written as files: one in three in the other charset, some with a wrong name, no line feed at the end."""
     line = F.col("line")
     lines = standin.horse_lines(spark, sf).withColumn("key", F.substring(line, 1, 8).cast("bigint"))
-    n = F.col("key") % 30
-    path = F.when(n == 29, F.lit("horses.csv")).otherwise(F.concat(F.lit("in/UKC2401"), standin.digits(n % 28 + 1, 2), F.lit(".csv")))
+    n = F.floor(F.col("key") / PER_FILE)
+    day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (n % 8000).cast("int")), "yyMMdd")
+    name = F.when(F.col("key") % 30 == 29, F.concat(F.lit("horses"), n.cast("string"), F.lit(".csv"))) \
+        .otherwise(F.concat(F.lit("UKC"), day, F.lit(".csv")))
     # a record without a horse id is kept: only NULL is refused
     cut = F.when(F.col("key") % 50 == 7, F.substring(line, 1, 20)).otherwise(line)
-    texts = lines.select(path.alias("path"), "key", cut.alias("line")).groupBy("path").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("key", "line"))), lambda x: x["line"]), "\n").alias("text"))
-    other = F.length("path") + F.ascii(F.substring("path", 10, 1)) + F.ascii(F.substring("path", 11, 1))
-    content = F.when(other % 3 == 0, F.encode("text", "windows-31j")).otherwise(F.encode("text", "UTF-8"))
-    return texts.select("path", content.alias("content")).withColumn("length", F.length("content").cast("bigint"))
+    coded = F.when(n % 3 == 0, F.encode(cut, "windows-31j")).otherwise(F.encode(cut, "UTF-8"))
+    folder = f"{shared_dir(spark)}/landing-{uuid4().hex}"
+    # bytes go through the text writer as they are; a file is one task's
+    lines.select(F.floor(n / 8000).alias("part"), name.alias("name"), "key", coded.cast("string").alias("value")) \
+        .repartition("part", "name").sortWithinPartitions("part", "name", "key") \
+        .select("part", "name", "value").write.partitionBy("part", "name").option("lineSep", "\n").text(folder)
+    _rename(spark, folder)
+    return folder
+
+
+def _rename(spark, folder: str) -> None:
+    """Give the written files the names of their folders; a stand-in for the delivery of files."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = store.globStatus(jvm.org.apache.hadoop.fs.Path(f"{folder}/part=*/name=*/part-*"))
+    for status in found or []:
+        own = status.getPath()
+        store.rename(own, jvm.org.apache.hadoop.fs.Path(own.getParent(), own.getParent().getName().removeprefix("name=")))
 
 
 def _loaded(spark, sf) -> str:
-    root = f"{shared_dir(spark)}/load-bytes-{uuid4().hex}"
-    load_files(fw.decode_files(_files(spark, sf)), root, "first", datetime(2026, 1, 4, 12, 0, 0))
+    root = f"{shared_dir(spark)}/load-{uuid4().hex}"
+    ingest_files(spark, _landing(spark, sf), root, datetime(2026, 1, 4, 12, 0, 0))
     return root
 
 
-BYTES_SQL = """
+BYTES_SQL = f"""
 f AS (SELECT *, p_partkey % 30 = 29 AS misnamed, p_partkey % 50 = 7 AS cut,
-  CASE WHEN p_partkey % 30 = 29 THEN 'horses.csv' ELSE 'in/UKC2401' || lpad((p_partkey % 30 % 28 + 1)::VARCHAR, 2, '0') || '.csv' END AS path FROM part)"""
+  CASE WHEN p_partkey % 30 = 29 THEN 'horses' || p_partkey // {PER_FILE} || '.csv'
+    ELSE 'UKC' || strftime(DATE '2024-01-01' + (p_partkey // {PER_FILE} % 8000)::INTEGER, '%y%m%d') || '.csv' END AS path FROM part)"""
 
 
 @query("load_bytes", f"""
@@ -311,11 +332,11 @@ def load_bytes(spark, sf):
 
 
 @query("load_bytes_log", f"""
-WITH {BYTES_SQL} SELECT path, CASE WHEN path <> 'horses.csv' AND count(*) > count(*) FILTER (cut) THEN 'success' ELSE 'failed' END AS status,
-  CASE WHEN path <> 'horses.csv' THEN count(*) FILTER (NOT cut) ELSE 0 END AS records,
-  CASE WHEN path <> 'horses.csv' THEN count(*) FILTER (cut) ELSE 0 END AS rejected,
-  CASE WHEN path = 'horses.csv' THEN 'Invalid filename format' WHEN count(*) = count(*) FILTER (cut) THEN 'No data parsed' END AS error
-FROM f GROUP BY path""")
+WITH {BYTES_SQL} SELECT path, CASE WHEN NOT misnamed AND count(*) > count(*) FILTER (cut) THEN 'success' ELSE 'failed' END AS status,
+  CASE WHEN NOT misnamed THEN count(*) FILTER (NOT cut) ELSE 0 END AS records,
+  CASE WHEN NOT misnamed THEN count(*) FILTER (cut) ELSE 0 END AS rejected,
+  CASE WHEN misnamed THEN 'Invalid filename format' WHEN count(*) = count(*) FILTER (cut) THEN 'No data parsed' END AS error
+FROM f GROUP BY path, misnamed, p_partkey // {PER_FILE} // 8000""")
 def load_bytes_log(spark, sf):
     log = spark.read.parquet(f"{_loaded(spark, sf)}/_log")
-    return log.select("path", "status", "records", "rejected", "error")
+    return log.select(fs.base_name(F.col("path")).alias("path"), "status", "records", "rejected", "error")

@@ -36,9 +36,8 @@ def compose(length: int, pieces: Sequence[tuple[int, int, Column]]) -> Column:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use every core for the costly text work when a small file scan has fewer splits."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Deal the rows of a small file scan over every core, for the costly text work behind it."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def as_lines(line: Column) -> Column:
@@ -201,6 +200,22 @@ def placed_entries(spark: SparkSession, sf: str) -> DataFrame:
     return rank_in_race(race_entries(spark, sf), ["l_orderkey"], "price", "position")
 
 
+def condition_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """Placed entries with every column that the named condition groups look at; some values are missing."""
+    o, part, s = F.col("l_orderkey"), F.col("l_partkey"), F.col("suppkey")
+
+    def one_of(number: Column, *names: str) -> Column:
+        return F.element_at(F.array(*[F.lit(n) for n in names]), (number % len(names) + 1).cast("int"))
+
+    return placed_entries(spark, sf).select(
+        "l_orderkey", "position", part.alias("horse_id"), s.alias("jockey_code"), (s % 20).alias("trainer_code"),
+        F.col("o_custkey").alias("owner_code"), F.when(part % 7 > 0, part % 3).alias("blinker"),
+        one_of(o, "turf", "dirt").alias("course_type"), (1000 + o % 20 * 100).alias("distance"), (o % 10 + 1).alias("venue_code"),
+        one_of(o + part, "1w", "2-3w", "4-8w").alias("layoff"), one_of(o, "right", "left", "straight").alias("direction"),
+        F.month("day").alias("season"), (part % 8 + 1).alias("bracket_number"), one_of(o, "良", "稍重", "重", "不良", "他").alias("going"),
+        one_of(o, "S", "M", "H", "-").alias("pace"), one_of(part, "jra", "jra", "exchange", "other").alias("organiser"))
+
+
 def training_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     """Race, entry, result, pedigree and odds tables in the shape of the warehouse."""
     o, part = F.col("o_orderkey"), F.col("l_partkey")

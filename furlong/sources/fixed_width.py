@@ -1,8 +1,8 @@
 """Fixed-width ingestion: one declarative plan per record type.
 
-Files are read whole and decoded per file (race-day files are small), split
-into lines, and each layout becomes a single ``select`` of substring
-expressions. Every dropped line keeps a reason.
+Files of any size are read block by block; a block index numbers the lines and
+settles the charset of each file. Each layout becomes a single ``select`` of
+substring expressions. Every dropped line keeps a reason.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from furlong.sources.layouts import LAYOUTS, read_fields
 from furlong.sources.schemas import required_columns, table_schema
 
 BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
+LISTING = ("path", "modificationTime", "length")
 
 
 def decode_bytes(content: Column) -> Column:
@@ -60,31 +61,63 @@ def file_lines(files: DataFrame) -> DataFrame:
     )
 
 
+def list_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """One row per CSV file, routed, without reading its content."""
+    listed = (
+        spark.read.format("binaryFile").option("pathGlobFilter", fs.CSV_GLOB)
+        .option("recursiveFileLookup", "true").load(paths)
+    )
+    return fs.route(listed.select(*LISTING))
+
+
+def plain_path(url: Column) -> Column:
+    """The path of a file as the listing spells it: escapes undone, no empty host."""
+    return F.regexp_replace(F.url_decode(F.replace(url, F.lit("+"), F.lit("%2B"))), "^([a-z0-9]+):///", "$1:/")
+
+
+def _blocks_of_bytes(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Raw lines with their file, the start of their block and their place in the order of the task that reads it."""
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return (
+        spark.read.option("lineSep", "\n").option("pathGlobFilter", fs.CSV_GLOB).option("recursiveFileLookup", "true").text(paths)
+        .select(F.col("_metadata.file_path").alias("_url"), F.col("_metadata.file_block_start").alias("_block"),
+                F.col("value").cast("binary").alias("_bytes"))
+        .withColumn("_place", place)
+    )
+
+
+def block_index(raw: DataFrame) -> DataFrame:
+    """One row per block: the number its first line has in its file, less its place, and the charset of the file.
+
+    A file is UTF-8 if all its lines are; no byte of a line feed occurs inside a
+    Windows-31J character, so lines may be cut before the charset is known.
+    """
+    blocks = raw.groupBy("_url", "_block").agg(
+        F.min("_place").alias("_first"), F.count("*").alias("_lines"), F.bool_and(F.is_valid_utf8("_bytes")).alias("_valid"))
+    file = W.partitionBy("_url")
+    earlier = file.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    return blocks.select(
+        "_url", "_block", (F.coalesce(F.sum("_lines").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift"),
+        F.bool_and("_valid").over(file).alias("_utf8"))
+
+
 def scan_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Numbered lines of routed files, in either charset, through the splittable text reader.
+    """Non-blank numbered lines of routed files, in either charset, through the splittable text reader.
 
-    For files too large to be one row. A first pass over the blocks of each
-    file counts their lines and checks whether all are valid UTF-8; line
-    numbers are the running counts plus the place inside the block. No byte of
-    a line feed occurs inside a Windows-31J character, so cutting first is safe.
+    The files are read twice: once for the block index, of one row per block,
+    and once for the lines. A file of any size is dealt over its blocks.
     """
     prepare(spark)
-    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    raw = spark.read.option("lineSep", "\n").option("pathGlobFilter", fs.CSV_GLOB).option("recursiveFileLookup", "true").text(paths) \
-        .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"),
-                F.col("value").cast("binary").alias("_bytes")).withColumn("_place", place)
-    blocks = raw.groupBy("path", "_block").agg(
-        F.min("_place").alias("_first"), F.count("*").alias("_lines"), F.bool_and(F.is_valid_utf8("_bytes")).alias("_valid"))
-    file, earlier = W.partitionBy("path"), W.partitionBy("path").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_lines").over(earlier), F.lit(0))) \
-        .withColumn("_utf8", F.bool_and("_valid").over(file)).drop("_lines", "_valid")
+    raw = _blocks_of_bytes(spark, paths)
     text = F.when(F.col("_utf8"), F.decode("_bytes", "UTF-8")).otherwise(F.decode("_bytes", "windows-31j"))
-    return (
-        raw.join(blocks, ["path", "_block"])
-        .select("path", fs.data_type(F.col("path")).alias("data_type"), fs.file_date(F.col("path")).alias("file_date"),
-                (F.col("_before") + F.col("_place") - F.col("_first") + 1).cast("int").alias("line_no"), text.alias("line"))
+    path = plain_path(F.col("_url"))
+    lines = (
+        raw.join(block_index(raw), ["_url", "_block"])
+        .select(path.alias("path"), (F.col("_shift") + F.col("_place")).cast("int").alias("line_no"), text.alias("line"))
         .where(fx.strip(F.col("line")) != "")
     )
+    routed = fs.route(lines)
+    return routed.where(F.col("error").isNull()).select("path", "data_type", "file_date", "line_no", "line")
 
 
 def _programme() -> dict[str, Column]:
@@ -188,15 +221,9 @@ def first_errors(rejects: DataFrame, n: int = 5) -> DataFrame:
 
 
 def ingest(spark: SparkSession, paths: str | Sequence[str], record_type: str,
-           ts: datetime, strict: bool = False, large: bool = False) -> tuple[DataFrame, DataFrame]:
-    """All files of one record type: (rows of its table, rejects with file, line, reason).
-
-    ``large`` reads files block by block instead of whole.
-    """
-    if large:
-        lines = scan_lines(spark, paths).where(F.col("data_type") == record_type)
-    else:
-        lines = file_lines(read_text_auto(spark, paths).where(F.col("data_type") == record_type))
+           ts: datetime, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """All files of one record type: (rows of its table, rejects with file, line, reason)."""
+    lines = scan_lines(spark, paths).where(F.col("data_type") == record_type)
     ok, rejects = split_required(parse_lines(lines, record_type, ts), strict)
     table = table_schema(LAYOUTS[record_type].table).names
     return ok.select(*table), rejects.select("path", "line_no", "reject_reason")

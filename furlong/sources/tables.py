@@ -137,6 +137,54 @@ def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str],
     return kept.unionByName(source.select(*target.columns))
 
 
+#: Slots of a key index: a batch of a few keys reads as many slots of it at most.
+SLOTS = 64
+
+
+def _slotted(rows: DataFrame, keys: Sequence[str], *others: str) -> DataFrame:
+    """The keys of rows as a hash and its slot."""
+    hashed = F.xxhash64(*keys)
+    return rows.select(F.pmod(hashed, F.lit(SLOTS)).cast("int").alias("_slot"), hashed.alias("_hash"), *others)
+
+
+def index_path(root: str, name: str) -> str:
+    return f"{root}/_index/{name}"
+
+
+def add_to_index(rows: DataFrame, root: str, name: str) -> None:
+    """Note the days under which the keys of ``rows`` are stored.
+
+    Entries are only added: that of a row that moved on costs a needless look at its former day and nothing else, so an
+    entry may be noted before its row is written, and twice.
+    """
+    layout = TABLES[name]
+    entries = _slotted(rows.dropna(subset=list(layout.key)), layout.key, layout.partition).distinct()
+    entries.repartition("_slot").sortWithinPartitions("_slot", "_hash").write.mode("append").partitionBy("_slot").parquet(index_path(root, name))
+
+
+def indexed_days(spark: SparkSession, root: str, name: str, incoming: DataFrame) -> DataFrame:
+    """Days that may hold a key of ``incoming``: the slots of its keys are all that is read of the index."""
+    layout = TABLES[name]
+    if not _is_written(spark, f"{index_path(root, name)}-built"):  # the table is older than its index, or empty
+        add_to_index(read_table(spark, root, name), root, name)
+        spark.range(1).write.mode("overwrite").parquet(f"{index_path(root, name)}-built")
+    wanted = _slotted(incoming.dropna(subset=list(layout.key)), layout.key).distinct()
+    slots = [row[0] for row in wanted.select("_slot").distinct().collect()]  # at most SLOTS numbers
+    kind = stored_schema(table_schema(name), layout)[layout.partition].dataType
+    schema = T.StructType().add("_hash", T.LongType()).add(layout.partition, kind).add("_slot", T.IntegerType())
+    index = spark.read.schema(schema).parquet(index_path(root, name)).where(F.col("_slot").isin(slots))
+    return index.join(wanted, ["_slot", "_hash"], "left_semi").select(layout.partition).distinct()
+
+
+def drop_days(spark: SparkSession, path: str, part: str, days: Sequence) -> None:
+    """Remove the folders of days that have no row any more; no job is run for them."""
+    jvm = spark._jvm
+    store = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for day in days:
+        value = "__HIVE_DEFAULT_PARTITION__" if day is None else day.isoformat()
+        store.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/{part}={value}"), True)
+
+
 def _is_written(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.parquet(path)
@@ -172,13 +220,7 @@ def upsert_table(spark: SparkSession, root: str, name: str, source: DataFrame, b
         touched = None
         if part:
             # Days that hold a matched key or receive a row: bounded by the calendar.
-            # The range of the batch's keys reaches the scan, which skips files and row groups outside it.
-            ends = incoming.agg(*[f(k).alias(f"{n}_{k}") for k in layout.key for n, f in (("lo", F.min), ("hi", F.max))]).first()
-            near = target.select(*layout.key, part)
-            for k in layout.key:
-                near = near.where(F.col(k).between(F.lit(ends[f"lo_{k}"]), F.lit(ends[f"hi_{k}"])))
-            hit = near.join(incoming.select(*layout.key), list(layout.key), "left_semi")
-            touched = hit.select(part).union(incoming.select(part)).distinct()
+            touched = indexed_days(spark, root, name, incoming).union(incoming.select(part)).distinct()
             touched.write.mode("overwrite").parquet(f"{stage}/touched")
             touched = spark.read.parquet(f"{stage}/touched")
             days = [row[0] for row in touched.collect()]
@@ -189,11 +231,11 @@ def upsert_table(spark: SparkSession, root: str, name: str, source: DataFrame, b
         spark.range(1).write.mode("overwrite").parquet(f"{stage}/ready")
     merged = spark.read.parquet(f"{stage}/merged")
     if part:
-        emptied = spark.read.parquet(f"{stage}/touched").join(
-            merged.select(part).distinct(), [part], "left_anti").dropna().collect()
+        filled = merged.select(F.col(part).alias("_day")).distinct()
+        emptied = spark.read.parquet(f"{stage}/touched").join(filled, F.col(part).eqNullSafe(F.col("_day")), "left_anti").collect()
+        add_to_index(merged, root, name)
         write_table(merged, path, layout)
-        for (day,) in emptied:  # all of a day's rows moved to another day
-            merged.drop(part).limit(0).write.mode("overwrite").parquet(f"{path}/{part}={day.isoformat()}")
+        drop_days(spark, path, part, [row[0] for row in emptied])  # all of their rows moved to another day
     else:
         write_table(merged, path, layout)
     spark.range(1).write.mode("overwrite").parquet(f"{stage}/done")

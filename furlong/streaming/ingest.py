@@ -12,8 +12,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from furlong.session import prepare
 from furlong.sources import files as fs
-from furlong.sources.fixed_width import (BINARY_FILE, decode_files, file_lines, load_log, parse_lines,
-                                         read_text_auto, refuse_files, split_required)
+from furlong.sources.fixed_width import (BINARY_FILE, LISTING, list_files, load_log, parse_lines, refuse_files, scan_lines,
+                                         split_required)
 from furlong.sources.layouts import LAYOUTS
 from furlong.sources.tables import upsert_table
 
@@ -58,11 +58,19 @@ def free_staging(spark: SparkSession, root: str, batch: str) -> None:
     spark.createDataFrame([], "line string").write.mode("overwrite").parquet(f"{root}/_staging/parsed/{batch}")
 
 
-def load_files(files: DataFrame, root: str, batch: str, ts: datetime, strict: bool = False) -> None:
-    """Load routed, decoded files and record the outcome of each one."""
-    outcome = load_lines(file_lines(files), root, batch, ts, strict)
+def load_files(spark: SparkSession, files: DataFrame, root: str, batch: str, ts: datetime, strict: bool = False) -> None:
+    """Load the listed, routed files block by block and record the outcome of each one.
+
+    ``files`` has one row per file; only their names pass through the driver.
+    """
+    files = files.select("path", "data_type", "table", "error")
+    paths = [row[0] for row in files.where(F.col("error").isNull()).select("path").collect()]
+    if paths:
+        outcome = load_lines(scan_lines(spark, paths), root, batch, ts, strict)
+    else:
+        outcome = spark.createDataFrame([], "path string, reject_reason string")
     load_log(files, outcome).write.mode("overwrite").parquet(f"{root}/_log/batch={batch}")
-    free_staging(files.sparkSession, root, batch)
+    free_staging(spark, root, batch)
 
 
 def batch_name(files: DataFrame, batch_id: int) -> str:
@@ -84,12 +92,11 @@ def ingest_stream(spark: SparkSession, in_dir: str, root: str, checkpoint: str,
     arrivals = (
         spark.readStream.format("binaryFile").schema(BINARY_FILE)
         .option("recursiveFileLookup", "true").option("pathGlobFilter", fs.CSV_GLOB)
-        .option("maxFilesPerTrigger", files_per_batch).load(in_dir)
+        .option("maxFilesPerTrigger", files_per_batch).load(in_dir).select(*LISTING)  # contents are read block by block
     )
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        name = batch_name(batch.select("path", "modificationTime", "length"), batch_id)
-        load_files(decode_files(batch), root, name, clock(), strict)
+        load_files(batch.sparkSession, fs.route(batch), root, batch_name(batch, batch_id), clock(), strict)
 
     return (arrivals.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
@@ -111,4 +118,5 @@ def lines_stream(lines: DataFrame, root: str, checkpoint: str,
 def ingest_files(spark: SparkSession, paths: str | Sequence[str], root: str, ts: datetime | None = None,
                  strict: bool = False) -> None:
     """Load (or load again) the named files in one batch run."""
-    load_files(read_text_auto(spark, paths), root, f"manual-{uuid4().hex}", ts or _now(), strict)
+    prepare(spark)
+    load_files(spark, list_files(spark, paths), root, f"manual-{uuid4().hex}", ts or _now(), strict)

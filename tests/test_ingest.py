@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from furlong.sources import files as fs
-from furlong.sources.fixed_width import (file_lines, first_errors, ingest, load_log, parse_lines, read_text_auto,
+from furlong.sources.fixed_width import (file_lines, first_errors, ingest, list_files, load_log, parse_lines, read_text_auto,
                                          scan_lines, split_required)
 from furlong.sources.layouts import LAYOUTS
 from furlong.sources.odds import explode_odds, to_odds_table
@@ -221,12 +221,83 @@ def test_large_files_are_numbered_and_decoded_block_by_block(spark, tmp_path):
     assert got == sorted((name, i + 1, row) for name in ("BAA260101.csv", "BAA260102.csv") for i, row in enumerate(rows) if row)
 
 
-def test_large_and_whole_reading_agree(spark, landing):
+def small_blocks(spark, size=4096):
+    """Files are cut into blocks of so many bytes inside the ``with``."""
+    from contextlib import contextmanager
+
+    @contextmanager
+    def setting():
+        before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        try:
+            yield
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+    return setting()
+
+
+def test_reading_in_blocks_and_whole_agree(spark, landing):
     for kind in ("BAA", "KYF"):
-        whole, large = ingest(spark, landing, kind, TS), ingest(spark, landing, kind, TS, large=True)
-        for a, b in zip(whole, large):
-            key = lambda r: tuple(str(v).replace("file:///", "file:/") for v in r)
-            assert sorted(map(key, a.collect())) == sorted(map(key, b.collect()))
+        lines = file_lines(read_text_auto(spark, landing).where(F.col("data_type") == kind))
+        whole = split_required(parse_lines(lines, kind, TS))
+        with small_blocks(spark, 64):
+            ok, rejects = ingest(spark, landing, kind, TS)
+            got = sorted(map(str, ok.collect())), sorted(map(str, rejects.collect()))
+        assert got[0] == sorted(map(str, whole[0].select(*ok.columns).collect()))
+        assert got[1] == sorted(map(str, whole[1].select(*rejects.columns).collect()))
+
+
+def test_names_with_blanks_and_signs_are_found_again(spark, tmp_path):
+    folder = tmp_path / "a b+c%20ü"
+    folder.mkdir()
+    (folder / "BAA260104.csv").write_text(PROGRAMME + "\n" + PROGRAMME[:50])
+    listed = list_files(spark, str(tmp_path)).select("path").collect()
+    assert [r.path for r in scan_lines(spark, str(tmp_path)).select("path").distinct().collect()] == [r.path for r in listed]
+
+
+@pytest.mark.parametrize("stream", [False, True])
+def test_files_of_many_blocks_are_loaded_with_numbers_and_log(spark, tmp_path, stream):
+    """Both charsets, far more blocks than files, a blank file, a wrong name: through the loader and through the stream."""
+    import os
+
+    from furlong.sources.tables import read_table
+    from furlong.streaming.ingest import ingest_files, ingest_stream
+
+    landing = tmp_path / "in"
+    landing.mkdir()
+    keys = [f"06{y:02d}11{r:02d}" for y in range(26) for r in range(1, 13)]
+    for day, charset in ((1, "utf-8"), (2, "cp932")):
+        lines = [k[:5] + f"{day}" + k[6:] + PROGRAMME[8:] + "レース" for k in keys]
+        lines[7], lines[-3] = "short", ""
+        (landing / f"BAA26010{day}.csv").write_bytes("\r\n".join(lines).encode(charset))
+    (landing / "BAA260103.csv").write_bytes(b"\n \n")
+    (landing / "other.csv").write_text("x")
+    root = str(tmp_path / "out")
+    with small_blocks(spark, 8192):
+        if stream:
+            ingest_stream(spark, str(landing), root, str(tmp_path / "checkpoint"), clock=lambda: TS).awaitTermination()
+        else:
+            ingest_files(spark, str(landing), root, TS)
+    log = {os.path.basename(r.path): (r.status, r.records, r.rejected, r.error) for r in spark.read.parquet(f"{root}/_log").collect()}
+    good = len(keys) - 2
+    assert log == {"BAA260101.csv": ("success", good, 1, None), "BAA260102.csv": ("success", good, 1, None),
+                   "BAA260103.csv": ("failed", 0, 0, "No data parsed"), "other.csv": ("failed", 0, 0, "Invalid filename format")}
+    assert read_table(spark, root, "race_info").count() == 2 * good
+    rejects = spark.read.parquet(f"{root}/_rejects").collect()
+    assert sorted((os.path.basename(r.path), r.line_no, r.reject_reason) for r in rejects) == [
+        ("BAA260101.csv", 8, "line too short"), ("BAA260102.csv", 8, "line too short")]
+
+
+def test_the_stream_does_not_read_contents_into_rows(spark, tmp_path, monkeypatch):
+    from furlong.streaming import ingest as module
+
+    seen = []
+    monkeypatch.setattr(module, "load_files", lambda spark, files, *rest: seen.append(files.columns))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "BAA260104.csv").write_text(PROGRAMME)
+    module.ingest_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    assert seen == [["path", "modificationTime", "length", "data_type", "file_date", "table", "error"]]
 
 
 def test_blank_required_text_is_kept(spark):

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from furlong.operators import evaluate as ev, features as ft, history as hi, in_race as ir, odds as od
+from furlong.operators import evaluate as ev, features as ft, groups, history as hi, in_race as ir, odds as od
+from furlong.operators.groups import with_place
 from furlong.plans import catalog
 
 WHO, DAY, TIE = ["who"], "day", ["id"]
@@ -83,12 +84,65 @@ def test_buckets_are_those_of_ntile(runs, n, descending):
     same(ir.buckets(keyed, ["kind"], "value", TIE, n, descending=descending), expected)
 
 
-@pytest.mark.parametrize("slices", [1, 5, 4096])
-def test_calibration_is_that_of_ntile(runs, slices):
+def test_calibration_is_that_of_ntile(runs):
     expected = runs.withColumn("decile", F.ntile(9).over(W.orderBy(F.col("value").asc_nulls_last(), "id"))) \
         .groupBy("decile").agg(F.count("*").alias("rows"), F.avg("value").alias("mean_score"),
                                F.avg((F.col("kind") == "A").cast("int")).alias("hit_rate"))
-    same(ev.calibration(runs, "value", F.col("kind") == "A", TIE, 9, slices), expected)
+    same(ev.calibration(runs, "value", F.col("kind") == "A", TIE, 9), expected)
+
+
+@pytest.fixture
+def uncoalesced(spark):
+    """Small partitions stay apart, as large ones would."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def range_sizes(monkeypatch):
+    """Rows of each range of the last table that was written."""
+    kept = []
+    plain = groups.stored
+    monkeypatch.setattr(groups, "stored", lambda df, kind: kept.append(plain(df, kind)) or kept[-1])
+    return lambda: [r["count"] for r in kept[-1].groupBy("_range").count().collect()]
+
+
+def largest_share(df, by):
+    """Share of all rows that the fullest partition of ``df`` holds."""
+    sizes = [r["count"] for r in df.groupBy(by).count().collect()]
+    return max(sizes) / sum(sizes)
+
+
+@pytest.mark.parametrize("score", ["if(id = 5, 1e9, id / 4000)", "if(id % 3 = 0, 0.5, id / 4000)", "if(id % 2 = 0, null, id / 4000)"],
+                         ids=["one far off", "a third share one", "half missing"])
+def test_places_are_found_in_even_ranges(spark, monkeypatch, uncoalesced, score):
+    written = range_sizes(monkeypatch)
+    rows = spark.range(4000).withColumn("score", F.expr(score))
+    order = [F.col("score").asc_nulls_last(), F.col("id").asc()]
+    placed = with_place(rows, order, "place", "size")
+    expected = {r["id"]: k for k, r in enumerate(rows.orderBy(*order).collect())}
+    assert {r["id"]: r["place"] for r in placed.collect()} == expected
+    assert {r["size"] for r in placed.select("size").distinct().collect()} == {4000}
+    assert len(written()) >= 4 and max(written()) < 1500
+
+
+def test_equal_rows_are_dealt_over_ranges(spark, monkeypatch, uncoalesced):
+    written = range_sizes(monkeypatch)
+    rows = spark.range(4000).select(F.lit(1.0).alias("score"))
+    placed = with_place(rows, [F.col("score").asc()], "place", "size")
+    assert sorted(r["place"] for r in placed.collect()) == list(range(4000))
+    assert len(written()) >= 4
+
+
+def test_rows_without_a_race_are_dealt_over_tasks(spark, uncoalesced):
+    """Half of all rows have no race: none of them meet in a window's task."""
+    rows = spark.range(4000).select(F.when(F.col("id") % 2 == 0, (F.col("id") / 20).cast("int")).alias("race"), F.col("id").alias("x"))
+    for out in (ir.rank_in_race(rows, ["race"], "x", "r"), ir.minus_race_mean(rows, ["race"], "x", "r"), ir.upset(rows, ["race"], "x", "x"),
+                ir.race_totals(rows, ["race"], {"n": F.count("x")})):
+        assert largest_share(out.withColumn("part", F.spark_partition_id()), "part") < 0.25
+        assert out.columns[:2] == rows.columns and out.count() == 4000
+    out = ir.buckets(rows, ["race"], "x", ["x"])
+    assert largest_share(out.withColumn("part", F.spark_partition_id()), "part") < 0.25
 
 
 def test_odds_movement(spark):

@@ -1,4 +1,5 @@
-from datetime import date, datetime
+import re
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -61,6 +62,68 @@ def test_batch_that_died_while_moving_is_finished(spark, tmp_path, monkeypatch):
     assert stored(spark, root) == {"a": (D1, 7), "b": (D1, 2)}
 
 
+def many_races(spark, ids, day):
+    """One race per id and number of days after 2024-01-01."""
+    return races(spark, [(i, date(2024, 1, 1) + timedelta(days=day(k)), 0) for k, i in enumerate(ids)])
+
+
+def files_by_day(root):
+    import glob
+    import os
+
+    return {os.path.basename(os.path.dirname(f)): f for f in glob.glob(f"{root}/raw/race_info/race_date=*/*.parquet")}
+
+
+def test_only_days_of_matched_keys_are_read_and_rewritten(spark, tmp_path):
+    """Random keys span the range of all others; the index finds their days all the same."""
+    root = str(tmp_path)
+    ids = [f"{(i * 7919) % 100_003:06d}" for i in range(60)]
+    tb.upsert_table(spark, root, "race_info", many_races(spark, ids, lambda k: k % 20), "b1")
+    before = files_by_day(root)
+    batch = races(spark, [(min(ids), date(2024, 1, 1) + timedelta(days=ids.index(min(ids)) % 20), 9),
+                          (max(ids), date(2024, 1, 1) + timedelta(days=ids.index(max(ids)) % 20), 9), ("500000", date(2024, 3, 1), 9)])
+    days = {str(r[0]) for r in tb.indexed_days(spark, root, "race_info", batch).collect()}
+    own = {str(date(2024, 1, 1) + timedelta(days=ids.index(i) % 20)) for i in (min(ids), max(ids))}
+    assert days == own
+    tb.upsert_table(spark, root, "race_info", batch, "b2")
+    after = files_by_day(root)
+    changed = {d.removeprefix("race_date=") for d in after if after[d] != before.get(d)}
+    assert changed == own | {"2024-03-01"} and len(stored(spark, root)) == 61
+
+
+def test_the_index_is_pruned_by_slot(spark, tmp_path):
+    root = str(tmp_path)
+    tb.upsert_table(spark, root, "race_info", many_races(spark, [f"{i:06d}" for i in range(200)], lambda k: k % 5), "b1")
+    tb.indexed_days(spark, root, "race_info", races(spark, [("000007", D1, 0)]))
+    plan = tb.indexed_days(spark, root, "race_info", races(spark, [("000007", D1, 0)]))._jdf.queryExecution().executedPlan().toString()
+    found = re.search(r"PartitionFilters: \[([^\]]*)\]", plan)
+    assert found and "_slot" in found[1]
+
+
+def test_days_without_rows_are_removed_without_a_job(spark, tmp_path):
+    root = str(tmp_path)
+    tb.upsert_table(spark, root, "race_info", many_races(spark, [f"{i:06d}" for i in range(30)], lambda k: k), "b1")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("dropping", "")
+    tb.drop_days(spark, tb.table_path(root, "race_info"), "race_date", [])
+    assert not tracker.getJobIdsForGroup("dropping")
+    tb.upsert_table(spark, root, "race_info", many_races(spark, [f"{i:06d}" for i in range(30)], lambda k: 100), "b2")
+    assert list(files_by_day(root)) == ["race_date=2024-04-10"] and len(stored(spark, root)) == 30
+    # a stale entry of the index leads to a day that is gone, which holds nothing
+    tb.upsert_table(spark, root, "race_info", many_races(spark, ["000003"], lambda k: 7), "b3")
+    assert stored(spark, root)["000003"][0] == date(2024, 1, 8) and len(stored(spark, root)) == 30
+
+
+def test_a_table_older_than_its_index_is_indexed_once(spark, tmp_path):
+    import shutil
+
+    root = str(tmp_path)
+    tb.upsert_table(spark, root, "race_info", races(spark, [("a", D1, 1), ("b", D1, 2)]), "b1")
+    shutil.move(f"{root}/_index", f"{root}/_old_index")
+    tb.upsert_table(spark, root, "race_info", races(spark, [("a", date(2025, 5, 5), 3)]), "b2")
+    assert {k: v[0] for k, v in stored(spark, root).items()} == {"a": date(2025, 5, 5), "b": D1}
+
+
 def test_null_keys_never_match(spark):
     target = spark.createDataFrame([(1, "t"), (None, "t")], "k int, v string")
     source = spark.createDataFrame([(1, "s", 1), (1, "z", 2), (None, "s", 1), (None, "s", 2)], "k int, v string, n int")
