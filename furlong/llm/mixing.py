@@ -22,6 +22,8 @@ from furlong.llm.common import count_words, stored, text_of, unit_interval
 BUCKETS = 1024
 WEIGHTS = (1, 2, 3)
 MOST_PASSES = 3
+#: Bytes of a plan (one row per source) that are sent to every task.
+PLAN_BYTES = 4_000_000
 #: Chance weights by label: good, not labelled, bad. Powers of two keep the division exact.
 GOOD, UNKNOWN, BAD = 1.0, 0.5, 0.25
 
@@ -76,22 +78,33 @@ def mix(docs: DataFrame, quality: Column | None = None, labels: DataFrame | None
     drawn = drawn.withColumn("_key", -F.log(unit_interval(F.col("doc_id"))) / F.col("_weight"))
     drawn = stored(drawn.select("row", "doc_id", "source", "size", "_key", F.least(
         F.lit(buckets - 1), F.floor(F.lit(float(buckets)) * (1 - F.exp(-F.col("_key"))))).cast("int").alias("_bucket")))
-    plan = budgets(drawn.groupBy("source", "_bucket").agg(F.sum("size").alias("_slot")), weights, most)
-    share = ["d.*", "source_size", "target", "passes", "_edge", "_room"]
-    clear = drawn.alias("d").join(plan.alias("p"), F.expr("d.source <=> p.source")).select(share) \
-        .filter("_edge IS NULL OR _bucket <> _edge") \
+    plan = stored(budgets(drawn.groupBy("source", "_bucket").agg(F.sum("size").alias("_slot")), weights, most))
+    planned = with_plan(drawn, plan, buckets)
+    clear = planned.filter("_edge IS NULL OR _bucket <> _edge") \
         .withColumn("_part", F.when(F.col("_bucket") < F.col("_edge"), F.col("size")).otherwise(0))
     inside = W.partitionBy("source").orderBy("_key", F.asc_nulls_last("doc_id"), "size") \
         .rowsBetween(W.unboundedPreceding, -1)
-    # joined on the bucket too, so that a large source is dealt over many tasks before its edge is picked out
-    edge = drawn.alias("d").join(plan.alias("p"), F.expr("d.source <=> p.source AND d._bucket = p._edge")).select(share) \
-        .withColumn("_part", F.greatest(F.lit(0), F.least(
-            F.col("size"), F.col("_room") - F.coalesce(F.sum("size").over(inside), F.lit(0)))))
+    edge = planned.filter("_bucket = _edge").withColumn("_part", F.greatest(F.lit(0), F.least(
+        F.col("size"), F.col("_room") - F.coalesce(F.sum("size").over(inside), F.lit(0)))))
     return clear.unionByName(edge).select(
         "row", "doc_id", "size", "source_size", "target",
         (F.col("passes") * F.col("size") + F.col("_part")).alias("taken"), "passes")
 
 
+def with_plan(drawn: DataFrame, plan: DataFrame, buckets: int) -> DataFrame:
+    """Every row with the plan of its source.
+
+    A plan of up to ``PLAN_BYTES`` goes to every task and the rows stay where they are. A larger one is
+    repeated for each bucket and joined on source and bucket, so that the rows of a large source are dealt over many tasks.
+    """
+    share = ["d.*", "source_size", "target", "passes", "_edge", "_room"]
+    size = plan.agg(F.sum(F.coalesce(F.octet_length("source"), F.lit(0)) + 48)).first()[0] or 0
+    if size <= PLAN_BYTES:
+        return drawn.alias("d").join(F.broadcast(plan).alias("p"), F.expr("d.source <=> p.source")).select(share)
+    each = plan.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    return drawn.alias("d").join(each.alias("p"), F.expr("d.source <=> p.source AND d._bucket = p._slot")).select(share)
+
+
 def budgets(slots: DataFrame, weights: Sequence[int], most: int) -> DataFrame:
     """One row per source: target, complete passes, the bucket in which the rest of the budget ends (null if the source has no
     words) and the words left for that bucket."""

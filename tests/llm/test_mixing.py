@@ -66,3 +66,10 @@ def test_empty_and_wordless_tables(spark):
 def test_main_path_has_no_python(spark):
     plan = mixing.mix(frame(spark), labels=labels(spark, MARKS))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_more_sources_than_a_broadcast_holds(spark, monkeypatch):
+    docs, marks = frame(spark), labels(spark, [(1, 1, 0), (2, 0, 0)])
+    few = by_spark(mixing.mix(docs, labels=marks).drop("row"))
+    monkeypatch.setattr(mixing, "PLAN_BYTES", 0)
+    assert by_spark(mixing.mix(docs, labels=marks).drop("row")) == few
