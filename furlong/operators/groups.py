@@ -37,7 +37,10 @@ def set_apart(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``df`` with a column that is different in every row without a key and NULL in the others.
 
     With it among the keys of a window, rows that belong to no group are dealt over all tasks instead of meeting in one.
+    A frame that has the column already keeps it, so that several windows share one shuffle.
     """
+    if ALONE in df.columns:
+        return df
     return df.withColumn(ALONE, F.when(~keyed(keys), F.monotonically_increasing_id()))
 
 

@@ -22,13 +22,10 @@ def _direction(value: str, descending: bool) -> Column:
 def rank_in_race(df: DataFrame, race: Sequence[str], value: str, name: str, descending: bool = True,
                  dense: bool = False) -> DataFrame:
     """Rank within the race; equal values share a rank, a missing value or race has none."""
-    return _ranked(set_apart(df, race), race, value, name, descending, dense).drop(ALONE)
-
-
-def _ranked(apart: DataFrame, race: Sequence[str], value: str, name: str, descending: bool = True, dense: bool = False) -> DataFrame:
     order = W.partitionBy(*race, ALONE).orderBy(_direction(value, descending))
     ranked = F.dense_rank().over(order) if dense else F.rank().over(order)
-    return apart.withColumn(name, F.when(F.col(value).isNotNull() & keyed(race), ranked))
+    out = set_apart(df, race).withColumn(name, F.when(F.col(value).isNotNull() & keyed(race), ranked))
+    return out.select(*[c for c in out.columns if c != ALONE or c in df.columns])
 
 
 def minus_race_mean(df: DataFrame, race: Sequence[str], value: str, name: str) -> DataFrame:
@@ -39,13 +36,14 @@ def minus_race_mean(df: DataFrame, race: Sequence[str], value: str, name: str) -
 def race_totals(df: DataFrame, race: Sequence[str], totals: Mapping[str, Column]) -> DataFrame:
     """Add aggregates over the whole race to each of its runners; NULL without a race."""
     whole = W.partitionBy(*race, ALONE)
-    return set_apart(df, race).withColumns({n: F.when(keyed(race), c.over(whole)) for n, c in totals.items()}).drop(ALONE)
+    out = set_apart(df, race).withColumns({n: F.when(keyed(race), c.over(whole)) for n, c in totals.items()})
+    return out.select(*[c for c in out.columns if c != ALONE or c in df.columns])
 
 
 def upset(df: DataFrame, race: Sequence[str], ability: str, popularity: str) -> DataFrame:
     """Popularity rank minus ability rank: positive when the runner is better than it is backed."""
-    out = _ranked(set_apart(df, race), race, ability, "ability_rank")
-    out = _ranked(out, race, popularity, "popularity_rank").drop(ALONE)
+    out = rank_in_race(set_apart(df, race), race, ability, "ability_rank")
+    out = rank_in_race(out, race, popularity, "popularity_rank").drop(ALONE)
     return out.withColumn("upset", F.col("popularity_rank") - F.col("ability_rank"))
 
 

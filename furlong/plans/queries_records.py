@@ -2,7 +2,8 @@
 
 The lines of the whole-record queries are drawn from digests, with blanks,
 points and signs among the digits, so every slice of every layout sees good,
-blank and broken values. SQL cuts the same line by the published positions.
+blank and broken values. SQL cuts the same line by positions of its own, written
+out below from the published formats and not taken from the layouts under test.
 """
 
 from __future__ import annotations
@@ -107,14 +108,104 @@ def record_line(kind: str, text_type: str) -> str:
     return composed("body", length, {at: sql.format(t=text_type) for at, sql in fixed.items()})
 
 
+# The published positions again, for SQL alone, by how a field is read. ``?`` asks for a character behind the
+# field, ``>=n`` for a line of n characters.
+POSITIONS = {
+    "BAA": """
+str race_id 0 8, age_condition 27 29, _condition 29 31, sex_condition 31 34, _grade 35 36, race_name 36 86
+date race_date 8 16
+int distance 20 24
+raw _surface 24 25, _direction 25 26""",
+    "KYF": """
+str race_id 0 8, horse_id 10 18
+int horse_number 8 10, running_style 73 74, distance_aptitude 76 77, base_popularity 83 85, base_place_popularity 89 91
+opt horse_name 18 36
+dbl idm 36 41, jockey_index 41 46, info_index 46 51, total_index 67 72, base_odds 78 83, base_place_odds 86 91
+int? specific_mark_circle 93 94, specific_mark_circle2 94 95, specific_mark_triangle 95 96, specific_mark_triangle2 96 97, specific_mark_x 97 98
+int? total_mark_circle 98 99, total_mark_circle2 99 100, total_mark_triangle 100 101, total_mark_triangle2 101 102, total_mark_x 102 103
+int? popularity_index 103 106, training_arrow_code 116 117, stable_eval_code 117 118, surge_index 123 126, hoof_code 126 128
+dbl? training_index 106 111, stable_index 111 116, jockey_expected_win_rate 118 123
+int? heavy_aptitude_code 128 129, class_code 129 131, apprentice_class 162 163, bracket_number 251 252
+opt? blinker 131 132, jockey_name 153 159, trainer_name 163 169, trainer_affiliation 169 171
+tenths? weight_carried 159 162
+opt? prev_race_key_1 171 187, prev_race_key_2 187 203, prev_race_key_3 203 219, prev_race_key_4 219 235, prev_race_key_5 235 251
+int? overall_mark 286 287, idm_mark 287 288, info_mark 288 289, jockey_mark 289 290, stable_mark 290 291, training_mark 291 292, surge_mark 292 293
+opt? turf_aptitude 293 294, dirt_aptitude 294 295, jockey_code 295 300, trainer_code 300 305
+int? prize_money 305 310, earned_prize 310 315, condition_class 315 316
+dbl? ten_index 326 331, pace_index 331 336, agari_index 336 341, position_index 342 346
+opt? pace_forecast 346 347, development_code 363 364, owner_name 379 399
+int? mid_position 348 350, mid_gap 350 352, mid_inside_outside 352 353, last_3f_position 353 355, last_3f_gap 355 357, last_3f_inside_outside 357 358
+int? goal_position 358 360, goal_gap 360 362, goal_inside_outside 362 363, confirmed_weight 373 376, confirmed_weight_diff 376 379, sex_code 363 364""",
+    "SEC": """
+str race_id 0 8, horse_id 10 18, _grade 61 62
+int horse_number 8 10, distance 44 48, num_horses 87 89, finish_position 93 95, abnormal_code 95 96, win_popularity 121 123
+date race_date 18 26
+opt horse_name 26 44, race_type 53 55, race_condition 55 57, race_name 62 87, jockey_name 103 109, trainer_name 109 115
+raw _surface 48 49, _direction 49 50, _going 51 53
+tenths finish_time 96 100, weight_carried 100 103
+dbl win_odds 115 121, idm 123 126, raw_score 126 129, track_bias 129 132, pace 132 135, late_start 135 138, position_fault 138 141
+dbl disadvantage 141 144, front_disadvantage 144 147, mid_disadvantage 147 150, back_disadvantage 150 153, race_score 153 156
+int course_position 156 157, improvement_code 157 158, class_code 158 160, body_code 160 161, condition_code 161 162
+opt? race_pace 162 163, horse_pace 163 164, winner_name 184 190, remarks 199 211
+dbl? ten_index 164 169, agari_index 169 174, pace_index 174 179, race_pace_index 179 184
+tenths? winner_time_diff 190 193, front_3f_time 193 196, last_3f_time 196 199
+dbl>=260 odds_10am_win 219 225, odds_10am_place 225 231
+int>=270 horse_weight 261 264, weather_code 267 268
+change>=270 horse_weight_diff 264 267
+opt>=270 course_code 268 269, race_running_style 269 270""",
+    "UKC": """
+str horse_id 0 8
+opt horse_name 8 26, sire_name 31 49, dam_name 49 67, broodmare_sire_name 67 85
+int sex_code 26 27, coat_color_code 27 29, horse_symbol_code 29 31, sire_birth_year 93 97, dam_birth_year 97 101, broodmare_sire_birth_year 101 105
+raw _sex 26 27
+date birth_date 85 93
+opt? owner_name 105 125, breeder_name 127 147, birthplace 147 151, sire_line_code 160 164, broodmare_sire_line_code 164 168
+int? owner_club_code 125 127, deletion_flag 151 152
+date? data_date 152 160""",
+    "KKA": """
+str race_id 0 8
+int horse_number 8 10
+counters jra 10 22, exchange 22 34, other 34 46, surface 46 58, surface_dist 58 70, track_dist 70 82, rotation 82 94, direction 94 106
+counters jockey 106 118, good 118 130, slightly_heavy 130 142, heavy 142 154, slow_pace 154 166, medium_pace 166 178, high_pace 178 190
+counters season 190 202, bracket 202 214, jockey_dist 214 226, jockey_track_dist 226 238, jockey_trainer 238 250, jockey_owner 250 262
+counters jockey_blinker 262 274, trainer_owner 274 286
+int sire_turf_place_rate 286 289, sire_dirt_place_rate 289 292, sire_avg_place_distance 292 296
+int broodmare_sire_turf_place_rate 296 299, broodmare_sire_dirt_place_rate 299 302, broodmare_sire_avg_place_distance 302 306""",
+    "KAA": """
+str venue_code 0 2, _year 2 4, day 5 6
+int kai 4 5, region_code 14 15, weather_code 18 19, turf_condition_code 19 21, turf_condition_inner 21 22, turf_condition_middle 22 23
+date race_date 6 14
+opt _name 16 18, day_of_week 15 16
+int turf_condition_outer 23 24, turf_bias 24 27, straight_bias_innermost 27 29, straight_bias_inner 29 31, straight_bias_middle 31 33
+int straight_bias_outer 33 35, straight_bias_outermost 35 37, dirt_condition_code 37 39, dirt_condition_inner 39 40, dirt_condition_middle 40 41
+int dirt_condition_outer 41 42, dirt_bias 42 45, data_category 45 46""",
+}
+
+
+def fields_sql(positions: str) -> dict[str, str]:
+    """SQL of every field of a record."""
+    out = {}
+    for row in positions.strip().splitlines():
+        how, _, fields = row.partition(" ")
+        kind, _, floor = how.rstrip("?").partition(">=")
+        for field in fields.split(", "):
+            name, start, end = field.split()
+            if kind == "counters":
+                # a cut group has no counter at all
+                for i, counter in enumerate(("win", "place", "show", "out")):
+                    out[f"{name}_{counter}"] = f"CASE WHEN length(line) >= {end} THEN {read_sql('int', int(start) + 3 * i, int(start) + 3 * i + 3)} END"
+                continue
+            least = floor or (int(end) + 1 if how.endswith("?") else "")
+            value = read_sql(kind, int(start), int(end))
+            out[name] = f"CASE WHEN length(line) >= {least} THEN {value} END" if least else value
+    return out
+
+
 def record_sql(kind: str) -> str:
     table, key, length, _ = RECORDS[kind]
     layout = LAYOUTS[kind]
     schema = table_schema(layout.table)
-    fields = {}
-    for f in layout.fields:
-        value = read_sql(f.kind, f.start, f.end)
-        fields[f.name] = value if f.min_length is None else f"CASE WHEN length(line) >= {f.min_length} THEN {value} END"
+    fields = fields_sql(POSITIONS[kind])
     fields.pop("line", None)
     columns = {n: n for n in fields} | DERIVED_SQL.get(layout.table, {})
     if layout.table == "horse_extended":

@@ -217,7 +217,7 @@ def condition_entries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def training_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    """Race, entry, result, pedigree and odds tables in the shape of the warehouse."""
+    """Race, entry, result, pedigree and odds tables in the shape of the warehouse; some races lack a venue or a distance."""
     o, part = F.col("o_orderkey"), F.col("l_partkey")
     items = load(spark, sf, "lineitem")
     ridden = items.groupBy("l_orderkey", "l_partkey").agg(
@@ -226,9 +226,9 @@ def training_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     sizes = ridden.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("num_horses"))
     races = orders_with_nation(spark, sf).join(sizes, "o_orderkey").select(
         digits(o, 8).alias("race_id"), F.col("day").alias("race_date"),
-        digits(F.col("c_nationkey") % 10 + 1, 2).alias("venue_code"), (o % 12 + 1).alias("race_number"),
+        F.when(o % 11 > 0, digits(F.col("c_nationkey") % 10 + 1, 2)).alias("venue_code"), (o % 12 + 1).alias("race_number"),
         F.when(F.col("o_orderstatus") == "O", "turf").when(F.col("o_orderstatus") == "F", "dirt")
-        .otherwise("obstacle").alias("course_type"), (1000 + o % 20 * 100).alias("distance"),
+        .otherwise("obstacle").alias("course_type"), F.when(o % 13 > 0, 1000 + o % 20 * 100).alias("distance"),
         F.when(F.col("o_orderpriority") == "1-URGENT", "重").otherwise("良").alias("track_condition"), "num_horses")
     ids = [digits("l_orderkey", 8).alias("race_id"), part.alias("horse_number")]
     entries = ridden.select(

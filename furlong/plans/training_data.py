@@ -4,19 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import datetime
-from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from furlong.functions.derive import distance_band
 from furlong.operators.evaluate import FINISHED, assert_no_leak, label
-from furlong.operators.groups import join_same, keyed
+from furlong.operators.groups import keyed, set_apart, stored
 from furlong.operators.history import attach_state, last_n, state_before, with_history
 from furlong.operators.in_race import race_totals, rank_in_race
 from furlong.operators.joins import odds_as_of
 from furlong.operators.target_encoding import smoothed
-from furlong.session import shared_dir
 from furlong.sources.schemas import table_schema
 
 HEAVY = ("重", "速重", "遅重", "不良", "速不良", "遅不良")
@@ -55,30 +53,27 @@ def entries_without_race(races: DataFrame, entries: DataFrame) -> DataFrame:
         .withColumn("reject_reason", F.lit("no race"))
 
 
-def stored_base(base: DataFrame) -> DataFrame:
-    """The base as a Parquet table in the shared folder: every feature group reads its few columns of it."""
-    spark = base.sparkSession
-    path = f"{shared_dir(spark)}/entry-base-{uuid4().hex}"
-    base.write.parquet(path)
-    return spark.read.schema(base.schema).parquet(path)
+def stacked_totals(base: DataFrame, sets: dict[str, tuple[str, ...]], day: str, sums: dict[str, Column],
+                   wanted: dict[str, tuple[str, ...]], row: str = "_row") -> DataFrame:
+    """Running totals over earlier days of several key sets at once: one row per row of ``base``, columns ``<set><sum>``.
 
-
-def states(base: DataFrame, keys: Sequence[str], finer: Sequence[Sequence[str]], day: str, sums: dict[str, Column]) -> DataFrame:
-    """Running totals over earlier days for ``keys`` and for each finer key set, in one table by all of them and day.
-
-    Rows are summed once per day and finest combination; all windows share one
-    shuffle by ``keys``. Totals are named after the sum and, for a finer set,
-    its last key. A row without a finer key has the totals of ``keys``, and
-    none of that finer set.
+    All sets are stacked in one expand, summed per key and day before the
+    shuffle, accumulated in one window and joined back in one join; then the
+    totals of a row's keys are put side by side. A row has no totals of a set
+    in which a key, or the day, is missing. A dominant key has at most one row
+    a day in the window.
     """
-    all_keys = list(dict.fromkeys([*keys, *[k for extra in finer for k in extra]]))
-    daily = base.groupBy(*all_keys, day).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    columns = {}
-    for level in (list(keys), *map(list, finer)):
-        suffix = "" if level == list(keys) else f"_{level[-1]}"
-        earlier = W.partitionBy(*level).orderBy(F.unix_date(day)).rangeBetween(W.unboundedPreceding, -1)
-        columns |= {f"{n}{suffix}": F.when(keyed(level), F.sum(n).over(earlier)) for n in sums}
-    return daily.select(*all_keys, day, *[c.alias(f"_t{n}") for n, c in columns.items()])
+    def tag(name: str, keys: tuple[str, ...]) -> Column:
+        first, *finer = [F.col(k).cast("string") for k in keys]
+        return F.when(keyed([*keys, day]), F.struct(F.lit(name).alias("_set"), first.alias("_key"), (finer[0] if finer else F.lit("")).alias("_finer")))
+
+    tags = F.inline(F.filter(F.array(*[tag(n, k) for n, k in sets.items()]), lambda t: t.isNotNull()))
+    key = ["_set", "_key", "_finer"]
+    daily = base.select(day, *[c.alias(n) for n, c in sums.items()], tags).groupBy(*key, day).agg(*[F.sum(n).alias(n) for n in sums])
+    earlier = W.partitionBy(*key).orderBy(day).rowsBetween(W.unboundedPreceding, -1)
+    running = daily.select(*key, day, *[F.sum(n).over(earlier).alias(f"_t{n}") for n in sums])
+    found = base.select(row, day, tags).join(running, [*key, day])
+    return found.groupBy(row).agg(*[F.max(F.when(F.col("_set") == name, F.col(f"_t{n}"))).alias(f"{name}{n}") for name, own in wanted.items() for n in own])
 
 
 def _rate(hits: str, count: str) -> Column:
@@ -95,7 +90,7 @@ def training_data(races: DataFrame, entries: DataFrame, results: DataFrame, pedi
     summed per day before any shuffle, so a dominant one is spread over its
     days.
     """
-    base = stored_base(entry_base(races, entries, results, pedigree))
+    base = stored(entry_base(races, entries, results, pedigree).withColumn("_row", F.monotonically_increasing_id()), "entry-base")
     day, position = "race_date", F.col("finish_position")
     ran = position.isNotNull()
     won, placed = position == 1, position <= 3
@@ -114,28 +109,23 @@ def training_data(races: DataFrame, entries: DataFrame, results: DataFrame, pedi
     overall = state_before(base, [], day, counts).select(day, _rate("_p", "_n").alias("_prior"))
     out = attach_state(out, overall, [], day)
 
-    # Per entity: its finer keys, the sums, and the columns made of them.
-    plans = (
-        ("horse_id", ("_band", "venue_code"), counts | by_kind, {
-            **{f"{k}_win_rate": _rate(f"_t_w_{k}", f"_t_n_{k}") for k in kinds},
-            "distance_category_win_rate": _rate("_t_w__band", "_t_n__band"),
-            "venue_win_rate": _rate("_t_w_venue_code", "_t_n_venue_code")}),
-        ("jockey_code", ("venue_code",), counts, {
-            "jockey_win_rate": _rate("_t_w", "_t_n"), "jockey_venue_win_rate": _rate("_t_w_venue_code", "_t_n_venue_code"),
-            "jockey_te_place": smoothed(F.col("_t_p"), F.col("_t_n"), F.col("_prior"), m)}),
-        ("trainer_code", (), counts, {
-            "trainer_win_rate": _rate("_t_w", "_t_n"),
-            "trainer_te_place": smoothed(F.col("_t_p"), F.col("_t_n"), F.col("_prior"), m)}),
-        ("sire_id", (), counts, {"sire_te_place": smoothed(F.col("_t_p"), F.col("_t_n"), F.col("_prior"), m)}),
-        ("dam_sire_id", (), counts, {"dam_sire_te_place": smoothed(F.col("_t_p"), F.col("_t_n"), F.col("_prior"), m)}),
-    )
-    for entity, finer, sums, columns in plans:
-        state = states(base, [entity], [[entity, k] for k in finer], day, sums)
-        totals = [c for c in state.columns if c.startswith("_t")]
-        out = join_same(out, state.filter(keyed([entity, day])), [entity, *finer, day]).withColumns(columns).drop(*totals)
+    nw, nwp = ("_n", "_w"), ("_n", "_w", "_p")
+    sets = {"horse": ("horse_id",), "band": ("horse_id", "_band"), "venue": ("horse_id", "venue_code"), "jockey": ("jockey_code",),
+            "jockey_venue": ("jockey_code", "venue_code"), "trainer": ("trainer_code",), "sire": ("sire_id",), "dam_sire": ("dam_sire_id",)}
+    wanted = {"horse": tuple(by_kind), "band": nw, "venue": nw, "jockey": nwp, "jockey_venue": nw, "trainer": nwp, "sire": nwp, "dam_sire": nwp}
+    totals = stacked_totals(base, sets, day, counts | by_kind, wanted)
+    prior = F.col("_prior")
+    out = out.join(totals, "_row", "left").withColumns({
+        **{f"{k}_win_rate": _rate(f"horse_w_{k}", f"horse_n_{k}") for k in kinds},
+        "distance_category_win_rate": _rate("band_w", "band_n"), "venue_win_rate": _rate("venue_w", "venue_n"),
+        "jockey_win_rate": _rate("jockey_w", "jockey_n"), "jockey_venue_win_rate": _rate("jockey_venue_w", "jockey_venue_n"),
+        "trainer_win_rate": _rate("trainer_w", "trainer_n"),
+        **{f"{who}_te_place": smoothed(F.col(f"{who}_p"), F.col(f"{who}_n"), prior, m) for who in ("jockey", "trainer", "sire", "dam_sire")},
+    }).drop(*[c for c in totals.columns])
 
     # Comparisons inside the race.
     race = ["race_id"]
+    out = set_apart(out, race)  # once, so that the windows share a shuffle
     for value, name, descending in (("weight_carried", "weight_rank", True), ("idm", "ability_rank", True),
                                     ("past_5_avg_last3f", "last3f_rank", False)):
         out = rank_in_race(out, race, value, name, descending)

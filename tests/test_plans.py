@@ -67,7 +67,7 @@ def test_history_features_share_their_shuffles(spark):
 
 def test_feature_table_is_built_on_a_pruned_table(spark):
     text = plan(QUERIES["training_data"](spark, SF))
-    assert "ExistingRDD" not in text and len(re.findall(r"^\(\d+\) Exchange", text, re.M)) <= 28
+    assert "ExistingRDD" not in text and len(re.findall(r"^\(\d+\) Exchange", text, re.M)) <= 14
 
 
 def test_top_rows_are_pruned_before_the_shuffle(spark):
