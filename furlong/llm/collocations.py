@@ -29,7 +29,7 @@ PIECE_END = r"[.,;:!?\x0A-\x0D]"
 UNKNOWN = "und"
 LONGEST, LEAST, COVERED, TOP = 3, 10, 50, 2000
 #: Bytes of text that a task counts at a time, and of text for each range of a language.
-SHARD, RANGE = 6_000_000, 24_000_000
+SHARD, RANGE = 5_000_000, 12_000_000
 #: A longer text is cut into stretches of so many characters.
 STRETCH = 4_000_000
 #: Arcs that a task unites at a time.
@@ -373,11 +373,14 @@ def shards(docs: DataFrame, longest: int, ranges: int) -> DataFrame:
         size = 0
 
         def count_held() -> Iterator[pa.RecordBatch]:
-            for lang, texts in held.items():
+            while held:
+                lang, texts = held.popitem()
                 tree = counted([t for t, _ in texts], [s for _, s in texts], longest)
+                pa.default_memory_pool().release_unused()
                 if len(tree.levels[0]):
-                    yield pack(lang, *split(tree, ranges))
-            held.clear()
+                    forest = split(tree, ranges)
+                    del tree, texts
+                    yield pack(lang, *forest)
 
         for batch in batches:
             for lang, text in zip(batch["lang"].to_pylist(), batch["text"]):
@@ -575,9 +578,12 @@ def mine(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int =
     longer = found.select("lang", F.explode("inner").alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("_longer"))
     kept = found.drop("inner").join(longer, ["lang", "phrase"], "left") \
         .filter(F.col("_longer").isNull() | (100 * F.col("_longer") < covered * F.col("a")))
-    order = W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    # the best of each of 64 parts first, so that the last window of a language sees 64 times ``top`` phrases at most
+    part = F.pmod(F.xxhash64("phrase"), F.lit(64))
+    best = kept.withColumn("_n", F.row_number().over(W.partitionBy("lang", part).orderBy(*order))).filter(F.col("_n") <= top)
     words = every.groupBy("lang").agg(F.sum("total").alias("n"))
-    return kept.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= top) \
+    return best.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order)).cast("long")).filter(F.col("rank") <= top) \
         .join(words, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
