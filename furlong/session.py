@@ -14,7 +14,7 @@ RUNTIME_CONF = {
     "spark.sql.legacy.codingErrorAction": "true",
     # Rows handed to Python at a time: documents hold some kilobytes each.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
-    "spark.sql.execution.arrow.maxBytesPerBatch": "4194304",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "1048576",
 }
 
 
