@@ -26,9 +26,9 @@ from furlong.llm.vocabulary import MODEL, SPACE, WIDTH, Vocabulary
 CHUNK = 65_536
 BLOCK = 64
 #: Words up to this length are solved together, so many abreast; distinct words are those of so many characters of text.
-SHORT, ABREAST, TOGETHER = 32, 4096, 1 << 22
+SHORT, ABREAST, TOGETHER = 32, 4096, 1 << 19
 #: Ids spelled at a time.
-SPELLED = 1 << 23
+SPELLED = 1 << 19
 NEVER = float("-inf")
 
 
@@ -38,6 +38,13 @@ class Segmenter:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary, self.pairs = vocabulary, vocabulary.pairs
 
+    def forget(self) -> None:
+        """Drop what was derived from the vocabulary, at the end of a task: the worker stays and may get other work."""
+        for name in ("trie", "entries", "pairs"):
+            self.vocabulary.__dict__.pop(name, None)
+        self.pairs = None
+        give_back()
+
     def word(self, word: str) -> list[int]:
         _, came = self.forward(word, len(word), {0: 0.0})
         return self.trace(word, came, len(word))[1]
@@ -376,12 +383,13 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, chunk: int =
 
     @F.arrow_udf("piece_ids array<int>, decoded string")
     def whole(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        segmenter = Segmenter(vocabulary)
+        segmenter, texts, ids, back = Segmenter(vocabulary), None, None, None
         for texts in batches:
             ids = segmenter.batch(texts.to_pylist())
             back = spell(ids, spelled) if decoded else pa.nulls(len(ids), pa.string())
             yield pa.StructArray.from_arrays([ids, back], names=["piece_ids", "decoded"])
-        give_back()
+        texts = ids = back = None
+        segmenter.forget()
 
     @F.arrow_udf("array<string>")
     def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -394,6 +402,7 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, chunk: int =
         segmenter = Segmenter(vocabulary)
         for texts, lengths in batches:
             yield pa.array([segmenter.matrix(t.as_py(), n.as_py()).ravel() for t, n in zip(texts, lengths)], pa.list_(pa.float64()))
+        segmenter.forget()
 
     @F.arrow_udf("array<double>")
     def choices(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -401,6 +410,7 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, chunk: int =
         for texts, lengths, entries in batches:
             yield pa.array([segmenter.choices(t.as_py(), n.as_py(), np.array(e.as_py())).T.ravel()
                             for t, n, e in zip(texts, lengths, entries)], pa.list_(pa.float64()))
+        segmenter.forget()
 
     @F.arrow_udf("array<int>")
     def traced(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -408,6 +418,7 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, chunk: int =
         for texts, lengths, entries, exits in batches:
             yield lists([segmenter.ids(t.as_py(), n.as_py(), np.array(e.as_py()), int(np.argmax(x.as_py())))
                          for t, n, e, x in zip(texts, lengths, entries, exits)])
+        segmenter.forget()
 
     prepared = docs.select(F.struct(*names).alias("_row"), spaced(text_of(text)).alias("_text"))
     short = prepared.filter(F.length("_text") <= chunk).select("_row", whole("_text").alias("_pieces")) \
