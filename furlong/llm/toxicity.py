@@ -111,8 +111,9 @@ def train(texts: list[str], labels: list[int], stands_for: list[float] | None =
 
 def fit(docs: DataFrame, labels: DataFrame, identifier: str = "doc_id", text: str = "text",
         label: str = "toxic") -> tuple[np.ndarray, float, tuple[float, float]]:
-    """Word weights, bias and background from the bounded sample; the driver receives at most ``TOXIC`` + ``CLEAN``
-    documents, half as many again before empty ones are left out, of about ``TRAINED_CHARS`` characters each."""
+    """Word weights, bias and background from the bounded sample. Of contradicting labels the highest counts, of rows that
+    repeat an identifier one serves. The driver receives at most ``TOXIC`` + ``CLEAN`` documents, half as many again before
+    empty ones are left out, of about ``TRAINED_CHARS`` characters each."""
     known = labels.select(F.col(identifier).alias("_id"), F.col(label).cast("int").alias("_label")) \
         .filter("_id IS NOT NULL AND _label IN (0, 1)").groupBy("_id").agg(F.max("_label").alias("_label"))
     # more are drawn than wanted, as some texts are missing or empty
@@ -127,9 +128,11 @@ def fit(docs: DataFrame, labels: DataFrame, identifier: str = "doc_id", text: st
             yield pa.StructArray.from_arrays([pa.array([t for t, _ in bags], pa.string()), pa.array([n for _, n in bags], pa.float64())],
                                              names=["text", "stands_for"])
 
+    # of the rows that repeat an identifier one serves, so that no more rows than identifiers are collected
     rows = docs.select(F.col(identifier).alias("_doc"), text_of(text).alias("_text")) \
-        .join(F.broadcast(drawn[0].union(drawn[1])), F.col("_doc") == F.col("_id")) \
-        .filter(F.length("_text") > 0).select(sampled("_text").alias("_bag"), "_label", "_at").select("_bag.*", "_label", "_at").collect()
+        .join(F.broadcast(drawn[0].union(drawn[1])), F.col("_doc") == F.col("_id")).filter(F.length("_text") > 0) \
+        .groupBy("_id", "_label", "_at").agg(F.min(F.struct(F.xxhash64("_text").alias("hash"), F.col("_text").alias("text"))).alias("_one")) \
+        .select(sampled("_one.text").alias("_bag"), "_label", "_at").select("_bag.*", "_label", "_at").collect()
     rows.sort(key=lambda r: (r["_at"], r["text"]))
     toxic, clean = ([r for r in rows if r["_label"] == value][:most] for value, most in ((1, TOXIC), (0, CLEAN)))
     back = clean[KEPT_BACK - 1::KEPT_BACK]

@@ -183,6 +183,15 @@ def test_noisy_or_of_the_sentences():
     assert toxicity.judge("one. two. three", known, 0.0)[0] == pytest.approx(1 - 0.5**3)
 
 
+def test_a_repeated_identifier_brings_one_row_to_the_driver(spark, monkeypatch):
+    seen = []
+    plain = toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda texts, marks, shares: seen.append(len(texts)) or plain(texts, marks, shares))
+    rows = [(1 if i % 2 else i, f"text number {i}. and more", None, None, None, None, None, None, None) for i in range(400)]
+    toxicity.fit(frame(spark, rows), labels(spark, [(1, 0, 1), (2, 0, 0), (4, 0, 0), (6, 0, 0)]))
+    assert seen == [4]
+
+
 def test_toxicity_of_awkward_rows(spark):
     docs = frame(spark)
     model = toxicity.fit(docs, labels(spark, [(i, 1, i % 2) for i in range(30)] + [(None, 1, 1), (3, 0, None), (4, 0, 7)]))
