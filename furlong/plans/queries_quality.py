@@ -15,7 +15,7 @@ from furlong.session import shared_dir
 from furlong.sources import files as fs
 from furlong.sources.tables import read_table
 from furlong.streaming.ingest import lines_stream
-from furlong.streaming.odds import odds_buckets
+from furlong.streaming.odds import last_prices, odds_buckets, open_buckets
 
 AS_OF = date(2001, 7, 1)
 
@@ -259,16 +259,44 @@ SELECT bucket_start, bucket_start + INTERVAL 1 HOUR AS bucket_end, user_id, even
 WHERE bucket_start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
 def stream_odds(spark, sf):
     """Buckets closed by the watermark after the whole stream has been read."""
-    base = f"{shared_dir(spark)}/stream-odds-{uuid4().hex}"
+    closed, _ = _streamed_odds(spark, sf)
+    return _bucket_columns(closed)
+
+
+def _bucket_columns(out: DataFrame) -> DataFrame:
+    return rounded(out, "change").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("bucket_start", "bucket_end")})
+
+
+def _streamed_odds(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Closed buckets of a stream that read all events, and those still open when it ended."""
+    base, keys = f"{shared_dir(spark)}/stream-odds-{uuid4().hex}", ["user_id", "event_type"]
     ticks = spark.readStream.schema(load(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet") \
         .parquet(sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    buckets = odds_buckets(ticks, ["user_id", "event_type"], "value", "ts", bucket="1 hour", tick_id=["event_id"])
+    buckets = odds_buckets(ticks, keys, "value", "ts", bucket="1 hour", tick_id=["event_id"])
     run = buckets.writeStream.format("parquet").option("path", f"{base}/out") \
         .option("checkpointLocation", f"{base}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
-    out = spark.read.schema(buckets.schema).parquet(f"{base}/out")
-    return rounded(out, "change").withColumns(
-        {c: F.col(c).cast("timestamp_ntz") for c in ("bucket_start", "bucket_end")})
+    return spark.read.schema(buckets.schema).parquet(f"{base}/out"), open_buckets(spark, f"{base}/checkpoint", buckets, keys)
+
+
+@query("stream_open_odds", """
+WITH b AS (SELECT time_bucket(INTERVAL '1 hour', ts) AS bucket_start, user_id, event_type,
+  min_by(value, ts) AS open_value, max_by(value, ts) AS close_value, count(*) AS ticks FROM events GROUP BY 1, 2, 3)
+SELECT bucket_start, bucket_start + INTERVAL 1 HOUR AS bucket_end, user_id, event_type, open_value, close_value,
+  round(close_value - open_value, 6) AS change, ticks FROM b
+WHERE bucket_start + INTERVAL 1 HOUR > (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
+def stream_open_odds(spark, sf):
+    """Buckets that the watermark had not closed when the stream ended."""
+    return _bucket_columns(_streamed_odds(spark, sf)[1])
+
+
+@query("stream_last_prices", """
+SELECT user_id, event_type, max_by(value, ts) AS last_value, max(time_bucket(INTERVAL '1 hour', ts)) AS bucket_start, count(*) AS ticks
+FROM events GROUP BY 1, 2""")
+def stream_last_prices(spark, sf):
+    """The last price of every key of a stream that ended, wherever its bucket stands."""
+    out = last_prices(*_streamed_odds(spark, sf), ["user_id", "event_type"])
+    return out.withColumns({"bucket_start": F.col("bucket_start").cast("timestamp_ntz"), "ticks": F.col("ticks").cast("bigint")})
 
 
 @query("odds_sliding", """

@@ -229,7 +229,8 @@ def record_rows(spark, sf, kind: str) -> DataFrame:
     lines = rows.withColumn("body", F.expr(drawn("k", "STRING", length))) \
         .select(F.col("k").alias("source_key"), "file_date", F.expr(record_line(kind, "STRING")).alias("line"))
     layout = LAYOUTS[kind]
-    ok, _ = fw.split_required(fw.parse_lines(lines, kind))
+    # dealt out, so that a line is drawn once and not again for every slice of it
+    ok, _ = fw.split_required(fw.parse_lines(standin.spread(lines), kind))
     names = table_schema(layout.table).names
     return ok.select("source_key", *[F.col(c).cast("timestamp_ntz").alias(c) if c in ("created_at", "updated_at") else F.col(c) for c in names])
 

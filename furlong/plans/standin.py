@@ -175,8 +175,9 @@ def odds_lines(spark: SparkSession, sf: str) -> DataFrame:
         price = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), price)
         return F.array_join(price, "")
 
-    return spread(load(spark, sf, "orders")).select(
-        F.concat(digits(k, 8), F.lit("18"), block(18, 7), block(18, 3), block(153, 11)).alias("line"))
+    # dealt out as lines, so that a line is written once and not again for every slice of it
+    return spread(load(spark, sf, "orders").select(
+        F.concat(digits(k, 8), F.lit("18"), block(18, 7), block(18, 3), block(153, 11)).alias("line")))
 
 
 # -- race-shaped tables ------------------------------------------------------
