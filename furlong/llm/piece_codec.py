@@ -27,6 +27,8 @@ CHUNK = 65_536
 BLOCK = 64
 #: Words up to this length are solved together, so many abreast; distinct words are those of so many characters of text.
 SHORT, ABREAST, TOGETHER = 32, 4096, 1 << 19
+#: Texts taken out of a batch at a time.
+FEW = 128
 #: Ids spelled at a time.
 SPELLED = 1 << 19
 NEVER = float("-inf")
@@ -383,12 +385,15 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, chunk: int =
 
     @F.arrow_udf("piece_ids array<int>, decoded string")
     def whole(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        segmenter, texts, ids, back = Segmenter(vocabulary), None, None, None
-        for texts in batches:
-            ids = segmenter.batch(texts.to_pylist())
-            back = spell(ids, spelled) if decoded else pa.nulls(len(ids), pa.string())
-            yield pa.StructArray.from_arrays([ids, back], names=["piece_ids", "decoded"])
-        texts = ids = back = None
+        segmenter = Segmenter(vocabulary)
+
+        def solved(texts: list[str]) -> pa.StructArray:
+            ids = segmenter.batch(texts)
+            return pa.StructArray.from_arrays([ids, spell(ids, spelled) if decoded else pa.nulls(len(ids), pa.string())], names=["piece_ids", "decoded"])
+
+        for texts in batches:  # few at a time, as text takes several times its size here
+            yield pa.concat_arrays([solved(texts.slice(start, FEW).to_pylist()) for start in range(0, len(texts), FEW)] or [solved([])])
+        texts = None
         segmenter.forget()
 
     @F.arrow_udf("array<string>")
