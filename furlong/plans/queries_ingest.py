@@ -320,13 +320,14 @@ SELECT o_orderkey, month(o_orderdate) AS month, quarter(o_orderdate) AS quarter,
 FROM (SELECT *, o_orderkey * o_orderkey * o_orderkey + 1 AS b FROM orders)""")
 def derived_scalars(spark, sf):
     k = F.col("o_orderkey")
+    cube = k.cast("decimal(19,0)") * k * k  # passes 64 bits from key 2,097,152 on
     rows = standin.runs(spark, sf)
     cross = derive.crosses(k % 7 - 3, F.col("o_orderstatus"), F.col("o_orderpriority"), F.col("o_orderstatus"),
                            k, k, F.col("o_totalprice"), F.lit(2.0))
     parts = derive.season(F.col("day")) | derive.weight_change(k % 7 - 3) | derive.relative_draw(k % 18 + 1, F.lit(18))
     parts["relative_draw"] = F.round(parts["relative_draw"], 6)
     return rows.select(
-        "o_orderkey", *[c.alias(n) for n, c in parts.items()], derive.byte_label(k * k * k + 1).alias("size_label"),
+        "o_orderkey", *[c.alias(n) for n, c in parts.items()], derive.byte_label(cube + 1).alias("size_label"),
         cross["change_x_style"].alias("change_x_style"), cross["going_x_sire"].alias("going_x_sire"),
         F.round(cross["weight_x_speed"], 2).alias("weight_x_speed"),
         F.round(derive.percentage(k % 3, k % 4), 6).alias("pct"))
