@@ -36,7 +36,7 @@ def explode_odds(lines: DataFrame) -> DataFrame:
         races.select(*keep, "race_id", "num_horses", F.posexplode("texts").alias("slot", "text"))
         # The test is on the text: one on the finished number would make the optimizer cast twice.
         .where(fx.is_number(F.col("text")))
-        .withColumn("odds_value", fx.strip(F.col("text")).try_cast("double"))
+        .withColumn("odds_value", fx.plain_float(F.col("text")))
     )
     return values.join(F.broadcast(pair_dimension(lines.sparkSession)), "slot", "left").select(
         *keep, "race_id", "num_horses",

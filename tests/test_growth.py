@@ -3,8 +3,11 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
+from furlong.functions import fields as fx
 from furlong.plans.catalog import QUERIES
+from furlong.plans.standin import odds_lines
 
 
 @pytest.fixture(scope="module")
@@ -26,3 +29,36 @@ def test_cubes_past_64_bits_have_a_size_label(spark, tables):
     assert labels[1] == "2.00 B"
     for key in (2_097_151, 2_097_152, 9_000_000):
         assert labels[key] == f"{(key**3 + 1) / 2**40:.2f} TB"
+
+
+@pytest.mark.parametrize("kind", ("programme", "entries", "results", "horses", "records", "meetings"))
+def test_lines_are_drawn_after_the_keys_are_dealt_out(spark, tables, kind):
+    plan = optimized(QUERIES[f"whole_{kind}"](spark, tables))
+    assert plan.index("md5") < plan.index("Repartition")
+
+
+def test_odds_lines_are_written_after_the_keys_are_dealt_out(spark, tables):
+    lines = {int(r.line[:8]): r.line for r in odds_lines(spark, tables).collect()}
+    assert len(lines) == 7 and {len(x) for x in lines.values()} == {955}
+    for k, line in lines.items():
+        for first, count, factor in ((0, 18, 7), (18, 18, 3), (36, 153, 11)):
+            for i in range(count):
+                tenths = (k * factor + i * 13) % 900 + 10
+                at = 10 + 5 * (first + i)
+                assert line[at:at + 5] == ("     " if (k + i) % 10 == 0 else f"{tenths // 10}.{tenths % 10}".rjust(5))
+    plan = optimized(odds_lines(spark, tables))
+    assert "transform" not in plan[plan.index("Repartition"):plan.index("Relation")]
+
+
+def test_only_whole_numbers_reach_the_strict_cast(spark):
+    texts = {" 12 ": 12, "+7": 7, "-0": 0, "1 2": None, " .5": None, "--1": None, "": None, "　12　": 12, "\x0012": 12, "1\x002": None,
+             "99999999999999999999": None, "9223372036854775807": 2**63 - 1, "１２": None}
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", fx.to_int(F.col("t")).alias("n"))
+    assert {r.t: r.n for r in df.collect()} == texts
+    assert "RLIKE" in optimized(df)
+
+
+def test_numbers_read_the_same_with_and_without_wide_blanks(spark):
+    texts = {" 1.5": 1.5, "　1.5\xa0": 1.5, "\t.5\x1f": 0.5, "1d": None, "１.5": None, "": None, "1.5\x00": None, "1.5　x": None, "+1e3\x85": 1000.0}
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", fx.to_float(F.col("t")).alias("x"))
+    assert {r.t: r.x for r in df.collect()} == texts
