@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from furlong.functions import fields as fx
+from furlong.operators import aggregates as ag
+from furlong.plans import standin
 from furlong.plans.catalog import QUERIES
 from furlong.plans.standin import odds_lines
 
@@ -62,3 +64,10 @@ def test_numbers_read_the_same_with_and_without_wide_blanks(spark):
     texts = {" 1.5": 1.5, "　1.5\xa0": 1.5, "\t.5\x1f": 0.5, "1d": None, "１.5": None, "": None, "1.5\x00": None, "1.5　x": None, "+1e3\x85": 1000.0}
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", fx.to_float(F.col("t")).alias("x"))
     assert {r.t: r.x for r in df.collect()} == texts
+
+
+def test_tags_are_texts_made_once_a_row(spark):
+    plan = optimized(ag.named_records(standin.condition_entries(spark, "/root/testdata/sf0.001"), ag.condition_groups(), "position"))
+    assert "lambda" not in plan  # evaluated element by element without code generation
+    tags = next(x for x in plan.splitlines() if "inline" in x)
+    assert "cast" not in tags and "concat" not in tags
