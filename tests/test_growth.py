@@ -10,6 +10,7 @@ from furlong.operators import aggregates as ag
 from furlong.plans import standin
 from furlong.plans.catalog import QUERIES
 from furlong.plans.standin import odds_lines
+from furlong.session import SHUFFLE_CONF
 
 
 @pytest.fixture(scope="module")
@@ -66,8 +67,34 @@ def test_numbers_read_the_same_with_and_without_wide_blanks(spark):
     assert {r.t: r.x for r in df.collect()} == texts
 
 
+def test_lines_are_shuffled_once_for_entries_and_places(spark):
+    """Grouping, join and places are all by order, and the task that reads lines groups nothing."""
+    plan = standin.placed_entries(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert "Aggregate" not in plan[plan.index("Exchange hashpartitioning"):]
+
+
+def test_entries_of_repeated_and_missing_keys(spark, tmp_path):
+    day = dt.datetime(1998, 2, 6)
+    spark.createDataFrame([(k, c, "O", 1.0, day, "5-LOW") for k, c in ((1, 7), (1, 8), (2, 7), (None, 7))],
+                          "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string") \
+        .write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, 5, 9, 3.0, 30.0, 0.1), (1, 5, 4, 5.0, 20.0, 0.2), (1, None, 4, 1.0, 40.0, 0.0), (2, 6, None, 1.0, None, 0.0),
+                           (None, 5, 1, 1.0, 1.0, 0.0), (3, 5, 1, 1.0, 1.0, 0.0)],
+                          "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double") \
+        .write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = standin.placed_entries(spark, str(tmp_path)).select("l_orderkey", "l_partkey", "suppkey", "quantity", "price", "o_custkey", "position").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(
+        [(1, 5, 4, 5.0, 30.0, 7, 3), (1, 5, 4, 5.0, 30.0, 8, 3), (1, None, 4, 1.0, 40.0, 7, 1), (1, None, 4, 1.0, 40.0, 8, 1), (2, 6, None, 1.0, None, 7, None)], key=repr)
+
+
 def test_tags_are_texts_made_once_a_row(spark):
     plan = optimized(ag.named_records(standin.condition_entries(spark, "/root/testdata/sf0.001"), ag.condition_groups(), "position"))
     assert "lambda" not in plan  # evaluated element by element without code generation
     tags = next(x for x in plan.splitlines() if "inline" in x)
     assert "cast" not in tags and "concat" not in tags
+
+
+def test_tasks_read_little_after_a_shuffle_of_race_tables(spark):
+    QUERIES["condition_record"](spark, "/root/testdata/sf0.001")
+    assert all(spark.conf.get(k) == v for k, v in SHUFFLE_CONF.items()) and int(SHUFFLE_CONF["spark.sql.adaptive.advisoryPartitionSizeInBytes"]) <= 8 << 20
