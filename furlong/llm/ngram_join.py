@@ -235,8 +235,20 @@ def clusters(groups: DataFrame, percent: int) -> DataFrame:
     return several.join(found, "grp", "full").select("grp", F.coalesce("cluster", "grp").alias("cluster"))
 
 
+def dealt(members: DataFrame) -> DataFrame:
+    """Members (cluster, n, rep and more) with the blocks (low, high) of their cluster that they are compared in.
+
+    Decided before the sets are at hand, so that sets are not shuffled for it.
+    """
+    weight = members.groupBy("cluster").agg(F.sum("n").alias("weight"))
+    return members.join(weight, "cluster").withColumn("blocks", F.expr(f"(weight + {CLUSTER - 1}) div {CLUSTER}")) \
+        .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks"))) \
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))) \
+        .withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("weight", "blocks", "other")
+
+
 def sets_of(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
-    """``members`` (sig, ident and more) with their whole sets and bitmaps, computed again from the texts.
+    """``members`` (sig, ident and more), dealt out to blocks, with their whole sets and bitmaps, computed again from the texts.
 
     Only documents whose identifier may be a member's are tokenised, so sets of documents without a partner are
     neither kept nor shuffled.
@@ -259,17 +271,12 @@ def sets_of(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
         give_back()
 
     built = docs.select("ident", F.xxhash64("ident"), "text").mapInArrow(build, "ident long, sig binary, found binary, bits binary")
-    return built.join(members.hint("merge"), ["ident", "sig"])
+    return built.join(dealt(members).hint("merge"), ["ident", "sig"])
 
 
 def links(members: DataFrame, percent: int) -> DataFrame:
-    """a, b: exact links that connect the members (rep, cluster, n, found, bits) of each cluster as all its links do."""
-    weight = members.groupBy("cluster").agg(F.sum("n").alias("weight"))
-    spread = members.join(weight, "cluster").withColumn("blocks", F.expr(f"(weight + {CLUSTER - 1}) div {CLUSTER}")) \
-        .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks"))) \
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))) \
-        .select("cluster", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
-                "n", "rep", "own", "bits", "found")
+    """a, b: exact links that connect the members (cluster, low, high, n, rep, own, bits, found) of each cluster as all its links do."""
+    spread = members.select("cluster", "low", "high", "n", "rep", "own", "bits", "found")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def linked(a: tuple, b: tuple) -> bool:

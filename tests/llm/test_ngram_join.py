@@ -149,3 +149,11 @@ def test_one_row_of_each_class_stays_with_repeated_and_missing_identifiers(spark
     classes = {r: root(i) for i, r in enumerate(rows) if sets[i]}
     found = [classes[tuple(r)] for r in kept if shingle_set(r["text"], 4)]
     assert len(found) == len(set(found)) == len(set(classes.values()))
+
+
+def test_sets_are_built_once_for_the_comparison(spark):
+    """The blocks of a cluster are known before the sets, so these are neither built nor shuffled for them."""
+    docs = spark.createDataFrame([(1, "a b c d e")], "ident long, text string")
+    members = spark.createDataFrame([], "sig binary, ident long, rep long, cluster long, n long")
+    plan = ngram_join.links(ngram_join.sets_of(docs, members, 4), 85)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow build") == 1 and plan.count("Join ") == 2
