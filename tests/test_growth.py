@@ -1,6 +1,7 @@
 """What keeps a query within its limits when tables grow: keys past 32 bits cubed, lines made where they are read, casts that refuse little."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,3 +99,10 @@ def test_tags_are_texts_made_once_a_row(spark):
 def test_tasks_read_little_after_a_shuffle_of_race_tables(spark):
     QUERIES["condition_record"](spark, "/root/testdata/sf0.001")
     assert all(spark.conf.get(k) == v for k, v in SHUFFLE_CONF.items()) and int(SHUFFLE_CONF["spark.sql.adaptive.advisoryPartitionSizeInBytes"]) <= 8 << 20
+
+
+@pytest.mark.parametrize("name", ("condition_wide", "counters_unpivot"))
+def test_tasks_stay_small_whatever_the_number_of_shuffle_partitions(spark, name):
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    dealt = [int(n) for n in re.findall(r"Exchange hashpartitioning\(.*?, (\d+)\)", plan)]
+    assert len(dealt) == 3 and min(dealt) >= 1000 > int(spark.conf.get("spark.sql.shuffle.partitions"))
