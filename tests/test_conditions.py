@@ -53,3 +53,29 @@ def test_no_finish_has_no_variance(spark):
     df = spark.createDataFrame([("h", 0, 1.0), ("h", 1, 2.0), ("h", 3, 3.0)], "horse string, position int, figure double")
     row = ag.profile(df, ["horse"], "position", "figure").first()
     assert row.position_variance == 2.0 and row.best_figure == 3.0
+
+
+def test_records_dealt_out_by_entity_are_the_same(spark):
+    runs = [(*RUN, 1), (*RUN, 2), (*RUN[:12], "重", "H", "other", 5), ("h2", *RUN[1:], 1), ("h3", None, None, None, None, *RUN[5:], 3),
+            (None, *RUN[1:], 2), ("h4", "j2", "t1", None, *RUN[4:], None), (None, None, None, "o1", *RUN[4:], 1), ("t1", "h1", "j1", *RUN[3:], 3)]
+    df = spark.createDataFrame(runs, COLUMNS).withColumn("id", F.monotonically_increasing_id())
+    groups = ag.condition_groups()
+    plain, dealt = (ag.named_records(df, groups, "position", by_entity=b) for b in (False, True))
+    assert sorted(map(tuple, dealt.select(*plain.columns).collect())) == sorted(map(tuple, plain.collect()))
+    for ids in (["id"], ["horse_id", "distance"]):
+        wide = [ag.entry_records(df, r, ids, groups) for r in (plain, dealt)]
+        assert wide[0].columns == wide[1].columns
+        assert sorted(map(tuple, wide[0].collect()), key=repr) == sorted(map(tuple, wide[1].collect()), key=repr)
+
+
+def test_entries_are_expanded_after_the_shuffle_by_entity(spark):
+    from furlong.plans.catalog import QUERIES
+
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = QUERIES["entry_conditions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    keys = [x.split("(")[1] for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert sum(x.startswith("entity") for x in keys) == 2 and not [x for x in keys if x.startswith(("kind", "condition"))]
