@@ -41,8 +41,8 @@ def entry_base(races: DataFrame, entries: DataFrame, results: DataFrame, pedigre
                             "trainer_code", "weight_carried", "idm", "ten_index")
     return (
         runner.join(outcome, ["race_id", "horse_number"], "left")
-        .join(course, "race_id")
         .join(parents, "horse_id", "left")
+        .join(course, "race_id")  # last, so that windows over a race share its shuffle
         .withColumn("_band", distance_band(F.col("distance")))
     )
 
@@ -76,6 +76,26 @@ def stacked_totals(base: DataFrame, sets: dict[str, tuple[str, ...]], day: str,
     return found.groupBy(row).agg(*[F.max(F.when(F.col("_set") == name, F.col(f"_t{n}"))).alias(f"{name}{n}") for name, own in wanted.items() for n in own])
 
 
+def own_totals(base: DataFrame, sets: dict[str, tuple[str, ...]], day: str, inputs: Sequence[str], sums: dict[str, Column],
+               wanted: dict[str, tuple[str, ...]], row: str = "_row") -> DataFrame:
+    """Running totals over earlier days of key sets that begin with the same key, named as ``stacked_totals`` names them.
+
+    For runners, whose runs a career limits: rows are dealt out by that key once and every set is a window over them, so
+    nothing is joined back. Rows without the key or the day are left out and have no totals; those without a finer key
+    have none of that set. Rows of a key stay in one task, where they are sorted and streamed.
+    """
+    first = next(iter(sets.values()))[0]
+    finer = [k for keys in sets.values() for k in keys[1:]]
+    dealt = base.where(keyed([first, day])).select(row, first, *finer, day, *inputs).repartition(first) \
+        .withColumn("_on", F.unix_date(day)).withColumns(sums)
+
+    def total(keys: tuple[str, ...], name: str) -> Column:
+        earlier = W.partitionBy(*keys).orderBy("_on").rangeBetween(W.unboundedPreceding, -1)
+        return F.when(keyed(keys), F.sum(name).over(earlier))
+
+    return dealt.select(row, *[total(sets[name], n).alias(f"{name}{n}") for name, own in wanted.items() for n in own])
+
+
 def _rate(hits: str, count: str) -> Column:
     return F.col(hits) / F.when(F.col(count) > 0, F.col(count))
 
@@ -85,54 +105,50 @@ def training_data(races: DataFrame, entries: DataFrame, results: DataFrame, pedi
                   heavy: Sequence[str] = HEAVY, odds_type: str = "win", morning_hour: int = 10) -> DataFrame:
     """All features of every run with a result, built from earlier days only.
 
-    The joined base is written once. Abnormal runs count in the histories'
-    dates but carry no position, and are not labelled. Totals of an entity are
-    summed per day before any shuffle, so a dominant one is spread over its
-    days.
+    The joined base is written once, with the comparisons inside a race. Features are computed from the few columns they
+    need, and meet the base once, by row. Abnormal runs count in the histories' dates but carry no position, and are not
+    labelled. Totals of trainers and sires are summed per day before any shuffle, so a dominant one is spread over its days.
     """
-    base = stored(entry_base(races, entries, results, pedigree).withColumn("_row", F.monotonically_increasing_id()), "entry-base")
+    race = ["race_id"]
+    base = entry_base(races, entries, results, pedigree)
+    columns = base.columns
+    base = set_apart(base, race)  # once, so that the windows share a shuffle
+    for value, name, descending in (("weight_carried", "weight_rank", True), ("idm", "ability_rank", True)):
+        base = rank_in_race(base, race, value, name, descending)
+    front = F.col("ten_index") >= front_threshold
+    base = race_totals(base, race, {
+        "front_runner_count": F.count_if(front),
+        "expected_pace_score": F.avg(F.when(front, F.col("ten_index")))})
+    compared = ["weight_rank", "ability_rank", "front_runner_count", "expected_pace_score"]
+    base = stored(base.select(*columns, *compared).withColumn("_row", F.monotonically_increasing_id()), "entry-base")
     day, position = "race_date", F.col("finish_position")
     ran = position.isNotNull()
     won, placed = position == 1, position <= 3
 
-    out = with_history(base, ["horse_id"], day, ["race_id"], ["finish_position", "last_3f_time"], {
+    past = with_history(base.select("_row", "race_id", "horse_id", day, "finish_position", "last_3f_time"),
+                        ["horse_id"], day, ["race_id"], ["finish_position", "last_3f_time"], {
         **{f"past_{n}_avg_position": lambda o, n=n: F.avg("finish_position").over(last_n(o, n)) for n in (3, 5, 10)},
         **{f"past_{n}_avg_last3f": lambda o, n=n: F.avg("last_3f_time").over(last_n(o, n)) for n in (3, 5)},
     }, 10)
     # Times have one decimal; rounding lets equal means rank as equal.
-    out = out.withColumns({f"past_{n}_avg_last3f": F.round(f"past_{n}_avg_last3f", 6) for n in (3, 5)})
+    past = past.withColumns({f"past_{n}_avg_last3f": F.round(f"past_{n}_avg_last3f", 6) for n in (3, 5)})
+    past = past.drop("horse_id", day, "finish_position", "last_3f_time")
+    past = rank_in_race(past, race, "past_5_avg_last3f", "last3f_rank", False).drop("race_id")
 
     counts = {"_n": F.when(ran, 1).otherwise(0), "_w": F.when(won, 1).otherwise(0), "_p": F.when(placed, 1).otherwise(0)}
     kinds = {"turf": F.col("course_type") == "turf", "dirt": F.col("course_type") == "dirt",
              "heavy_track": F.col("track_condition").isin(*heavy)}
     by_kind = {f"{c}_{k}": F.when(cond, counts[c]).otherwise(0) for k, cond in kinds.items() for c in ("_n", "_w")}
     overall = state_before(base, [], day, counts).select(day, _rate("_p", "_n").alias("_prior"))
-    out = attach_state(out, overall, [], day)
 
     nw, nwp = ("_n", "_w"), ("_n", "_w", "_p")
-    sets = {"horse": ("horse_id",), "band": ("horse_id", "_band"), "venue": ("horse_id", "venue_code"), "jockey": ("jockey_code",),
-            "jockey_venue": ("jockey_code", "venue_code"), "trainer": ("trainer_code",), "sire": ("sire_id",), "dam_sire": ("dam_sire_id",)}
-    wanted = {"horse": tuple(by_kind), "band": nw, "venue": nw, "jockey": nwp, "jockey_venue": nw, "trainer": nwp, "sire": nwp, "dam_sire": nwp}
-    totals = stacked_totals(base, sets, day, counts | by_kind, wanted)
-    prior = F.col("_prior")
-    out = out.join(totals, "_row", "left").withColumns({
-        **{f"{k}_win_rate": _rate(f"horse_w_{k}", f"horse_n_{k}") for k in kinds},
-        "distance_category_win_rate": _rate("band_w", "band_n"), "venue_win_rate": _rate("venue_w", "venue_n"),
-        "jockey_win_rate": _rate("jockey_w", "jockey_n"), "jockey_venue_win_rate": _rate("jockey_venue_w", "jockey_venue_n"),
-        "trainer_win_rate": _rate("trainer_w", "trainer_n"),
-        **{f"{who}_te_place": smoothed(F.col(f"{who}_p"), F.col(f"{who}_n"), prior, m) for who in ("jockey", "trainer", "sire", "dam_sire")},
-    }).drop(*[c for c in totals.columns])
-
-    # Comparisons inside the race.
-    race = ["race_id"]
-    out = set_apart(out, race)  # once, so that the windows share a shuffle
-    for value, name, descending in (("weight_carried", "weight_rank", True), ("idm", "ability_rank", True),
-                                    ("past_5_avg_last3f", "last3f_rank", False)):
-        out = rank_in_race(out, race, value, name, descending)
-    front = F.col("ten_index") >= front_threshold
-    out = race_totals(out, race, {
-        "front_runner_count": F.count_if(front),
-        "expected_pace_score": F.avg(F.when(front, F.col("ten_index")))})
+    totals = (
+        own_totals(base, {"horse": ("horse_id",), "band": ("horse_id", "_band"), "venue": ("horse_id", "venue_code")}, day,
+                   ("finish_position", "course_type", "track_condition"), counts | by_kind, {"horse": tuple(by_kind), "band": nw, "venue": nw}),
+        own_totals(base, {"jockey": ("jockey_code",), "jockey_venue": ("jockey_code", "venue_code")}, day,
+                   ("finish_position",), counts, {"jockey": nwp, "jockey_venue": nw}),
+        stacked_totals(base, {"trainer": ("trainer_code",), "sire": ("sire_id",), "dam_sire": ("dam_sire_id",)}, day, counts,
+                       {"trainer": nwp, "sire": nwp, "dam_sire": nwp}))
 
     # Prices known the evening before and on the morning of the race.
     midnight = F.col(day).cast("timestamp")
@@ -141,7 +157,19 @@ def training_data(races: DataFrame, entries: DataFrame, results: DataFrame, pedi
         ["race_id", "horse_id"], {
             "odds_yesterday": midnight - F.expr("INTERVAL '1' SECOND"),
             "odds_today": midnight + F.make_dt_interval(hours=F.lit(morning_hour))}).drop(day)
-    out = out.join(prices, ["race_id", "horse_id"], "left")
+    prices = base.select("_row", "race_id", "horse_id").join(prices, ["race_id", "horse_id"]).drop("race_id", "horse_id")
+
+    out = attach_state(base, overall, [], day)
+    for features in (past, *totals, prices):
+        out = out.join(features, "_row", "left")
+    prior = F.col("_prior")
+    out = out.withColumns({
+        **{f"{k}_win_rate": _rate(f"horse_w_{k}", f"horse_n_{k}") for k in kinds},
+        "distance_category_win_rate": _rate("band_w", "band_n"), "venue_win_rate": _rate("venue_w", "venue_n"),
+        "jockey_win_rate": _rate("jockey_w", "jockey_n"), "jockey_venue_win_rate": _rate("jockey_venue_w", "jockey_venue_n"),
+        "trainer_win_rate": _rate("trainer_w", "trainer_n"),
+        **{f"{who}_te_place": smoothed(F.col(f"{who}_p"), F.col(f"{who}_n"), prior, m) for who in ("jockey", "trainer", "sire", "dam_sire")},
+    })
 
     out = label(out).withColumns({
         "weight": F.col("weight_carried").cast("bigint"), "jockey_id": F.col("jockey_code"),

@@ -2,7 +2,9 @@
 
 from datetime import date, datetime
 
-from furlong.plans.training_data import training_data
+from pyspark.sql import functions as F
+
+from furlong.plans.training_data import own_totals, stacked_totals, training_data
 
 
 def test_a_race_without_venue_or_distance_keeps_the_rates_of_its_runners(spark):
@@ -31,3 +33,33 @@ def test_a_race_without_venue_or_distance_keeps_the_rates_of_its_runners(spark):
     assert [got[f"r{i}"]["jockey_venue_win_rate"] for i in range(1, 6)] == [None, None, 1.0, None, 1.0]
     assert [got[f"r{i}"]["distance_category_win_rate"] for i in range(1, 6)] == [None, 1.0, None, None, 0.5]
     assert all(r["jockey_win_rate"] is None and r["jockey_venue_win_rate"] is None for r in rows if r["horse_id"] == "h2")
+
+
+def test_totals_of_a_runner_need_one_shuffle_and_no_join(spark):
+    rows = [(i, h, v, date(2024, 1, d) if d else None, p) for i, (h, v, d, p) in enumerate([
+        ("h1", "05", 1, 1), ("h1", "05", 1, 2), ("h1", None, 2, 1), ("h1", "06", 3, 1), ("h1", "05", 3, None), ("h1", "05", 9, 4),
+        (None, "05", 3, 1), ("h2", "05", None, 1), ("h2", "05", 4, 1), ("h2", "05", 5, 0)])]
+    df = spark.createDataFrame(rows, "_row long, horse string, venue string, day date, position int")
+    sets = {"horse": ("horse",), "venue": ("horse", "venue")}
+    sums = {"_n": F.when(F.col("position").isNotNull(), 1).otherwise(0), "_w": F.when(F.col("position") == 1, 1).otherwise(0)}
+    wanted = {"horse": ("_n", "_w"), "venue": ("_w",)}
+    own = own_totals(df, sets, "day", ["position"], sums, wanted)
+    plan = own._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    stacked = stacked_totals(df, sets, "day", sums, wanted).select(*own.columns)
+    assert sorted(map(tuple, own.collect())) == sorted(map(tuple, stacked.collect()))
+    assert {r["_row"]: r["horse_n"] for r in own.collect()} == {0: None, 1: None, 2: 2, 3: 3, 4: 3, 5: 4, 8: None, 9: 1}
+
+
+def test_the_wide_columns_of_the_base_are_shuffled_once(spark):
+    from furlong.plans.catalog import QUERIES
+
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = QUERIES["training_data"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    below = [next(x for x in plan[i + 1:] if "Project" in x or "Window" in x or "Aggregate" in x or "FileScan" in x)
+             for i, x in enumerate(plan) if "Exchange hashpartitioning" in x]
+    assert sum("bracket_number" in x for x in below) == 1
