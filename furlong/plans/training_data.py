@@ -76,26 +76,6 @@ def stacked_totals(base: DataFrame, sets: dict[str, tuple[str, ...]], day: str,
     return found.groupBy(row).agg(*[F.max(F.when(F.col("_set") == name, F.col(f"_t{n}"))).alias(f"{name}{n}") for name, own in wanted.items() for n in own])
 
 
-def own_totals(base: DataFrame, sets: dict[str, tuple[str, ...]], day: str, inputs: Sequence[str], sums: dict[str, Column],
-               wanted: dict[str, tuple[str, ...]], row: str = "_row") -> DataFrame:
-    """Running totals over earlier days of key sets that begin with the same key, named as ``stacked_totals`` names them.
-
-    For runners, whose runs a career limits: rows are dealt out by that key once and every set is a window over them, so
-    nothing is joined back. Rows without the key or the day are left out and have no totals; those without a finer key
-    have none of that set. Rows of a key stay in one task, where they are sorted and streamed.
-    """
-    first = next(iter(sets.values()))[0]
-    finer = [k for keys in sets.values() for k in keys[1:]]
-    dealt = base.where(keyed([first, day])).select(row, first, *finer, day, *inputs).repartition(first) \
-        .withColumn("_on", F.unix_date(day)).withColumns(sums)
-
-    def total(keys: tuple[str, ...], name: str) -> Column:
-        earlier = W.partitionBy(*keys).orderBy("_on").rangeBetween(W.unboundedPreceding, -1)
-        return F.when(keyed(keys), F.sum(name).over(earlier))
-
-    return dealt.select(row, *[total(sets[name], n).alias(f"{name}{n}") for name, own in wanted.items() for n in own])
-
-
 def _rate(hits: str, count: str) -> Column:
     return F.col(hits) / F.when(F.col(count) > 0, F.col(count))
 
@@ -107,7 +87,7 @@ def training_data(races: DataFrame, entries: DataFrame, results: DataFrame, pedi
 
     The joined base is written once, with the comparisons inside a race. Features are computed from the few columns they
     need, and meet the base once, by row. Abnormal runs count in the histories' dates but carry no position, and are not
-    labelled. Totals of trainers and sires are summed per day before any shuffle, so a dominant one is spread over its days.
+    labelled. Totals of an entity are summed per day before any shuffle, so a dominant one is spread over its days.
     """
     race = ["race_id"]
     base = entry_base(races, entries, results, pedigree)
@@ -132,8 +112,8 @@ def training_data(races: DataFrame, entries: DataFrame, results: DataFrame, pedi
     }, 10)
     # Times have one decimal; rounding lets equal means rank as equal.
     past = past.withColumns({f"past_{n}_avg_last3f": F.round(f"past_{n}_avg_last3f", 6) for n in (3, 5)})
-    past = past.drop("horse_id", day, "finish_position", "last_3f_time")
-    past = rank_in_race(past, race, "past_5_avg_last3f", "last3f_rank", False).drop("race_id")
+    past = past.drop(day, "finish_position", "last_3f_time")
+    past = rank_in_race(past, race, "past_5_avg_last3f", "last3f_rank", False)
 
     counts = {"_n": F.when(ran, 1).otherwise(0), "_w": F.when(won, 1).otherwise(0), "_p": F.when(placed, 1).otherwise(0)}
     kinds = {"turf": F.col("course_type") == "turf", "dirt": F.col("course_type") == "dirt",
@@ -142,13 +122,10 @@ def training_data(races: DataFrame, entries: DataFrame, results: DataFrame, pedi
     overall = state_before(base, [], day, counts).select(day, _rate("_p", "_n").alias("_prior"))
 
     nw, nwp = ("_n", "_w"), ("_n", "_w", "_p")
-    totals = (
-        own_totals(base, {"horse": ("horse_id",), "band": ("horse_id", "_band"), "venue": ("horse_id", "venue_code")}, day,
-                   ("finish_position", "course_type", "track_condition"), counts | by_kind, {"horse": tuple(by_kind), "band": nw, "venue": nw}),
-        own_totals(base, {"jockey": ("jockey_code",), "jockey_venue": ("jockey_code", "venue_code")}, day,
-                   ("finish_position",), counts, {"jockey": nwp, "jockey_venue": nw}),
-        stacked_totals(base, {"trainer": ("trainer_code",), "sire": ("sire_id",), "dam_sire": ("dam_sire_id",)}, day, counts,
-                       {"trainer": nwp, "sire": nwp, "dam_sire": nwp}))
+    sets = {"horse": ("horse_id",), "band": ("horse_id", "_band"), "venue": ("horse_id", "venue_code"), "jockey": ("jockey_code",),
+            "jockey_venue": ("jockey_code", "venue_code"), "trainer": ("trainer_code",), "sire": ("sire_id",), "dam_sire": ("dam_sire_id",)}
+    wanted = {"horse": tuple(by_kind), "band": nw, "venue": nw, "jockey": nwp, "jockey_venue": nw, "trainer": nwp, "sire": nwp, "dam_sire": nwp}
+    totals = stacked_totals(base, sets, day, counts | by_kind, wanted)
 
     # Prices known the evening before and on the morning of the race.
     midnight = F.col(day).cast("timestamp")
@@ -157,10 +134,10 @@ def training_data(races: DataFrame, entries: DataFrame, results: DataFrame, pedi
         ["race_id", "horse_id"], {
             "odds_yesterday": midnight - F.expr("INTERVAL '1' SECOND"),
             "odds_today": midnight + F.make_dt_interval(hours=F.lit(morning_hour))}).drop(day)
-    prices = base.select("_row", "race_id", "horse_id").join(prices, ["race_id", "horse_id"]).drop("race_id", "horse_id")
+    past = past.join(prices, ["race_id", "horse_id"], "left").drop("race_id", "horse_id")
 
     out = attach_state(base, overall, [], day)
-    for features in (past, *totals, prices):
+    for features in (past, totals):
         out = out.join(features, "_row", "left")
     prior = F.col("_prior")
     out = out.withColumns({
