@@ -4,6 +4,8 @@ Rows are range-partitioned on splitters that Spark samples from a short, bounded
 (its head and a hash), sorted externally, and equal neighbours are found by comparing whole texts. Texts that a
 sample shows to be very frequent are cut into pieces first, so that no task receives all their copies; the pieces'
 winners are compared in a second step, which sees at most ``PIECES`` rows per such text.
+
+Texts are shuffled once and written nowhere: the first of a frequent text comes from its digests, summed before they are shuffled.
 """
 
 from __future__ import annotations
@@ -36,24 +38,25 @@ def mark(docs: DataFrame, identifier: str = "doc_id", text: str = "text", column
     Returns row, keep_id, group_size, kept, text_sha256.
     """
     names = columns or [identifier]
-    wide = docs.select(
-        F.struct(*[F.col(c) for c in names]).alias("row"), F.col(identifier).alias("_id"), text_of(text).alias("_text"))
-    keyed = wide.withColumn("_chars", F.length("_text")).withColumn("_norm", squeezed(F.col("_text"))) \
+    carried = [] if text in names else [text_of(text).alias("_text")]
+    wide = docs.select(F.struct(*[F.col(c) for c in names]).alias("row"), F.col(identifier).alias("_id"), *carried)
+    whole = F.coalesce(F.col("row").getField(text).cast("string"), F.lit("")) if text in names else F.col("_text")
+    hot = stored(hot_hashes(docs, text))  # written, as both plans below must speak of the same texts
+    keyed = wide.withColumn("_chars", F.length(whole)).withColumn("_norm", squeezed(whole)) \
         .withColumn("_hash", F.xxhash64("_norm")).withColumn("_head", F.substring("_norm", 1, 16)).drop("_norm") \
-        .join(F.broadcast(hot_hashes(docs, text)), "_hash", "left") \
+        .join(F.broadcast(hot), "_hash", "left") \
         .withColumn("_hot", F.coalesce("_hot", F.lit(False))) \
         .withColumn("_piece", F.when(F.col("_hot"), F.pmod(F.xxhash64("_id", "_chars"), F.lit(PIECES))).otherwise(0))
-    cut = keyed.repartitionByRange("_head", "_hash", "_piece").withColumn("_norm", squeezed(F.col("_text")))
+    cut = keyed.repartitionByRange("_head", "_hash", "_piece").withColumn("_norm", squeezed(whole))
     run = W.partitionBy("_head", "_hash", "_piece", "_norm")
     order = run.orderBy(F.desc("_chars"), F.asc_nulls_last("_id"))
     found = cut.select(
         "row", "_id", "_chars", "_hot", "_piece", F.sha2("_norm", 256).alias("text_sha256"),
         F.row_number().over(order).alias("_place"), F.first("_id").over(order).alias("_keep"),
         F.count(F.lit(1)).over(run).alias("_rows"))
-    found = stored(found)
-    heads = found.filter("_hot AND _place = 1").groupBy(F.col("text_sha256").alias("_sha")).agg(
+    heads = keyed.filter("_hot").groupBy(F.sha2(squeezed(whole), 256).alias("_sha")).agg(
         F.min(F.struct(-F.col("_chars"), F.col("_id").isNull(), F.col("_id"), F.col("_piece"))).alias("_first"),
-        F.sum("_rows").alias("_all"))
+        F.count(F.lit(1)).alias("_all"))
     merged = heads.select("_sha", F.col("_first._id").alias("_keep_all"), F.col("_first._piece").alias("_at"), "_all")
     # at most MOST texts were called hot, so their winners fit any task
     joined = found.join(F.broadcast(merged), F.col("_hot") & (F.col("text_sha256") == F.col("_sha")), "left")

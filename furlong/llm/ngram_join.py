@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from furlong.llm.common import Bitmap, give_back, stored, text_of
@@ -200,17 +200,20 @@ def described(spoken: DataFrame, size: int, percent: int, counts: np.ndarray) ->
     return spoken.withColumn("set", describe("text")).select("id", "ident", "set.*")
 
 
-def clusters(groups: DataFrame, percent: int) -> DataFrame:
-    """grp, cluster: groups that a chain of possibly similar pairs connects, and groups of several sets."""
-    postings = groups.filter(F.size("prefix") > 0).select(F.explode("prefix").alias("token"), "grp")
-    shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
-    hits = postings.join(shared, "token")
+def clusters(rows: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """grp, cluster: groups that a chain of possibly similar pairs connects, and groups of several sets.
+
+    Prefixes are read from the first row of each group, and each posting is shuffled once, by its token.
+    """
+    firsts = rows.join(groups.select("grp", "sets"), F.col("row") == F.col("grp"))
+    postings = firsts.filter(F.size("prefix") > 0).select(F.explode("prefix").alias("token"), "grp")
+    hits = postings.withColumn("many", F.count(F.lit(1)).over(W.partitionBy("token"))).filter("many > 1")
     blocks = F.expr(f"(many + {LIST - 1}) div {LIST}")
     own = F.pmod(F.xxhash64("grp"), F.col("blocks"))
     spread = hits.withColumn("blocks", blocks).withColumn("own", own) \
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     lists = spread.select("token", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "grp", "own") \
-        .join(groups.select("grp", "n", F.when(F.col("sets") == 1, F.col("bits")).alias("bits")), "grp") \
+        .join(firsts.select("grp", "n", F.when(F.col("sets") == 1, F.col("bits")).alias("bits")), "grp") \
         .select("token", "low", "high", "n", "grp", "own", "bits")
 
     def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,11 +309,10 @@ def placed_sets(docs: DataFrame, identifier: str, text: str, size: int, percent:
     rows = stored(described(spoken, size, percent, counts).withColumn("row", F.monotonically_increasing_id()))
     some = rows.filter("n > 0")
     groups = stored(some.groupBy("gkey").agg(
-        F.min("row").alias("grp"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"),
-        F.when(F.min("sig") == F.max("sig"), 1).otherwise(2).alias("sets")))
+        F.min("row").alias("grp"), F.when(F.min("sig") == F.max("sig"), 1).otherwise(2).alias("sets")))
     sets = some.groupBy("sig").agg(F.min("row").alias("rep"), F.min("id").alias("least"), F.first("n").alias("n"),
                                    F.first("gkey").alias("gkey"), F.first("ident").alias("ident"))
-    placed = groups.select("gkey", "grp").join(clusters(groups, percent), "grp").select("gkey", "cluster")
+    placed = groups.select("gkey", "grp").join(clusters(rows, groups, percent), "grp").select("gkey", "cluster")
     members = stored(sets.join(placed, "gkey").drop("gkey"))
     linked = components(links(sets_of(spoken, members.select("sig", "ident", "rep", "cluster", "n"), size), percent))
     reached = members.join(linked, F.col("rep") == F.col("node")).select("sig", "component", "least")

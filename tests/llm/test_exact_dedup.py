@@ -29,6 +29,21 @@ def test_one_row_of_each_text_stays_with_all_columns(spark):
     assert len(texts) == len(set(texts)) == answer(docs).agg(F.countDistinct("text_sha256")).first()[0]
 
 
+def test_frequent_texts_keep_one_row_with_all_columns(spark, monkeypatch):
+    rows = [(i % 7 or None, "copied  text" if i % 3 else "copied text", None, f"s{i}", None, None, None, None, None) for i in range(300)]
+    monkeypatch.setattr(exact_dedup, "SAMPLE", 0.9)
+    docs = frame(spark, rows + rows[:50])
+    kept = exact_dedup.deduplicate(docs).collect()
+    assert len(kept) == 1 and tuple(kept[0]) in rows and (kept[0]["doc_id"], kept[0]["text"]) == (1, "copied  text")
+
+
+def test_no_text_is_written(spark, monkeypatch):
+    written, plain = [], exact_dedup.stored
+    monkeypatch.setattr(exact_dedup, "stored", lambda df: written.append(df.columns) or plain(df))
+    exact_dedup.deduplicate(frame(spark)).collect()
+    assert written == [["_hash", "_hot"]]
+
+
 def test_empty_table(spark):
     assert answer(frame(spark, [])).collect() == []
 

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -77,6 +78,16 @@ def test_one_document_of_each_class_stays(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, _, c in brute(rows, 4, 85)})
 
 
+def test_prefixes_are_written_once_and_shuffled_once_by_shingle(spark, monkeypatch):
+    written, tied, plain, joined = [], [], ngram_join.stored, ngram_join.components
+    monkeypatch.setattr(ngram_join, "stored", lambda df: written.append(df.columns) or plain(df))
+    monkeypatch.setattr(ngram_join, "components", lambda edges: tied.append(edges) or joined(edges))
+    ngram_join.keep_one(frame(spark, family()))
+    assert sum("prefix" in columns for columns in written) == 1
+    plan = tied[0]._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning\(token#\d+L?, \d+\)", plan)) == 1
+
+
 def test_edges_of_the_definition(spark):
     texts = ["A b c", "a B c", "a b", "a b c d", "É b c", "é b c", "", None, " \n"]
     rows = [(i, t, None, None, None, None, None, None, None) for i, t in enumerate(texts)]
