@@ -24,7 +24,7 @@ def last_n(order: WindowSpec, n: int) -> WindowSpec:
 
 
 def with_history(df: DataFrame, entity: Sequence[str], day: str, tie: Sequence[str],
-                 inputs: Sequence[str], features: Mapping[str, Feature], depth: int) -> DataFrame:
+                 inputs: Sequence[str], features: Mapping[str, Feature], depth: int, dealt: bool = False) -> DataFrame:
     """Add features that look at up to ``depth`` earlier runs.
 
     Each feature maps the ordered window of an entity to a column using frames
@@ -37,10 +37,19 @@ def with_history(df: DataFrame, entity: Sequence[str], day: str, tie: Sequence[s
     Features are computed once per day and joined back by entity and day, which
     spreads a dominant entity over its days. Rows without an entity have no
     history.
+
+    With ``dealt`` the rows are dealt out by entity and stay there: the values of
+    a day's first run are handed to its other rows in the same sort, without
+    pruning and join, so the runs of an entity are one task's.
     """
     entity, tie = list(entity), list(tie)
     order = W.partitionBy(*entity).orderBy(day, *tie)
     one_day = W.partitionBy(*entity, day).orderBy(*tie)
+    if dealt:
+        rows = df.withColumn(RUN_NO, F.row_number().over(order)).withColumns({f"_h_{name}": make(order) for name, make in features.items()})
+        so_far = one_day.rowsBetween(W.unboundedPreceding, 0)
+        return rows.withColumns({name: F.when(keyed([*entity, day]), F.first(f"_h_{name}").over(so_far)) for name in features}) \
+            .drop(RUN_NO, *[f"_h_{name}" for name in features])
     columns = list(dict.fromkeys([*entity, day, *tie, *inputs]))
     latest = W.partitionBy(*entity, day).orderBy(*[F.col(c).desc() for c in tie])
     tails = df.where(keyed(entity)).select(*columns).withColumn("_back", F.row_number().over(latest)) \
@@ -161,6 +170,18 @@ def state_before(df: DataFrame, keys: Sequence[str], day: str, sums: Mapping[str
     return daily.withColumns({n: F.sum(n).over(frame) for n in sums})
 
 
+def totals_before(df: DataFrame, keys: Sequence[str], day: str, sums: Mapping[str, Column]) -> DataFrame:
+    """Add running totals over strictly earlier days of the same key, beside each row and without a join.
+
+    For rows that are dealt out by one of the keys and stay there, so the rows of
+    a key are one task's, sorted and streamed; ``with_state`` sums a dominant key per
+    day instead. ``day`` is a number of days. Rows without a key or a day have no
+    totals and count in none.
+    """
+    earlier = W.partitionBy(*keys).orderBy(day).rangeBetween(W.unboundedPreceding, -1)
+    return df.withColumns({n: F.when(keyed([*keys, day]), F.sum(F.when(keyed([day]), c)).over(earlier)) for n, c in sums.items()})
+
+
 def attach_state(df: DataFrame, state: DataFrame, keys: Sequence[str], day: str) -> DataFrame:
     """Join totals back by key and day; a hot key is spread over its days."""
     if not keys:

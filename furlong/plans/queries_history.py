@@ -9,6 +9,7 @@ from furlong.plans import standin
 from furlong.plans.queries_joins import ENTRIES_SQL, RUN_DAYS_SQL, rounded
 from furlong.plans.registry import load, query
 from furlong.plans.training_data import training_data as assemble
+from furlong.session import CO_PARTITION
 from datetime import datetime
 
 WHO, DAY, TIE = ["o_custkey"], "day", ["o_orderkey"]
@@ -424,7 +425,7 @@ LEFT JOIN s_sire USING (sire, race_date) LEFT JOIN s_dam USING (dam_sire, race_d
 TRAINING_SQL = TRAINING_SQL.replace(", 6)", " + 1e-9, 6)").replace("round(l5 + 1e-9, 6) NULLS", "round(l5, 6) NULLS")
 
 
-@query("training_data", TRAINING_SQL)
+@query("training_data", TRAINING_SQL, **{CO_PARTITION: "false"})
 def training_data(spark, sf):
     tables = standin.training_tables(spark, sf)
     out = assemble(**tables, created_at=datetime(2026, 1, 4, 12, 0, 0))

@@ -45,3 +45,36 @@ def test_the_wide_columns_of_the_base_are_shuffled_once(spark):
     below = [next(x for x in plan[i + 1:] if "Project" in x or "Window" in x or "Aggregate" in x or "FileScan" in x)
              for i, x in enumerate(plan) if "Exchange hashpartitioning" in x]
     assert sum("bracket_number" in x for x in below) == 1
+
+
+def test_runs_meet_their_horse_and_jockey_in_one_shuffle_each(spark):
+    from furlong.plans.catalog import QUERIES
+
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = QUERIES["training_data"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    keys = [x.split("hashpartitioning(")[1].split("#")[0] for x in plan if "Exchange hashpartitioning" in x]
+    assert sum(k == "horse_id" for k in keys) == 1 and sum(k == "jockey_code" for k in keys) == 1
+    assert "_row" not in keys and sum(k.startswith("_set") for k in keys) == 2
+
+
+def test_values_beside_rows_are_those_of_the_joins(spark):
+    from pyspark.sql import functions as F
+
+    from furlong.operators import history as hi
+
+    rows = [(i, *("ab"[i % 2] if i % 7 else None, "xyz"[i % 3] if i % 5 else None), i // 4 % 6 if i % 11 else None, i % 4, float(i % 9) if i % 8 else None) for i in range(80)]
+    df = spark.createDataFrame(rows, "id int, who string, kind string, n int, tie int, value double") \
+        .withColumn("day", F.date_add(F.lit(date(2024, 1, 1)), F.col("n"))).withColumn("tie", F.col("id"))
+    sums, runs = {"total": F.col("value"), "runs": F.lit(1)}, hi.last_n
+    features = {f"past_{n}": lambda o, n=n: F.avg("value").over(runs(o, n)) for n in (2, 4)} | {"trend": lambda o: F.regr_slope(F.col("value"), F.col(hi.RUN_NO)).over(runs(o, 3))}
+    got, expected = ({r["id"]: r for r in hi.with_history(df, ["who"], "day", ["tie"], ["value"], features, 4, dealt=d).collect()} for d in (True, False))
+    assert len(got) == 80 and all(got[i][c] == expected[i][c] or abs(got[i][c] - expected[i][c]) < 1e-9 for i in got for c in features)
+    assert any(r["past_2"] is not None for r in got.values())
+    for keys in (["who"], ["who", "kind"]):
+        got = {r["id"]: (r["total"], r["runs"]) for r in hi.totals_before(df.withColumn("day", F.unix_date("day")), keys, "day", sums).collect()}
+        expected = {r["id"]: (r["total"], r["runs"]) for r in hi.with_state(df.where("day IS NOT NULL"), keys, "day", sums).collect()}
+        assert len(got) == 80 and all(x == expected.get(i, (None, None)) for i, x in got.items())
