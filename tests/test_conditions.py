@@ -79,3 +79,33 @@ def test_entries_are_expanded_after_the_shuffle_by_entity(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     keys = [x.split("(")[1] for x in plan.splitlines() if "Exchange hashpartitioning" in x]
     assert sum(x.startswith("entity") for x in keys) == 2 and not [x for x in keys if x.startswith(("kind", "condition"))]
+
+
+def test_records_beside_their_rows_are_the_same(spark):
+    runs = [(*RUN, 1), (*RUN, 2), (*RUN[:12], "重", "H", "other", 5), ("h2", *RUN[1:], 1), ("h3", None, None, None, None, *RUN[5:], 3),
+            (None, *RUN[1:], 2), ("h4", "j2", "t1", None, *RUN[4:], None), (None, None, None, "o1", *RUN[4:], 1), ("t1", "h1", "j1", *RUN[3:], 3),
+            ("h1/t", None, "t1", "o1", *RUN[4:], 2), (*RUN[:12], None, None, None, 4), ("h1", "j1", "t1", "o1", None, "tu/rf", 1600, None, *RUN[8:], 1)]
+    df = spark.createDataFrame(runs, COLUMNS).withColumn("id", F.monotonically_increasing_id()).withColumn("no", F.when(F.col("id") % 3 > 0, F.col("id") % 3))
+    groups = ag.condition_groups()
+    plain = ag.named_records(df, groups, "position")
+    for ids in (["id"], ["horse_id", "no"], ["no", "horse_id"], ["jockey_code", "id"], ["no"]):
+        wide = [ag.entry_records(df, r, ids, groups) for r in (plain, ag.named_records(df, groups, "position", beside=ids))]
+        assert wide[0].schema.simpleString() == wide[1].schema.simpleString()
+        assert sorted(map(tuple, wide[0].collect()), key=repr) == sorted(map(tuple, wide[1].collect()), key=repr)
+
+
+def exchanged(spark, name):
+    from furlong.plans.catalog import QUERIES
+
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    return [x.split("hashpartitioning(")[1].split("#")[0] for x in plan if "Exchange hashpartitioning" in x], plan
+
+
+def test_records_of_entries_are_counted_beside_them(spark):
+    keys, plan = exchanged(spark, "entry_conditions")
+    assert set(keys) <= {"entity", "_place", "l_orderkey", "o_orderkey"} and not [x for x in plan if "inline" in x]
