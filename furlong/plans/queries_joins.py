@@ -9,6 +9,7 @@ from furlong.operators import aggregates as ag, history as hi, in_race as ir, jo
 from furlong.plans import standin
 from furlong.plans.registry import load, query
 from furlong.session import CO_PARTITION
+from furlong.sources.layouts import COUNTERS
 
 ENTRIES_SQL = """
 e AS (SELECT l_orderkey, l_partkey, min(l_suppkey) AS suppkey, max(l_quantity) AS quantity,
@@ -191,7 +192,8 @@ g AS (SELECT condition, entity, condition_value, count(*) FILTER (position = 1)
 
 @query("condition_groups", f"{NAMED_SQL} SELECT * FROM g")
 def condition_groups(spark, sf):
-    return ag.named_records(standin.condition_entries(spark, sf), ag.condition_groups(), "position")
+    records = ag.named_records(standin.condition_entries(spark, sf), ag.condition_groups(), "position", by_entity=True)
+    return records.select("condition", "entity", "condition_value", *COUNTERS)
 
 
 @query("entry_conditions", f"""{NAMED_SQL},

@@ -109,3 +109,8 @@ def exchanged(spark, name):
 def test_records_of_entries_are_counted_beside_them(spark):
     keys, plan = exchanged(spark, "entry_conditions")
     assert set(keys) <= {"entity", "_place", "l_orderkey", "o_orderkey"} and not [x for x in plan if "inline" in x]
+
+
+def test_groups_are_expanded_after_one_shuffle_by_entity(spark):
+    keys, _ = exchanged(spark, "condition_groups")
+    assert keys.count("entity") == 1 and "kind" not in keys
